@@ -46,11 +46,11 @@ def with_cdf(rate_table: DataFrame) -> DataFrame:
     terms = F.sequence(F.lit(0), (F.ceil(F.col("rate") + 10 * F.sqrt("rate")) + TAIL).cast("int"))
 
     def step(state: Column, k: Column) -> Column:
-        p = F.when(k == 0, F.exp(-F.col("rate"))).otherwise(state["p"] * F.col("rate") / k.cast("double"))
-        total = state["total"] + p
-        return F.struct(p.alias("p"), total.alias("total"), F.concat(state["cdf"], F.array(total)).alias("cdf"))
+        log_p = F.when(k == 0, -F.col("rate")).otherwise(state["log_p"] + F.ln("rate") - F.ln(F.greatest(k, F.lit(1)).cast("double")))
+        total = state["total"] + F.when(F.col("rate") > 0, F.exp(log_p)).otherwise(F.when(k == 0, 1.0).otherwise(0.0))
+        return F.struct(log_p.alias("log_p"), total.alias("total"), F.concat(state["cdf"], F.array(total)).alias("cdf"))
 
-    start = F.struct(F.lit(0.0).alias("p"), F.lit(0.0).alias("total"), F.array().cast("array<double>").alias("cdf"))
+    start = F.struct(F.lit(0.0).alias("log_p"), F.lit(0.0).alias("total"), F.array().cast("array<double>").alias("cdf"))
     return rate_table.withColumn("cdf", F.aggregate(terms, start, step, lambda s: s["cdf"]))
 
 
@@ -61,15 +61,14 @@ def mix(df: DataFrame, seed: str = "mix-1", alpha: float = 0.5, budget: float =
     are in order, one after the other, and each within itself; columns of these
     names in df are replaced. A source of null is a source of its own; a text of
     null or the empty text has size 0 and follows its source's rate; repeated
-    rows have one id, hence the same count each. No rows give no rows. With rates
-    over 700 exp(-rate) is 0: such a source is not for this method, and the job
-    stops.
+    rows have one id, hence the same count each. No rows give no rows. A rate over
+    100,000 repetitions stops the job: weights that far off are a mistake.
     """
     extra = ["copy", "n_copies", "shuffle_key"]
     columns = [c for c in df.columns if c.lower() not in extra]
     size = F.coalesce(F.octet_length(text), F.lit(0))
     table = with_cdf(rates(df, source, size, alpha, budget, weights))
-    table = table.select(F.coalesce("source", F.lit("\0null")).alias("_source"), F.when(F.col("rate") < 700, F.col("cdf")).otherwise(F.raise_error(F.lit("rate of 700 or more"))).alias("_cdf"))
+    table = table.select(F.coalesce("source", F.lit("\0null")).alias("_source"), F.when(F.col("rate") <= 100_000, F.col("cdf")).otherwise(F.raise_error(F.lit("rate over 100,000"))).alias("_cdf"))
     drawn = join_small(df.select(*columns, F.coalesce(F.col(source), F.lit("\0null")).alias("_source"), uniform(F.lit(seed), F.col(key)).alias("_u")), table, ["_source"], how="inner")
     copies = drawn.withColumn("n_copies", F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))).where("n_copies > 0")
     each = copies.withColumn("copy", F.explode(F.expr("sequence(0, n_copies - 1)")))

@@ -18,12 +18,14 @@ from pyspark.sql import functions as F
 from seqweave.llm.common import id_crc, map_batches
 
 BUCKETS = 1 << 20
+STEM = 5  # letters of the stem that longer words have as a term of its own
 WORD = re.compile(r"\w+")
 
 
 def terms(text: str | None) -> np.ndarray:
-    """Sorted distinct buckets of the words of the whole text."""
+    """Sorted distinct buckets of the words, and of the longer ones' stems, of the whole text."""
     words = set(WORD.findall((text or "").lower()))
+    words |= {w[:STEM] + "~" for w in words if len(w) > STEM}
     return np.unique(np.fromiter((zlib.crc32(w.encode()) % BUCKETS for w in words), np.int64, len(words)))
 
 
@@ -62,7 +64,7 @@ def select(rows: list[np.ndarray], y: np.ndarray, most: int, least: int = 3) ->
     return np.sort(names[order[chi[order] > 6.6]])
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, most: int = 4096, rank: int = 6, epochs: int = 20, rate: float = 0.08, decay: float = 2e-4, seed: int = 7) -> Machine:
+def fit(rows: list[np.ndarray], y: np.ndarray, most: int = 4096, rank: int = 6, epochs: int = 20, rate: float = 0.3, decay: float = 1e-5, seed: int = 7) -> Machine:
     """Logistic loss, AdaGrad on mini-batches; a fixed seed makes it repeatable."""
     share = min(max(float(y.mean()) if len(y) else 0.5, 1e-4), 1 - 1e-4)
     buckets = select(rows, y, most) if 0 < y.sum() < len(y) else np.empty(0, np.int64)
