@@ -73,7 +73,7 @@ class Scheme:
         self.percent = percent
         self.ratio = max(BAND_RATIO, 100 / percent)
         self.starts = [1]
-        while self.starts[-1] < 1 << 40:
+        while self.starts[-1] < 1 << 34:
             self.starts.append(max(self.starts[-1] + 1, int(self.starts[-1] * self.ratio)))
 
     def band(self, size: int) -> int:
@@ -106,21 +106,29 @@ def segment_sums(tokens: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
     return at, np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix64(tokens), dtype=np.uint64)))
 
 
+#: The low bits of a signature tell its band and segment; only its other bits are a hash.
+SEGMENT_BITS, CODE_BITS = 18, 24
+
+
+def _code(band: int, segment: int) -> int:
+    return (band << SEGMENT_BITS) | (segment & ((1 << SEGMENT_BITS) - 1))
+
+
 def _sign(band: int, segment: np.ndarray, count: np.ndarray, total: np.ndarray) -> np.ndarray:
     seed = np.uint64((band + 1) << 40)
-    return mix64(mix64(total + (seed + segment.astype(np.uint64)) * _MIX2) + count.astype(np.uint64))
+    h = mix64(mix64(total + (seed + segment.astype(np.uint64)) * _MIX2) + count.astype(np.uint64))
+    code = np.uint64(band << SEGMENT_BITS) | (segment.astype(np.uint64) & np.uint64((1 << SEGMENT_BITS) - 1))
+    return (h >> np.uint64(CODE_BITS) << np.uint64(CODE_BITS)) | code
 
 
-def exact_signatures(tokens: np.ndarray, scheme: Scheme) -> tuple[np.ndarray, np.ndarray]:
-    """Signature and code (band * 2**32 + segment) of every segment subset."""
-    sigs, codes = [], []
+def exact_signatures(tokens: np.ndarray, scheme: Scheme) -> np.ndarray:
+    """Signature of every segment subset."""
+    out = []
     for band in scheme.bands_of(len(tokens)):
         m = scheme.segments(band)
         at, sums = segment_sums(tokens, m)
-        segment = np.arange(m)
-        sigs.append(_sign(band, segment, np.diff(at), sums[at[1:]] - sums[at[:-1]]))
-        codes.append(segment + (band << 32))
-    return np.concatenate(sigs), np.concatenate(codes)
+        out.append(_sign(band, np.arange(m), np.diff(at), sums[at[1:]] - sums[at[:-1]]))
+    return np.concatenate(out)
 
 
 def deletion_signatures(tokens: np.ndarray, scheme: Scheme, widened: dict[int, list[int]]) -> np.ndarray:
@@ -145,27 +153,24 @@ def sketch(tokens: np.ndarray) -> np.ndarray:
 
 
 def profiles(df: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, digest, sketch (s0..s3) and signatures with codes of each row."""
+    """doc_id, n_shingles, digest, sketch (s0..s3) and signatures of each row."""
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        scheme, size, digest, parts, sigs, codes = Scheme(percent), [], [], [], [], []
+        scheme, size, digest, parts, sigs = Scheme(percent), [], [], [], []
         for t in batch.column(1).to_pylist():
             tokens = shingle_set(t, n)
             size.append(len(tokens))
             digest.append(xxhash.xxh3_128_digest(tokens.tobytes()))
             parts.append(sketch(tokens))
-            s, c = exact_signatures(tokens, scheme) if len(tokens) else (np.empty(0, np.uint64), np.empty(0, np.int64))
-            sigs.append(s.view(np.int64))
-            codes.append(c)
+            sigs.append(exact_signatures(tokens, scheme).view(np.int64) if len(tokens) else np.empty(0, np.int64))
         parts = np.array(parts)
-        longs = pa.list_(pa.int64())
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), *[pa.array(parts[:, i]) for i in range(4)], pa.array(sigs, longs), pa.array(codes, longs)],
-            ["doc_id", "n_shingles", "digest", "s0", "s1", "s2", "s3", "sigs", "codes"],
+            [batch.column(0), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), *[pa.array(parts[:, i]) for i in range(4)], pa.array(sigs, pa.list_(pa.int64()))],
+            ["doc_id", "n_shingles", "digest", "s0", "s1", "s2", "s3", "sigs"],
         )
 
     docs = df.selectExpr(f"CAST(`{key}` AS LONG) AS doc_id", f"`{text}` AS text")
-    return map_batches(docs, fn, "doc_id long, n_shingles long, digest binary, s0 long, s1 long, s2 long, s3 long, sigs array<long>, codes array<long>")
+    return map_batches(docs, fn, "doc_id long, n_shingles long, digest binary, s0 long, s1 long, s2 long, s3 long, sigs array<long>")
 
 
 def _may_link(a: str, b: str, percent: int) -> str:
@@ -175,26 +180,23 @@ def _may_link(a: str, b: str, percent: int) -> str:
     return f"100 * LEAST({a}.n_shingles, {b}.n_shingles) >= {percent} * GREATEST({a}.n_shingles, {b}.n_shingles) AND {apart} <= {most}"
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose whole shingle sets meet the threshold."""
+def _texts(df: DataFrame, pairs: DataFrame, key: str, text: str) -> DataFrame:
+    """The whole texts of the documents in pairs: few beside all, and smaller than their sets of hashes."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    source = docs.selectExpr(f"CAST(`{key}` AS LONG) AS doc_id", f"`{text}` AS text").join(ids, "doc_id", "left_semi")
+    return materialise(df.selectExpr(f"CAST(`{key}` AS LONG) AS doc_id", f"`{text}` AS text").join(ids, "doc_id", "left_semi"), "texts")
 
-    def to_set(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingle_set(t, n).tobytes() for t in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["doc_id", "tokens"])
 
-    sets = materialise(map_batches(source, to_set, "doc_id long, tokens binary"), "sets")
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb")), "b")
+def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Those pairs (a, b) whose whole shingle sets meet the threshold."""
+    both = pairs.select("a", "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                shared = int((y[at] == x).sum())
-                ok.append(100 * shared >= percent * (len(x) + len(y) - shared))
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = shingle_set(x, n), shingle_set(y, n)
+                shared = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) and len(y) else 0
+                ok.append(shared > 0 and 100 * shared >= percent * (len(x) + len(y) - shared))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return both.select("a", "b", "ta", "tb").mapInArrow(test, "a long, b long").distinct()
@@ -205,57 +207,56 @@ def _budgets(groups: DataFrame, sizes: DataFrame, scheme: Scheme) -> tuple[dict[
 
     Leaving a segment out saves its pairs; the segment widened in its place costs
     its own pairs once more and a row for each token. The dearest segments of a
-    band are set against the cheapest ones while that saves work.
+    band are set against the cheapest ones while that saves work. Any outcome
+    finds the same links; bands with more segments than a code can tell apart
+    keep a budget of 0 throughout.
     """
-    cost = groups.groupBy("code").agg(F.sum((F.col("n") - 1) / 2).alias("pairs"))
-    rows = sizes.select(F.explode("bands").alias("band"), "n_shingles").groupBy("band").agg(F.sum("n_shingles").alias("tokens"), F.count("*").alias("sets"))
-    rows = rows.withColumn("m", F.element_at(F.expr("array(" + ",".join(str(scheme.segments(k)) + "L" for k in range(len(scheme.starts) - 1)) + ")"), F.col("band") + 1))
-    dear = cost.withColumn("band", F.shiftright("code", 32).cast("int")).join(F.broadcast(rows), "band").where(F.col("pairs") > F.col("tokens") / F.col("m") + F.col("sets"))
-    dear = dear.orderBy(F.desc("pairs")).limit(1000).collect()  # a report of the dearest, whose lot is decided here
+    code = F.col("sig").bitwiseAND(F.lit((1 << CODE_BITS) - 1))
+    cost = groups.groupBy(code.alias("code")).agg(F.sum((F.col("n") - 1) / 2).alias("pairs"))
+    cost = cost.select("code", "pairs", F.shiftright("code", SEGMENT_BITS).cast("int").alias("band"))
+    per_band = {r.band: r for r in sizes.groupBy("n_shingles").agg(F.count("*").alias("k")).select((F.expr("+".join(f"(n_shingles >= {x}L)::int" for x in scheme.starts)) - 1).alias("band"), "n_shingles", "k").groupBy("band").agg(F.sum(F.col("n_shingles") * F.col("k")).alias("tokens"), F.sum("k").alias("sets")).collect()}  # a row for each band
     widened, left_out = {}, []
-    if not dear:
-        return widened, left_out
-    known = {r.code: r.pairs for r in cost.join(F.broadcast(cost.sparkSession.createDataFrame([(b,) for b in {r.band for r in dear}], "b int")), F.shiftright("code", 32).cast("int") == F.col("b")).select("code", "pairs").limit(200_000).collect()}
-    for band in {r.band for r in dear}:
+    worst = {r.band: r.pairs for r in cost.groupBy("band").agg(F.max("pairs").alias("pairs")).collect()}
+    for band, most in worst.items():
         m = scheme.segments(band)
-        order = sorted(range(m), key=lambda i: known.get((band << 32) + i, 0))
-        worst = [r for r in dear if r.band == band]
-        for r, cheap in zip(worst, order[: m // 2], strict=False):
-            spent = known.get((band << 32) + cheap, 0)
-            if (band << 32) + cheap == r.code or r.pairs <= 2 * (spent + r.tokens / r.m + r.sets):
+        tokens, sets = (sum(getattr(per_band[k], f) for k in (band, band + 1) if k in per_band) for f in ("tokens", "sets"))
+        if m > 1 << SEGMENT_BITS or m < 2 or most <= 2 * (tokens / m + sets):
+            continue
+        known = {r.code: r.pairs for r in cost.where(F.col("band") == band).collect()}  # m rows at most
+        order = sorted(range(m), key=lambda i: known.get(_code(band, i), 0))
+        for cheap, dear in zip(order[: m // 2], order[::-1], strict=False):
+            if known.get(_code(band, dear), 0) <= 2 * (known.get(_code(band, cheap), 0) + tokens / m + sets):
                 break
             widened.setdefault(band, []).append(cheap)
-            left_out.append(r.code)
+            left_out.append(_code(band, dear))
     return widened, left_out
 
 
 def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """Classes of documents whose shingle sets have a Jaccard similarity of percent / 100 or more.
 
-    One row per row of df: doc_id, n_shingles, component_id (the smallest doc_id
-    reachable by links, itself included) and n_links (links found on the way, to
-    representatives of its copies' class; not all pairs of a class are counted).
-    A text of null or without words has no shingles and is linked with nothing;
-    rows with equal sets form one class at once; repeated rows give a row each;
-    two texts under one doc_id count as that one document when it represents
-    both; an id of null is in no component but null. Other columns aren't looked
-    at; no rows give no rows.
-
-    No group is ever paired within itself: members of a signature group are set
-    against one hub of the group, then linked ones are merged, and only members of
-    different components are set against each other.
+    One row per row of df: doc_id, n_shingles and component_id (the smallest
+    doc_id reachable by links, itself included). A text of null or without words
+    has no shingles and is linked with nothing; rows with equal sets form one
+    class at once; repeated rows give a row each; two texts under one doc_id count
+    as that one document when it represents both; a row without an id has no
+    component. Other columns aren't looked at; no rows give no rows.
+
+    No group is ever paired within itself. Members of a signature group are set
+    against one hub of the group: first each against the hub it shares most with,
+    then, of the other hubs, against those that are still in another component.
+    Last, members of one group that are still apart are set against each other.
     """
     prof = materialise(profiles(df, key, text, n, percent), "profiles")
     scheme = Scheme(percent)
     some = prof.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = materialise(
-        some.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n_shingles", "s0", "s1", "s2", "s3", "sigs", "codes")]), "classes"
-    )
-    flat = classes.select("doc_id", F.explode(F.arrays_zip("sigs", "codes")).alias("x")).select("doc_id", F.col("x.sigs").alias("sig"), F.col("x.codes").alias("code"))
+    parts = ["n_shingles", "s0", "s1", "s2", "s3"]
+    classes = materialise(some.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in parts]), "classes")
+    one = some.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("sigs").alias("sigs"))
+    flat = one.select("doc_id", F.explode("sigs").alias("sig"))
     grouped = flat.select("*", F.expr("min(doc_id) OVER (PARTITION BY sig) AS hub"), F.expr("count(*) OVER (PARTITION BY sig) AS n")).where("n > 1")
     groups = materialise(grouped, "groups")
-    bands = F.transform("codes", lambda c: F.shiftright(c, 32).cast("int"))
-    widened, left_out = _budgets(groups, classes.select("n_shingles", F.array_distinct(bands).alias("bands")), scheme)
+    widened, left_out = _budgets(groups, classes, scheme)
     if widened:
         near = df.selectExpr(f"CAST(`{key}` AS LONG) AS doc_id", f"`{text}` AS text").join(classes.select("doc_id"), "doc_id", "left_semi")
 
@@ -263,15 +264,24 @@ def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", n:
             sigs = [deletion_signatures(shingle_set(t, n), Scheme(percent), widened).view(np.int64) for t in batch.column(1).to_pylist()]
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sigs, pa.list_(pa.int64()))], ["doc_id", "sigs"])
 
-        wide = map_batches(near, fn, "doc_id long, sigs array<long>").select("doc_id", F.explode("sigs").alias("sig"), F.lit(-1).cast("long").alias("code"))
-        wide = wide.distinct().select("*", F.expr("min(doc_id) OVER (PARTITION BY sig) AS hub"), F.expr("count(*) OVER (PARTITION BY sig) AS n")).where("n > 1")
-        groups = materialise(groups.where(~F.col("code").isin(left_out)).unionByName(wide), "groups")
-
-    small = classes.select("doc_id", "n_shingles", "s0", "s1", "s2", "s3")
-    first = groups.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
-    stars = materialise(first.join(small.alias("x"), F.expr("a = x.doc_id")).join(small.alias("y"), F.expr(f"b = y.doc_id AND {_may_link('x', 'y', percent)}")).select("a", "b"), "stars")
-    links = materialise(_verified(stars, df, key, text, n, percent), "links")
-    found = components(links)
+        wide = map_batches(near, fn, "doc_id long, sigs array<long>").select("doc_id", F.explode("sigs").alias("sig")).distinct()
+        wide = wide.select("*", F.expr("min(doc_id) OVER (PARTITION BY sig) AS hub"), F.expr("count(*) OVER (PARTITION BY sig) AS n")).where("n > 1")
+        kept = groups.where(~F.col("sig").bitwiseAND(F.lit((1 << CODE_BITS) - 1)).isin(left_out + [_code(b, i) for b, v in widened.items() for i in v]))
+        groups = materialise(kept.unionByName(wide), "groups")
+
+    small = classes.select("doc_id", *parts)
+    first = groups.where("doc_id <> hub").groupBy(F.col("hub").alias("a"), F.col("doc_id").alias("b")).agg(F.count("*").alias("shared"))
+    stars = materialise(first.join(small.alias("x"), F.expr("a = x.doc_id")).join(small.alias("y"), F.expr(f"b = y.doc_id AND {_may_link('x', 'y', percent)}")).select("a", "b", "shared"), "stars")
+    texts = _texts(df, stars, key, text)
+    nearest = stars.groupBy("b").agg(F.max(F.struct("shared", (-F.col("a")).alias("z"))).alias("m")).select((-F.col("m.z")).alias("a"), "b")
+    links = materialise(_verified(nearest, texts, n, percent), "links")
+    found = materialise(components(links), "found")
+    at = lambda end: found.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
+    apart = stars.join(nearest, ["a", "b"], "left_anti").join(at("a"), "a", "left").join(at("b"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
+    more = materialise(_verified(apart, texts, n, percent), "links")
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        found = materialise(components(links), "found")
 
     # members of one group that are still in different components: pairs that no hub has settled
     placed = groups.where("n > 2").select("sig", "doc_id", "hub").join(found.select(F.col("node").alias("doc_id"), F.col("component").alias("c")), "doc_id", "left").select("sig", "doc_id", "hub", F.coalesce("c", "doc_id").alias("c"))
@@ -281,16 +291,11 @@ def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", n:
         cross = rest.alias("x").join(rest.alias("y"), F.expr(f"x.sig = y.sig AND x.doc_id < y.doc_id AND x.c <> y.c AND x.doc_id <> x.hub AND y.doc_id <> y.hub AND {_may_link('x', 'y', percent)}"))
         cross = materialise(cross.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"), "cross")
         if not cross.isEmpty():
-            links = links.unionByName(materialise(_verified(cross, df, key, text, n, percent), "links"))
+            links = links.unionByName(materialise(_verified(cross, _texts(df, cross, key, text), n, percent), "links"))
             found = components(links)
 
-    ends = links.select(F.col("a").alias("doc_id")).union(links.select(F.col("b").alias("doc_id"))).groupBy("doc_id").agg(F.count("*").alias("n_links"))
-    named = found.join(ends, found.node == ends.doc_id, "left").select(F.col("node").alias("doc_id"), "component", "n_links")
-    owner = classes.select("digest", "doc_id", "copies").join(named, "doc_id", "left").where("copies > 1 OR component IS NOT NULL")
-    told = owner.select("digest", F.coalesce("component", "doc_id").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    owner = classes.select("digest", "doc_id", "copies").join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").where("copies > 1 OR component IS NOT NULL")
+    told = owner.select("digest", F.coalesce("component", "doc_id").alias("component"))
     rows = prof.select("doc_id", "n_shingles", "digest").join(told, "digest", "left")
-    return rows.select(
-        "doc_id", "n_shingles",
-        F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))).otherwise(F.col("doc_id")).alias("component_id"),
-        F.when(F.col("n_shingles") > 0, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
-    )
+    of_set = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    return rows.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, of_set).otherwise(F.col("doc_id")).alias("component_id"))

@@ -123,9 +123,9 @@ def test_jaccard_widened_segments(spark, monkeypatch):
     df, rows = chain(spark)
 
     def half(groups, sizes, scheme):
-        bands = {b for r in sizes.collect() for b in r.bands}
+        bands = {b for r in sizes.collect() for b in scheme.bands_of(r.n_shingles)}
         wide = {b: list(range(scheme.segments(b) // 2)) for b in bands if scheme.segments(b) > 1}
-        return wide, [(b << 32) + scheme.segments(b) - 1 - i for b, w in wide.items() for i in range(len(w))]
+        return wide, [jaccard._code(b, scheme.segments(b) - 1 - i) for b, w in wide.items() for i in range(len(w))]
 
     monkeypatch.setattr(jaccard, "_budgets", half)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_documents(df, n=3, percent=80).collect()}
