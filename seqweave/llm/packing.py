@@ -10,63 +10,102 @@ their rank within their length.
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.models import BPE
+from tokenizers.normalizers import Lowercase
 
 from seqweave.llm.common import map_batches, materialise, shuffle_partitions
 
 TOKEN_CACHE = 500_000
-#: Fixed value: the split pattern of the vocabulary file, for texts whose characters Python's classes treat alike.
+#: Fixed value: the split pattern of the vocabulary file, for words whose characters Python's classes treat alike.
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\w\s]|_)+")
-_ODD = re.compile(r"[\x1c-\x1fΣ]|<\|")
-_NOT_ASCII = re.compile(r"[^\x00-\x7f]")
+#: Characters that Python lower-cases or splits at in another way than the tokenizer.
+ODD = "\x1c\x1d\x1e\x1fΣ"
 
 
 class WordTokenizer(dict):
-    """Ids of a text by its words, each tokenized once while it is in the cache.
+    """Ids of texts by their words, each tokenized once while it is in the cache.
 
-    The vocabulary's words never cross its split pattern, so a text's ids are
-    its words' ids, one after the other. Texts that Python might split in another
-    way (special tokens, digits or marks beyond ASCII and so on) go to the tokenizer whole.
+    The vocabulary's words never cross white space, so a text's ids are its
+    words' ids, one after the other. A text with a word that Python might treat
+    in another way (special tokens, digits or marks beyond ASCII, forms that
+    aren't normalised) goes to the tokenizer whole.
     """
 
     def __init__(self, path: str) -> None:
         super().__init__()
+        self.parts: dict[str, bytes] = {}
         self.tok = Tokenizer.from_file(path)
-        ends = np.zeros(self.tok.get_vocab_size(with_added_tokens=True), bool)
+        self.ends = np.zeros(self.tok.get_vocab_size(with_added_tokens=True), bool)
         for token, i in self.tok.get_vocab().items():
-            ends[i] = token.endswith("</w>")
-        self.ends = ends
+            self.ends[i] = token.endswith("</w>")
+        # for new words: the same merges without a cache, which they would only fill, and without steps that checked words don't need
+        model = json.loads(Path(path).read_text())["model"]
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        self.quick = Tokenizer.from_file(path)
+        self.quick.model = BPE(vocab=model["vocab"], merges=merges, unk_token=model["unk_token"], end_of_word_suffix=model["end_of_word_suffix"], cache_capacity=0)
+        self.quick.normalizer = Lowercase()
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, words: list[str]) -> None:
-        ids = np.array(self.tok.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
-        cut = np.flatnonzero(self.ends[ids]) + 1
-        if len(cut) == len(words) and (not len(ids) or cut[-1] == len(ids)):
-            raw, at = ids.tobytes(), [0, *(4 * cut).tolist()]
-            self.update((w, raw[a:b]) for w, a, b in zip(words, at, at[1:], strict=False))
-        else:
-            self.update((w, self.whole(w)) for w in words)
-
-    def encode(self, text: str) -> bytes:
-        if not text.isascii() and (not all(map(str.isalpha, set(_NOT_ASCII.findall(text)))) or not unicodedata.is_normalized("NFC", text)) or _ODD.search(text):
-            return self.whole(text)
-        words = PIECES.findall(text.lower())
-        new = [w for w in set(words) if w not in self]
-        if len(self) + len(new) > TOKEN_CACHE:
+    @staticmethod
+    def plain(word: str) -> bool:
+        """Whether Python's classes split the word as the vocabulary's pattern does."""
+        if word.isascii():
+            return "<|" not in word
+        return (word.isalpha() or "<|" not in word and all(c.isascii() or c.isalpha() for c in word)) and unicodedata.is_normalized("NFC", word)
+
+    def learn(self, words: set[str]) -> bool:
+        """Adds new lower-case words from the ids of their pieces; False if one isn't plain."""
+        if not all(map(self.plain, words)):
+            return False
+        split = {w: (w,) if w.isalpha() else PIECES.findall(w) for w in words}
+        new = list({p for v in split.values() for p in v if p not in self.parts})
+        if len(self.parts) + len(new) > TOKEN_CACHE:
+            self.parts.clear()
+            new = list({p for v in split.values() for p in v})
+        if len(self) + len(words) > TOKEN_CACHE:
             self.clear()
-            new = list(set(words))
         if new:
-            self.learn(new)
-        return b"".join(map(self.__getitem__, words))
+            ids = np.array(self.quick.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            if len(cut) == len(new) and cut[-1] == len(ids):
+                raw, at = ids.tobytes(), [0, *(4 * cut).tolist()]
+                self.parts.update((w, raw[a:b]) for w, a, b in zip(new, at, at[1:], strict=False))
+            else:
+                self.parts.update((w, self.whole(w)) for w in new)
+        parts = self.parts
+        self.update((w, parts[w] if len(v) == 1 else b"".join([parts[p] for p in v])) for w, v in split.items())
+        return True
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        get = self.get
+        for text in texts:
+            if any(c in text for c in ODD):
+                out.append(self.whole(text))
+                continue
+            words = text.lower().split()
+            ids = list(map(get, words))
+            if None in ids:
+                missing = [k for k, x in enumerate(ids) if x is None]
+                if not self.learn({words[k] for k in missing}):
+                    out.append(self.whole(text))
+                    continue
+                for k in missing:
+                    ids[k] = self[words[k]]
+            out.append(b"".join(ids))
+        return out
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -89,8 +128,8 @@ def pieces(df: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, key:
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         tok, of, piece, start, ids = tokenizer(path), [], [], [], []
-        for row, t in enumerate(batch.column(1).to_pylist()):
-            raw = tok.encode(t or "") + end
+        for row, raw in enumerate(tok.encode([t or "" for t in batch.column(1).to_pylist()])):
+            raw += end
             for k, at in enumerate(range(0, len(raw), 4 * capacity)):
                 of.append(row)
                 piece.append(k)
