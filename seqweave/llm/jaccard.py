@@ -1,14 +1,23 @@
 """Exact n-gram Jaccard self-join by partitions of the token universe.
 
 A document is its set of hashed word n-grams. If two sets are similar enough,
-their symmetric difference is at most H, a number that follows from their sizes.
-The hash range is cut into H + 1 segments, as many as the size band needs, so at
-least one segment holds the same subset in both (pigeonhole). A segment may get
-a budget other than 0: 1 (its subsets may differ by one token, found by the
-one-deletion neighbourhood) or -1 (it isn't looked at); the budgets plus one sum
-to H + 1. Which segments get them follows from measured costs: where a segment's
-groups would cost more than deletions elsewhere, it is left out. All candidates
-are verified exactly.
+they differ by at most H tokens, a number that follows from their sizes. The hash
+range is cut into m = H + 1 segments for each size band, so in at least one
+segment both sets hold the same subset (pigeonhole); its signature brings them
+together. Each set allots its segments budgets by what they cost. A subset without
+tokens is shared with a fixed share of all sets, whatever they hold: it gets the
+budget -1, its signature isn't written. To make up for that, the first
+q = 2 k + k1 segments get the budget 1 beside their own, one-deletion
+neighbourhoods (k segments of the set are empty, k1 hold one token); the others
+have the budget 0. All candidates are verified exactly.
+
+No pair is lost: let no non-empty subset be shared. Then the t >= 1 shared ones are
+empty, m - t segments differ, by H < m tokens in all, so at most t - 1 of them
+by two or more. Of those that differ by one, the ones that are empty on one side
+aren't found; they and the t shared ones are at most k + k1 by the set's own
+counts. So at most 2 k + k1 - 1 segments fail, for either set, and of the first
+min(q, q') one succeeds. A set with q > m writes the empty subsets as well; two
+such sets meet there.
 """
 
 from __future__ import annotations
@@ -21,12 +30,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqweave.llm.common import map_batches, materialise
+from seqweave.llm.common import join_small, map_batches, materialise
 from seqweave.llm.graph import components
 
 #: Sizes of neighbouring bands differ by this ratio; it has to be at least 1 / threshold.
 BAND_RATIO = 1.5
 WORD_CACHE = 300_000
+HOT_COPIES = 16
+#: Documents whose texts are looked up by a broadcast of their ids; beyond, by an ordinary join.
+MOST_IDS = 1_000_000
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _S27, _S30, _S31 = np.uint64(27), np.uint64(30), np.uint64(31)
 
@@ -106,54 +118,41 @@ def segment_sums(tokens: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
     return at, np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix64(tokens), dtype=np.uint64)))
 
 
-#: The low bits of a signature tell its band and segment; only its other bits are a hash.
-SEGMENT_BITS, CODE_BITS = 18, 24
+def _sign(band: int, segment: np.ndarray, count: np.ndarray, total: np.ndarray, near: bool = False) -> np.ndarray:
+    seed = np.uint64((2 * band + near + 1) << 40)
+    return mix64(mix64(total + (seed + segment.astype(np.uint64)) * _MIX2) + count.astype(np.uint64))
 
 
-def _code(band: int, segment: int) -> int:
-    return (band << SEGMENT_BITS) | (segment & ((1 << SEGMENT_BITS) - 1))
-
-
-def _sign(band: int, segment: np.ndarray, count: np.ndarray, total: np.ndarray) -> np.ndarray:
-    seed = np.uint64((band + 1) << 40)
-    h = mix64(mix64(total + (seed + segment.astype(np.uint64)) * _MIX2) + count.astype(np.uint64))
-    code = np.uint64(band << SEGMENT_BITS) | (segment.astype(np.uint64) & np.uint64((1 << SEGMENT_BITS) - 1))
-    return (h >> np.uint64(CODE_BITS) << np.uint64(CODE_BITS)) | code
-
-
-def exact_signatures(tokens: np.ndarray, scheme: Scheme) -> np.ndarray:
-    """Signature of every segment subset."""
+def signatures(tokens: np.ndarray, scheme: Scheme) -> np.ndarray:
+    """Signatures of a set's subsets, and of their one-deletion neighbourhoods where it allots them."""
     out = []
     for band in scheme.bands_of(len(tokens)):
         m = scheme.segments(band)
         at, sums = segment_sums(tokens, m)
-        out.append(_sign(band, np.arange(m), np.diff(at), sums[at[1:]] - sums[at[:-1]]))
-    return np.concatenate(out)
+        count, total = np.diff(at), sums[at[1:]] - sums[at[:-1]]
+        q = int(2 * (count == 0).sum() + (count == 1).sum())
+        written = np.flatnonzero(count) if q <= m else np.arange(m)
+        out.append(_sign(band, written, count[written], total[written]))
+        if q := min(q, m):
+            held = np.flatnonzero(count[:q])
+            own = np.repeat(np.arange(q), count[:q])
+            rest = total[own] - mix64(tokens[: at[q]])
+            own, rest = own[count[own] > 1], rest[count[own] > 1]
+            out.append(_sign(band, np.concatenate((held, own)), np.concatenate((count[held], count[own] - 1)), np.concatenate((total[held], rest)), near=True))
+    return np.unique(np.concatenate(out))
 
 
-def deletion_signatures(tokens: np.ndarray, scheme: Scheme, widened: dict[int, list[int]]) -> np.ndarray:
-    """Subsets of the widened segments, whole and without one token each."""
-    out = [np.empty(0, np.uint64)]
-    for band in scheme.bands_of(len(tokens)):
-        if not (chosen := widened.get(band)):
-            continue
-        at, sums = segment_sums(tokens, scheme.segments(band))
-        for i in chosen:
-            own, total = tokens[at[i] : at[i + 1]], sums[at[i + 1]] - sums[at[i]]
-            rest = np.concatenate(([total], total - mix64(own)))
-            count = np.concatenate(([len(own)], np.full(len(own), len(own) - 1)))
-            out.append(_sign(band, np.full(len(rest), i), count, rest))
-    return np.unique(np.concatenate(out))
+SKETCH = 16  # longs
 
 
 def sketch(tokens: np.ndarray) -> np.ndarray:
-    """256 parities; they differ in at most as many places as the sets do."""
-    flips = np.bincount((tokens & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    """Parities of the tokens by 10 bits of their hash; they differ in at most as many places as the sets do."""
+    flips = np.bincount((tokens & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
     return np.packbits(flips.astype(np.uint8)).view(np.int64)
 
 
 def profiles(df: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, digest, sketch (s0..s3) and signatures of each row."""
+    """doc_id, n_shingles, digest, sketch (s0, s1, ...) and signatures of each row."""
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         scheme, size, digest, parts, sigs = Scheme(percent), [], [], [], []
@@ -162,28 +161,29 @@ def profiles(df: DataFrame, key: str, text: str, n: int, percent: int) -> DataFr
             size.append(len(tokens))
             digest.append(xxhash.xxh3_128_digest(tokens.tobytes()))
             parts.append(sketch(tokens))
-            sigs.append(exact_signatures(tokens, scheme).view(np.int64) if len(tokens) else np.empty(0, np.int64))
+            sigs.append(signatures(tokens, scheme).view(np.int64) if len(tokens) else np.empty(0, np.int64))
         parts = np.array(parts)
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), *[pa.array(parts[:, i]) for i in range(4)], pa.array(sigs, pa.list_(pa.int64()))],
-            ["doc_id", "n_shingles", "digest", "s0", "s1", "s2", "s3", "sigs"],
+            [batch.column(0), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), *[pa.array(parts[:, i]) for i in range(SKETCH)], pa.array(sigs, pa.list_(pa.int64()))],
+            ["doc_id", "n_shingles", "digest", *[f"s{i}" for i in range(SKETCH)], "sigs"],
         )
 
     docs = df.selectExpr(f"CAST(`{key}` AS LONG) AS doc_id", f"`{text}` AS text")
-    return map_batches(docs, fn, "doc_id long, n_shingles long, digest binary, s0 long, s1 long, s2 long, s3 long, sigs array<long>")
+    return map_batches(docs, fn, "doc_id long, n_shingles long, digest binary, " + "".join(f"s{i} long, " for i in range(SKETCH)) + "sigs array<long>")
 
 
 def _may_link(a: str, b: str, percent: int) -> str:
     """A condition that all linked pairs meet: sizes, and the sketches' parities."""
     most = f"({a}.n_shingles + {b}.n_shingles - 2 * CEIL({percent} * ({a}.n_shingles + {b}.n_shingles) / {100 + percent}D))"
-    apart = " + ".join(f"BIT_COUNT({a}.s{i} ^ {b}.s{i})" for i in range(4))
+    apart = " + ".join(f"BIT_COUNT({a}.s{i} ^ {b}.s{i})" for i in range(SKETCH))
     return f"100 * LEAST({a}.n_shingles, {b}.n_shingles) >= {percent} * GREATEST({a}.n_shingles, {b}.n_shingles) AND {apart} <= {most}"
 
 
 def _texts(df: DataFrame, pairs: DataFrame, key: str, text: str) -> DataFrame:
     """The whole texts of the documents in pairs: few beside all, and smaller than their sets of hashes."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    return materialise(df.selectExpr(f"CAST(`{key}` AS LONG) AS doc_id", f"`{text}` AS text").join(ids, "doc_id", "left_semi"), "texts")
+    docs = df.selectExpr(f"CAST(`{key}` AS LONG) AS doc_id", f"`{text}` AS text")
+    return materialise(join_small(docs, ids, ["doc_id"], MOST_IDS, "left_semi"), "texts")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -202,36 +202,6 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
     return both.select("a", "b", "ta", "tb").mapInArrow(test, "a long, b long").distinct()
 
 
-def _budgets(groups: DataFrame, sizes: DataFrame, scheme: Scheme) -> tuple[dict[int, list[int]], list[int]]:
-    """Segments to widen, by band, and codes of segments to leave out.
-
-    Leaving a segment out saves its pairs; the segment widened in its place costs
-    its own pairs once more and a row for each token. The dearest segments of a
-    band are set against the cheapest ones while that saves work. Any outcome
-    finds the same links; bands with more segments than a code can tell apart
-    keep a budget of 0 throughout.
-    """
-    code = F.col("sig").bitwiseAND(F.lit((1 << CODE_BITS) - 1))
-    cost = groups.groupBy(code.alias("code")).agg(F.sum((F.col("n") - 1) / 2).alias("pairs"))
-    cost = cost.select("code", "pairs", F.shiftright("code", SEGMENT_BITS).cast("int").alias("band"))
-    per_band = {r.band: r for r in sizes.groupBy("n_shingles").agg(F.count("*").alias("k")).select((F.expr("+".join(f"(n_shingles >= {x}L)::int" for x in scheme.starts)) - 1).alias("band"), "n_shingles", "k").groupBy("band").agg(F.sum(F.col("n_shingles") * F.col("k")).alias("tokens"), F.sum("k").alias("sets")).collect()}  # a row for each band
-    widened, left_out = {}, []
-    worst = {r.band: r.pairs for r in cost.groupBy("band").agg(F.max("pairs").alias("pairs")).collect()}
-    for band, most in worst.items():
-        m = scheme.segments(band)
-        tokens, sets = (sum(getattr(per_band[k], f) for k in (band, band + 1) if k in per_band) for f in ("tokens", "sets"))
-        if m > 1 << SEGMENT_BITS or m < 2 or most <= 2 * (tokens / m + sets):
-            continue
-        known = {r.code: r.pairs for r in cost.where(F.col("band") == band).collect()}  # m rows at most
-        order = sorted(range(m), key=lambda i: known.get(_code(band, i), 0))
-        for cheap, dear in zip(order[: m // 2], order[::-1], strict=False):
-            if known.get(_code(band, dear), 0) <= 2 * (known.get(_code(band, cheap), 0) + tokens / m + sets):
-                break
-            widened.setdefault(band, []).append(cheap)
-            left_out.append(_code(band, dear))
-    return widened, left_out
-
-
 def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """Classes of documents whose shingle sets have a Jaccard similarity of percent / 100 or more.
 
@@ -248,26 +218,15 @@ def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", n:
     Last, members of one group that are still apart are set against each other.
     """
     prof = materialise(profiles(df, key, text, n, percent), "profiles")
-    scheme = Scheme(percent)
     some = prof.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    parts = ["n_shingles", "s0", "s1", "s2", "s3"]
+    parts = ["n_shingles", *[f"s{i}" for i in range(SKETCH)]]
     classes = materialise(some.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in parts]), "classes")
-    one = some.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("sigs").alias("sigs"))
+    # one row of each large class of equal sets writes signatures; a few equal ones more don't make a group hot
+    hot = classes.where(F.col("copies") > HOT_COPIES).select("digest", F.col("doc_id").alias("rep"))
+    one = join_small(some.select("doc_id", "digest", "sigs"), hot, ["digest"]).where("rep IS NULL OR rep = doc_id")
     flat = one.select("doc_id", F.explode("sigs").alias("sig"))
     grouped = flat.select("*", F.expr("min(doc_id) OVER (PARTITION BY sig) AS hub"), F.expr("count(*) OVER (PARTITION BY sig) AS n")).where("n > 1")
     groups = materialise(grouped, "groups")
-    widened, left_out = _budgets(groups, classes, scheme)
-    if widened:
-        near = df.selectExpr(f"CAST(`{key}` AS LONG) AS doc_id", f"`{text}` AS text").join(classes.select("doc_id"), "doc_id", "left_semi")
-
-        def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sigs = [deletion_signatures(shingle_set(t, n), Scheme(percent), widened).view(np.int64) for t in batch.column(1).to_pylist()]
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sigs, pa.list_(pa.int64()))], ["doc_id", "sigs"])
-
-        wide = map_batches(near, fn, "doc_id long, sigs array<long>").select("doc_id", F.explode("sigs").alias("sig")).distinct()
-        wide = wide.select("*", F.expr("min(doc_id) OVER (PARTITION BY sig) AS hub"), F.expr("count(*) OVER (PARTITION BY sig) AS n")).where("n > 1")
-        kept = groups.where(~F.col("sig").bitwiseAND(F.lit((1 << CODE_BITS) - 1)).isin(left_out + [_code(b, i) for b, v in widened.items() for i in v]))
-        groups = materialise(kept.unionByName(wide), "groups")
 
     small = classes.select("doc_id", *parts)
     first = groups.where("doc_id <> hub").groupBy(F.col("hub").alias("a"), F.col("doc_id").alias("b")).agg(F.count("*").alias("shared"))
@@ -284,7 +243,7 @@ def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", n:
         found = materialise(components(links), "found")
 
     # members of one group that are still in different components: pairs that no hub has settled
-    placed = groups.where("n > 2").select("sig", "doc_id", "hub").join(found.select(F.col("node").alias("doc_id"), F.col("component").alias("c")), "doc_id", "left").select("sig", "doc_id", "hub", F.coalesce("c", "doc_id").alias("c"))
+    placed = groups.where("n > 2").select("sig", "doc_id", "hub").join(classes.select("doc_id"), "doc_id", "left_semi").join(found.select(F.col("node").alias("doc_id"), F.col("component").alias("c")), "doc_id", "left").select("sig", "doc_id", "hub", F.coalesce("c", "doc_id").alias("c"))
     torn = placed.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("sig")
     rest = materialise(placed.join(torn, "sig", "left_semi").join(small, "doc_id"), "torn")
     if not rest.isEmpty():

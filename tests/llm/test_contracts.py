@@ -118,18 +118,26 @@ def test_jaccard_chain(spark, percent):
     assert got == brute_jaccard(rows, 3, percent)
 
 
-def test_jaccard_widened_segments(spark, monkeypatch):
-    """With one-deletion neighbourhoods for half of the segments and the others left out, no link is lost."""
-    df, rows = chain(spark)
-
-    def half(groups, sizes, scheme):
-        bands = {b for r in sizes.collect() for b in scheme.bands_of(r.n_shingles)}
-        wide = {b: list(range(scheme.segments(b) // 2)) for b in bands if scheme.segments(b) > 1}
-        return wide, [jaccard._code(b, scheme.segments(b) - 1 - i) for b, w in wide.items() for i in range(len(w))]
+@pytest.mark.parametrize("percent", [80, 90])
+def test_similar_sets_share_a_signature(percent):
+    """Sets at the very threshold, of all sizes, some with their differences put where they hurt most."""
+    import numpy as np
 
-    monkeypatch.setattr(jaccard, "_budgets", half)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_documents(df, n=3, percent=80).collect()}
-    assert got == brute_jaccard(rows, 3, 80)
+    rng, s = np.random.default_rng(4), jaccard.Scheme(percent)
+    for size in [*range(1, 60), 80, 100, 150, 200, 300, 500, 900]:
+        for trial in range(6):
+            x = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64) * np.uint64(2))
+            m = s.segments(s.band(len(x)))
+            most = len(x) * (100 - percent) // 100  # tokens that x may lose and stay similar
+            at, _ = jaccard.segment_sums(x, m)
+            if trial % 2:  # one from each segment, the fullest first: the fewest segments stay whole
+                full = np.argsort(-np.diff(at), kind="stable")
+                gone = [at[i] for i in full[: min(most, m)] if at[i + 1] > at[i]]
+            else:
+                gone = rng.choice(len(x), most, replace=False)
+            y = np.delete(x, np.array(gone, int))
+            if len(y) and 100 * len(y) >= percent * len(x):
+                assert len(np.intersect1d(jaccard.signatures(x, s), jaccard.signatures(y, s)))
 
 
 def test_scheme_covers_all_sizes():
