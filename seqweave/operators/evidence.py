@@ -71,13 +71,20 @@ def intake(docs: DataFrame) -> DataFrame:
 
 def extract(docs: DataFrame, rules: list[tuple[str, str, float]], cap: int = 3) -> DataFrame:
     """Claims by patterns: (doc_id, rule, k, quote, confidence); at most cap for each rule and document, which is the feature."""
-    each = [F.transform(F.slice(F.regexp_extract_all("text", F.lit(rx), 0), 1, cap), lambda q, i, r=rule, c=conf: F.struct(F.lit(r).alias("rule"), (i + 1).alias("k"), q.alias("quote"), F.lit(c).alias("confidence"))) for rule, rx, conf in rules]
+    def of(rule: str, rx: str, conf: float) -> Column:
+        found = F.slice(F.regexp_extract_all("text", F.lit(rx), 0), 1, cap)
+        return F.transform(found, lambda q, i: F.struct(F.lit(rule).alias("rule"), (i + 1).alias("k"), q.alias("quote"), F.lit(conf).alias("confidence")))
+
+    each = [of(*r) for r in rules]
     return docs.where("text IS NOT NULL").select("doc_id", F.explode(F.concat(*each)).alias("c")).select("doc_id", "c.*")
 
 
 def links(docs: DataFrame, families: list[tuple[str, str]]) -> DataFrame:
     """Distinct (doc_id, scheme, label) of pattern families."""
-    each = [F.transform(F.array_distinct(F.regexp_extract_all("text", F.lit(rx), 0)), lambda q, s=scheme: F.struct(F.lit(s).alias("scheme"), q.alias("label"))) for scheme, rx in families]
+    def of(scheme: str, rx: str) -> Column:
+        return F.transform(F.array_distinct(F.regexp_extract_all("text", F.lit(rx), 0)), lambda q: F.struct(F.lit(scheme).alias("scheme"), q.alias("label")))
+
+    each = [of(*f) for f in families]
     return docs.where("text IS NOT NULL").select("doc_id", F.explode(F.concat(*each)).alias("c")).select("doc_id", "c.*")
 
 

@@ -1,6 +1,6 @@
 """Named queries: operators applied to tables, with the SQL that checks them."""
 
-from seqweave.plans import counting, inference, relations
+from seqweave.plans import counting, inference, profiles, relations
 from seqweave.plans.registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "counting", "inference", "relations"]
+__all__ = ["ORACLE", "QUERIES", "counting", "inference", "profiles", "relations"]

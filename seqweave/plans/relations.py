@@ -126,7 +126,7 @@ def _(spark, sf):  # noqa: ANN001, ANN202
 
 @query("net_24_betweenness")
 def _(spark, sf):  # noqa: ANN001, ANN202
-    x = a.bigrams(orders(spark, sf).where("segment = 'MACHINERY' AND nation = 'FRANCE'").select("symbols")).select("a", "b").distinct()
+    x = a.bigrams(orders(spark, sf).where("segment = 'MACHINERY' AND nation LIKE 'NATION_1%'").select("symbols")).select("a", "b").distinct()
     return _rounded(a.betweenness(x), "betweenness")
 
 
@@ -195,9 +195,9 @@ def _(spark, sf):  # noqa: ANN001, ANN202
     return t.site_strata(orders(spark, sf), "nation", 30, 10).groupBy("stratum").agg(F.count("*").alias("n"))
 
 
-@query("trn_8_text_bucket", "SELECT CASE WHEN p_name IS NULL OR trim(p_name) = '' THEN 'Unknown' WHEN contains(lower(p_name), 'green') OR contains(lower(p_name), 'lime') THEN 'green' WHEN contains(lower(p_name), 'blue') THEN 'blue' ELSE 'Other' END AS bucket, count(*) AS n FROM part GROUP BY 1")
+@query("trn_8_text_bucket", "SELECT CASE WHEN p_name IS NULL OR trim(p_name) = '' THEN 'Unknown' WHEN contains(lower(p_name), 'small') OR contains(lower(p_name), 'tiny') THEN 'small' WHEN contains(lower(p_name), 'large') THEN 'large' ELSE 'Other' END AS bucket, count(*) AS n FROM part GROUP BY 1")
 def _(spark, sf):  # noqa: ANN001, ANN202
-    return t.text_bucket(table(spark, sf, "part"), "p_name", [("green", ["green", "lime"]), ("blue", ["blue"])]).groupBy("bucket").agg(F.count("*").alias("n"))
+    return t.text_bucket(table(spark, sf, "part"), "p_name", [("small", ["small", "tiny"]), ("large", ["large"])]).groupBy("bucket").agg(F.count("*").alias("n"))
 
 
 @query("trn_9_collapse_runs", f"""WITH {EVENTS}, {tok('events_seq')}, x AS (SELECT *, CASE WHEN lag(sym) OVER (PARTITION BY seq_id ORDER BY pos) = sym THEN 0 ELSE 1 END AS new FROM tok), y AS (SELECT *, sum(new) OVER (PARTITION BY seq_id ORDER BY pos) AS run FROM x),
