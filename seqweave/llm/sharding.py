@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqweave.llm.common import shuffle_partitions
+from seqweave.llm.common import materialise, shuffle_partitions
 
 #: Fixed value: the multiplier of the published generator, in 32-bit and 16-bit limbs.
 MULTIPLIER = 2862933555777941757
@@ -70,11 +70,12 @@ def shard(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int =
         F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"),
         F.lit("key").alias("law"),
         jump_hash(F.coalesce(F.col(key).cast("long"), F.lit(0)), shards).alias("_at"),
-    ).select("*", F.col("_at.shard"), F.col("_at.grown_shard"), F.pmod(F.hash(key, "text_crc32"), F.lit(cells)).alias("_cell")).drop("_at")
+    ).select("*", F.col("_at.shard"), F.col("_at.grown_shard"), F.xxhash64(F.monotonically_increasing_id()).alias("_salt")).drop("_at")
+    placed = materialise(placed, "placed").withColumn("_cell", F.pmod("_salt", F.lit(cells)))
     counts = placed.groupBy("shard", "_cell").agg(F.count("*").alias("_n"))
     before = F.expr("coalesce(sum(_n) OVER (PARTITION BY shard ORDER BY _cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)")
     offsets = counts.select("shard", "_cell", before.alias("_before"))  # shards * cells rows at most
-    rank = F.expr(f"row_number() OVER (PARTITION BY shard, _cell ORDER BY `{key}`, text_crc32, size)")
+    rank = F.expr(f"row_number() OVER (PARTITION BY shard, _cell ORDER BY _salt, `{key}`)")
     return placed.withColumn("_rank", rank).join(F.broadcast(offsets), ["shard", "_cell"]).select(
         key, "size", "text_crc32", "law", "shard", (F.col("_before") + F.col("_rank") - 1).cast("long").alias("slot"), "grown_shard",
     )
