@@ -51,17 +51,15 @@ class Machine:
 
 def select(rows: list[np.ndarray], y: np.ndarray, most: int, least: int = 3) -> np.ndarray:
     """The buckets whose presence goes with the label most, by chi-squared."""
-    flat = np.concatenate(rows) if rows else np.empty(0, np.int64)
-    if not len(flat):
-        return flat
-    label = np.repeat(y, [len(r) for r in rows])
-    names, at = np.unique(flat, return_inverse=True)
-    n, hit = np.bincount(at).astype(float), np.bincount(at, weights=label)
-    share = y.mean()
+    n, hit = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for row, label in zip(rows, y, strict=True):  # a row holds a bucket once
+        n[row] += 1
+        hit[row] += label
+    share = y.mean() if len(y) else 0.5
     chi = (hit - n * share) ** 2 / np.maximum(n * share * (1 - share) * (1 - n / (len(y) + 1)), 1e-9)
     chi[n < least] = 0
-    order = np.lexsort((names, -chi))[:most]
-    return np.sort(names[order[chi[order] > 6.6]])
+    order = np.lexsort((np.arange(BUCKETS), -chi))[:most]
+    return np.sort(order[chi[order] > 6.6])
 
 
 def fit(rows: list[np.ndarray], y: np.ndarray, most: int = 4096, rank: int = 6, epochs: int = 20, rate: float = 0.3, decay: float = 1e-5, seed: int = 7) -> Machine:
@@ -72,7 +70,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, most: int = 4096, rank: int = 6,
     m = Machine(float(np.log(share / (1 - share))), buckets, np.zeros(d), rng.normal(0, 0.02, (d, rank)))
     if not d:
         return m
-    at = [np.flatnonzero(np.isin(buckets, r, assume_unique=True)) for r in rows]
+    at = [np.flatnonzero(np.isin(buckets, r, assume_unique=True)).astype(np.int32) for r in rows]
     g0, gw, gv = 1e-3, np.full(d, 1e-3), np.full((d, rank), 1e-3)
     for _ in range(epochs):
         order = rng.permutation(len(y))
@@ -118,7 +116,7 @@ def training_rows(df: DataFrame, labels: DataFrame, per_class: int, key: str, te
     docs = df.select(F.col(key).alias("_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "_id")
     rows = map_batches(docs.select(F.col("_id").cast("string").alias("id"), "text", "y"), fn, "id string, y int, terms binary").limit(8 * per_class).collect()
     rows.sort(key=lambda r: (r.id, bytes(r.terms)))
-    return [np.frombuffer(r.terms, np.int32).astype(np.int64) for r in rows], np.array([r.y for r in rows], float)
+    return [np.frombuffer(r.terms, np.int32) for r in rows], np.array([r.y for r in rows], float)
 
 
 def train(df: DataFrame, labels: DataFrame, per_class: int = 6000, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Machine:
