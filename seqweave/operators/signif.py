@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqweave.functions.exprs import bigrams
+from seqweave.functions.exprs import bigrams, hash_rank
 from seqweave.operators.transforms import shuffle_within
 
 
@@ -48,20 +48,11 @@ def _key(seed: str, kind: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(seed), F.lit(kind), F.col("rep").cast("string"), F.col("seq_id").cast("string")).cast("binary"))
 
 
-def _hash_rank(d: DataFrame, key: str) -> DataFrame:
-    """rank of each row by a hash, within rep, from the sizes of 256 cells of its prefix."""
-    d = d.withColumn("_c", F.substring(key, 1, 2))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy("rep").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cells = d.groupBy("rep", "_c").agg(F.count("*").alias("_n")).select("rep", "_c", before.alias("_b"))
-    d = d.withColumn("_r", F.row_number().over(Window.partitionBy("rep", "_c").orderBy(key)))
-    return d.join(F.broadcast(cells), ["rep", "_c"]).withColumn("rank", F.col("_b") + F.col("_r")).drop("_c", "_b", "_r")  # 256 rows for each replicate
-
-
 def permuted(s: DataFrame, seed: str, reps: int) -> DataFrame:
     """(rep, seq_id, ctx, symbols) with contexts dealt anew in every replicate; their counts stay."""
     x = s.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-    left = _hash_rank(x.select("rep", "seq_id", "symbols", _key(seed, "a").alias("k")), "k").select("rep", "seq_id", "symbols", "rank")
-    right = _hash_rank(x.select("rep", "seq_id", "ctx", _key(seed, "b").alias("k")), "k").select("rep", "ctx", "rank")
+    left = hash_rank(x.select("rep", "seq_id", "symbols", _key(seed, "a").alias("k")), "k", ["rep"]).select("rep", "seq_id", "symbols", "rank")
+    right = hash_rank(x.select("rep", "seq_id", "ctx", _key(seed, "b").alias("k")), "k", ["rep"]).select("rep", "ctx", "rank")
     return left.join(right, ["rep", "rank"]).select("rep", "seq_id", "ctx", "symbols")
 
 

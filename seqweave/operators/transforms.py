@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqweave.functions.exprs import tokens
+from seqweave.functions.exprs import hash_rank, kth_smallest, tokens
 from seqweave.operators.measures import symbol_counts
 
 
@@ -79,15 +79,13 @@ def hashed(*parts: object) -> Column:
 
 
 def split_contiguous(seq: DataFrame, ratio: float = 0.75, order: str = "seq_id") -> DataFrame:
-    """part 'train' for the first max(1, int(n ratio)) sequences by order, else 'test'; ratio within .1 and .95.
+    """part 'train' for the first max(1, int(n ratio)) sequences by a whole-number order, else 'test'; ratio within .1 and .95.
 
-    Ranks come from range counts of the order's hash-free buckets, summed up; no task holds all rows.
+    The bound is found by counting cells of the order's range, so no task holds or sorts all rows.
     """
     ratio = min(0.95, max(0.1, ratio))
-    n = seq.count()
-    cut = max(1, int(n * ratio))
-    bound = seq.select(order).orderBy(order).offset(cut - 1).limit(1)
-    return seq.join(F.broadcast(bound.withColumnRenamed(order, "_cut"))).withColumn("part", F.when(F.col(order) <= F.col("_cut"), "train").otherwise("test")).drop("_cut")
+    bound = kth_smallest(seq, order, max(1, int(seq.count() * ratio)))
+    return seq.withColumn("part", F.when(F.col(order) <= F.lit(bound), "train").otherwise("test"))
 
 
 def folds(seq: DataFrame, k: int = 10, seed: str = "7", key: str = "seq_id") -> DataFrame:
@@ -147,8 +145,8 @@ def recode(seq: DataFrame, mapping: DataFrame, fallback: Column | None = None) -
 
 def bijection(seq: DataFrame, seed: str) -> DataFrame:
     """A random one-to-one recoding of the symbols onto C001, C002, ...: rank by symbol against rank by hash."""
-    v = symbol_counts(seq).select("sym")
-    return v.withColumn("to", F.concat(F.lit("C"), F.lpad(F.row_number().over(Window.orderBy(hashed(seed, F.col("sym")))).cast("string"), 4, "0")))
+    v = hash_rank(symbol_counts(seq).select("sym", hashed(seed, F.col("sym")).alias("_h")), "_h", [])
+    return v.select("sym", F.concat(F.lit("C"), F.lpad(F.col("rank").cast("string"), 4, "0")).alias("to"))
 
 
 def shuffle_within(seq: DataFrame, seed: str, reps: int = 1) -> DataFrame:
