@@ -161,8 +161,8 @@ def label_propagation(edges: DataFrame, by_weight: str = "weight", rounds: int =
     label = both.select(F.col("a").alias("sym")).distinct().withColumn("label", F.col("sym"))
     for _ in range(rounds):
         votes = both.join(label.withColumnRenamed("sym", "b"), "b").groupBy("a", "label").agg(F.sum(by_weight).alias("w"))
-        best = votes.groupBy("a").agg(F.max(F.struct("w", F.lit(0).alias("z"))).alias("m"), F.collect_list(F.struct((-F.col("w")).alias("nw"), "label")).alias("v"))
-        label = best.select(F.col("a").alias("sym"), F.array_min("v")["label"].alias("label"))
+        best = votes.groupBy("a").agg(F.min(F.struct((-F.col("w")).alias("nw"), "label")).alias("m"))
+        label = best.select(F.col("a").alias("sym"), F.col("m.label").alias("label"))
     return label
 
 

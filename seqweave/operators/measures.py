@@ -208,11 +208,7 @@ def repetition(seq: DataFrame, by: list[str]) -> DataFrame:
 def by_dimension(seq: DataFrame, dims: list[str], top: int) -> DataFrame:
     """Counts of symbols over all and for each value of each dimension, the top ones of each, in one pass."""
     t = seq.select(*dims, F.explode("symbols").alias("sym"))
-    sets = ", ".join(["(sym)", *[f"({d}, sym)" for d in dims]])
-    all_cols = ", ".join([*dims, "sym"])
-    t.createOrReplaceTempView("_by_dimension")
-    flags = ", ".join(f"grouping({d}) AS g_{d}" for d in dims)
-    g = t.sparkSession.sql(f"SELECT {all_cols}, {flags}, count(*) AS cnt FROM _by_dimension GROUP BY GROUPING SETS ({sets})")
+    g = t.groupingSets([["sym"], *[[d, "sym"] for d in dims]], *dims, "sym").agg(F.count("*").alias("cnt"), *[F.grouping(d).alias(f"g_{d}") for d in dims])
     dim = reduce(lambda c, d: F.when(F.col(f"g_{d}") == 0, F.lit(d)).otherwise(c), dims, F.lit("(all)"))
     value = F.coalesce(*[F.when(F.col(f"g_{d}") == 0, F.coalesce(F.col(d), F.lit("(unknown)"))) for d in dims], F.lit("(all)"))
     x = g.select(dim.alias("dim"), value.alias("value"), "sym", "cnt")

@@ -18,8 +18,7 @@ from seqweave.sources.adapters import ORDERS, events, grams, lines, orders, tabl
 
 PAIRS = f"""{TOK_LINES}, c AS (SELECT lang AS s, sym, count(*)::DOUBLE AS cnt FROM tok WHERE lang IS NOT NULL GROUP BY ALL), n AS (SELECT DISTINCT s FROM c),
 pr AS (SELECT a.s AS x, b.s AS y FROM n a JOIN n b ON a.s < b.s), sy AS (SELECT DISTINCT sym FROM c),
-pq AS (SELECT x, y, sym, coalesce(d.cnt, 0) AS cx, coalesce(e.cnt, 0) AS cy FROM pr CROSS JOIN sy LEFT JOIN c d USING (sym) LEFT JOIN c e USING (sym) WHERE false)"""
-PAIRS = PAIRS.replace("pq AS (SELECT x, y, sym, coalesce(d.cnt, 0) AS cx, coalesce(e.cnt, 0) AS cy FROM pr CROSS JOIN sy LEFT JOIN c d USING (sym) LEFT JOIN c e USING (sym) WHERE false)", "pq0 AS (SELECT pr.x, pr.y, sy.sym, coalesce(d.cnt, 0) AS cx, coalesce(e.cnt, 0) AS cy FROM pr CROSS JOIN sy LEFT JOIN c d ON d.s = pr.x AND d.sym = sy.sym LEFT JOIN c e ON e.s = pr.y AND e.sym = sy.sym), pq AS (SELECT * FROM pq0 WHERE cx > 0 OR cy > 0)")
+pq0 AS (SELECT pr.x, pr.y, sy.sym, coalesce(d.cnt, 0) AS cx, coalesce(e.cnt, 0) AS cy FROM pr CROSS JOIN sy LEFT JOIN c d ON d.s = pr.x AND d.sym = sy.sym LEFT JOIN c e ON e.s = pr.y AND e.sym = sy.sym), pq AS (SELECT * FROM pq0 WHERE cx > 0 OR cy > 0)"""
 DIV = f"{PAIRS}, sh AS (SELECT x, y, (cx + {{0}}) / (sum(cx) OVER w + {{0}} * count(*) OVER w) AS p, (cy + {{0}}) / (sum(cy) OVER w + {{0}} * count(*) OVER w) AS q FROM pq WINDOW w AS (PARTITION BY x, y)) SELECT x, y, round(sum(CASE WHEN p > 0 AND q > 0 THEN p * log2(p / q) ELSE 0 END), 6) AS kl, round(sum(CASE WHEN p > 0 AND q > 0 THEN q * log2(q / p) ELSE 0 END), 6) AS kl_back, round(sum(CASE WHEN p > 0 THEN 0.5 * p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN 0.5 * q * log2(2 * q / (p + q)) ELSE 0 END), 6) AS js FROM sh GROUP BY x, y"
 
 
