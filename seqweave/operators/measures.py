@@ -31,19 +31,30 @@ def ngram_counts(seq: DataFrame, least: int, most: int | None = None, by: list[s
     return ngrams(seq.select(*by, "symbols"), least, most).groupBy(*by, "n", "gram").agg(F.count("*").alias("cnt"))
 
 
-def stream_ngram_counts(seq: DataFrame, least: int, most: int, by: list[str], order: str = "seq_id") -> DataFrame:
+def stream_ngram_counts(seq: DataFrame, least: int, most: int, by: list[str], order: str = "seq_id", cells: int = 1024) -> DataFrame:
     """n-grams of the flat stream of each group: those within sequences and those over their ends.
 
-    A sequence's last n-1 symbols are set before the heads of the sequences that
-    follow it in its group; sequences shorter than n may need more than one
-    follower, so the next most-1 ones are looked at.
+    A sequence's last most-1 symbols are set before the heads of the sequences that
+    follow it. The whole-number order is cut into equal cells, and followers are
+    looked up within the cell; the first heads of each cell, a small table, stand
+    in for what follows its last sequences. So no group is in one task.
     """
-    w = Window.partitionBy(*by).orderBy(order)
     k = most - 1
-    head = F.slice("symbols", 1, k)
-    following = F.flatten(F.filter(F.array(*[F.lead(head, i).over(w) for i in range(1, k + 1)]), lambda x: x.isNotNull()))
-    edge = seq.select(*by, F.slice("symbols", F.greatest(F.size("symbols") - k + 1, F.lit(1)), F.lit(k)).alias("tail"), following.alias("next"))
-    edge = edge.select(*by, F.size("tail").alias("t"), F.concat("tail", F.slice("next", 1, k)).alias("symbols")).where("size(symbols) > t")
+    low, high = seq.agg(F.min(order), F.max(order)).first()
+    if k == 0 or low is None:
+        return ngram_counts(seq, least, most, by)
+    width = (high - low) // cells + 1
+    joined = lambda arrays: F.slice(F.flatten(F.filter(F.array(*arrays), lambda x: x.isNotNull())), 1, k)
+    x = seq.select(*by, order, "symbols", F.expr(f"(`{order}` - {low}L) DIV {width}L").alias("_cell"), F.slice("symbols", 1, k).alias("_head"))
+    w = Window.partitionBy(*by, "_cell").orderBy(order)
+    x = x.withColumn("_next", joined([F.lead("_head", i).over(w) for i in range(1, k + 1)])).withColumn("_r", F.row_number().over(w))
+    heads = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_r", "_head"))), lambda h: h["_head"]))
+    firsts = x.where(F.col("_r") <= k).groupBy(*by, "_cell").agg(F.slice(heads, 1, k).alias("_heads"))
+    wc = Window.partitionBy(*by).orderBy("_cell")
+    after = firsts.select(*by, "_cell", joined([F.lead("_heads", i).over(wc) for i in range(1, k + 1)]).alias("_after"))
+    tail = F.slice("symbols", F.greatest(F.size("symbols") - k + 1, F.lit(1)), F.lit(k))
+    edge = x.join(after, [*by, "_cell"]).select(*by, tail.alias("tail"), F.slice(F.concat("_next", "_after"), 1, k).alias("next"))
+    edge = edge.select(*by, F.size("tail").alias("t"), F.concat("tail", "next").alias("symbols")).where("size(symbols) > t")
     over = ngrams(edge, least, most).where("at < t AND at + n > t").groupBy(*by, "n", "gram").agg(F.count("*").alias("cnt"))
     both = ngram_counts(seq, least, most, by).unionByName(over)
     return both.groupBy(*by, "n", "gram").agg(F.sum("cnt").alias("cnt"))
@@ -56,7 +67,7 @@ def unigram_entropy(seq: DataFrame, by: list[str]) -> DataFrame:
 
 def block_entropy(counts: DataFrame, by: list[str]) -> DataFrame:
     """H_n in nats of n-gram counts, and normalised by ln V."""
-    e = entropy(counts, [*by, "n"], base2=False).withColumnRenamed("n", "total") if False else _entropy_by_n(counts, by)
+    e = _entropy_by_n(counts, by)
     v = e.where("n = 1").select(*by, F.col("types").alias("v"))
     return e.join(v, by).withColumn("h_norm", F.when(F.col("v") > 1, F.col("h") / F.ln(F.col("v").cast("double"))).otherwise(0.0))
 
