@@ -62,13 +62,18 @@ def select(rows: list[np.ndarray], y: np.ndarray, most: int, least: int = 3) ->
     return np.sort(order[chi[order] > 6.6])
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, most: int = 4096, rank: int = 6, epochs: int = 20, rate: float = 0.3, decay: float = 1e-5, seed: int = 7) -> Machine:
-    """Logistic loss, AdaGrad on mini-batches; a fixed seed makes it repeatable."""
+def fit(rows: list[np.ndarray], y: np.ndarray, most: int = 4096, rank: int = 6, epochs: int = 20, rate: float = 0.3, decay: float = 1e-5, seed: int = 7, over: float = 0.0) -> Machine:
+    """Logistic loss, AdaGrad on mini-batches; a fixed seed makes it repeatable.
+
+    over is the log of how much likelier toxic documents are to be in the sample
+    than others; learning over, the bias is lowered by it, which is exact for log-odds.
+    """
     share = min(max(float(y.mean()) if len(y) else 0.5, 1e-4), 1 - 1e-4)
     buckets = select(rows, y, most) if 0 < y.sum() < len(y) else np.empty(0, np.int64)
     d, rng = len(buckets), np.random.default_rng(seed)
     m = Machine(float(np.log(share / (1 - share))), buckets, np.zeros(d), rng.normal(0, 0.02, (d, rank)))
     if not d:
+        m.bias -= over
         return m
     at = [np.flatnonzero(np.isin(buckets, r, assume_unique=True)).astype(np.int32) for r in rows]
     g0, gw, gv = 1e-3, np.full(d, 1e-3), np.full((d, rank), 1e-3)
@@ -94,11 +99,12 @@ def fit(rows: list[np.ndarray], y: np.ndarray, most: int = 4096, rank: int = 6,
             m.bias -= rate * db / np.sqrt(g0)
             m.weights -= rate * dw / np.sqrt(gw)
             m.vectors -= rate * dv / np.sqrt(gv)
+    m.bias -= over
     return m
 
 
-def training_rows(df: DataFrame, labels: DataFrame, per_class: int, key: str, text: str, label: str) -> tuple[list[np.ndarray], np.ndarray]:
-    """Terms and labels of about per_class documents of either label, at most twice as many.
+def training_rows(df: DataFrame, labels: DataFrame, per_class: int, key: str, text: str, label: str) -> tuple[list[np.ndarray], np.ndarray, float]:
+    """Terms and labels of about per_class documents of either label, at most twice as many, and the log of the labels' sampling rates' ratio.
 
     Documents that the fold holds out (crc32 of the id modulo 5 is 0) aren't used.
     The sample is by a hash of the id; its ids, bounded as they are, are broadcast.
@@ -106,7 +112,8 @@ def training_rows(df: DataFrame, labels: DataFrame, per_class: int, key: str, te
     named = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_id")).agg((F.max(label) > 0).cast("int").alias("y")).where(F.pmod(id_crc(F.col("_id")), F.lit(5)) != 0)
     sizes = {r.y: r.n for r in named.groupBy("y").agg(F.count("*").alias("n")).collect()}  # two rows
     scale = 1 << 30
-    rate = F.when(F.col("y") == 1, F.lit(int(scale * min(1, per_class / sizes.get(1, 1))))).otherwise(F.lit(int(scale * min(1, per_class / sizes.get(0, 1)))))
+    rates = [int(scale * min(1, per_class / sizes.get(y, 1))) for y in (0, 1)]
+    rate = F.when(F.col("y") == 1, F.lit(rates[1])).otherwise(F.lit(rates[0]))
     chosen = named.where(F.pmod(F.xxhash64("_id"), F.lit(scale)) < rate).limit(4 * per_class)
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -116,13 +123,13 @@ def training_rows(df: DataFrame, labels: DataFrame, per_class: int, key: str, te
     docs = df.select(F.col(key).alias("_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "_id")
     rows = map_batches(docs.select(F.col("_id").cast("string").alias("id"), "text", "y"), fn, "id string, y int, terms binary").limit(8 * per_class).collect()
     rows.sort(key=lambda r: (r.id, bytes(r.terms)))
-    return [np.frombuffer(r.terms, np.int32) for r in rows], np.array([r.y for r in rows], float)
+    return [np.frombuffer(r.terms, np.int32) for r in rows], np.array([r.y for r in rows], float), float(np.log(rates[1] / rates[0]))
 
 
 def train(df: DataFrame, labels: DataFrame, per_class: int = 6000, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Machine:
     """Fits the machine on a bounded sample; classes are weighed back to their shares by the bias."""
-    rows, y = training_rows(df, labels, per_class, key, text, label)
-    return fit(rows, y)
+    rows, y, over = training_rows(df, labels, per_class, key, text, label)
+    return fit(rows, y, over=over)
 
 
 def score(df: DataFrame, model: Machine, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -395,6 +395,15 @@ def test_toxicity(spark, odd, labels):
     assert toxicity.keep_civil(odd, model).columns == odd.columns
 
 
+def test_toxicity_keeps_the_share_of_a_thinned_label(spark):
+    """With 600 a label only clean documents are thinned; a tenth is toxic all the same."""
+    df = spark.range(1, 4001).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.col("id") % 7, F.lit(" v"), F.col("id") % 11).alias("text"))
+    lab = df.select("doc_id", (F.col("doc_id") % 10 == 0).cast("int").alias("toxic"))
+    for per_class in (6000, 600):
+        got = toxicity.score(df, toxicity.train(df, lab, per_class=per_class)).agg(F.avg("score"), F.sum("predicted")).first()
+        assert abs(got[0] - 0.1) < 0.03 and got[1] == 0
+
+
 def test_interactions_are_learned():
     """Neither term alone is toxic, both together are: additive weights can't tell."""
     import numpy as np
