@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 import zlib
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -62,18 +63,77 @@ def select(rows: list[np.ndarray], y: np.ndarray, most: int, least: int = 3) ->
     return np.sort(order[chi[order] > 6.6])
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, most: int = 4096, rank: int = 6, epochs: int = 20, rate: float = 0.3, decay: float = 1e-5, seed: int = 7, over: float = 0.0) -> Machine:
-    """Logistic loss, AdaGrad on mini-batches; a fixed seed makes it repeatable.
+def partners(rows: list[np.ndarray], rest: np.ndarray, share: float, least: int = 3, block: int = 1024) -> np.ndarray:
+    """The buckets of pairs that go with what single terms leave over of the label, by chi-squared with Bonferroni's bound.
+
+    A pair in n rows whose rests sum up to s passes at s * s > bound * n; as abs(s) <= n,
+    abs(s) > bound is needed, which a term must reach over its rows of either sign. No
+    other pair can pass, so only these terms are multiplied, block by block.
+    """
+    n = np.zeros(BUCKETS, np.int64)
+    signed = np.zeros((2, BUCKETS))
+    for row, e in zip(rows, rest, strict=True):
+        n[row] += 1
+        signed[int(e < 0)][row] += abs(e)
+    d = int((n >= least).sum())
+    if d < 2 or not 0 < share < 1:
+        return np.empty(0, np.int64)
+    bound = NormalDist().inv_cdf(0.005 / (d * (d - 1) / 2)) ** 2 * share * (1 - share)
+    kept = np.flatnonzero((n >= least) & (signed.max(0) > bound))
+    where = np.full(BUCKETS, -1, np.int32)
+    where[kept] = np.arange(len(kept))
+    at = [where[row] for row in rows]
+    at = [a[a >= 0] for a in at]
+    doc, col = np.repeat(np.arange(len(rows), dtype=np.int32), [len(a) for a in at]), np.concatenate([*at, np.empty(0, np.int32)])
+    order = np.argsort(col, kind="stable")
+    doc, starts = doc[order], np.searchsorted(col[order], np.arange(len(kept) + 1))
+
+    def dense(lo: int) -> np.ndarray:
+        hi = min(lo + block, len(kept))
+        x = np.zeros((len(rows), hi - lo), np.float32)
+        x[doc[starts[lo] : starts[hi]], np.repeat(np.arange(hi - lo), np.diff(starts[lo : hi + 1]))] = 1
+        return x
+
+    found = np.zeros(len(kept), bool)
+    for lo in range(0, len(kept), block):
+        left = dense(lo)
+        weighed = (left * rest[:, None].astype(np.float32)).T
+        for lo2 in range(lo, len(kept), block):
+            right = left if lo2 == lo else dense(lo2)
+            sums = weighed @ right
+            if lo2 == lo:
+                np.fill_diagonal(sums, 0)
+            a, b = np.nonzero(np.abs(sums) > bound)
+            if len(a):
+                both = (left.T @ right)[a, b]
+                passed = sums[a, b].astype(float) ** 2 > bound * both
+                found[lo + a[passed]] = found[lo2 + b[passed]] = True
+    return kept[found]
+
+
+def fit(rows: list[np.ndarray], y: np.ndarray, most: int = BUCKETS, rank: int = 6, epochs: int = 20, rate: float = 0.3, decay: float = 1e-5, seed: int = 7, over: float = 0.0) -> Machine:
+    """Learns terms that go with the label on their own, at most `most`; then, where pairs of any terms go with what is left over, learns anew with these.
 
     over is the log of how much likelier toxic documents are to be in the sample
     than others; learning over, the bias is lowered by it, which is exact for log-odds.
     """
+    mixed = 0 < y.sum() < len(y)
+    buckets = select(rows, y, most) if mixed else np.empty(0, np.int64)
+    m = learn(rows, y, buckets, rank, epochs, rate, decay, seed)
+    if mixed:
+        wider = np.union1d(buckets, partners(rows, y - np.array([m.score(r) for r in rows]), float(y.mean())))
+        if len(wider) > len(buckets):
+            m = learn(rows, y, wider, rank, epochs, rate, decay, seed)
+    m.bias -= over
+    return m
+
+
+def learn(rows: list[np.ndarray], y: np.ndarray, buckets: np.ndarray, rank: int, epochs: int, rate: float, decay: float, seed: int) -> Machine:
+    """Logistic loss, AdaGrad on mini-batches; a fixed seed makes it repeatable."""
     share = min(max(float(y.mean()) if len(y) else 0.5, 1e-4), 1 - 1e-4)
-    buckets = select(rows, y, most) if 0 < y.sum() < len(y) else np.empty(0, np.int64)
     d, rng = len(buckets), np.random.default_rng(seed)
     m = Machine(float(np.log(share / (1 - share))), buckets, np.zeros(d), rng.normal(0, 0.02, (d, rank)))
     if not d:
-        m.bias -= over
         return m
     at = [np.flatnonzero(np.isin(buckets, r, assume_unique=True)).astype(np.int32) for r in rows]
     g0, gw, gv = 1e-3, np.full(d, 1e-3), np.full((d, rank), 1e-3)
@@ -99,7 +159,6 @@ def fit(rows: list[np.ndarray], y: np.ndarray, most: int = 4096, rank: int = 6,
             m.bias -= rate * db / np.sqrt(g0)
             m.weights -= rate * dw / np.sqrt(gw)
             m.vectors -= rate * dv / np.sqrt(gv)
-    m.bias -= over
     return m
 
 

@@ -5,6 +5,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from statistics import NormalDist
 
 import pytest
 from pyspark.sql import functions as F
@@ -423,6 +424,32 @@ def test_interactions_are_learned():
     assert right > linear
 
 
+def test_terms_of_pairs_are_selected():
+    """Terms that are neutral on their own reach the machine, so that what only their pair tells is learned."""
+    import numpy as np
+
+    def sample(seed, n):
+        rng = np.random.default_rng(seed)
+        drawn = [(*(rng.random(2) < 0.5), sorted(rng.choice(np.arange(100, 140), 5, replace=False))) for _ in range(n)]
+        return [np.array([*([10] if a else []), *([20] if b else []), *rest]) for a, b, rest in drawn], np.array([float(a == b) for a, b, _ in drawn])
+
+    m = toxicity.fit(*sample(1, 4000))
+    assert {10, 20} <= set(m.buckets.tolist())
+    rows, y = sample(2, 1000)
+    assert np.mean([(m.score(r) >= 0.5) == bool(v) for r, v in zip(rows, y, strict=True)]) > 0.95
+    rng = np.random.default_rng(3)
+    rows = [np.sort(rng.choice(300, 20, replace=False)) for _ in range(500)]
+    rest = rng.random(500) - 0.5
+    z = NormalDist().inv_cdf(0.005 / (300 * 299 / 2)) ** 2 * 0.03 * 0.97
+    sums = defaultdict(lambda: [0.0, 0])
+    for row, e in zip(rows, rest, strict=True):
+        for i, a in enumerate(row):
+            for b in row[i + 1 :]:
+                sums[a, b] = [sums[a, b][0] + e, sums[a, b][1] + 1]
+    want = {t for pair, (s, n) in sums.items() if s * s > z * n for t in pair}
+    assert 0 < len(want) < 300 and set(toxicity.partners(rows, rest, 0.03, block=64).tolist()) == want
+
+
 def test_empty_tables(spark, odd, labels):
     none, no_labels = odd.limit(0), labels.limit(0)
     for out in (
