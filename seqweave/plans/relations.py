@@ -245,6 +245,13 @@ def _(spark, sf):  # noqa: ANN001, ANN202
     return e.upsert(x.where("part = 0").drop("part"), x.where("part <> 0").drop("part")).withColumn("topics", F.array_join("topics", ","))
 
 
+@query("evd_2_upsert_whole_text", "WITH s AS (SELECT sha256(text) AS item_id, lang AS title, source AS topic, doc_id AS f, CASE WHEN doc_id % 2 = 0 THEN 0 ELSE 1 END AS o FROM documents) SELECT item_id, arg_min(title, (o, f, title)) AS title, string_agg(DISTINCT topic, ',' ORDER BY topic) AS topics, max(f) AS fetched_at FROM s GROUP BY item_id")
+def _(spark, sf):  # noqa: ANN001, ANN202
+    d = table(spark, sf, "documents")
+    x = d.select(F.sha2("text", 256).alias("item_id"), F.col("lang").alias("title"), F.array("source").alias("topics"), F.col("doc_id").alias("fetched_at"), (F.col("doc_id") % 2).alias("part"))
+    return e.upsert(x.where("part = 0").drop("part"), x.where("part <> 0").drop("part")).withColumn("topics", F.array_join("topics", ","))
+
+
 @query("evd_4_tally", "SELECT 'lang' AS dim, coalesce(lang, '(unknown)') AS value, count(*) AS n FROM documents GROUP BY 2 UNION ALL SELECT 'source', coalesce(source, '(unknown)'), count(*) FROM documents GROUP BY 2")
 def _(spark, sf):  # noqa: ANN001, ANN202
     return e.tally(table(spark, sf, "documents"), ["lang", "source"])
@@ -262,6 +269,13 @@ def _(spark, sf):  # noqa: ANN001, ANN202
     return e.first_per_key(d, [e.normal_title(F.substring("text", 1, 40)), F.col("source")], ["doc_id"], known).select("key", "doc_id")
 
 
+@query("evd_9_first_per_whole_text", "WITH k AS (SELECT doc_id, coalesce(sha256(nullif(trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')), '')), nullif(source, '')) AS key FROM documents), b AS (SELECT sha256(trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g'))) AS key FROM benchmark WHERE text IS NOT NULL) SELECT key, min(doc_id) AS doc_id FROM k WHERE key IS NOT NULL AND key NOT IN (SELECT key FROM b) GROUP BY key")
+def _(spark, sf):  # noqa: ANN001, ANN202
+    d = table(spark, sf, "documents").select("doc_id", F.sha2(F.nullif(e.normal_title(F.col("text")), F.lit("")), 256).alias("title"), "source")
+    known = table(spark, sf, "benchmark").select(F.sha2(e.normal_title(F.col("text")), 256).alias("key"))
+    return e.first_per_key(d, [F.col("title"), F.col("source")], ["doc_id"], known).select("key", "doc_id")
+
+
 @query("evd_10_intake", "WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256(coalesce(text, '')) AS sha256, min(doc_id) OVER (PARTITION BY sha256(coalesce(text, ''))) AS first_id FROM documents) SELECT doc_id, sha256, doc_id > first_id AS duplicate, first_id, regexp_extract(t, '(10\\.[0-9]{4,9}/[A-Za-z0-9._;()/:-]+)', 1) AS doi, regexp_extract(t, '\\b((?:19|20)[0-9]{2})\\b', 1) AS year FROM d")
 def _(spark, sf):  # noqa: ANN001, ANN202
     return e.intake(table(spark, sf, "documents")).drop("slug")

@@ -74,6 +74,19 @@ def test_known_values(spark):
     assert {r.sym: r.betweenness for r in assoc.betweenness(path).collect()} == {"a": 0, "b": 2, "c": 2, "d": 0}
 
 
+def test_whole_texts_are_keys(spark, tmp_path):
+    """Documents that share their first 50 letters are different items."""
+    import __spark_entry__
+
+    start = "the same opening words of many different documents "
+    rows = [(1, start + "one", "en", "a"), (2, start + "two", "en", "b"), (3, start + "TWO!", "de", "a"), (4, start + "one", "fr", "c"), (5, "?", "en", "a"), (6, start + "known", "en", "a"), (8, None, "en", "a")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, start + "Known")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    run = lambda name: __spark_entry__.queries()[name](spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in run("evd_9_first_per_whole_text")) == [1, 2, 5]
+    assert sorted((r.title, r.topics, r.fetched_at) for r in run("evd_2_upsert_whole_text") if r.item_id) == [("de", "a", 3), ("en", "a", 5), ("en", "a", 6), ("en", "b", 2), ("fr", "a,c", 4)]
+
+
 def test_transforms(spark):
     x = seqs(spark, [["A", "A", "B"], [], ["C"]])
     got = {r.seq_id: (r.collapsed, r.run_lengths) for r in transforms.collapse_runs(x).collect()}
