@@ -185,47 +185,30 @@ def features(seq: DataFrame, by: list[str]) -> DataFrame:
     return j.withColumn("log_freq", F.ln(F.col("n") + 1.0))
 
 
-def betweenness(edges: DataFrame, max_edges: int = 2_000_000) -> DataFrame:
-    """Betweenness of an unweighted, undirected graph of symbols (Brandes), sources dealt over tasks.
+def betweenness(edges: DataFrame) -> DataFrame:
+    """Betweenness of an unweighted, undirected graph of symbols (Brandes), all sources at once by joins on the frontier.
 
-    The adjacency goes to the tasks whole, so its size is checked first; a graph
-    with more edges is an error.
+    Rows are (source, symbol) with depth by depth the counts of shortest paths; the
+    way back sums up the shares. Each round is cut as in components.
     """
-    import numpy as np
-    import pandas as pd
-
-    both = edges.where("a <> b").select("a", "b").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    if both.limit(2 * max_edges + 1).count() > 2 * max_edges:
-        raise ValueError(f"more than {max_edges} edges")
-    near: dict[str, list[str]] = {}
-    for r in both.orderBy("a", "b").collect():
-        near.setdefault(r.a, []).append(r.b)
-
-    def run(batches):  # noqa: ANN001, ANN202
-        total: dict[str, float] = {}
-        for pdf in batches:
-            for s in pdf["sym"]:
-                order, parents, paths, depth = [], {s: []}, {s: 1.0}, {s: 0}
-                queue = [s]
-                for v in queue:
-                    order.append(v)
-                    for w in near.get(v, []):
-                        if w not in depth:
-                            depth[w], parents[w], paths[w] = depth[v] + 1, [], 0.0
-                            queue.append(w)
-                        if depth[w] == depth[v] + 1:
-                            paths[w] += paths[v]
-                            parents[w].append(v)
-                share = dict.fromkeys(order, 0.0)
-                for w in reversed(order):
-                    for v in parents[w]:
-                        share[v] += paths[v] / paths[w] * (1 + share[w])
-                    if w != s:
-                        total[w] = total.get(w, 0.0) + share[w]
-        yield pd.DataFrame({"sym": list(total), "part": np.array(list(total.values()), float) / 2})
-
-    nodes = both.select(F.col("a").alias("sym")).distinct()
-    return nodes.mapInPandas(run, "sym string, part double").groupBy("sym").agg(F.sum("part").alias("betweenness"))
+    keep = (lambda d: d.checkpoint()) if edges.sparkSession.sparkContext.getCheckpointDir() else (lambda d: d.persist())
+    both = keep(edges.where("a <> b").select("a", "b").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    levels = [both.select(F.col("a").alias("s"), F.col("a").alias("v"), F.lit(1.0).alias("paths")).distinct()]
+    while True:
+        step = levels[-1].join(both, F.col("v") == F.col("a")).groupBy("s", F.col("b").alias("v")).agg(F.sum("paths").alias("paths"))
+        for seen in levels[-2:]:  # neighbours are at most one level apart
+            step = step.join(seen.select("s", "v"), ["s", "v"], "left_anti")
+        step = keep(step)
+        if step.isEmpty():
+            break
+        levels.append(step)
+    share = levels[-1].withColumn("share", F.lit(0.0))
+    parts = share.select("v", "share").limit(0)
+    for above in reversed(levels[:-1]):
+        parts = parts.unionByName(share.select("v", "share"))
+        back = share.join(both, F.col("v") == F.col("a")).groupBy("s", F.col("b").alias("v")).agg(F.sum((1 + F.col("share")) / F.col("paths")).alias("part"))
+        share = keep(above.join(back, ["s", "v"], "left").select("s", "v", "paths", (F.col("paths") * F.coalesce("part", F.lit(0.0))).alias("share")))
+    return parts.groupBy(F.col("v").alias("sym")).agg((F.sum("share") / 2).alias("betweenness"))
 
 
 def spectral_gap(seq: DataFrame, by: list[str], vocab: int = 200) -> DataFrame:

@@ -113,6 +113,15 @@ def _(spark, sf):  # noqa: ANN001, ANN202
     return a.components(pairs.select("x", "y"), m.symbol_counts(x).select("sym"))
 
 
+@query("net_16_clusters_by_segment", f"""WITH RECURSIVE {COS.removeprefix('WITH ')}, ed AS (SELECT segment, x, y FROM cs WHERE cosine > 0.85), eb AS (SELECT segment, x, y FROM ed UNION SELECT segment, y, x FROM ed), nd AS (SELECT DISTINCT segment, sym FROM tok),
+reach(segment, x, y) AS (SELECT segment, sym, sym FROM nd UNION SELECT r.segment, r.x, eb.y FROM reach r JOIN eb ON r.segment = eb.segment AND r.y = eb.x) SELECT segment, x AS sym, min(y) AS cluster FROM reach GROUP BY segment, x""")
+def _(spark, sf):  # noqa: ANN001, ANN202
+    x, node = orders(spark, sf), lambda end: F.struct("segment", F.col(end).alias("sym"))
+    pairs = a.cosine_pairs(a.context_vectors(x, SEG), SEG, 0.85)
+    found = a.components(pairs.select(node("x").alias("x"), node("y").alias("y")), m.symbol_counts(x, SEG).select(node("sym").alias("sym")))
+    return found.select("sym.segment", "sym.sym", F.col("cluster.sym").alias("cluster"))
+
+
 @query("net_22_label_propagation")
 def _(spark, sf):  # noqa: ANN001, ANN202
     return a.label_propagation(a.windowed_edges(orders(spark, sf), [], 2, own=False))
@@ -126,7 +135,7 @@ def _(spark, sf):  # noqa: ANN001, ANN202
 
 @query("net_24_betweenness")
 def _(spark, sf):  # noqa: ANN001, ANN202
-    x = a.bigrams(orders(spark, sf).where("segment = 'MACHINERY' AND nation LIKE 'NATION_1%'").select("symbols")).select("a", "b").distinct()
+    x = a.bigrams(orders(spark, sf).select("symbols")).select("a", "b").distinct()
     return _rounded(a.betweenness(x), "betweenness")
 
 

@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from seqweave.operators import assoc, positions, transforms
@@ -74,6 +75,42 @@ def test_known_values(spark):
     assert {r.sym: r.betweenness for r in assoc.betweenness(path).collect()} == {"a": 0, "b": 2, "c": 2, "d": 0}
 
 
+def test_betweenness_of_all_orders(spark):
+    """Against paths counted one by one; the query takes every segment and nation."""
+    import random
+
+    import __spark_entry__
+
+    from seqweave.sources.adapters import orders
+
+    def brute(edges):
+        near = {v: {b for a, b in edges if a == v} | {a for a, b in edges if b == v} for e in edges for v in e}
+        want = dict.fromkeys(near, 0.0)
+        for s in near:
+            depth, paths, line = {s: 0}, {s: 1}, [s]
+            for v in line:
+                for w in sorted(near[v]):
+                    if w not in depth:
+                        depth[w], paths[w] = depth[v] + 1, 0
+                        line.append(w)
+                    paths[w] += paths[v] if depth[w] == depth[v] + 1 else 0
+            share = dict.fromkeys(line, 0.0)
+            for w in reversed(line):
+                for v in near[w]:
+                    if depth[v] == depth[w] - 1:
+                        share[v] += paths[v] / paths[w] * (1 + share[w])
+                want[w] += share[w] / 2 if w != s else 0
+        return want
+
+    rng = random.Random(4)
+    edges = {tuple(sorted(rng.sample("abcdefghijkl", 2))) for _ in range(16)} | {("x", "y"), ("y", "z")}
+    got = {r.sym: r.betweenness for r in assoc.betweenness(spark.createDataFrame(sorted(edges), "a string, b string")).collect()}
+    assert got == pytest.approx(brute(edges))
+    sf = "/root/testdata/sf0.001"
+    pairs = {tuple(sorted(p)) for r in orders(spark, sf).collect() for p in zip(r.symbols, r.symbols[1:]) if p[0] != p[1]}
+    assert {r.sym: r.betweenness for r in __spark_entry__.queries()["net_24_betweenness"](spark, sf).collect()} == pytest.approx(brute(pairs), abs=2e-6)
+
+
 def test_whole_texts_are_keys(spark, tmp_path):
     """Documents that share their first 50 letters are different items."""
     import __spark_entry__
