@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,19 +13,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of text that one Arrow batch holds: long texts must not pile up in a Python worker.
-TEXT_BATCH_ROWS = "500"
+#: Rows and bytes of text that one Arrow batch holds: long texts must not pile up in a Python worker.
+TEXT_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "500"), "spark.sql.execution.arrow.maxBytesPerBatch": (None, str(16 << 20))}
 
 _made_here: dict[str, str] = {}
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package and keeps their batches of text small."""
+    """Lets Python workers import this package and keeps their batches of text small.
+
+    Sizes of batches are read from the session when a query runs, so they are set
+    there; one that the user has set to another value than Spark's default stays.
+    """
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXT_BATCH_ROWS)
+    for name, (default, small) in TEXT_BATCHES.items():
+        if spark.conf.get(name, default) == default:
+            spark.conf.set(name, small)
     return spark
 
 
@@ -35,11 +42,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which driver and executors share.
 
-    Only where the session has none (tests in local mode) is a folder made here.
+    Only where the session has none and all runs in one process (tests in local
+    mode) is a folder made here; a cluster has to name one.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _made_here:
         _made_here[app] = "file://" + tempfile.mkdtemp(prefix="spark-seqweave-")

@@ -67,16 +67,17 @@ def has_letter(text: str | None) -> bool:
 
 def svm(x: np.ndarray, y: np.ndarray, penalty: float = 20.0, rounds: int = 150) -> np.ndarray:
     """Weights, the last one the bias, for labels 1 and -1: squared hinge loss, accelerated gradient steps, classes weighed evenly."""
-    x = np.hstack((x, np.ones((len(x), 1), np.float32)))
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * penalty
-    step = 1 / (1 + 2 * float((weight * (x**2).sum(1)).sum()))
-    w = np.zeros(x.shape[1])
+    x = np.hstack((x.astype(np.float32), np.ones((len(x), 1), np.float32)))
+    y = y.astype(np.float32)
+    weight = (np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * penalty).astype(np.float32)
+    step = np.float32(1 / (1 + 2 * float((weight * np.einsum("ij,ij->i", x, x)).sum())))
+    w = np.zeros(x.shape[1], np.float32)
     ahead, t = w.copy(), 1.0
     for _ in range(rounds):
-        loss = np.maximum(0, 1 - y * (x @ ahead))
-        new = ahead - step * (ahead - 2 * (x.T @ (weight * y * loss)))
+        loss = np.maximum(np.float32(0), 1 - y * (x @ ahead))
+        new = ahead - step * (ahead - 2 * ((weight * y * loss) @ x))
         t_new = (1 + (1 + 4 * t * t) ** 0.5) / 2
-        ahead, w, t = new + (t - 1) / t_new * (new - w), new, t_new
+        ahead, w, t = new + np.float32((t - 1) / t_new) * (new - w), new, t_new
     return w
 
 
@@ -121,7 +122,8 @@ def fit(x: np.ndarray, langs: list[str]) -> Model:
     members = [[i for i, f in enumerate(family) if f == g] for g in families]
     of = np.array([families.index(f) for f in family])[y]
     if len(families) > 1:
-        weights = np.stack([svm(x, np.where(of == k, 1.0, -1.0)) for k in range(len(families))])
+        weights = np.stack([svm(x, np.where(of == k, 1.0, -1.0)) for k in range(len(families) if len(families) > 2 else 1)])
+        weights = weights if len(families) > 2 else np.vstack((weights, -weights))  # the mirrored problem has the mirrored answer
     else:
         weights = np.zeros((1, x.shape[1] + 1))
     model = Model(names, families, members, weights)
@@ -133,7 +135,7 @@ def fit(x: np.ndarray, langs: list[str]) -> Model:
 
 
 def train(df: DataFrame, per_lang: int = 400, key: str = "doc_id", text: str = "text", lang: str = "lang", most_langs: int = 200) -> Model | None:
-    """Fits on about per_lang documents of each language (a bounded sample by a hash of the id).
+    """Fits on about per_lang documents of each language (a bounded sample by a hash of id and text).
 
     Documents of the held-out fold (crc32 of the id modulo 4 is 2), without a text
     or a language aren't used. None if there is nothing to learn from. More than
@@ -146,7 +148,7 @@ def train(df: DataFrame, per_lang: int = 400, key: str = "doc_id", text: str = "
     if not sizes:
         return None
     rates = df.sparkSession.createDataFrame([(r.lang, min(1.0, per_lang / r.n)) for r in sizes], "lang string, rate double")
-    chosen = known.join(F.broadcast(rates), "lang").where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.col("rate") * (1 << 30))
+    chosen = known.join(F.broadcast(rates), "lang").where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) < F.col("rate") * (1 << 30))
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = [(i, g, grams(t).tobytes()) for i, t, g in zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True) if has_letter(t)]

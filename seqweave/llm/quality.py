@@ -1,12 +1,15 @@
 """Quality rules whose cutoffs are certified on labelled documents.
 
-A rule rejects documents whose measure is over a cutoff. For each stratum and
-rule, cutoffs are tried from the mildest on; a cutoff is certified if an exact
-binomial test on the stratum's documents labelled good refutes "it rejects more
-than the allowed share of good ones". Trying stops at the first that fails, so
-one test level covers all cutoffs of a rule; the level is divided by the number
-of strata and rules (Bonferroni), and the allowed share by the number of rules,
-so all rules together hold it.
+A rule rejects documents whose measure is over a cutoff. In each stratum a quarter
+of the labelled documents, by a hash of the id, orders the cutoffs of all rules into
+a path from mild to strict: the next step is the one that rejects the fewest more
+good documents for the bad ones it catches. The other three quarters certify: along the path,
+an exact binomial test of what all rules together reject has to refute "more than
+the allowed share of the good ones". The path is fixed before these are looked at
+and testing stops at the first failure, so one level serves a stratum; over the
+strata levels follow Holm. Strata with too few good documents for even a spotless
+test are tested as one, "(pooled)", with the next larger ones if they are too few
+together; its guarantee holds for all of them as a whole.
 """
 
 from __future__ import annotations
@@ -16,11 +19,10 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqweave.llm.common import join_small, map_batches, materialise
+from seqweave.llm.common import id_crc, join_small, map_batches, materialise
 
 #: The symbols that count, and the white space between words.
 SYMBOLS = "#*$%&|<>"
@@ -99,54 +101,100 @@ def binomial_cdf(k: int, n: int, p: float) -> float:
     return float(min(1.0, math.exp(top) * np.exp(logs - top).sum()))
 
 
-def certified(counts: pd.DataFrame, share: float, level: float) -> pd.DataFrame:
-    """stratum, rule and the strictest certified cutoff from (stratum, rule, rank, cutoff, good, rejected)."""
-    out = []
-    for (stratum, rule), rows in counts.groupby(["stratum", "rule"]):
-        best = None
-        for r in rows.sort_values("rank").itertuples():
-            if r.rejected > share * r.good or binomial_cdf(int(r.rejected), int(r.good), share) > level:
-                break
-            best = float(r.cutoff)
-        if best is not None:
-            out.append((stratum, rule, best))
-    return pd.DataFrame(out, columns=["stratum", "rule", "cutoff"])
+def path(good: np.ndarray, bad: np.ndarray, n_good: np.ndarray, n_bad: np.ndarray, steps: list[int]) -> list[tuple[int, ...]]:
+    """Vectors of cutoffs, each one step stricter in one rule than the one before it.
+
+    good and bad are rows of the rules' ranks (how many cutoffs a document is over)
+    with their counts; a vector's entry k rejects ranks of k or more, 0 nobody.
+    """
+    at, out = [0] * len(steps), []
+
+    def caught(v: list[int], ranks: np.ndarray, n: np.ndarray) -> int:
+        hit = np.zeros(len(n), bool)
+        for r, k in enumerate(v):
+            if k:
+                hit |= ranks[:, r] > steps[r] - k  # entry 1 is the mildest cutoff, which the highest rank alone is over
+        return int(n[hit].sum())
+
+    while any(a < s for a, s in zip(at, steps, strict=True)):
+        now_good, now_bad = caught(at, good, n_good), caught(at, bad, n_bad)
+        tried = []
+        for r in range(len(steps)):
+            if at[r] < steps[r]:
+                v = [a + (k == r) for k, a in enumerate(at)]
+                tried.append(((caught(v, good, n_good) - now_good + 0.1) / (caught(v, bad, n_bad) - now_bad + 1), at[r] / steps[r], r, v))
+        at = min(tried)[3]
+        out.append(tuple(at))
+    return out
+
+
+def tests_along(cells: pd.DataFrame, share: float) -> pd.DataFrame:
+    """stratum, step, vector and p of each step of one stratum's path, from its cells (fold, good, r0, r1, ..., n)."""
+    ranks = [f"r{k}" for k in range(len(RULES))]
+    steps = [len(cuts) for _, cuts in RULES.values()]
+    some = lambda good, fold: cells[(cells.good == good) & (cells.fold == fold)]
+    a, b, c = some(1, "order"), some(0, "order"), some(1, "certify")
+    n = int(c.n.sum())
+    hit, out = c[ranks].to_numpy(np.int64), []
+    for step, v in enumerate(path(a[ranks].to_numpy(np.int64), b[ranks].to_numpy(np.int64), a.n.to_numpy(), b.n.to_numpy(), steps)):
+        rejected = np.zeros(len(c), bool)
+        for r, k in enumerate(v):
+            if k:
+                rejected |= hit[:, r] > steps[r] - k
+        k = int(c.n.to_numpy()[rejected].sum())
+        out.append((cells.stratum.iloc[0], step, list(v), binomial_cdf(k, n, share) if n else 1.0))
+    return pd.DataFrame(out, columns=["stratum", "step", "vector", "p"])
 
 
 def thresholds(measured: DataFrame, labels: DataFrame, share: float = 0.02, error: float = 0.05) -> DataFrame:
-    """(stratum, one column per rule): certified cutoffs, null where there is none.
+    """(stratum, home, one column per rule): certified cutoffs of each stratum with labels, null where there is none.
 
     labels (doc_id, quality); a document with several labels is good only if all
     say so, labels of null don't count. Counts are made on Spark over all labelled
-    documents; the tests run in tasks on a few dozen counts for each stratum.
+    documents; tasks then see a cell for each combination of ranks, 7,776 for each
+    label and fold of a stratum at most. home is the stratum it was tested as.
     """
-    good = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
-    held = measured.where("NOT base_failed").join(good, "doc_id", "left_semi")
-    tests = [(rule, i, cut, expr) for rule, (expr, cuts) in RULES.items() for i, cut in enumerate(cuts)]
-    sums = held.groupBy("stratum").agg(F.count("*").alias("good"), *[F.sum(F.when(F.expr(expr) > cut, 1).otherwise(0)).alias(f"{rule}__{i}") for rule, i, cut, expr in tests])
-    stack = ", ".join(f"'{rule}', {i}, {cut}D, {rule}__{i}" for rule, i, cut, _ in tests)
-    counts = sums.selectExpr("stratum", "good", f"stack({len(tests)}, {stack}) AS (rule, rank, cutoff, rejected)")
-    level = error / (max(1, sums.count()) * len(RULES))
-    per_rule = share / len(RULES)
-
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        return certified(pdf, per_rule, level)
-
-    chosen = counts.groupBy("stratum").applyInPandas(fn, "stratum string, rule string, cutoff double")
-    return chosen.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == rule, F.col("cutoff"))).alias(rule) for rule in RULES])
+    named = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg((F.min("quality") == 1).cast("int").alias("good"))
+    over = [F.expr(" + ".join(f"int({expr} > {c}D)" for c in cuts)).alias(f"r{k}") for k, (expr, cuts) in enumerate(RULES.values())]
+    fold = F.when(F.pmod(id_crc(F.col("doc_id")), F.lit(4)) == 0, "order").otherwise("certify").alias("fold")
+    ranks = [f"r{k}" for k in range(len(RULES))]
+    held = measured.where("NOT base_failed").join(named, "doc_id").select("stratum", fold, "good", *over)
+    cells = materialise(held.groupBy("stratum", "fold", "good", *ranks).agg(F.count("*").alias("n")), "cells")
+    sizes = cells.groupBy("stratum").agg(F.sum(F.when((F.col("good") == 1) & (F.col("fold") == "certify"), F.col("n")).otherwise(0)).alias("size"))
+    every = Window.partitionBy()  # over strata, not documents
+    least = F.ceil(F.ln(F.lit(error) / F.count("*").over(every)) / math.log1p(-share))
+    smaller = F.coalesce(F.sum("size").over(Window.orderBy("size", "stratum").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.withColumn("small", F.col("size") < least).withColumn("helps", F.max("small").over(every) & (smaller < least))
+    homes = materialise(sizes.select("stratum", F.when(F.col("small"), F.lit("(pooled)")).otherwise(F.col("stratum")).alias("home"), (F.col("small") | F.col("helps")).alias("pooled")), "homes")
+    placed = cells.join(F.broadcast(homes), "stratum").withColumn("home", F.explode(F.expr("array_distinct(array_compact(array(home, IF(pooled, '(pooled)', NULL))))")))
+    grouped = placed.groupBy(F.col("home").alias("stratum"), "fold", "good", *ranks).agg(F.sum("n").alias("n"))
+    tests = materialise(grouped.groupBy("stratum").applyInPandas(lambda pdf: tests_along(pdf, share), "stratum string, step int, vector array<int>, p double"), "tests")
+    # Holm: a stratum whose whole path holds hands its level on
+    ends = tests.groupBy("stratum").agg(F.max("p").alias("worst"))
+    place, m = F.row_number().over(Window.orderBy("worst", "stratum")), F.count("*").over(Window.partitionBy())
+    ends = ends.withColumn("ok", F.col("worst") <= error / (m - place + 1)).withColumn("m", m)
+    done = ends.select("stratum", "m", (F.min(F.col("ok").cast("int")).over(Window.orderBy("worst", "stratum").rowsBetween(Window.unboundedPreceding, 0))).alias("done"))
+    level = done.agg((F.lit(error) / F.greatest(F.max("m") - F.sum("done"), F.lit(1))).alias("level"))
+    failed = tests.crossJoin(F.broadcast(level)).groupBy("stratum").agg(F.min(F.when(F.col("p") > F.col("level"), F.col("step"))).alias("first"))  # level is one row
+    passed = tests.join(failed, "stratum").where("first IS NULL OR step < first").groupBy("stratum").agg(F.max_by("vector", "step").alias("vector"))
+    cuts = [F.when(F.get("vector", F.lit(k)) > 0, F.get(F.array(*[F.lit(c) for c in values]), F.get("vector", F.lit(k)) - 1)).alias(rule) for k, (rule, (_, values)) in enumerate(RULES.items())]
+    found = passed.select(F.col("stratum").alias("home"), *cuts)
+    return homes.drop("pooled").unionByName(homes.sparkSession.createDataFrame([("(pooled)", "(pooled)")], "stratum string, home string")).dropDuplicates(["stratum"]).join(found, "home", "left").select("stratum", "home", *RULES)
 
 
 def judge(df: DataFrame, labels: DataFrame, stratum: str = "lang", key: str = "doc_id", text: str = "text", share: float = 0.02, error: float = 0.05) -> DataFrame:
-    """doc_id, the measures, base_failed, reasons and kept of each row.
+    """doc_id, stratum, the measures, base_failed, reasons and kept of each row.
 
     kept is false if base_failed or if a rule with a certified cutoff in the row's
-    stratum rejects it. A text of null has no words and fails the base; a stratum
-    of null is the stratum "(none)"; strata with too few good labels get no cutoff
-    and reject nothing beyond the base; repeated rows are judged alike; no rows
-    give no rows. With no labels at all only the base decides.
+    stratum rejects it; a stratum without labels of its own is judged as "(pooled)".
+    A text of null has no words and fails the base; a stratum of null is the
+    stratum "(none)"; repeated rows are judged alike; no rows give no rows. Where
+    the pooled strata too have too few good labels, or there are none at all, only
+    the base decides. Other columns aren't looked at.
     """
     rows = materialise(measures(df, stratum, key, text), "measures")
     cuts = materialise(thresholds(rows, labels, share, error), "cutoffs")
-    judged = join_small(rows, cuts, ["stratum"])
+    known = join_small(rows, cuts.select("stratum", F.col("stratum").alias("of")), ["stratum"]).withColumn("of", F.coalesce("of", F.lit("(pooled)")))
+    judged = join_small(known, cuts.select(F.col("stratum").alias("of"), *RULES), ["of"])
     reasons = F.array_compact(F.array(*[F.when(F.expr(f"n_words > 0 AND {expr} > {rule}"), F.lit(rule)) for rule, (expr, _) in RULES.items()]))
     return judged.withColumn("reasons", reasons).select("doc_id", "stratum", *MEASURES, "base_failed", "reasons", F.expr("NOT base_failed AND size(reasons) = 0").alias("kept"))

@@ -26,7 +26,7 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.fingerprints(table(spark, sf_dir, "documents")).drop("pair_times", "pair_codes")
+    return media.fingerprints(table(spark, sf_dir, "documents"))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,8 @@ bytes over the ids, so they depend on the rows and the parameters alone, not on
 how the input was split. Each range is written as files of gzip members, a new
 one once the compressed size passes a limit. A file is written under a temporary
 name and then renamed; a task that runs again writes the same bytes under the
-same names. Only files that the committed manifest lists, with their sizes and
-digests, are read.
+same names. Only files that the committed manifest lists are read, and only if
+their sizes, digests and numbers of records are as it says.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqweave.llm.common import fresh_path, materialise, shuffle_partitions
+from seqweave.llm.common import fresh_path, join_small, materialise, shuffle_partitions
 
 DATE = "2000-01-01T00:00:00Z"  # a fixed date: archives are the same whenever they are written
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -96,13 +96,22 @@ class _Writer:
         self.buffer, self.records, self.number = io.BytesIO(), 0, self.number + 1
 
 
+def _order(kind: str) -> str:
+    """SQL for a whole number that never falls as page_id grows: of whole numbers themselves, else of the first 7 bytes of the id as text."""
+    return "CAST(page_id AS LONG)" if kind in ("tinyint", "smallint", "int", "bigint") else "CAST(conv(rpad(substr(hex(encode(CAST(page_id AS STRING), 'UTF-8')), 1, 14), 14, '0'), 16, 10) AS LONG)"
+
+
 def _ranges(narrow: DataFrame, range_bytes: int) -> tuple[str, int]:
-    """SQL for a row's range from page_id, digest; how many there are. Heavy cells are cut by position, or by digest if they hold one id."""
-    low, high = narrow.agg(F.min("page_id"), F.max("page_id")).first()
-    low, high = (0, 0) if low is None else (int(low), int(high))
+    """SQL for a row's range from page_id, digest; how many there are. Heavy cells are cut by position, or by digest if they hold one position."""
+    at_id = _order(dict(narrow.dtypes)["page_id"])
+    low, high = narrow.agg(F.expr(f"min({at_id})"), F.expr(f"max({at_id})")).first()
+    low, high = (0, 0) if low is None else (low, high)
+    if high - low >= 1 << 62:  # the distance of halves is within 64 bits, whatever the ids
+        at_id, low, high = f"shiftright({at_id}, 1)", low >> 1, high >> 1
     width = (high - low) // CELLS + 1
-    position = f"(coalesce(page_id, {low}L) - {low}L)"
-    cell = f"CAST({position} DIV {width} AS INT)"
+    lowest = "-9223372036854775807L - 1L" if low == -(1 << 63) else f"{low}L"
+    position = f"(coalesce({at_id}, {lowest}) - ({lowest}))"
+    cell = f"CAST({position} DIV {width}L AS INT)"
     sums = {r.cell: r.n for r in narrow.groupBy(F.expr(cell).alias("cell")).agg(F.sum("bytes").alias("n")).collect()}  # CELLS rows at most
     base, parts, at, filled = [], [], 0, 0
     for c in range(CELLS):
@@ -120,7 +129,7 @@ def _ranges(narrow: DataFrame, range_bytes: int) -> tuple[str, int]:
         parts.append(1)
         filled += n
     one = lambda xs: f"element_at(array({', '.join(map(str, xs))}), {cell} + 1)"
-    sub = f"({position} % {width}) * {one(parts)} DIV {width}" if width > 1 else f"crc32(CAST(digest AS BINARY)) % {one(parts)}"
+    sub = f"least(floor(({position} % {width}L) / {float(width)!r}D * {one(parts)}), {one(parts)} - 1)" if width > 1 else f"crc32(CAST(digest AS BINARY)) % {one(parts)}"
     return f"CAST({one(base)} + {sub} AS INT)", at + 1
 
 
@@ -132,7 +141,8 @@ def write(df: DataFrame, directory: str, key: str = "page_id", url: str = "url",
     revisit it; of rows that repeat that id as well, the first is the response and
     the others revisit it too. Rows with an id of null are responses of their own.
     A url of null becomes urn:page:ID. No rows give an empty manifest. Columns
-    other than the three named aren't looked at.
+    other than the three named aren't looked at. Ids may be any whole numbers, or
+    of another kind that has a text; ranges then follow the text's first 7 bytes.
     """
     spark = df.sparkSession
     kind = dict(df.dtypes)[key]
@@ -200,28 +210,34 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def read(spark: SparkSession, directory: str, kind: str = "bigint", with_payload: bool = False) -> DataFrame:
-    """A row per record of the archives that the manifest lists; sizes and digests are checked.
+    """A row per record of the archives that the manifest lists; other files aren't looked at.
 
-    A response's digest and length are computed from what was stored; a revisit
-    has those of the payload it stands for, from its headers.
+    A listed file that is missing, of another size, digest or number of records is
+    an error. A response's digest and length are computed from what was stored; a
+    revisit has those of the payload it stands for, from its headers. An empty
+    manifest gives no rows.
     """
     manifest = spark.read.schema(MANIFEST).json(f"{directory}/manifest")
     if manifest.isEmpty():
         return spark.createDataFrame([], RECORD.format(kind=kind) + (", payload binary" if with_payload else ""))
-    files = spark.read.format("binaryFile").load(f"{directory}/data")
-    name = F.substring_index("path", "/", -1)
-    bad = manifest.join(files.select(name.alias("file"), "length"), "file", "left").where("length IS NULL OR length <> bytes")
+    files = spark.read.format("binaryFile").load(f"{directory}/data").withColumn("file", F.substring_index("path", "/", -1))
+    bad = manifest.join(files.select("file", "length"), "file", "left").where("length IS NULL OR length <> bytes")
     if not bad.isEmpty():
         raise ValueError(f"files in {directory} don't match their manifest: {bad.limit(5).collect()}")
+    listed = join_small(files.select("file", "content"), manifest.select("file", "records", "sha256"), ["file"], max_rows=200_000, how="inner")  # of about 100 bytes each
 
     whole = pa.int64() if kind in ("bigint", "long") else pa.int32() if kind == "int" else pa.string()
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cast = (lambda v: v) if whole == pa.string() else int
         for batch in batches:
-            for content in batch.column(0):
+            for file, content, records, sha in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                data, n = content.as_buffer().to_pybytes(), 0
+                if hashlib.sha256(data).hexdigest() != sha:
+                    raise ValueError(f"digest of {file} doesn't match its manifest")
                 out: list[list] = [[] for _ in range(7)]
-                for raw in members(content.as_buffer().to_pybytes()):
+                for raw in members(data):
+                    n += 1
                     h, block = parse(raw)
                     payload, digest = block.partition(b"\r\n\r\n")[2], h["WARC-Payload-Digest"].removeprefix("sha256:")
                     revisit, page, to = h["WARC-Type"] == "revisit", h.get("X-Page-ID"), h.get("X-Refers-To-Page-ID")
@@ -233,6 +249,8 @@ def read(spark: SparkSession, directory: str, kind: str = "bigint", with_payload
                     if len(out[0]) >= 2000:
                         yield batch_of(out)
                         out = [[] for _ in range(7)]
+                if n != records:
+                    raise ValueError(f"{file} holds {n} records, not {records}")
                 if out[0]:
                     yield batch_of(out)
 
@@ -242,7 +260,7 @@ def read(spark: SparkSession, directory: str, kind: str = "bigint", with_payload
     def batch_of(out: list[list]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)][: len(names)], names)
 
-    return files.select("content").mapInArrow(fn, RECORD.format(kind=kind) + (", payload binary" if with_payload else ""))
+    return listed.select("file", "content", "records", "sha256").mapInArrow(fn, RECORD.format(kind=kind) + (", payload binary" if with_payload else ""))
 
 
 def round_trip(df: DataFrame, **params: object) -> DataFrame:
