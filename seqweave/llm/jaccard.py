@@ -39,6 +39,10 @@ WORD_CACHE = 300_000
 HOT_COPIES = 16
 #: Documents whose texts are looked up by a broadcast of their ids; beyond, by an ordinary join.
 MOST_IDS = 1_000_000
+#: Cells in which signatures are counted; one with HEAT times the mean holds a hot signature.
+HEAT_CELLS, HEAT = 4096, 4
+#: Members up to which a torn group is compared as it is; larger ones are split by fresh partitions, so many times at most.
+CROWD, SPLITS = 64, 4
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _S27, _S30, _S31 = np.uint64(27), np.uint64(30), np.uint64(31)
 
@@ -202,6 +206,64 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
     return both.select("a", "b", "ta", "tb").mapInArrow(test, "a long, b long").distinct()
 
 
+def _groups(flat: DataFrame) -> DataFrame:
+    """flat (doc_id, sig) with hub, the smallest doc_id of the signature, and n, its rows; only where n > 1.
+
+    Signatures are counted in cells first. Those of hot cells, a bounded number, are
+    aggregated (which combines before it shuffles) and joined back, a join that
+    adaptive execution splits; the rest are small groups, which a window serves.
+    """
+    celled = flat.withColumn("cell", F.pmod("sig", F.lit(HEAT_CELLS)))
+    heat = materialise(celled.groupBy("cell").agg(F.count("*").alias("n")), "heat")
+    hot = heat.join(F.broadcast(heat.agg(F.avg("n").alias("mean")))).where(F.col("n") > HEAT * F.col("mean")).select("cell")  # HEAT_CELLS / HEAT rows at most
+    calm = celled.join(F.broadcast(hot), "cell", "left_anti").drop("cell")
+    found = calm.select("*", F.expr("min(doc_id) OVER (PARTITION BY sig) AS hub"), F.expr("count(*) OVER (PARTITION BY sig) AS n")).where("n > 1")
+    if not hot.isEmpty():
+        busy = celled.join(F.broadcast(hot), "cell", "left_semi").drop("cell")
+        totals = materialise(busy.groupBy("sig").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1"), "totals")
+        found = found.unionByName(busy.join(totals, "sig").select(found.columns))
+    return found
+
+
+def _anew(texts: DataFrame, n: int, percent: int, split: int) -> DataFrame:
+    """(doc_id, fresh): signatures of each text's set under another partition of the hash range."""
+
+    def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
+        scheme, salt = Scheme(percent), np.uint64(split) * _MIX2
+        sigs = [signatures(np.sort(mix64(shingle_set(t, n) + salt)), scheme).view(np.int64) for t in batch.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sigs, pa.list_(pa.int64()))], ["doc_id", "fresh"])
+
+    return map_batches(texts.select("doc_id", "text"), fn, "doc_id long, fresh array<long>")
+
+
+def _torn(members: DataFrame) -> DataFrame:
+    """members (sig, doc_id, c) of groups with several components, with the group's size."""
+    sizes = members.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
+    return materialise(members.join(sizes.select("sig", "size"), "sig"), "torn")
+
+
+def _apart(members: DataFrame, small: DataFrame, df: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of one group and different components that may link.
+
+    Similar sets share a signature under any partition of the hash range. So a large
+    group is split by a fresh one, into groups of those that share a signature under
+    both; whoever shares only what made the group large is apart then.
+    """
+    found, torn = None, _torn(members)
+    for split in range(1, SPLITS + 2):
+        fine = torn if split > SPLITS else torn.where(f"size <= {CROWD}")
+        x = fine.select("sig", "doc_id", "c").join(small, "doc_id")
+        pairs = x.alias("x").join(x.alias("y"), F.expr(f"x.sig = y.sig AND x.doc_id < y.doc_id AND x.c <> y.c AND {_may_link('x', 'y', percent)}")).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
+        found = pairs if found is None else found.unionByName(pairs)
+        crowd = torn.where(f"size > {CROWD}")
+        if split > SPLITS or crowd.isEmpty():
+            return found.distinct()
+        ids = crowd.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"))
+        fresh = materialise(_anew(_texts(df, ids, key, text), n, percent, split), "fresh")
+        torn = _torn(crowd.join(fresh, "doc_id").select("doc_id", "c", "sig", F.explode("fresh").alias("again")).select(F.xxhash64("sig", "again").alias("sig"), "doc_id", "c").distinct())
+    return found
+
+
 def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """Classes of documents whose shingle sets have a Jaccard similarity of percent / 100 or more.
 
@@ -212,10 +274,11 @@ def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", n:
     as that one document when it represents both; a row without an id has no
     component. Other columns aren't looked at; no rows give no rows.
 
-    No group is ever paired within itself. Members of a signature group are set
-    against one hub of the group: first each against the hub it shares most with,
-    then, of the other hubs, against those that are still in another component.
-    Last, members of one group that are still apart are set against each other.
+    Members of a signature group are set against one hub of the group: first each
+    against the hub it shares most with, then, of the other hubs, against those that
+    are still in another component. Last, members of one group that are still in
+    different components are set against each other; groups of more than CROWD
+    members are split by fresh partitions before, again and again.
     """
     prof = materialise(profiles(df, key, text, n, percent), "profiles")
     some = prof.where("n_shingles > 0 AND doc_id IS NOT NULL")
@@ -225,8 +288,7 @@ def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", n:
     hot = classes.where(F.col("copies") > HOT_COPIES).select("digest", F.col("doc_id").alias("rep"))
     one = join_small(some.select("doc_id", "digest", "sigs"), hot, ["digest"]).where("rep IS NULL OR rep = doc_id")
     flat = one.select("doc_id", F.explode("sigs").alias("sig"))
-    grouped = flat.select("*", F.expr("min(doc_id) OVER (PARTITION BY sig) AS hub"), F.expr("count(*) OVER (PARTITION BY sig) AS n")).where("n > 1")
-    groups = materialise(grouped, "groups")
+    groups = materialise(_groups(flat), "groups")
 
     small = classes.select("doc_id", *parts)
     first = groups.where("doc_id <> hub").groupBy(F.col("hub").alias("a"), F.col("doc_id").alias("b")).agg(F.count("*").alias("shared"))
@@ -244,14 +306,10 @@ def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", n:
 
     # members of one group that are still in different components: pairs that no hub has settled
     placed = groups.where("n > 2").select("sig", "doc_id", "hub").join(classes.select("doc_id"), "doc_id", "left_semi").join(found.select(F.col("node").alias("doc_id"), F.col("component").alias("c")), "doc_id", "left").select("sig", "doc_id", "hub", F.coalesce("c", "doc_id").alias("c"))
-    torn = placed.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("sig")
-    rest = materialise(placed.join(torn, "sig", "left_semi").join(small, "doc_id"), "torn")
-    if not rest.isEmpty():
-        cross = rest.alias("x").join(rest.alias("y"), F.expr(f"x.sig = y.sig AND x.doc_id < y.doc_id AND x.c <> y.c AND x.doc_id <> x.hub AND y.doc_id <> y.hub AND {_may_link('x', 'y', percent)}"))
-        cross = materialise(cross.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"), "cross")
-        if not cross.isEmpty():
-            links = links.unionByName(materialise(_verified(cross, _texts(df, cross, key, text), n, percent), "links"))
-            found = components(links)
+    cross = materialise(_apart(placed.select("sig", "doc_id", "c"), small, df, key, text, n, percent).join(stars, ["a", "b"], "left_anti"), "cross")
+    if not cross.isEmpty():
+        links = links.unionByName(materialise(_verified(cross, _texts(df, cross, key, text), n, percent), "links"))
+        found = components(links)
 
     owner = classes.select("digest", "doc_id", "copies").join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").where("copies > 1 OR component IS NOT NULL")
     told = owner.select("digest", F.coalesce("component", "doc_id").alias("component"))

@@ -154,7 +154,7 @@ def train(df: DataFrame, per_lang: int = 400, key: str = "doc_id", text: str = "
         rows = [(i, g, grams(t).tobytes()) for i, t, g in zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True) if has_letter(t)]
         return pa.RecordBatch.from_pylist([dict(zip(("id", "lang", "x"), r, strict=True)) for r in rows], pa.schema([("id", pa.string()), ("lang", pa.string()), ("x", pa.binary())]))
 
-    rows = map_batches(chosen.select(F.col("id").cast("string").alias("id"), "text", "lang"), fn, "id string, lang string, x binary").limit(3 * per_lang * len(sizes)).collect()
+    rows = map_batches(chosen.select(F.col("id").cast("string").alias("id"), "text", "lang"), fn, "id string, lang string, x binary").orderBy(F.xxhash64("id", "x")).limit(3 * per_lang * len(sizes)).collect()
     if not rows:
         return None
     rows.sort(key=lambda r: (r.lang, r.id, bytes(r.x)))

@@ -10,10 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqweave.llm.common import join_small, shuffle_partitions
+from seqweave.llm.common import materialise, shuffle_partitions
 
 #: Terms of the distribution beyond the rate: the rest weighs less than 2**-53.
 TAIL = 40
+#: Terms of all sources' distributions together, 8 bytes each, that are broadcast at most; beyond, an ordinary join.
+MOST_TERMS = 2_000_000
 
 
 def uniform(*parts: Column) -> Column:
@@ -62,15 +64,19 @@ def mix(df: DataFrame, seed: str = "mix-1", alpha: float = 0.5, budget: float =
     names in df are replaced. A source of null is a source of its own; a text of
     null or the empty text has size 0 and follows its source's rate; repeated
     rows have one id, hence the same count each. No rows give no rows. A rate over
-    100,000 repetitions stops the job: weights that far off are a mistake.
+    100,000 repetitions stops the job: weights that far off are a mistake. Names
+    that begin with seqweave_ are kept for the operator.
     """
     extra = ["copy", "n_copies", "shuffle_key"]
     columns = [c for c in df.columns if c.lower() not in extra]
     size = F.coalesce(F.octet_length(text), F.lit(0))
     table = with_cdf(rates(df, source, size, alpha, budget, weights))
     table = table.select(F.coalesce("source", F.lit("\0null")).alias("_source"), F.when(F.col("rate") <= 100_000, F.col("cdf")).otherwise(F.raise_error(F.lit("rate over 100,000"))).alias("_cdf"))
-    drawn = join_small(df.select(*columns, F.coalesce(F.col(source), F.lit("\0null")).alias("_source"), uniform(F.lit(seed), F.col(key)).alias("_u")), table, ["_source"], how="inner")
-    copies = drawn.withColumn("n_copies", F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))).where("n_copies > 0")
+    table = materialise(table.withColumnRenamed("_source", "seqweave_source").withColumnRenamed("_cdf", "seqweave_cdf"), "rates")
+    if (table.agg(F.sum(F.size("seqweave_cdf"))).first()[0] or 0) <= MOST_TERMS:
+        table = F.broadcast(table)
+    drawn = df.select(*columns, F.coalesce(F.col(source), F.lit("\0null")).alias("seqweave_source"), uniform(F.lit(seed), F.col(key)).alias("seqweave_u")).join(table, "seqweave_source")
+    copies = drawn.withColumn("n_copies", F.size(F.filter("seqweave_cdf", lambda c: c <= F.col("seqweave_u")))).where("n_copies > 0")
     each = copies.withColumn("copy", F.explode(F.expr("sequence(0, n_copies - 1)")))
     mixed = each.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), F.coalesce(F.col(key).cast("string"), F.lit("\\N")), F.col("copy").cast("string")).cast("binary")))
     n = shuffle_partitions(df.sparkSession)

@@ -57,19 +57,21 @@ def shard(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int =
 
     Adds to the key: size (UTF-8 bytes of the text plus overhead), text_crc32,
     law ("key"), shard, slot and grown_shard (its shard if there were one more).
-    A text of null counts as empty; a key of null counts as 0; repeated rows get
+    Whole-number keys are hashed as they are, others by 64 bits of xxhash. A text of
+    null counts as empty; a key of null counts as 0; repeated rows get
     slots of their own in the same shard; no rows give no rows. The input's other
     columns are not looked at. Slots run from 0 without gaps within a shard: each
     shard is cut into cells by key, cells are counted, and a row's slot is its
     cell's offset plus its rank in the cell, so no shard is ever in one task.
     """
+    number = F.col(key).cast("long") if dict(df.dtypes)[key] in ("tinyint", "smallint", "int", "bigint") else F.when(F.col(key).isNotNull(), F.xxhash64(key))
     cells = max(64, -(-4 * shuffle_partitions(df.sparkSession) // shards))
     placed = df.select(
         F.col(key),
         (F.coalesce(F.octet_length(text), F.lit(0)) + overhead).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"),
         F.lit("key").alias("law"),
-        jump_hash(F.coalesce(F.col(key).cast("long"), F.lit(0)), shards).alias("_at"),
+        jump_hash(F.coalesce(number, F.lit(0)), shards).alias("_at"),
     ).select("*", F.col("_at.shard"), F.col("_at.grown_shard"), F.xxhash64(F.monotonically_increasing_id()).alias("_salt")).drop("_at")
     placed = materialise(placed, "placed").withColumn("_cell", F.pmod("_salt", F.lit(cells)))
     counts = placed.groupBy("shard", "_cell").agg(F.count("*").alias("_n"))

@@ -163,7 +163,7 @@ def learn(rows: list[np.ndarray], y: np.ndarray, buckets: np.ndarray, rank: int,
 
 
 def training_rows(df: DataFrame, labels: DataFrame, per_class: int, key: str, text: str, label: str) -> tuple[list[np.ndarray], np.ndarray, float]:
-    """Terms and labels of about per_class documents of either label, at most twice as many, and the log of the labels' sampling rates' ratio.
+    """Terms and labels of about per_class documents of either label, 8 * per_class rows at most, and the log of the labels' sampling rates' ratio.
 
     Documents that the fold holds out (crc32 of the id modulo 5 is 0) aren't used.
     The sample is by a hash of the id; its ids, bounded as they are, are broadcast.
@@ -173,20 +173,26 @@ def training_rows(df: DataFrame, labels: DataFrame, per_class: int, key: str, te
     scale = 1 << 30
     rates = [int(scale * min(1, per_class / sizes.get(y, 1))) for y in (0, 1)]
     rate = F.when(F.col("y") == 1, F.lit(rates[1])).otherwise(F.lit(rates[0]))
-    chosen = named.where(F.pmod(F.xxhash64("_id"), F.lit(scale)) < rate).limit(4 * per_class)
+    chosen = named.where(F.pmod(F.xxhash64("_id"), F.lit(scale)) < rate)
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [terms(t).astype(np.int32).tobytes() for t in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.binary())], ["id", "y", "terms"])
 
     docs = df.select(F.col(key).alias("_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "_id")
-    rows = map_batches(docs.select(F.col("_id").cast("string").alias("id"), "text", "y"), fn, "id string, y int, terms binary").limit(8 * per_class).collect()
+    rows = map_batches(docs.select(F.col("_id").cast("string").alias("id"), "text", "y"), fn, "id string, y int, terms binary").orderBy(F.xxhash64("id", "terms")).limit(8 * per_class).collect()
     rows.sort(key=lambda r: (r.id, bytes(r.terms)))
     return [np.frombuffer(r.terms, np.int32) for r in rows], np.array([r.y for r in rows], float), float(np.log(rates[1] / rates[0]))
 
 
 def train(df: DataFrame, labels: DataFrame, per_class: int = 6000, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Machine:
-    """Fits the machine on a bounded sample; classes are weighed back to their shares by the bias."""
+    """Fits the machine on a bounded sample of the documents with a label; the bias is put back to the labels' shares.
+
+    Labels of null, without an id or of a held-out document don't count; of several
+    labels of a document the highest does; rows that repeat a labelled id are rows of
+    the sample each, and of more than 8 * per_class of these those of the lowest hash
+    are taken. With no labels, or one kind only, the score is the same for every text.
+    """
     rows, y, over = training_rows(df, labels, per_class, key, text, label)
     return fit(rows, y, over=over)
 
@@ -207,7 +213,10 @@ def score(df: DataFrame, model: Machine, key: str = "doc_id", text: str = "text"
 
 
 def keep_civil(df: DataFrame, model: Machine, text: str = "text", limit: float = 0.5) -> DataFrame:
-    """The rows of df, all columns as they are, whose score is under the limit."""
+    """The rows of df, all columns as they are, whose score is under the limit.
+
+    An empty text, or one of null, is scored by the bias alone; no rows give no rows.
+    """
     place = df.columns.index(text)
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -17,7 +17,7 @@ import io
 import uuid
 import zlib
 from collections.abc import Iterator
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -52,10 +52,10 @@ def record(page_id: object, copy: int, url: str | None, payload: bytes, digest:
     lines = [
         "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id, digest, copy)}", f"WARC-Date: {DATE}",
         f"WARC-Target-URI: {quote(url if url else f'urn:page:{page_id}', safe=':/?#[]@!$&()*+,;=%~-._')}", "Content-Type: application/http; msgtype=response",
-        f"WARC-Block-Digest: {sha(block)}", f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {len(payload)}", *([f"X-Page-ID: {page_id}"] if page_id is not None else []),
+        f"WARC-Block-Digest: {sha(block)}", f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {len(payload)}", *([f"X-Page-ID: {quote(str(page_id), safe='-')}"] if page_id is not None else []),
     ]
     if revisit:
-        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to, digest, 0)}", f"X-Refers-To-Page-ID: {refers_to}"]
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to, digest, 0)}", f"X-Refers-To-Page-ID: {quote(str(refers_to), safe='-')}"]
     lines.append(f"Content-Length: {len(block)}")
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -229,7 +229,7 @@ def read(spark: SparkSession, directory: str, kind: str = "bigint", with_payload
     whole = pa.int64() if kind in ("bigint", "long") else pa.int32() if kind == "int" else pa.string()
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cast = (lambda v: v) if whole == pa.string() else int
+        cast = unquote if whole == pa.string() else int
         for batch in batches:
             for file, content, records, sha in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 data, n = content.as_buffer().to_pybytes(), 0
