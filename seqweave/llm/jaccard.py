@@ -41,8 +41,8 @@ HOT_COPIES = 16
 MOST_IDS = 1_000_000
 #: Cells in which signatures are counted; one with HEAT times the mean holds a hot signature.
 HEAT_CELLS, HEAT = 4096, 4
-#: Members up to which a torn group is compared as it is; larger ones are split by fresh partitions, so many times at most.
-CROWD, SPLITS = 64, 4
+#: Members up to which a torn group is compared as it is; larger ones are split by a fresh partition.
+CROWD = 64
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _S27, _S30, _S31 = np.uint64(27), np.uint64(30), np.uint64(31)
 
@@ -225,12 +225,12 @@ def _groups(flat: DataFrame) -> DataFrame:
     return found
 
 
-def _anew(texts: DataFrame, n: int, percent: int, split: int) -> DataFrame:
+def _anew(texts: DataFrame, n: int, percent: int) -> DataFrame:
     """(doc_id, fresh): signatures of each text's set under another partition of the hash range."""
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        scheme, salt = Scheme(percent), np.uint64(split) * _MIX2
-        sigs = [signatures(np.sort(mix64(shingle_set(t, n) + salt)), scheme).view(np.int64) for t in batch.column(1).to_pylist()]
+        scheme = Scheme(percent)
+        sigs = [signatures(np.sort(mix64(shingle_set(t, n) + _MIX2)), scheme).view(np.int64) for t in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sigs, pa.list_(pa.int64()))], ["doc_id", "fresh"])
 
     return map_batches(texts.select("doc_id", "text"), fn, "doc_id long, fresh array<long>")
@@ -249,19 +249,16 @@ def _apart(members: DataFrame, small: DataFrame, df: DataFrame, key: str, text:
     group is split by a fresh one, into groups of those that share a signature under
     both; whoever shares only what made the group large is apart then.
     """
-    found, torn = None, _torn(members)
-    for split in range(1, SPLITS + 2):
-        fine = torn if split > SPLITS else torn.where(f"size <= {CROWD}")
-        x = fine.select("sig", "doc_id", "c").join(small, "doc_id")
-        pairs = x.alias("x").join(x.alias("y"), F.expr(f"x.sig = y.sig AND x.doc_id < y.doc_id AND x.c <> y.c AND {_may_link('x', 'y', percent)}")).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
-        found = pairs if found is None else found.unionByName(pairs)
-        crowd = torn.where(f"size > {CROWD}")
-        if split > SPLITS or crowd.isEmpty():
-            return found.distinct()
+    torn = _torn(members)
+    crowd, fine = torn.where(f"size > {CROWD}"), torn.where(f"size <= {CROWD}").drop("size")
+    if not crowd.isEmpty():
         ids = crowd.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"))
-        fresh = materialise(_anew(_texts(df, ids, key, text), n, percent, split), "fresh")
-        torn = _torn(crowd.join(fresh, "doc_id").select("doc_id", "c", "sig", F.explode("fresh").alias("again")).select(F.xxhash64("sig", "again").alias("sig"), "doc_id", "c").distinct())
-    return found
+        fresh = materialise(_anew(_texts(df, ids, key, text), n, percent), "fresh")
+        split = crowd.join(fresh, "doc_id").select("doc_id", "c", "sig", F.explode("fresh").alias("again")).select(F.xxhash64("sig", "again").alias("sig"), "doc_id", "c")
+        fine = fine.unionByName(_torn(split).drop("size"))
+    x = fine.select("sig", "doc_id", "c").join(small, "doc_id")
+    pairs = x.alias("x").join(x.alias("y"), F.expr(f"x.sig = y.sig AND x.doc_id < y.doc_id AND x.c <> y.c AND {_may_link('x', 'y', percent)}"))
+    return pairs.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
 
 
 def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
@@ -278,7 +275,7 @@ def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", n:
     against the hub it shares most with, then, of the other hubs, against those that
     are still in another component. Last, members of one group that are still in
     different components are set against each other; groups of more than CROWD
-    members are split by fresh partitions before, again and again.
+    members are split by a fresh partition before.
     """
     prof = materialise(profiles(df, key, text, n, percent), "profiles")
     some = prof.where("n_shingles > 0 AND doc_id IS NOT NULL")
