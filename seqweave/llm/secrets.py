@@ -85,7 +85,7 @@ def _surprise(z: Column) -> Column:
 def battery(value: str = "value") -> dict[str, Column]:
     """Columns for the token column `value`, each of which may use those before it.
 
-    encoding, plain (the string over the encoding's alphabet), tally (how often each
+    encoding, plain (the string over the encoding's alphabet, without up to two signs of padding), tally (how often each
     letter stands there), z_chi, z_runs, z_serial and evidence. z_chi grows with the
     chi-squared statistic. Where letters are expected five times or more it is Wilson
     and Hilferty's. Where they are rarer that isn't valid; the statistic is then a
@@ -97,7 +97,7 @@ def battery(value: str = "value") -> dict[str, Column]:
     encoding = reduce(lambda rest, k: F.when(F.col(value).rlike(ALPHABETS[k][0]), F.lit(k)).otherwise(rest), known, F.lit("base64"))
     by = lambda f: reduce(lambda rest, k: F.when(F.col("encoding") == k, f(ALPHABETS[k][1])).otherwise(rest), known, f(ALPHABETS["base64"][1]))
     low = F.when(F.col("encoding").isin("hex", "letters"), F.lower(value)).otherwise(F.col(value))
-    plain = F.translate(F.regexp_replace(low, "=+$", ""), "-_=", "+//")
+    plain = F.translate(F.regexp_replace(low, "={1,2}$", ""), "-_=", "+//")
     n, size = F.length("plain").cast("double"), by(lambda a: F.lit(float(len(a))))
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda acc, v: acc + v)
     tally = F.transform(by(lambda a: F.array(*[F.lit(c) for c in a])), lambda c: (F.length("plain") - F.length(F.replace(F.col("plain"), c, F.lit("")))).cast("double"))
