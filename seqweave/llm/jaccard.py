@@ -41,8 +41,9 @@ HOT_COPIES = 16
 MOST_IDS = 1_000_000
 #: Cells in which signatures are counted; one with HEAT times the mean holds a hot signature.
 HEAT_CELLS, HEAT = 4096, 4
-#: Members up to which a torn group is compared as it is; larger ones are split by a fresh partition.
-CROWD = 64
+#: Members up to which a torn group is compared as it is, 8 million cheap comparisons at most. Larger ones are split by a fresh partition, which costs
+#: about 200 rows a member, whatever the group's size.
+CROWD = 4096
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _S27, _S30, _S31 = np.uint64(27), np.uint64(30), np.uint64(31)
 
