@@ -7,16 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqweave.functions.exprs import bigrams, ngrams, ratio, tokens, top_per
-from seqweave.operators.measures import symbol_counts
+from seqweave.functions.exprs import bigrams, keeper, ngrams, ratio, tokens, top_per
+from seqweave.operators.measures import symbol_counts, with_totals
 
 
 def pmi(seq: DataFrame, by: list[str], min_count: int = 2, over: str = "bigrams", log: Callable[[Column], Column] = F.log2) -> DataFrame:
     """log p(ab) / (p(a) p(b)); p(ab) over bigrams or tokens, p(a) over tokens. The shuffles are on counts, not on the corpus."""
     pairs = bigrams(seq.select(*by, "symbols")).groupBy(*by, "a", "b").agg(F.count("*").alias("cnt"))
     uni = symbol_counts(seq, by)
-    totals = uni.groupBy(*by).agg(F.sum("cnt").alias("tokens")).join(pairs.groupBy(*by).agg(F.sum("cnt").alias("bigrams")), by)
-    j = pairs.where(F.col("cnt") >= min_count).join(uni.select(*by, F.col("sym").alias("a"), F.col("cnt").alias("ca")), [*by, "a"]).join(uni.select(*by, F.col("sym").alias("b"), F.col("cnt").alias("cb")), [*by, "b"]).join(totals, by)
+    totals = with_totals(uni.groupBy(*by).agg(F.sum("cnt").alias("tokens")), pairs.groupBy(*by).agg(F.sum("cnt").alias("bigrams")), by)
+    j = pairs.where(F.col("cnt") >= min_count).join(uni.select(*by, F.col("sym").alias("a"), F.col("cnt").alias("ca")), [*by, "a"]).join(uni.select(*by, F.col("sym").alias("b"), F.col("cnt").alias("cb")), [*by, "b"])
+    j = with_totals(j, totals, by)
     return j.withColumn("pmi", log(F.col("cnt") / F.col(over) / (F.col("ca") / F.col("tokens") * F.col("cb") / F.col("tokens"))))
 
 
@@ -28,14 +29,19 @@ def followers(seq: DataFrame, by: list[str], k: int = 10) -> DataFrame:
 
 
 def trigram_surplus(seq: DataFrame, by: list[str], least3: int = 3) -> DataFrame:
-    """ln p(abc) / (p(ab) p(c)) in nats."""
-    s = seq.select(*by, "symbols")
-    t3 = ngrams(s, 3, joined=False).groupBy(*by, "gram").agg(F.count("*").alias("c3"))
-    t2 = bigrams(s).groupBy(*by, "a", "b").agg(F.count("*").alias("c2"))
-    uni = symbol_counts(seq, by)
-    n = t3.groupBy(*by).agg(F.sum("c3").alias("n3")).join(t2.groupBy(*by).agg(F.sum("c2").alias("n2")), by).join(uni.groupBy(*by).agg(F.sum("cnt").alias("n1")), by)
-    x = t3.where(F.col("c3") >= least3).select(*by, F.get("gram", F.lit(0)).alias("a"), F.get("gram", F.lit(1)).alias("b"), F.get("gram", F.lit(2)).alias("c"), "c3")
-    j = x.join(t2, [*by, "a", "b"]).join(uni.select(*by, F.col("sym").alias("c"), F.col("cnt").alias("c1")), [*by, "c"]).join(n, by)
+    """ln p(abc) / (p(ab) p(c)) in nats.
+
+    1-, 2- and 3-grams are counted in one pass over the corpus and stored once,
+    with n-grams as columns a, b, c, so joins and totals read counts alone.
+    """
+    size = F.size("symbols")
+    get = lambda i: F.try_element_at("symbols", i)
+    gram = lambda i: F.array(F.struct(get(i).alias("a"), F.lit(None).cast("string").alias("b"), F.lit(None).cast("string").alias("c")), F.struct(get(i).alias("a"), get(i + 1).alias("b"), F.lit(None).cast("string").alias("c")), F.struct(get(i).alias("a"), get(i + 1).alias("b"), get(i + 2).alias("c")))
+    each = seq.where(size > 0).select(*by, F.explode(F.flatten(F.transform(F.sequence(F.lit(1), size), lambda i: F.slice(gram(i), F.lit(1), F.least(F.lit(3), size - i + 1))))).alias("g"))
+    counts = keeper(seq)(each.groupBy(*by, "g.a", "g.b", "g.c").agg(F.count("*").alias("cnt")))
+    t1, t2, t3 = counts.where("b IS NULL").select(*by, F.col("a").alias("c"), F.col("cnt").alias("c1")), counts.where("b IS NOT NULL AND c IS NULL").select(*by, "a", "b", F.col("cnt").alias("c2")), counts.where("c IS NOT NULL").select(*by, "a", "b", "c", F.col("cnt").alias("c3"))
+    n = counts.groupBy(*by).agg(*[F.sum(F.when(k, F.col("cnt"))).alias(f"n{i}") for i, k in ((1, F.col("b").isNull()), (2, F.col("b").isNotNull() & F.col("c").isNull()), (3, F.col("c").isNotNull()))])
+    j = with_totals(t3.where(F.col("c3") >= least3).join(t2, [*by, "a", "b"]).join(t1, [*by, "c"]), n, by)
     return j.withColumn("surplus", F.ln(F.col("c3") / F.col("n3") / (F.col("c2") / F.col("n2") * F.col("c1") / F.col("n1"))))
 
 
@@ -143,7 +149,7 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(sym, cluster): the least symbol reachable. Labels spread and jump each round; each round is cut by a reliable checkpoint where the session has a folder for it."""
     both = edges.select("x", "y").unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct()
     label = nodes.select("sym", F.col("sym").alias("cluster"))
-    keep = (lambda d: d.checkpoint()) if edges.sparkSession.sparkContext.getCheckpointDir() else (lambda d: d.persist())
+    keep = keeper(edges)
     both = keep(both)
     while True:
         near = both.join(label.withColumnRenamed("sym", "y"), "y").groupBy("x").agg(F.min("cluster").alias("low"))
@@ -155,14 +161,21 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         label = new.select("sym", "cluster")
 
 
-def label_propagation(edges: DataFrame, by_weight: str = "weight", rounds: int = 5) -> DataFrame:
-    """Communities by synchronous label propagation: each node takes the label of most weight around it, the least symbol on ties."""
-    both = edges.where("a <> b").select("a", "b", by_weight).unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), by_weight))
+def label_propagation(edges: DataFrame, by_weight: str = "weight", rounds: int = 20) -> DataFrame:
+    """Communities by synchronous label propagation: each node takes the label of most weight around it, the least symbol on ties.
+
+    Until no label changes, or so many rounds.
+    """
+    keep = keeper(edges)
+    both = keep(edges.where("a <> b").select("a", "b", by_weight).unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), by_weight)))
     label = both.select(F.col("a").alias("sym")).distinct().withColumn("label", F.col("sym"))
     for _ in range(rounds):
         votes = both.join(label.withColumnRenamed("sym", "b"), "b").groupBy("a", "label").agg(F.sum(by_weight).alias("w"))
         best = votes.groupBy("a").agg(F.min(F.struct((-F.col("w")).alias("nw"), "label")).alias("m"))
-        label = best.select(F.col("a").alias("sym"), F.col("m.label").alias("label"))
+        new = keep(best.select(F.col("a").alias("sym"), F.col("m.label").alias("label")))
+        if new.join(label, ["sym", "label"], "left_anti").isEmpty():
+            return new
+        label = new
     return label
 
 
@@ -191,7 +204,7 @@ def betweenness(edges: DataFrame) -> DataFrame:
     Rows are (source, symbol) with depth by depth the counts of shortest paths; the
     way back sums up the shares. Each round is cut as in components.
     """
-    keep = (lambda d: d.checkpoint()) if edges.sparkSession.sparkContext.getCheckpointDir() else (lambda d: d.persist())
+    keep = keeper(edges)
     both = keep(edges.where("a <> b").select("a", "b").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     levels = [both.select(F.col("a").alias("s"), F.col("a").alias("v"), F.lit(1.0).alias("paths")).distinct()]
     while True:

@@ -5,33 +5,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqweave.functions.exprs import join_small
 
-def stratum_pairs(counts: DataFrame, by: str) -> DataFrame:
-    """All pairs of strata (x < y) over the symbols of either: (x, y, sym, cx, cy), 0 where one lacks it.
 
-    Strata are few (a metadata column's values) and known to be so by a check; a
-    symbol's counts are gathered in one row, a map over the strata.
+def stratum_pairs(counts: DataFrame, by: str, keys: list[str] = []) -> DataFrame:  # noqa: B006
+    """All pairs of strata (x < y) over the symbols of either: (keys, x, y, sym, cx, cy), 0 where one lacks it.
+
+    A symbol's counts are gathered in one row, a map over its strata; it meets the
+    pairs of strata that hold it on either side. Strata are few, the values of a
+    metadata column; pairs of more of them than a broadcast takes are joined.
+    """
+    known = counts.where(F.col(by).isNotNull())
+    names = known.select(F.col(by).alias("y")).distinct()
+    per_symbol = known.groupBy(*keys, "sym").agg(F.map_from_entries(F.collect_list(F.struct(by, "cnt"))).alias("m"))
+    # a stratum that holds the symbol against every other: each pair once, by the smaller of those that hold it
+    met = join_small(per_symbol.select(*keys, "sym", "m", F.explode(F.map_keys("m")).alias("x"), F.lit(1).alias("k")), names.withColumn("k", F.lit(1)), ["k"], "inner", 1000)
+    once = met.where((F.col("x") < F.col("y")) | ((F.col("y") < F.col("x")) & ~F.map_contains_key("m", F.col("y"))))
+    count = lambda c: F.coalesce(F.try_element_at("m", c), F.lit(0)).cast("double")
+    low, high = F.least("x", "y"), F.greatest("x", "y")
+    return once.select(*keys, low.alias("x"), high.alias("y"), "sym", count(low).alias("cx"), count(high).alias("cy"))
+
+
+def divergences(pairs: DataFrame, smoothing: float = 0.0, epsilon: float = 0.0) -> DataFrame:
+    """KL both ways and JS in bits; without smoothing KL sums only symbols that both have.
+
+    smoothing is added to counts; epsilon to shares, which are then scaled to 1.
+    Totals are aggregated and joined back, a row for each pair of strata.
     """
-    names = [r[0] for r in counts.where(F.col(by).isNotNull()).select(by).distinct().orderBy(by).limit(1001).collect()]
-    if len(names) > 1000:
-        raise ValueError("more than 1000 strata")
-    per_symbol = counts.where(F.col(by).isNotNull()).groupBy("sym").agg(F.map_from_entries(F.collect_list(F.struct(by, "cnt"))).alias("m"))
-    pairs = [(x, y) for i, x in enumerate(names) for y in names[i + 1 :]]
-    listed = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in pairs]) if pairs else F.array().cast("array<struct<x:string,y:string>>")
-    rows = per_symbol.select("sym", "m", F.explode(listed).alias("p"))
-    count = lambda k: F.coalesce(F.try_element_at("m", F.col(k)), F.lit(0)).cast("double")
-    return rows.select("p.x", "p.y", "sym", count("p.x").alias("cx"), count("p.y").alias("cy")).where("cx > 0 OR cy > 0")
-
-
-def divergences(pairs: DataFrame, smoothing: float = 0.0) -> DataFrame:
-    """KL both ways and JS in bits; without smoothing KL sums only symbols that both have."""
-    w = Window.partitionBy("x", "y")
-    p = pairs.withColumn("v", F.count("*").over(w)).withColumn("nx", F.sum("cx").over(w)).withColumn("ny", F.sum("cy").over(w))
-    share = lambda c, n: (F.col(c) + smoothing) / (F.col(n) + smoothing * F.col("v"))
-    p = p.withColumn("p", share("cx", "nx")).withColumn("q", share("cy", "ny"))
+    keys = [c for c in pairs.columns if c not in ("sym", "cx", "cy")]
+    totals = pairs.groupBy(*keys).agg(F.count("*").alias("v"), F.sum("cx").alias("nx"), F.sum("cy").alias("ny"))
+    share = lambda c, n: ((F.col(c) + smoothing) / (F.col(n) + smoothing * F.col("v")) + epsilon) / (1 + epsilon * F.col("v"))
+    p = join_small(pairs, totals, keys, "inner").withColumn("p", share("cx", "nx")).withColumn("q", share("cy", "ny"))
     term = lambda a, b: F.when((a > 0) & (b > 0), a * F.log2(a / F.nullif(b, F.lit(0.0)))).otherwise(0.0)
     mid = (F.col("p") + F.col("q")) / 2
-    return p.groupBy("x", "y").agg(F.sum(term(F.col("p"), F.col("q"))).alias("kl"), F.sum(term(F.col("q"), F.col("p"))).alias("kl_back"), F.sum(0.5 * term(F.col("p"), mid) + 0.5 * term(F.col("q"), mid)).alias("js"))
+    return p.groupBy(*keys).agg(F.sum(term(F.col("p"), F.col("q"))).alias("kl"), F.sum(term(F.col("q"), F.col("p"))).alias("kl_back"), F.sum(0.5 * term(F.col("p"), mid) + 0.5 * term(F.col("q"), mid)).alias("js"))
 
 
 def overlaps(pairs: DataFrame) -> DataFrame:
@@ -47,17 +54,22 @@ def class_stability(classed: DataFrame, by: str) -> DataFrame:
     return g.where("sites >= 2").withColumn("stable", F.col("classes") == 1)
 
 
-def nearest(measures: DataFrame, key: str, columns: list[str], reference: DataFrame, k: int = 3) -> DataFrame:
-    """Nearest reference rows by Euclidean distance over min-max scaled columns. The reference is checked to be small before it is broadcast."""
-    if reference.limit(10_001).count() > 10_000:
-        raise ValueError("more than 10,000 reference rows")
+def nearest(measures: DataFrame, key: str, columns: list[str], reference: DataFrame, k: int = 3, weights: list[float] | None = None, metric: str = "euclidean") -> DataFrame:
+    """Nearest reference rows by weighted Euclidean distance over min-max scaled columns, or by 1 - cosine of the columns as they are.
+
+    Each row meets each reference row; the k best of a key are kept by aggregation.
+    """
     both = reference.agg(*[F.min(c).alias(f"lo_{c}") for c in columns], *[F.max(c).alias(f"hi_{c}") for c in columns])
-    r = reference.select(F.col(key).alias("ref"), *[F.col(c).alias(f"r_{c}") for c in columns])
-    scaled = lambda c, v: F.when(F.col(f"hi_{c}") > F.col(f"lo_{c}"), (v - F.col(f"lo_{c}")) / (F.col(f"hi_{c}") - F.col(f"lo_{c}"))).otherwise(0.0)
-    d = sum((F.pow(scaled(c, F.col(c)) - scaled(c, F.col(f"r_{c}")), F.lit(2.0)) for c in columns), F.lit(0.0))
-    j = measures.select(key, *columns).join(F.broadcast(both)).join(F.broadcast(r), F.col(key) != F.col("ref"))
-    w = Window.partitionBy(key).orderBy("distance", "ref")
-    return j.withColumn("distance", F.round(F.sqrt(d), 9)).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(key, "ref", "distance", "rank")
+    r = reference.select(F.col(key).alias("ref"), *[F.col(c).alias(f"r_{c}") for c in columns], F.lit(1).alias("one"))
+    if metric == "euclidean":
+        scaled = lambda c, v: F.when(F.col(f"hi_{c}") > F.col(f"lo_{c}"), (v - F.col(f"lo_{c}")) / (F.col(f"hi_{c}") - F.col(f"lo_{c}"))).otherwise(0.0)
+        d = F.sqrt(sum((w * F.pow(scaled(c, F.col(c)) - scaled(c, F.col(f"r_{c}")), F.lit(2.0)) for c, w in zip(columns, weights or [1.0] * len(columns), strict=True)), F.lit(0.0)))
+    else:
+        dot = lambda a, b: sum((F.col(a.format(c)) * F.col(b.format(c)) for c in columns), F.lit(0.0))
+        d = 1 - dot("{0}", "r_{0}") / F.sqrt(dot("{0}", "{0}") * dot("r_{0}", "r_{0}"))
+    j = join_small(measures.select(key, *columns, F.lit(1).alias("one")).crossJoin(F.broadcast(both)), r, ["one"], "inner", 10_000).where(F.col(key) != F.col("ref"))
+    best = j.groupBy(key).agg(F.slice(F.array_sort(F.collect_list(F.struct(F.round(d, 9).alias("distance"), "ref"))), 1, k).alias("b"))  # a key's references, 10,000 or so
+    return best.select(key, F.posexplode("b").alias("i", "b")).select(key, "b.ref", "b.distance", (F.col("i") + 1).alias("rank"))
 
 
 def slot_divergence(seq: DataFrame, by: list[str]) -> DataFrame:
@@ -83,9 +95,8 @@ def catalogue(df: DataFrame, dims: list[str]) -> DataFrame:
 
 def chi_square(table: DataFrame, row: str, col: str, cnt: str = "cnt") -> DataFrame:
     """Chi-squared statistic and degrees of freedom of a contingency table, and Cramer's V; cells of 0 count by their margins."""
-    n = Window.partitionBy(F.lit(1))
     rows, cols = table.groupBy(row).agg(F.sum(cnt).alias("r")), table.groupBy(col).agg(F.sum(cnt).alias("c"))
-    x = table.join(rows, row).join(cols, col).withColumn("n", F.sum(cnt).over(n))
+    x = table.join(rows, row).join(cols, col).crossJoin(F.broadcast(table.agg(F.sum(cnt).alias("n"))))
     # sum of (o - e)^2 / e over all cells = n (sum of o^2 / (r c) - 1)
     s = x.agg((F.first("n") * (F.sum(F.col(cnt) * F.col(cnt) / (F.col("r") * F.col("c"))) - 1)).alias("chi2"), F.first("n").alias("n"))
     dims = rows.agg(F.count("*").alias("nr")).join(cols.agg(F.count("*").alias("nc")))
@@ -93,6 +104,13 @@ def chi_square(table: DataFrame, row: str, col: str, cnt: str = "cnt") -> DataFr
     return out.withColumn("cramers_v", F.sqrt(F.col("chi2") / (F.col("n") * F.least(F.col("nr") - 1, F.col("nc") - 1))))
 
 
+def enrichment(table: DataFrame, stratum: str, hit: str, cnt: str = "cnt") -> DataFrame:
+    """Share of hits in each stratum over that of all: (stratum, n, hits, enrichment)."""
+    g = table.groupBy(stratum).agg(F.sum(cnt).alias("n"), F.sum(F.when(F.col(hit), F.col(cnt)).otherwise(0)).alias("hits"))
+    t = g.agg((F.sum("hits") / F.sum("n")).alias("share"))
+    return g.crossJoin(F.broadcast(t)).select(stratum, "n", "hits", F.when(F.col("share") > 0, F.col("hits") / F.col("n") / F.col("share")).otherwise(0.0).alias("enrichment"))
+
+
 def interval(mean: Column, sd: Column, n: Column) -> tuple[Column, Column]:
     """The normal 95 % interval of a mean."""
     half = 1.96 * sd / F.sqrt(n)

@@ -38,6 +38,14 @@ def tally(items: DataFrame, dims: list[str]) -> DataFrame:
     return x.groupBy("d.dim", "d.value").agg(F.count("*").alias("n"))
 
 
+def tally_listed(items: DataFrame, dims: list[str], listed: str) -> DataFrame:
+    """The tally with one more dimension, an array whose values count one by one; items without any count as '(unknown)'."""
+    each = lambda d: F.array(F.struct(F.lit(d).alias("dim"), F.coalesce(F.col(d).cast("string"), F.lit("(unknown)")).alias("value")))
+    named = F.when(F.size(F.coalesce(listed, F.array())) > 0, F.col(listed)).otherwise(F.array(F.lit("(unknown)")))
+    several = F.transform(named, lambda v: F.struct(F.lit(listed).alias("dim"), F.coalesce(v, F.lit("(unknown)")).alias("value")))
+    return items.select(F.explode(F.concat(*[each(d) for d in dims], several)).alias("d")).groupBy("d.dim", "d.value").agg(F.count("*").alias("n"))
+
+
 def topic_matches(items: DataFrame, topics: list[tuple[str, list[str], list[str]]], text: str) -> DataFrame:
     """(item columns, topic): any keyword and no exclusion, in the lower-cased text."""
     low = F.lower(F.col(text))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqweave.functions.exprs import bigrams, tokens, top_per
+from seqweave.functions.exprs import bigrams, ngrams, tokens
+from seqweave.operators.measures import stream_ngram_counts, with_totals
 
 START, END, FLOOR = "<BOW>", "<EOW>", 1e-8
 
@@ -25,6 +26,44 @@ def model(seq: DataFrame, by: list[str]) -> DataFrame:
     return c.withColumn("p", F.col("cnt") / F.sum("cnt").over(Window.partitionBy(*by, "kind", "given"))).select(*by, "kind", "gram", "cnt", "p")
 
 
+def stream_model(seq: DataFrame, by: list[str], order: str = "seq_id") -> DataFrame:
+    """(by, n, gram, cnt, p): bigrams and trigrams of the flat stream of each group, p over all of their length."""
+    c = stream_ngram_counts(seq, 1, 3, by, order)
+    return with_totals(c, c.groupBy(*by, "n").agg(F.sum("cnt").alias("total")), [*by, "n"]).select(*by, "n", "gram", "cnt", (F.col("cnt") / F.col("total")).alias("p"))
+
+
+def score_stream(seq: DataFrame, model_: DataFrame, least_tokens: int = 1000) -> DataFrame:
+    """Log-likelihood of each sequence's own pairs under a stream model; with .1 of its triples' if the model has enough tokens."""
+    grams_ = ngrams(seq.select("seq_id", "symbols"), 2, 3).select("seq_id", "n", "gram")
+    j = grams_.join(model_.select("n", "gram", "p"), ["n", "gram"], "left").withColumn("lp", F.ln(F.coalesce("p", F.lit(FLOOR))))
+    g = j.groupBy("seq_id").agg(F.sum(F.when(F.col("n") == 2, F.col("lp")).otherwise(0.0)).alias("two"), F.sum(F.when(F.col("n") == 3, F.col("lp")).otherwise(0.0)).alias("three"), F.max("n").alias("most"))
+    size = model_.where("n = 1").agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("size"))
+    g = g.crossJoin(F.broadcast(size))  # one row
+    return g.select("seq_id", F.when((F.col("size") >= least_tokens) & (F.col("most") > 2), 0.9 * F.col("two") + 0.1 * F.col("three")).otherwise(F.col("two")).alias("ll"))
+
+
+def word_statistics(seq: DataFrame, by: list[str]) -> DataFrame:
+    """Pairs within sequences and the share of them that repeat a symbol."""
+    p = bigrams(seq.select(*by, "symbols"))
+    return p.groupBy(*by).agg(F.count("*").alias("pairs"), F.avg(F.when(F.col("a") == F.col("b"), 1.0).otherwise(0.0)).alias("repeat_rate"))
+
+
+def together(seq: DataFrame, by: list[str]) -> DataFrame:
+    """(by, a, b, p): the share of sequences of two symbols or more that hold both a < b."""
+    s = seq.where("size(symbols) >= 2").select(*by, F.array_sort(F.array_distinct("symbols")).alias("u"))
+    pairs = F.flatten(F.transform("u", lambda x, i: F.transform(F.slice("u", i + 2, F.size("u")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    c = s.select(*by, F.explode(pairs).alias("p")).groupBy(*by, "p.a", "p.b").agg(F.count("*").alias("cnt"))
+    return with_totals(c, s.groupBy(*by).agg(F.count("*").alias("n")), by).select(*by, "a", "b", (F.col("cnt") / F.col("n")).alias("p"))
+
+
+def positional(seq: DataFrame, by: list[str]) -> DataFrame:
+    """Shares of initial, medial and terminal places of each symbol in sequences of two or more."""
+    t = tokens(seq.where("size(symbols) >= 2").select(*by, "symbols"))
+    n = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
+    first, last = F.col("pos") == 0, F.col("pos") == F.col("len") - 1
+    return t.groupBy(*by, "sym").agg(n(first).alias("initial"), n(~first & ~last).alias("medial"), n(last).alias("terminal"))
+
+
 def score(seq: DataFrame, lm: DataFrame) -> DataFrame:
     """Log-likelihood of each sequence with its bounds: sum of ln p, unseen pairs at the floor."""
     pairs = bigrams(bounded(seq.select("seq_id", "symbols"))).select("seq_id", F.concat_ws(" ", "a", "b").alias("gram"))
@@ -91,8 +130,6 @@ def clipped_recall(hypothesis: DataFrame, reference: DataFrame) -> DataFrame:
 
 def substring_matches(seq: DataFrame, vocabulary: DataFrame, least: int = 2, most: int = 5) -> DataFrame:
     """Vocabulary words (symbols joined by spaces) met as substrings of sequences: counts."""
-    from seqweave.functions.exprs import ngrams
-
     return ngrams(seq.select("symbols"), least, most).groupBy("gram").agg(F.count("*").alias("cnt")).join(vocabulary.select(F.col("word").alias("gram")).distinct(), "gram")
 
 
@@ -112,5 +149,3 @@ def class_runs(seq: DataFrame, classes: DataFrame, cut: int = 6, least: int = 2)
     g = t.groupBy("seq_id", "run", "part", "class").agg(F.min("pos").alias("start"), F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sym"))), lambda x: x["sym"]), " ").alias("word"))
     return g.where(F.col("n") >= least).select("seq_id", "class", "start", "n", "word")
 
-
-_ = top_per

@@ -7,18 +7,22 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqweave.functions.exprs import bigrams, entropy, ngrams, ranked, ratio, tokens
+from seqweave.functions.exprs import bigrams, entropy, join_small, ngrams, ranked, ratio, tokens
 
 
 def symbol_counts(seq: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
     return seq.select(*by, F.explode("symbols").alias("sym")).groupBy(*by, "sym").agg(F.count("*").alias("cnt"))
 
 
+def with_totals(rows: DataFrame, totals: DataFrame, by: list[str]) -> DataFrame:
+    """rows with the totals of their group; without groups the one row of totals is attached to all."""
+    return join_small(rows, totals, by, "inner") if by else rows.crossJoin(F.broadcast(totals))
+
+
 def frequency(seq: DataFrame, by: list[str], min_count: int = 1) -> DataFrame:
     """Counts of symbols of at least min_count; total_tokens is counted before that filter."""
     counts = symbol_counts(seq, by)
-    total = F.sum("cnt").over(Window.partitionBy(*by)) if by else F.sum("cnt").over(Window.partitionBy(F.lit(1)))
-    return counts.withColumn("total_tokens", total).where(F.col("cnt") >= min_count)
+    return with_totals(counts, counts.groupBy(*by).agg(F.sum("cnt").alias("total_tokens")), by).where(F.col("cnt") >= min_count)
 
 
 def rank_frequency(seq: DataFrame, by: list[str]) -> DataFrame:
@@ -101,7 +105,8 @@ def conditional_by_difference(blocks: DataFrame, by: list[str]) -> DataFrame:
 def conditional_by_rows(seq: DataFrame, by: list[str]) -> DataFrame:
     """H(B|A): entropies of the followers of a, weighed by a's share of all tokens."""
     rows = entropy(bigrams(seq.select(*by, "symbols")).groupBy(*by, "a", "b").agg(F.count("*").alias("cnt")), [*by, "a"])
-    uni = symbol_counts(seq, by).withColumn("total", F.sum("cnt").over(Window.partitionBy(*by)))
+    uni = symbol_counts(seq, by)
+    uni = with_totals(uni, uni.groupBy(*by).agg(F.sum("cnt").alias("total")), by)
     j = rows.select(*by, F.col("a").alias("sym"), "h").join(uni, [*by, "sym"])
     return j.groupBy(*by).agg(F.sum(F.col("cnt") / F.col("total") * F.col("h")).alias("h_cond"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqweave.functions.exprs import bigrams, ratio, tokens, top_per
+from seqweave.operators.measures import with_totals
 
 
 def _n(cond: Column) -> Column:
@@ -165,4 +166,4 @@ def grammar_r2(classed: DataFrame, by: list[str]) -> DataFrame:
     within = classed.groupBy(*by, "class").agg(F.count("*").alias("n"), *[F.var_pop(c).alias(c) for c in ("i_rate", "t_rate")])
     w = within.groupBy(*by).agg(F.sum(F.col("n") * (F.col("i_rate") + F.col("t_rate"))).alias("within"))
     t = classed.groupBy(*by).agg((F.count("*") * (F.var_pop("i_rate") + F.var_pop("t_rate"))).alias("total"))
-    return w.join(t, by).select(*by, F.when(F.col("total") > 0, 1 - F.col("within") / F.col("total")).otherwise(0.0).alias("r2"))
+    return with_totals(w, t, by).select(*by, F.when(F.col("total") > 0, 1 - F.col("within") / F.col("total")).otherwise(0.0).alias("r2"))

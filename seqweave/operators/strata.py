@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqweave.functions.exprs import bigrams, entropy, ngrams, ratio, tokens, top_per
+from seqweave.functions.exprs import bigrams, entropy, keeper, ngrams, ratio, tokens
 from seqweave.operators import measures as m
 from seqweave.operators import positions as p
-from seqweave.operators.transforms import recode
+from seqweave.operators.transforms import hashed
 
 
 def variant_stats(seq: DataFrame, variants: DataFrame) -> DataFrame:
@@ -25,21 +25,26 @@ def map_rate(seq: DataFrame, mapping: DataFrame, by: list[str]) -> DataFrame:
     return c.groupBy(*by).agg(F.sum("cnt").alias("tokens"), (F.sum(F.when(F.col("known") == 1, F.col("cnt")).otherwise(0)) / F.sum("cnt")).alias("map_rate"))
 
 
-def drawn_from_frequencies(seq: DataFrame, seed: str) -> DataFrame:
+def drawn_from_frequencies(seq: DataFrame, seed: str, width: int = 64, block: int = 1 << 16) -> DataFrame:
     """An i.i.d. control with the sequences' lengths: each token is drawn by a hash from the cumulative frequencies.
 
-    The intervals are one array (as long as the vocabulary, checked to be within
-    100,000 symbols), and a token finds its own by counting the bounds under its number.
+    Symbols have intervals of the numbers from 0 to the corpus's tokens; a token's
+    number is looked up in cells of so many numbers, which intervals are cut into
+    in two steps. No task holds the vocabulary, and no symbol is an array of its cells.
     """
-    c = m.symbol_counts(seq)
-    if c.limit(100_001).count() > 100_000:
-        raise ValueError("more than 100,000 symbols")
-    w = Window.orderBy("sym").rowsBetween(Window.unboundedPreceding, 0)  # the checked vocabulary alone
-    x = c.withColumn("upto", F.sum("cnt").over(w))
-    v = x.agg(F.array_sort(F.collect_list(F.struct("upto", "sym"))).alias("_v"), F.sum("cnt").alias("_n"))
-    u = lambda i: F.floor(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("seq_id").cast("string"), i.cast("string")).cast("binary")), 1, 12), 16, 10).cast("double") / float(1 << 48) * F.col("_n"))
-    pick = lambda s, i: F.get(F.filter("_v", lambda b: b["upto"] > u(i)), F.lit(0))["sym"]
-    return seq.join(F.broadcast(v)).withColumn("symbols", F.transform("symbols", pick)).drop("_v", "_n")
+    c = m.symbol_counts(seq).withColumn("_p", F.substring("sym", 1, 2))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cells = c.groupBy("_p").agg(F.sum("cnt").alias("_n")).select("_p", before.alias("_b"))
+    upto = F.col("_b") + F.sum("cnt").over(Window.partitionBy("_p").orderBy("sym").rowsBetween(Window.unboundedPreceding, 0))
+    v = c.join(cells, "_p").select("sym", "cnt", upto.alias("upto")).withColumn("low", F.col("upto") - F.col("cnt"))
+    first, last = F.floor(F.col("low") / width), F.floor((F.col("upto") - 1) / width)
+    v = v.withColumn("k", F.explode(F.sequence(first, last, F.lit(block).cast("long")))).withColumn("cell", F.explode(F.sequence(F.col("k"), F.least(F.col("k") + block - 1, last))))
+    n = c.agg(F.sum("cnt").alias("_n"))
+    number = F.floor(F.conv(F.substring(hashed(seed, F.col("seq_id"), F.col("pos")), 1, 12), 16, 10).cast("double") / float(1 << 48) * F.col("_n"))
+    t = tokens(seq.select("seq_id", "symbols")).select("seq_id", "pos").crossJoin(F.broadcast(n)).withColumn("u", number).withColumn("cell", F.floor(F.col("u") / width))
+    found = t.join(v.select("cell", "low", "upto", "sym"), "cell").where("low <= u AND u < upto")
+    x = found.groupBy("seq_id").agg(F.array_sort(F.collect_list(F.struct("pos", "sym"))).alias("x")).select("seq_id", F.col("x.sym").alias("symbols"))
+    return seq.drop("symbols").join(x, "seq_id")
 
 
 def shuffled_letters(df: DataFrame, word: str, seed: str) -> DataFrame:
@@ -56,18 +61,38 @@ def signature(seq: DataFrame, by: list[str]) -> DataFrame:
     return uni.join(z, by).join(e, by)
 
 
-def fingerprint(seq: DataFrame, by: list[str]) -> DataFrame:
-    """Structural dimensions: entropies, Zipf slope, type-token and hapax shares, positional entropy, mean length, boundary bias, one-substitution rate."""
-    from seqweave.operators.assoc import paradigms
+def substitution_pairs(seq: DataFrame, by: list[str]) -> DataFrame:
+    """(by, pairs, comparable, rate): sequences of one length, two or more, that differ in one place, over all pairs of one length.
+
+    Pairs are counted, not formed: rows with one stem and different symbols in its slot.
+    """
+    s = seq.select(*by, "symbols").where("size(symbols) >= 2")
+    x = s.select(*by, "symbols", F.explode(F.sequence(F.lit(1), F.size("symbols"))).alias("slot"))
+    stem = F.transform("symbols", lambda v, i: F.when(i + 1 != F.col("slot"), v))
+    g = x.groupBy(*by, stem.alias("stem"), F.element_at("symbols", F.col("slot")).alias("v")).agg(F.count("*").cast("double").alias("n")).groupBy(*by, "stem").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"))
+    pairs = g.groupBy(*by).agg(((F.sum(F.col("n") * F.col("n") - F.col("nn"))) / 2).alias("pairs"))
+    c = s.groupBy(*by, F.size("symbols").alias("len")).agg(F.count("*").cast("double").alias("n")).groupBy(*by).agg((F.sum(F.col("n") * (F.col("n") - 1)) / 2).alias("comparable"))
+    return m.with_totals(pairs, c, by).withColumn("rate", ratio(F.col("pairs"), F.greatest(F.col("comparable"), F.lit(1.0))))
 
+
+def polyvalent(seq: DataFrame, by: list[str], least: int = 3, score: float = 0.15) -> DataFrame:
+    """(by, symbols, polyvalent, share): symbols of enough tokens, and those whose positions have two peaks or more and a score."""
+    k = p.multimodality(seq, by).where(F.col("n") >= least)
+    hit = (F.col("n_peaks") >= 2) & (F.round("score", 9) >= score)
+    return k.groupBy(*by).agg(F.count("*").alias("symbols"), F.sum(F.when(hit, 1).otherwise(0)).alias("polyvalent"), F.avg(F.when(hit, 1.0).otherwise(0.0)).alias("share"))
+
+
+def fingerprint(seq: DataFrame, by: list[str]) -> DataFrame:
+    """Ten structural dimensions: H1 over log2 V, H2 / 2 over H1, Zipf slope, type-token and hapax shares, mean positional entropy, polyvalent share, mean length, variance of the boundary bias, one-substitution rate."""
     s = m.corpus_summary(seq, by).select(*by, "h1", "h2", "ttr", "hapax_share", "types")
     z = m.zipf(seq, by).select(*by, "alpha")
-    pos = p.position_entropy(p.start_end_counts(seq, by)).where("n >= 3")
-    q = pos.groupBy(*by).agg(F.avg("pos_entropy").alias("pos_entropy"), F.var_pop(F.col("start_rate") - F.col("end_rate")).alias("bias_var"))
-    n = m.length_stats(seq, by).select(*by, "sequences", "mean_len")
-    pairs = paradigms(seq, by).groupBy(*by).agg(F.sum("rows").alias("substitutable"))
-    j = s.join(z, by).join(q, by).join(n, by).join(pairs, by, "left").fillna(0, ["substitutable"])
-    return j.select(*by, (F.col("h1") / F.log2(F.col("types").cast("double"))).alias("h1_norm"), (F.col("h2") / 2 / F.col("h1")).alias("h2_ratio"), "alpha", "ttr", "hapax_share", "pos_entropy", "bias_var", "mean_len", (F.col("substitutable") / F.col("sequences")).alias("substitution_rate"))
+    e = p.multimodality(seq, by).where("n >= 3").groupBy(*by).agg(F.avg("entropy").alias("pos_entropy"))
+    q = p.four_way_counts(seq, by).where("n >= 3").groupBy(*by).agg(F.var_pop((F.col("initial") + F.col("terminal")) / F.col("n")).alias("bias_var"))
+    n = m.length_stats(seq, by).select(*by, "mean_len")
+    poly = polyvalent(seq, by).select(*by, F.col("share").alias("polyvalent_share"))
+    pairs = substitution_pairs(seq, by).select(*by, F.col("rate").alias("substitution_rate"))
+    j = s.join(z, by).join(e, by).join(q, by).join(n, by).join(poly, by).join(pairs, by, "left").fillna(0.0, ["substitution_rate"])
+    return j.select(*by, (F.col("h1") / F.log2(F.col("types").cast("double"))).alias("h1_norm"), (F.col("h2") / 2 / F.col("h1")).alias("h2_ratio"), "alpha", "ttr", "hapax_share", "pos_entropy", "polyvalent_share", "mean_len", "bias_var", "substitution_rate")
 
 
 def against_labels(classed: DataFrame, labels: DataFrame) -> DataFrame:
@@ -92,11 +117,12 @@ def roles(seq: DataFrame, by: list[str]) -> DataFrame:
 
 
 def label_hits(seq: DataFrame, initial: DataFrame, terminal: DataFrame) -> DataFrame:
-    """Mean of the shares of initial labels' tokens at a start and of terminal labels' tokens at an end."""
-    t = tokens(seq.select("symbols"))
-    i = t.join(F.broadcast(initial.select("sym").distinct().limit(100_000)), "sym", "left_semi").agg(F.avg(F.when(F.col("pos") == 0, 1.0).otherwise(0.0)).alias("i"))
-    e = t.join(F.broadcast(terminal.select("sym").distinct().limit(100_000)), "sym", "left_semi").agg(F.avg(F.when(F.col("pos") == F.col("len") - 1, 1.0).otherwise(0.0)).alias("t"))
-    return i.join(e).select(F.col("i").alias("initial_hit"), F.col("t").alias("terminal_hit"), ((F.col("i") + F.col("t")) / 2).alias("score"))
+    """Mean of the shares of initial labels' tokens at a start and of terminal labels' tokens at an end; from counts by symbol, so labels may be any number."""
+    n = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    c = tokens(seq.select("symbols")).groupBy("sym").agg(F.count("*").alias("n"), n(F.col("pos") == 0).alias("first"), n(F.col("pos") == F.col("len") - 1).alias("last"))
+    i = c.join(initial.select("sym").distinct(), "sym", "left_semi").agg((F.sum("first") / F.sum("n")).alias("i"))
+    e = c.join(terminal.select("sym").distinct(), "sym", "left_semi").agg((F.sum("last") / F.sum("n")).alias("t"))
+    return i.crossJoin(F.broadcast(e)).select(F.col("i").alias("initial_hit"), F.col("t").alias("terminal_hit"), ((F.col("i") + F.col("t")) / 2).alias("score"))
 
 
 def cluster_profile(seq: DataFrame, clusters: DataFrame, by: list[str]) -> DataFrame:
@@ -109,13 +135,14 @@ def cluster_profile(seq: DataFrame, clusters: DataFrame, by: list[str]) -> DataF
 def interaction_information(seq: DataFrame, by: list[str], least: int = 3) -> DataFrame:
     """log2 p(abc) / (p(a) p(b) p(c)) of trigrams."""
     t3 = ngrams(seq.select(*by, "symbols"), 3, joined=False).groupBy(*by, "gram").agg(F.count("*").alias("cnt"))
-    n3 = t3.groupBy(*by).agg(F.sum("cnt").alias("n3"))
     uni = m.symbol_counts(seq, by)
-    uni = uni.withColumn("p", F.col("cnt") / F.sum("cnt").over(Window.partitionBy(*by))).select(*by, "sym", "p")
-    x = t3.where(F.col("cnt") >= least).join(n3, by)
+    n = m.with_totals(t3.groupBy(*by).agg(F.sum("cnt").alias("n3")), uni.groupBy(*by).agg(F.sum("cnt").alias("n1")), by)
+    x = t3.where(F.col("cnt") >= least)
     for i, end in enumerate("abc"):
-        x = x.withColumn(end, F.get("gram", F.lit(i))).join(uni.select(*by, F.col("sym").alias(end), F.col("p").alias(f"p{end}")), [*by, end])
-    return x.select(*by, "a", "b", "c", "cnt", F.log2(F.col("cnt") / F.col("n3") / (F.col("pa") * F.col("pb") * F.col("pc"))).alias("i3"))
+        x = x.withColumn(end, F.get("gram", F.lit(i))).join(uni.select(*by, F.col("sym").alias(end), F.col("cnt").alias(f"c{end}")), [*by, end])
+    x = m.with_totals(x, n, by)
+    p = lambda end: F.col(f"c{end}") / F.col("n1")
+    return x.select(*by, "a", "b", "c", "cnt", F.log2(F.col("cnt") / F.col("n3") / (p("a") * p("b") * p("c"))).alias("i3"))
 
 
 def context_divergence(seq: DataFrame, by: list[str], side: str = "right") -> DataFrame:
@@ -168,7 +195,7 @@ def slots_by_corpus(seq: DataFrame, by: list[str]) -> DataFrame:
 def corpus_table(seq: DataFrame, by: list[str], drop: str = "?") -> DataFrame:
     """Sequences, tokens, types and mean length, placeholders left out."""
     s = seq.withColumn("symbols", F.array_remove("symbols", drop)).where("size(symbols) > 0")
-    c = m.symbol_counts(s, by).groupBy(*by).agg(F.sum("cnt").alias("tokens"), F.count("*").alias("types"))
+    c = m.symbol_counts(s, by).groupBy(*by).agg(F.sum("cnt").alias("tokens"), F.count("*").alias("types"), (F.count("*") / F.sum("cnt")).alias("ttr"), F.sum(F.when(F.col("cnt") == 1, 1).otherwise(0)).alias("hapax"))
     return s.groupBy(*by).agg(F.count("*").alias("sequences"), F.avg(F.size("symbols")).alias("mean_len")).join(c, by)
 
 
@@ -190,28 +217,44 @@ def crosstab_entropy(seq: DataFrame, context: str, least: int = 5) -> DataFrame:
     return e.select("sym", "n", F.col("types").alias("contexts"), h.alias("h_norm"), (h < 0.5).alias("restricted"))
 
 
+def merged(results: dict[str, DataFrame]) -> DataFrame:
+    """One-row results side by side, each one's columns under its name."""
+    out = None
+    for name, d in results.items():
+        one = d.limit(1).select(*[F.col(c).alias(f"{name}_{c}") for c in d.columns])
+        out = one if out is None else out.crossJoin(F.broadcast(one))
+    return out
+
+
 def binomial_z(hits: Column, n: Column, p: Column) -> Column:
     """z of a share of hits against a null rate."""
     return F.when((n > 0) & (p > 0) & (p < 1), (hits / n - p) / F.sqrt(p * (1 - p) / n)).otherwise(0.0)
 
 
-def one_to_one(scores: DataFrame, rounds: int = 3) -> DataFrame:
-    """Mutual-best pairs (x, y, score), round by round: each round pairs those that prefer each other and removes them."""
-    out, left = None, scores
-    for r in range(rounds):
-        by = lambda c: F.row_number().over(Window.partitionBy(c).orderBy(F.desc("score"), "x", "y"))
-        got = left.withColumn("rx", by("x")).withColumn("ry", by("y")).where("rx = 1 AND ry = 1").select("x", "y", "score", F.lit(r + 1).alias("round"))
+def one_to_one(scores: DataFrame) -> DataFrame:
+    """Mutual-best pairs (x, y, score, round): each round pairs those that prefer each other and removes them, until none is left.
+
+    The best pair of all that are left is always mutual, so every round ends with
+    fewer. Bests are aggregations that combine before they shuffle, not windows.
+    """
+    keep, out, left, r = keeper(scores), None, scores.select("x", "y", "score"), 0
+    left = keep(left)
+    while True:
+        r += 1
+        order = F.struct((-F.col("score")).alias("s"), "x", "y")
+        best = lambda c: left.groupBy(c).agg(F.min(order).alias("m")).select("m.x", "m.y", (-F.col("m.s")).alias("score"))  # noqa: B023, E731
+        got = keep(best("x").join(best("y").select("x", "y"), ["x", "y"]).select("x", "y", "score", F.lit(r).alias("round")))
         out = got if out is None else out.unionByName(got)
-        left = left.join(got.select("x"), "x", "left_anti").join(got.select("y"), "y", "left_anti")
-    return out
+        if got.isEmpty():
+            return out
+        left = keep(left.join(got.select("x"), "x", "left_anti").join(got.select("y"), "y", "left_anti").select("x", "y", "score"))
 
 
-def segment_search(names: DataFrame, key: str, text: str, patterns: list[tuple[str, int]], sep: str = "-", k: int = 10) -> DataFrame:
-    """Names by segments: 2 for a pattern's segment at its place, 1 elsewhere; top k."""
+def segment_search(names: DataFrame, key: str, text: str, patterns: list[tuple[str, int]], sep: str = "-", k: int = 10, lengths: tuple[int, int] | None = None) -> DataFrame:
+    """Names by segments, of a number of segments within lengths if given: 2 for a pattern's segment at its place, 1 elsewhere; top k."""
     s = names.select(key, F.split(text, sep).alias("s"))
+    s = s.where(F.size("s").between(*lengths)) if lengths else s
     at = lambda w, i: F.when(F.get("s", F.lit(i)) == w, 2).when(F.array_contains("s", w), 1).otherwise(0)
     score = sum((at(w, i) for w, i in patterns), F.lit(0))
     return s.withColumn("score", score).where("score > 0").select(key, "score").orderBy(F.desc("score"), key).limit(k)
 
-
-_ = (recode, top_per)

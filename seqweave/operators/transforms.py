@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqweave.functions.exprs import hash_rank, kth_smallest, tokens
+from seqweave.functions.exprs import hash_rank, kth_smallest, ranked, tokens
 from seqweave.operators.measures import symbol_counts
 
 
@@ -144,9 +144,9 @@ def recode(seq: DataFrame, mapping: DataFrame, fallback: Column | None = None) -
 
 
 def bijection(seq: DataFrame, seed: str) -> DataFrame:
-    """A random one-to-one recoding of the symbols onto C001, C002, ...: rank by symbol against rank by hash."""
+    """A random one-to-one recoding of the symbols onto C0001, C0002, ...: rank by symbol against rank by hash."""
     v = hash_rank(symbol_counts(seq).select("sym", hashed(seed, F.col("sym")).alias("_h")), "_h", [])
-    return v.select("sym", F.concat(F.lit("C"), F.lpad(F.col("rank").cast("string"), 4, "0")).alias("to"))
+    return v.select("sym", F.format_string("C%04d", F.col("rank")).alias("to"))  # longer numbers stay whole
 
 
 def shuffle_within(seq: DataFrame, seed: str, reps: int = 1) -> DataFrame:
@@ -156,16 +156,34 @@ def shuffle_within(seq: DataFrame, seed: str, reps: int = 1) -> DataFrame:
     return x.withColumn("symbols", F.transform(F.array_sort(keyed), lambda y: y["s"]))
 
 
+def _numbered(seq: DataFrame) -> DataFrame:
+    """(sym, rank, n): each symbol's place in the alphabet, from 0, and the size of the vocabulary. The one-row total is attached, no task holds all symbols."""
+    v = ranked(symbol_counts(seq).select("sym", F.lit(1).alias("cnt")), []).select("sym", (F.col("rank") - 1).alias("rank"))
+    return v.crossJoin(F.broadcast(v.agg(F.count("*").alias("n"))))
+
+
+def _drawn(at: int, n: Column, seed: str) -> Column:
+    """A number under n from 8 digits of the md5 of seed, sequence and place."""
+    return F.pmod(F.conv(F.substring(hashed(seed, F.col("seq_id"), F.col("pos")), at, 8), 16, 10).cast("long"), n)
+
+
+def _collected(seq: DataFrame, t: DataFrame) -> DataFrame:
+    x = t.groupBy("seq_id").agg(F.array_sort(F.collect_list(F.struct("pos", "sym"))).alias("x")).select("seq_id", F.col("x.sym").alias("symbols"))
+    return seq.drop("symbols").join(x, "seq_id")
+
+
 def relabel(seq: DataFrame, seed: str) -> DataFrame:
-    """Every token drawn evenly from the vocabulary."""
-    v = symbol_counts(seq).agg(F.array_sort(F.collect_set("sym")).alias("_v"))
-    pick = lambda i: F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("seq_id").cast("string"), i.cast("string")).cast("binary")), 1, 8), 16, 10).cast("long"), F.size("_v")).cast("int")
-    return seq.join(F.broadcast(v)).withColumn("symbols", F.transform("symbols", lambda s, i: F.get("_v", pick(i)))).drop("_v")
+    """Every token drawn evenly from the vocabulary: a number is drawn, its symbol is looked up by a join."""
+    v = _numbered(seq)
+    n = v.select("n").limit(1)
+    t = tokens(seq.select("seq_id", "symbols")).select("seq_id", "pos").crossJoin(F.broadcast(n)).withColumn("rank", _drawn(1, F.col("n"), seed)).drop("n")
+    return _collected(seq, t.join(v.select("rank", "sym"), "rank"))
 
 
 def noise(seq: DataFrame, seed: str, share: float) -> DataFrame:
-    """A share of tokens, by hash, replaced by another symbol of the vocabulary."""
-    v = symbol_counts(seq).agg(F.array_sort(F.collect_set("sym")).alias("_v"))
-    h = lambda i, at: F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("seq_id").cast("string"), i.cast("string")).cast("binary")), at, 8), 16, 10).cast("long")
-    other = lambda s, i: F.get("_v", F.pmod(F.array_position("_v", s) + F.pmod(h(i, 9), F.size("_v") - 1), F.size("_v")).cast("int"))
-    return seq.join(F.broadcast(v)).withColumn("symbols", F.transform("symbols", lambda s, i: F.when((h(i, 1) / float(1 << 32) < share) & (F.size("_v") > 1), other(s, i)).otherwise(s))).drop("_v")
+    """A share of tokens, by hash, replaced by another symbol of the vocabulary; only those are looked up."""
+    v = _numbered(seq)
+    t = tokens(seq.select("seq_id", "symbols")).select("seq_id", "pos", "sym")
+    hit = F.conv(F.substring(hashed(seed, F.col("seq_id"), F.col("pos")), 1, 8), 16, 10).cast("double") / float(1 << 32) < share
+    moved = t.where(hit).join(v, "sym").select("seq_id", "pos", F.when(F.col("n") > 1, F.pmod(F.col("rank") + 1 + _drawn(9, F.greatest(F.col("n") - 1, F.lit(1)), seed), F.col("n"))).otherwise(F.col("rank")).alias("rank"))
+    return _collected(seq, t.where(~hit).unionByName(moved.join(v.select("rank", "sym"), "rank").select("seq_id", "pos", "sym")))

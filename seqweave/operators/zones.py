@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqweave.functions.exprs import hash_rank, tokens, top_per
+from seqweave.functions.exprs import hash_rank, join_small, tokens, top_per
 from seqweave.operators import assoc, compare
 from seqweave.operators import measures as m
 from seqweave.operators import positions as p
@@ -24,15 +24,24 @@ def shuffle_globally(seq: DataFrame, seed: str, by: list[str]) -> DataFrame:
 
 def zone_report(seq: DataFrame, site: str, zones: DataFrame) -> DataFrame:
     """Vocabulary overlap and divergence of zones (site, zone) of sites."""
-    z = seq.join(F.broadcast(zones.limit(100_000)), site, "left").withColumn("zone", F.coalesce("zone", F.lit("other")))
+    z = join_small(seq, zones, [site]).withColumn("zone", F.coalesce("zone", F.lit("other")))
     pairs = compare.stratum_pairs(m.symbol_counts(z, ["zone"]), "zone")
     return compare.overlaps(pairs).join(compare.divergences(pairs), ["x", "y"])
 
 
+def zone_inventories(seq: DataFrame, site: str, zones: DataFrame, initial: float, terminal: float) -> DataFrame:
+    """Sequences, tokens and types of each zone, and its symbols that start or end sequences in at least such shares of their tokens."""
+    x = join_small(seq, zones, [site]).withColumn("zone", F.coalesce("zone", F.lit("other")))
+    c = p.start_end_counts(x, ["zone"])
+    named = lambda rate, least: F.array_join(F.array_sort(F.collect_set(F.when(F.col(rate) >= least, F.col("sym")))), ",")
+    g = c.groupBy("zone").agg(F.sum("n").alias("tokens"), F.count("*").alias("types"), named("start_rate", initial).alias("initials"), named("end_rate", terminal).alias("terminals"))
+    return x.groupBy("zone").agg(F.count("*").alias("sequences")).join(g, "zone")
+
+
 def signature_distance(signatures: DataFrame, key: str, role: str, columns: list[str]) -> DataFrame:
     """Distance of each corpus to the template of its role's references: columns scaled by the template's spread."""
     t = signatures.groupBy(role).agg(*[F.avg(c).alias(f"m_{c}") for c in columns], *[(F.max(c) - F.min(c)).alias(f"s_{c}") for c in columns])
-    j = signatures.select(key, *columns).join(F.broadcast(t.limit(1000)))  # a row for each role
+    j = signatures.select(key, *columns).crossJoin(t)  # a row for each role
     d = sum((F.pow((F.col(c) - F.col(f"m_{c}")) / F.greatest(F.col(f"s_{c}"), F.lit(1e-9)), F.lit(2.0)) for c in columns), F.lit(0.0))
     return j.select(key, role, F.sqrt(d).alias("distance"))
 
@@ -90,6 +99,18 @@ def allographs(seq: DataFrame, least_cosine: float = 0.55, most_shift: float = 0
     return q.select("x", "y", "cosine", "shift", "both", score.alias("score"))
 
 
+def allograph_groups(pairs: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(sym, grp): symbols joined by pairs of allographs, under the least symbol of each group."""
+    return assoc.components(pairs.select("x", "y"), symbols.select("sym")).withColumnRenamed("cluster", "grp")
+
+
+def template_distance(signatures: DataFrame, key: str, role: str, columns: list[str], positive: str) -> DataFrame:
+    """Distances of each corpus to the template of the positive role and to the nearest other one, and which is nearer."""
+    d = signature_distance(signatures, key, role, columns)
+    g = d.groupBy(key).agg(F.min(F.when(F.col(role) == positive, F.col("distance"))).alias("positive"), F.min(F.when(F.col(role) != positive, F.col("distance"))).alias("negative"))
+    return g.withColumn("verdict", F.when(F.col("positive") < F.col("negative"), positive).otherwise("other"))
+
+
 def matched_words(decoded: DataFrame, vocabulary: DataFrame, examples: int = 3) -> DataFrame:
     """Vocabulary words that decodings hit: counts and the first sequences with them."""
     j = decoded.select("seq_id", F.lower("decoded").alias("word")).join(vocabulary.select(F.lower("word").alias("word")).distinct(), "word")

@@ -1,6 +1,6 @@
 """Named queries: operators applied to tables, with the SQL that checks them."""
 
-from seqweave.plans import counting, hypotheses, inference, profiles, relations, zones
+from seqweave.plans import classes, counting, hypotheses, inference, profiles, relations, resampling, zones
 from seqweave.plans.registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "counting", "hypotheses", "inference", "profiles", "relations", "zones"]
+__all__ = ["ORACLE", "QUERIES", "classes", "counting", "hypotheses", "inference", "profiles", "relations", "resampling", "zones"]

@@ -11,17 +11,40 @@ from seqweave.operators import lm
 from seqweave.operators import measures as m
 from seqweave.operators import positions as p
 from seqweave.operators import signif as s
+from seqweave.operators.resampling import POISSON
 from seqweave.operators import transforms as t
 from seqweave.plans.counting import BI_ORDERS, POS3, SEG, TOK_LINES, TOK_ORDERS, _rounded
 from seqweave.plans.registry import query
 from seqweave.sources.adapters import ORDERS, events, grams, lines, orders, table, tok
 
+def unit_sql(seed: str, *keys: str) -> str:
+    """SQL: a number in [0, 1) from 8 digits of the md5 of seed and keys."""
+    return f"('0x' || substr(md5('{seed}|' || {' || chr(124) || '.join(keys)}), 1, 8))::BIGINT::DOUBLE / 4294967296.0"
+
+
+def poisson_sql(seed: str) -> str:
+    """SQL: Poisson(1) inverted at u."""
+    return "(" + " + ".join(f"(u >= {p!r})::INT" for p in POISSON) + ")"
+
+
 PAIRS = f"""{TOK_LINES}, c AS (SELECT lang AS s, sym, count(*)::DOUBLE AS cnt FROM tok WHERE lang IS NOT NULL GROUP BY ALL), n AS (SELECT DISTINCT s FROM c),
 pr AS (SELECT a.s AS x, b.s AS y FROM n a JOIN n b ON a.s < b.s), sy AS (SELECT DISTINCT sym FROM c),
 pq0 AS (SELECT pr.x, pr.y, sy.sym, coalesce(d.cnt, 0) AS cx, coalesce(e.cnt, 0) AS cy FROM pr CROSS JOIN sy LEFT JOIN c d ON d.s = pr.x AND d.sym = sy.sym LEFT JOIN c e ON e.s = pr.y AND e.sym = sy.sym), pq AS (SELECT * FROM pq0 WHERE cx > 0 OR cy > 0)"""
 DIV = f"{PAIRS}, sh AS (SELECT x, y, (cx + {{0}}) / (sum(cx) OVER w + {{0}} * count(*) OVER w) AS p, (cy + {{0}}) / (sum(cy) OVER w + {{0}} * count(*) OVER w) AS q FROM pq WINDOW w AS (PARTITION BY x, y)) SELECT x, y, round(sum(CASE WHEN p > 0 AND q > 0 THEN p * log2(p / q) ELSE 0 END), 6) AS kl, round(sum(CASE WHEN p > 0 AND q > 0 THEN q * log2(q / p) ELSE 0 END), 6) AS kl_back, round(sum(CASE WHEN p > 0 THEN 0.5 * p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN 0.5 * q * log2(2 * q / (p + q)) ELSE 0 END), 6) AS js FROM sh GROUP BY x, y"
 
 
+def div_sql(head: str, stratum: str, smoothing: float = 0.0, epsilon: float = 0.0, keys: str = "", counted: str = "tok", weight: str = "count(*)") -> str:
+    """SQL: divergences and overlaps `dv` of all pairs of strata, by more keys if given, after a head that ends in a table of tokens."""
+    k = lambda t: "".join(f"{t}.{x}, " for x in keys.split(", ") if x)
+    on = lambda a, b: "".join(f" AND {a}.{x} = {b}.{x}" for x in keys.split(", ") if x)
+    comma = f"{keys}, " if keys else ""
+    return f"""{head}, c AS (SELECT {comma}{stratum} AS s, sym, {weight}::DOUBLE AS cnt FROM {counted} WHERE {stratum} IS NOT NULL GROUP BY ALL), n AS (SELECT DISTINCT s FROM c),
+pq AS (SELECT * FROM (SELECT {k('sy')}a.s AS x, b.s AS y, sy.sym, coalesce(d.cnt, 0) AS cx, coalesce(e.cnt, 0) AS cy FROM n a JOIN n b ON a.s < b.s CROSS JOIN (SELECT DISTINCT {comma}sym FROM c) sy LEFT JOIN c d ON d.s = a.s AND d.sym = sy.sym{on('d', 'sy')} LEFT JOIN c e ON e.s = b.s AND e.sym = sy.sym{on('e', 'sy')}) WHERE cx > 0 OR cy > 0),
+sh AS (SELECT {comma}x, y, cx, cy, ((cx + {smoothing}) / (sum(cx) OVER w + {smoothing} * count(*) OVER w) + {epsilon}) / (1 + {epsilon} * count(*) OVER w) AS p, ((cy + {smoothing}) / (sum(cy) OVER w + {smoothing} * count(*) OVER w) + {epsilon}) / (1 + {epsilon} * count(*) OVER w) AS q FROM pq WINDOW w AS (PARTITION BY {comma}x, y)),
+dv AS (SELECT {comma}x, y, sum(CASE WHEN p > 0 AND q > 0 THEN p * log2(p / q) ELSE 0 END) AS kl, sum(CASE WHEN p > 0 AND q > 0 THEN q * log2(q / p) ELSE 0 END) AS kl_back, sum(CASE WHEN p > 0 THEN 0.5 * p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN 0.5 * q * log2(2 * q / (p + q)) ELSE 0 END) AS js,
+count(*) FILTER (cx > 0 AND cy > 0) AS shared, count(*) FILTER (cy = 0) AS only_x, count(*) FILTER (cx = 0) AS only_y FROM sh GROUP BY {comma}x, y)"""
+
+
 def _pairs(spark, sf):  # noqa: ANN001, ANN202
     return c.stratum_pairs(m.symbol_counts(lines(spark, sf), ["lang"]), "lang")
 
@@ -36,6 +59,11 @@ def _(spark, sf):  # noqa: ANN001, ANN202
     return _rounded(c.divergences(_pairs(spark, sf), 1.0), "kl", "kl_back", "js")
 
 
+@query("cmp_2_epsilon_divergence", div_sql(TOK_LINES, "lang", epsilon=0.001) + " SELECT x, y, round(kl, 6) AS kl, round(kl_back, 6) AS kl_back, round(js, 6) AS js FROM dv")
+def _(spark, sf):  # noqa: ANN001, ANN202
+    return _rounded(c.divergences(_pairs(spark, sf), epsilon=0.001), "kl", "kl_back", "js")
+
+
 @query("cmp_6_overlap", f"{PAIRS} SELECT x, y, count(*) FILTER (cx > 0 AND cy > 0) AS shared, count(*) FILTER (cy = 0) AS only_x, count(*) FILTER (cx = 0) AS only_y, round(count(*) FILTER (cx > 0 AND cy > 0) / count(*), 6) AS jaccard FROM pq GROUP BY x, y")
 def _(spark, sf):  # noqa: ANN001, ANN202
     return _rounded(c.overlaps(_pairs(spark, sf)), "jaccard")
@@ -72,6 +100,15 @@ def _(spark, sf):  # noqa: ANN001, ANN202
     return _rounded(c.nearest(f, "nation", ["h", "mean_len"], f), "distance")
 
 
+@query("cmp_10_cosine", f"""{TOK_ORDERS}, u AS (SELECT nation, sym, count(*) AS cnt FROM tok GROUP BY ALL), l AS (SELECT nation, avg(len(symbols)) AS mean_len FROM orders_seq GROUP BY ALL),
+f AS (SELECT nation, log2(sum(cnt)) - sum(cnt * log2(cnt)) / sum(cnt) AS h, any_value(mean_len) AS m FROM u JOIN l USING (nation) GROUP BY nation), d AS (SELECT x.nation, y.nation AS ref, round(1 - (x.h * y.h + x.m * y.m) / sqrt((x.h * x.h + x.m * x.m) * (y.h * y.h + y.m * y.m)), 9) AS distance FROM f x JOIN f y ON x.nation <> y.nation)
+SELECT nation, ref, round(distance, 6) + 0.0 AS distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY nation ORDER BY distance, ref) AS rank FROM d) WHERE rank <= 3""")
+def _(spark, sf):  # noqa: ANN001, ANN202
+    x = orders(spark, sf)
+    f = m.entropy(m.symbol_counts(x, ["nation"]), ["nation"]).select("nation", "h").join(x.groupBy("nation").agg(F.avg(F.size("symbols")).alias("mean_len")), "nation")
+    return _rounded(c.nearest(f, "nation", ["h", "mean_len"], f, metric="cosine"), "distance")
+
+
 @query("cmp_14_patterns", f"WITH {ORDERS} SELECT segment, array_to_string(symbols[1:4], '+') AS pattern, count(*) AS n FROM orders_seq GROUP BY ALL HAVING count(*) >= 2")
 def _(spark, sf):  # noqa: ANN001, ANN202
     return orders(spark, sf).groupBy("segment", F.array_join(F.slice("symbols", 1, 4), "+").alias("pattern")).agg(F.count("*").alias("n")).where("n >= 2")
@@ -82,27 +119,27 @@ def _(spark, sf):  # noqa: ANN001, ANN202
     return c.catalogue(table(spark, sf, "orders"), ["o_orderstatus", "o_orderpriority"])
 
 
-@query("sig_1_context_association", f"""WITH {ORDERS}, b AS (SELECT seq_id, segment AS ctx, list_distinct(symbols) AS symbols FROM orders_seq), x AS (SELECT rep, seq_id, ctx, symbols FROM b, range(1, 5) r(rep)),
+@query("sig_1_context_association", f"""WITH {ORDERS}, b AS (SELECT seq_id, segment AS ctx, list_distinct(symbols) AS symbols FROM orders_seq), x AS (SELECT rep, seq_id, ctx, symbols FROM b, range(1, 21) r(rep)),
 l AS (SELECT rep, symbols, row_number() OVER (PARTITION BY rep ORDER BY md5('s1|a|' || rep || '|' || seq_id)) AS i FROM x), r AS (SELECT rep, ctx, row_number() OVER (PARTITION BY rep ORDER BY md5('s1|b|' || rep || '|' || seq_id)) AS i FROM x),
 al AS (SELECT 0 AS rep, ctx, unnest(symbols) AS sym FROM b UNION ALL SELECT l.rep, ctx, unnest(symbols) FROM l JOIN r ON l.rep = r.rep AND l.i = r.i), c AS (SELECT rep, sym, ctx, count(*) AS cnt FROM al GROUP BY ALL),
 pm AS (SELECT *, ln(cnt * sum(cnt) OVER (PARTITION BY rep) / (sum(cnt) OVER (PARTITION BY rep, sym) * sum(cnt) OVER (PARTITION BY rep, ctx))) AS pmi FROM c),
 nu AS (SELECT sym, ctx, sum(pmi) AS s, sum(pmi * pmi) AS ss FROM pm WHERE rep > 0 GROUP BY ALL)
-SELECT sym, ctx, cnt, round(pmi, 5) + 0.0 AS pmi, round(coalesce(s, 0) / 4, 5) + 0.0 AS null_mean FROM pm LEFT JOIN nu USING (sym, ctx) WHERE rep = 0 AND cnt >= 5""")
+SELECT sym, ctx, cnt, round(pmi, 5) + 0.0 AS pmi, round(coalesce(s, 0) / 20, 5) + 0.0 AS null_mean FROM pm LEFT JOIN nu USING (sym, ctx) WHERE rep = 0 AND cnt >= 5""")
 def _(spark, sf):  # noqa: ANN001, ANN202
-    x = s.context_association(orders(spark, sf), "segment", "s1", 4)
+    x = s.context_association(orders(spark, sf), "segment", "s1")
     return x.select("sym", "ctx", "cnt", (F.round("pmi", 5) + 0.0).alias("pmi"), (F.round("null_mean", 5) + 0.0).alias("null_mean"))
 
 
-@query("sig_3_position_null", f"""WITH {ORDERS}, {tok('orders_seq')}, sh AS (SELECT rep, seq_id, list(sym ORDER BY md5('s1|' || rep || '|' || seq_id || '|' || pos)) AS symbols FROM tok, range(1, 6) r(rep) GROUP BY ALL),
+@query("sig_3_position_null", f"""WITH {ORDERS}, {tok('orders_seq')}, sh AS (SELECT rep, seq_id, list(sym ORDER BY md5('s1|' || rep || '|' || seq_id || '|' || pos)) AS symbols FROM tok, range(1, 21) r(rep) GROUP BY ALL),
 al AS (SELECT 0 AS rep, symbols FROM orders_seq UNION ALL SELECT rep, symbols FROM sh), e AS (SELECT rep, symbols[1] AS sym, 'start' AS "end" FROM al WHERE len(symbols) > 1 UNION ALL SELECT rep, symbols[-1], 'end' FROM al WHERE len(symbols) > 1), c AS (SELECT rep, sym, "end", count(*) AS cnt FROM e GROUP BY ALL),
-j AS (SELECT o.sym, o."end", o.cnt, n.cnt AS k FROM c o LEFT JOIN c n ON n.rep > 0 AND o.sym = n.sym AND o."end" = n."end" WHERE o.rep = 0), g AS (SELECT sym, "end", cnt, coalesce(sum(k), 0) / 5 AS mean, coalesce(sum(k * k), 0) AS ss, count(*) FILTER (k >= cnt) AS over_n FROM j GROUP BY ALL)
-SELECT sym, "end", cnt, round(mean, 6) AS null_mean, round(CASE WHEN greatest((ss - 5 * mean * mean) / 4, 0) > 0 THEN (cnt - mean) / sqrt(greatest((ss - 5 * mean * mean) / 4, 0)) ELSE 0 END, 5) + 0.0 AS z, round(greatest(over_n / 5, 0.2), 6)::DOUBLE AS p FROM g""")
+j AS (SELECT o.sym, o."end", o.cnt, n.cnt AS k FROM c o LEFT JOIN c n ON n.rep > 0 AND o.sym = n.sym AND o."end" = n."end" WHERE o.rep = 0), g AS (SELECT sym, "end", cnt, coalesce(sum(k), 0) / 20 AS mean, coalesce(sum(k * k), 0) AS ss, count(*) FILTER (k >= cnt) AS over_n FROM j GROUP BY ALL)
+SELECT sym, "end", cnt, round(mean, 6) AS null_mean, round(CASE WHEN greatest((ss - 20 * mean * mean) / 19, 0) > 0 THEN (cnt - mean) / sqrt(greatest((ss - 20 * mean * mean) / 19, 0)) ELSE 0 END, 5) + 0.0 AS z, round(greatest(over_n / 20, 0.05), 6)::DOUBLE AS p FROM g""")
 def _(spark, sf):  # noqa: ANN001, ANN202
-    x = s.position_null(orders(spark, sf), "s1", 5)
+    x = s.position_null(orders(spark, sf), "s1")
     return x.select("sym", "end", "cnt", r6("null_mean").alias("null_mean"), (F.round("z", 5) + 0.0).alias("z"), r6("p").alias("p"))
 
 
-@query("sig_6_bootstrap")
+@query("sig_6_bootstrap", f"WITH {ORDERS}, x AS (SELECT segment, len(symbols) AS v, rep, {poisson_sql('s1')} AS w FROM (SELECT *, {unit_sql('s1', 'rep', 'seq_id')} AS u FROM orders_seq, range(1, 51) r(rep))), m AS (SELECT segment, rep, sum(w * v) / sum(w) AS m FROM x GROUP BY ALL) SELECT segment, round(avg(m), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m GROUP BY segment")
 def _(spark, sf):  # noqa: ANN001, ANN202
     x = orders(spark, sf).select("seq_id", "segment", F.size("symbols").alias("n"))
     return _rounded(s.bootstrap_mean(x, "n", "seq_id", SEG, "s1", 50), "mean", "low", "high")
@@ -114,6 +151,12 @@ def _(spark, sf):  # noqa: ANN001, ANN202
     return _rounded(c.chi_square(x, "o_orderpriority", "o_orderstatus").select("chi2", "n", "dof"), "chi2")
 
 
+@query("sig_9_enrichment", f"WITH {ORDERS}, t AS (SELECT segment, list_contains(symbols, 'Brand#11') AS hit FROM orders_seq) SELECT segment, count(*) AS n, count(*) FILTER (hit) AS hits, round(count(*) FILTER (hit) / count(*) / (SELECT count(*) FILTER (hit) / count(*) FROM t), 6) AS enrichment FROM t GROUP BY segment")
+def _(spark, sf):  # noqa: ANN001, ANN202
+    x = orders(spark, sf).groupBy("segment", F.array_contains("symbols", "Brand#11").alias("hit")).agg(F.count("*").alias("cnt"))
+    return _rounded(c.enrichment(x, "segment", "hit"), "enrichment")
+
+
 @query("sig_9_independence", f"{BI_ORDERS}, g AS (SELECT segment, a, b, count(*) AS cnt FROM bi GROUP BY ALL), w AS (SELECT *, sum(cnt) OVER (PARTITION BY segment, a) AS ra, sum(cnt) OVER (PARTITION BY segment, b) AS cb FROM g) SELECT segment, round(sum(cnt) * (sum(cnt * cnt / (ra * cb)) - 1), 5) AS chi2, sum(cnt)::BIGINT AS n, (count(DISTINCT a) - 1) * (count(DISTINCT b) - 1) AS dof FROM w GROUP BY segment")
 def _(spark, sf):  # noqa: ANN001, ANN202
     return s.independence(orders(spark, sf), SEG).select("segment", F.round("chi2", 5).alias("chi2"), "n", "dof")
@@ -146,6 +189,45 @@ def _(spark, sf):  # noqa: ANN001, ANN202
     return _rounded(lm.model(orders(spark, sf), SEG), "p")
 
 
+@query("lm_1_stream", f"""WITH {ORDERS}, fl AS (SELECT segment, sym, row_number() OVER (PARTITION BY segment ORDER BY seq_id, pos) AS i FROM (SELECT segment, seq_id, unnest(symbols) AS sym, generate_subscripts(symbols, 1) AS pos FROM orders_seq)),
+w AS (SELECT segment, sym AS a, lead(sym) OVER o AS b, lead(sym, 2) OVER o AS c FROM fl WINDOW o AS (PARTITION BY segment ORDER BY i)), g AS (SELECT segment, 1 AS n, a AS gram FROM w UNION ALL SELECT segment, 2, a || ' ' || b FROM w WHERE b IS NOT NULL UNION ALL SELECT segment, 3, a || ' ' || b || ' ' || c FROM w WHERE c IS NOT NULL), k AS (SELECT segment, n::BIGINT AS n, gram, count(*) AS cnt FROM g GROUP BY ALL)
+SELECT segment, n, gram, cnt, round(cnt / sum(cnt) OVER (PARTITION BY segment, n), 6) AS p FROM k""")
+def _(spark, sf):  # noqa: ANN001, ANN202
+    return _rounded(lm.stream_model(orders(spark, sf), SEG), "p")
+
+
+@query("lm_1_words", f"{BI_ORDERS} SELECT segment, count(*) AS pairs, round(avg(CASE WHEN a = b THEN 1 ELSE 0 END), 6) AS repeat_rate FROM bi GROUP BY segment")
+def _(spark, sf):  # noqa: ANN001, ANN202
+    return _rounded(lm.word_statistics(orders(spark, sf), SEG), "repeat_rate")
+
+
+@query("lm_1_together", f"WITH {ORDERS}, s AS (SELECT seq_id, segment, list_distinct(symbols) AS u FROM orders_seq WHERE len(symbols) >= 2), t AS (SELECT seq_id, segment, unnest(u) AS sym FROM s), n AS (SELECT segment, count(*) AS n FROM s GROUP BY segment) SELECT x.segment, x.sym AS a, y.sym AS b, round(count(*) / any_value(n.n), 6) AS p FROM t x JOIN t y ON x.seq_id = y.seq_id AND x.sym < y.sym JOIN n ON n.segment = x.segment GROUP BY x.segment, x.sym, y.sym")
+def _(spark, sf):  # noqa: ANN001, ANN202
+    return _rounded(lm.together(orders(spark, sf), SEG), "p")
+
+
+@query("lm_1_positional", f"{TOK_ORDERS} SELECT segment, sym, round(avg(CASE WHEN pos = 0 THEN 1 ELSE 0 END), 6) AS initial, round(avg(CASE WHEN pos > 0 AND pos < len - 1 THEN 1 ELSE 0 END), 6) AS medial, round(avg(CASE WHEN pos = len - 1 THEN 1 ELSE 0 END), 6) AS terminal FROM tok WHERE len >= 2 GROUP BY ALL")
+def _(spark, sf):  # noqa: ANN001, ANN202
+    return _rounded(lm.positional(orders(spark, sf), SEG), "initial", "medial", "terminal")
+
+
+FREQUENT = f"WITH {ORDERS.replace('orders_seq AS', 'all_seq AS')}, {tok('all_seq', 'segment', 'nation').replace('tok AS', 'all_tok AS')}, orders_seq AS (SELECT seq_id, segment, nation, list(sym ORDER BY pos) AS symbols FROM all_tok WHERE sym IN (SELECT sym FROM all_tok GROUP BY sym HAVING count(*) >= 200) GROUP BY ALL)"
+
+
+@query("lm_2_frequent_model", MODEL.replace(f"WITH {ORDERS}", FREQUENT) + " SELECT segment, kind, gram, cnt, round(p, 6) AS p FROM lmod")
+def _(spark, sf):  # noqa: ANN001, ANN202
+    return _rounded(lm.model(t.filter_tokens(orders(spark, sf), min_freq=200), SEG), "p")
+
+
+@query("lm_3_stream_scores", f"""WITH {ORDERS}, {grams('orders_seq', most=3)}, fl AS (SELECT sym, row_number() OVER (ORDER BY seq_id, pos) AS i FROM (SELECT seq_id, unnest(symbols) AS sym, generate_subscripts(symbols, 1) AS pos FROM orders_seq WHERE segment = 'BUILDING')),
+w AS (SELECT sym AS a, lead(sym) OVER o AS b, lead(sym, 2) OVER o AS c FROM fl WINDOW o AS (ORDER BY i)), g AS (SELECT 2 AS n, a || ' ' || b AS gram FROM w WHERE b IS NOT NULL UNION ALL SELECT 3, a || ' ' || b || ' ' || c FROM w WHERE c IS NOT NULL), k AS (SELECT n, gram, count(*) / sum(count(*)) OVER (PARTITION BY n) AS p FROM g GROUP BY n, gram),
+s AS (SELECT seq_id, sum(CASE WHEN x.n = 2 THEN ln(coalesce(p, 1e-8)) ELSE 0 END) AS two, sum(CASE WHEN x.n = 3 THEN ln(coalesce(p, 1e-8)) ELSE 0 END) AS three, max(x.n) AS most FROM grams x LEFT JOIN k ON x.n = k.n AND x.gram = k.gram GROUP BY seq_id)
+SELECT seq_id, round(CASE WHEN (SELECT count(*) FROM fl) >= 1000 AND most > 2 THEN 0.9 * two + 0.1 * three ELSE two END, 5) AS ll FROM s""")
+def _(spark, sf):  # noqa: ANN001, ANN202
+    x = orders(spark, sf)
+    return lm.score_stream(x, lm.stream_model(x.where("segment = 'BUILDING'"), [])).select("seq_id", F.round("ll", 5).alias("ll"))
+
+
 @query("lm_3_scores", f"{MODEL}, pb AS (SELECT gram, p FROM lmod WHERE kind = 'bigram' AND segment = 'BUILDING') SELECT seq_id, round(sum(ln(coalesce(p, 1e-8))), 5) AS ll, count(*) AS pairs FROM bb LEFT JOIN pb ON gram = a || ' ' || b GROUP BY seq_id")
 def _(spark, sf):  # noqa: ANN001, ANN202
     x = orders(spark, sf)
@@ -189,10 +271,30 @@ def _(spark, sf):  # noqa: ANN001, ANN202
     return lm.decode(orders(spark, sf), _runs(spark, sf).where("run_id = 1 AND value <> 'Brand#11'"))
 
 
-@query("lm_11_substring_matches", f"WITH {ORDERS}, {grams('orders_seq', most=3)}, v AS (SELECT DISTINCT array_to_string(symbols, ' ') AS gram FROM orders_seq WHERE len(symbols) IN (2, 3)) SELECT gram, count(*) AS cnt FROM grams JOIN v USING (gram) GROUP BY gram")
+RECALL = f"{TOK_ORDERS}, {RUNS}, d AS (SELECT DISTINCT lower(string_agg(value, '' ORDER BY pos)) AS word FROM tok JOIN (SELECT * FROM mp WHERE run_id = 1) x ON tok.sym = x.sym GROUP BY seq_id), v AS (SELECT DISTINCT lower(array_to_string(symbols, '')) AS word FROM orders_seq WHERE segment = 'BUILDING') SELECT (SELECT count(*) FROM v WHERE word IN (SELECT word FROM d WHERE length(word) >= {{0}})) AS hits, (SELECT count(*) FROM v) AS words"
+
+
+def _recall(spark, sf, least):  # noqa: ANN001, ANN202
+    x = orders(spark, sf)
+    v = x.where("segment = 'BUILDING'").select(F.array_join("symbols", "").alias("word"))
+    return _rounded(lm.recall(lm.decode(x, _runs(spark, sf).where("run_id = 1")), v, least), "rate")
+
+
+@query("lm_8_recall", f"SELECT *, round(hits / words, 6) AS rate FROM ({RECALL.format(1)})")
+def _(spark, sf):  # noqa: ANN001, ANN202
+    return _recall(spark, sf, 1)
+
+
+@query("lm_9_long_recall", f"SELECT *, round(hits / words, 6) AS rate FROM ({RECALL.format(17)})")
+def _(spark, sf):  # noqa: ANN001, ANN202
+    """Decodings of three symbols or more; a symbol's value has eight letters here."""
+    return _recall(spark, sf, 17)
+
+
+@query("lm_11_substring_matches", f"WITH {ORDERS}, {grams('orders_seq', most=5)}, v AS (SELECT DISTINCT array_to_string(symbols, ' ') AS gram FROM orders_seq WHERE len(symbols) BETWEEN 2 AND 5) SELECT gram, count(*) AS cnt FROM grams JOIN v USING (gram) GROUP BY gram")
 def _(spark, sf):  # noqa: ANN001, ANN202
     x = orders(spark, sf)
-    return lm.substring_matches(x, x.where("size(symbols) IN (2, 3)").select(F.array_join("symbols", " ").alias("word")), 2, 3)
+    return lm.substring_matches(x, x.where("size(symbols) BETWEEN 2 AND 5").select(F.array_join("symbols", " ").alias("word")))
 
 
 @query("lm_12_class_runs", f"""{POS3.replace('nation, sym', 'sym')}, x AS (SELECT t.seq_id, t.pos, t.sym, class, CASE WHEN lag(class) OVER w = class AND lag(t.pos) OVER w = t.pos - 1 THEN 0 ELSE 1 END AS new FROM tok t JOIN q USING (sym) WINDOW w AS (PARTITION BY t.seq_id ORDER BY t.pos)),
@@ -220,7 +322,7 @@ def _(spark, sf):  # noqa: ANN001, ANN202
     return lm.anchors(lines(spark, sf), 25)
 
 
-BIJ = "v AS (SELECT sym, 'C' || lpad((row_number() OVER (ORDER BY md5('s1|' || sym)))::VARCHAR, 4, '0') AS match FROM (SELECT DISTINCT sym FROM tok))"
+BIJ = "v AS (SELECT sym, printf('C%04d', row_number() OVER (ORDER BY md5('s1|' || sym))) AS match FROM (SELECT DISTINCT sym FROM tok))"
 
 
 @query("aln_1_crosswalk", f"{TOK_ORDERS}, {BIJ}, n AS (SELECT sym, count(*) AS cnt FROM tok GROUP BY sym) SELECT sym, match, cnt, cnt AS total, 1.0::DOUBLE AS confidence, 'confirmed' AS status FROM v JOIN n USING (sym)")

@@ -85,14 +85,9 @@ def _(spark, sf):  # noqa: ANN001, ANN202
     return _rounded(st.signature(orders(spark, sf), SEG).drop("h1_norm"), "alpha", "r2", "h1", "e2", "e3")
 
 
-@query("agg_29_fingerprint")
+@query("agg_32_cross_system", f"{TOK_LINES}, c AS (SELECT lang, sym, count(*) AS cnt FROM tok GROUP BY ALL), n AS (SELECT lang, count(*) AS sequences, avg(len(symbols)) AS mean_len FROM lines GROUP BY lang) SELECT lang, any_value(sequences) AS sequences, round(any_value(mean_len), 6) AS mean_len, sum(cnt)::BIGINT AS tokens, count(*) AS types, round(count(*) / sum(cnt), 6) AS ttr, count(*) FILTER (cnt = 1) AS hapax FROM c JOIN n USING (lang) GROUP BY lang")
 def _(spark, sf):  # noqa: ANN001, ANN202
-    return _rounded(st.fingerprint(orders(spark, sf), SEG), "h1_norm", "h2_ratio", "alpha", "ttr", "hapax_share", "pos_entropy", "bias_var", "mean_len", "substitution_rate")
-
-
-@query("agg_32_cross_system", f"{TOK_LINES}, c AS (SELECT lang, sym, count(*) AS cnt FROM tok GROUP BY ALL), n AS (SELECT lang, count(*) AS sequences, avg(len(symbols)) AS mean_len FROM lines GROUP BY lang) SELECT lang, any_value(sequences) AS sequences, round(any_value(mean_len), 6) AS mean_len, sum(cnt)::BIGINT AS tokens, count(*) AS types FROM c JOIN n USING (lang) GROUP BY lang")
-def _(spark, sf):  # noqa: ANN001, ANN202
-    return _rounded(st.corpus_table(lines(spark, sf), ["lang"]), "mean_len")
+    return _rounded(st.corpus_table(lines(spark, sf), ["lang"]), "mean_len", "ttr")
 
 
 @query("pos_8_against_labels", f"{POS1}, k AS (SELECT sym, CASE WHEN sum(n_end) / sum(n) >= 0.2 THEN 'END' ELSE 'REST' END AS class, CASE WHEN right(sym, 1)::INT % 2 = 0 THEN 'END' ELSE 'REST' END AS label FROM q GROUP BY sym) SELECT label, count(*) AS n, round(avg(CASE WHEN class = label THEN 1 ELSE 0 END), 6) AS accuracy FROM k GROUP BY label")
@@ -102,11 +97,6 @@ def _(spark, sf):  # noqa: ANN001, ANN202
     return _rounded(st.against_labels(c, labels), "accuracy")
 
 
-@query("pos_14_roles")
-def _(spark, sf):  # noqa: ANN001, ANN202
-    return st.roles(lines(spark, sf), ["lang"])
-
-
 @query("pos_19_label_hits", f"{TOK_ORDERS} SELECT round(i, 6) AS initial_hit, round(e, 6) AS terminal_hit, round((i + e) / 2, 6) AS score FROM (SELECT avg(CASE WHEN pos = 0 THEN 1 ELSE 0 END) AS i FROM tok WHERE sym LIKE 'Brand#1%') , (SELECT avg(CASE WHEN pos = len - 1 THEN 1 ELSE 0 END) AS e FROM tok WHERE sym LIKE 'Brand#2%')")
 def _(spark, sf):  # noqa: ANN001, ANN202
     x = orders(spark, sf)
@@ -123,13 +113,12 @@ def _(spark, sf):  # noqa: ANN001, ANN202
 @query("net_4_interaction", f"""{TOK_ORDERS}, t3 AS (SELECT x.sym AS a, y.sym AS b, z.sym AS c, count(*) AS cnt FROM tok x JOIN tok y ON x.seq_id = y.seq_id AND y.pos = x.pos + 1 JOIN tok z ON z.seq_id = x.seq_id AND z.pos = x.pos + 2 GROUP BY ALL), u AS (SELECT sym, count(*) / (SELECT count(*) FROM tok) AS p FROM tok GROUP BY sym)
 SELECT a, b, c, cnt, round(log2(cnt / (SELECT sum(cnt) FROM t3) / (x.p * y.p * z.p)), 6) + 0.0 AS i3 FROM t3 JOIN u x ON x.sym = a JOIN u y ON y.sym = b JOIN u z ON z.sym = c WHERE cnt >= 3""")
 def _(spark, sf):  # noqa: ANN001, ANN202
-    return _rounded(st.interaction_information(orders(spark, sf).withColumn("all", F.lit(1)), ["all"]).drop("all"), "i3")
+    return _rounded(st.interaction_information(orders(spark, sf), []), "i3")
 
 
 @query("net_6_trusted_collocates", f"{TOK_LINES}, u AS (SELECT sym, count(*) AS cnt FROM tok GROUP BY sym), c AS (SELECT x.sym AS a, y.sym AS b, count(*) AS cnt FROM tok x JOIN tok y ON x.seq_id = y.seq_id AND y.pos = x.pos + 1 GROUP BY ALL), pm AS (SELECT a, b, c.cnt, log2(c.cnt / (SELECT sum(cnt) FROM c) / (x.cnt / (SELECT sum(cnt) FROM u) * (y.cnt / (SELECT sum(cnt) FROM u)))) AS pmi FROM c JOIN u x ON x.sym = a JOIN u y ON y.sym = b WHERE c.cnt >= 3 AND x.cnt >= 20 AND y.cnt >= 20) SELECT a, b, cnt, round(pmi, 6) AS pmi FROM pm WHERE pmi > 1.5")
 def _(spark, sf):  # noqa: ANN001, ANN202
-    x = lines(spark, sf).withColumn("all", F.lit(1))
-    return a.pmi(x, ["all"], 3).where("pmi > 1.5 AND ca >= 20 AND cb >= 20").select("a", "b", "cnt", r6("pmi").alias("pmi"))
+    return a.pmi(lines(spark, sf), [], 3).where("pmi > 1.5 AND ca >= 20 AND cb >= 20").select("a", "b", "cnt", r6("pmi").alias("pmi"))
 
 
 @query("net_17_context_divergence", f"""{BI_ORDERS}, v AS (SELECT segment, a AS sym, b AS ctx, count(*) AS w FROM bi GROUP BY ALL), q AS (SELECT segment, sym, ctx, w / sum(w) OVER (PARTITION BY segment, sym) AS p FROM v)
@@ -188,10 +177,14 @@ def _(spark, sf):  # noqa: ANN001, ANN202
     return _rounded(d.select("segment", "delta", rank.alias("rank"), F.when(F.col("delta") > 0.05, "above").when(F.col("delta") < -0.05, "below").otherwise("same").alias("verdict")), "delta")
 
 
-@query("aln_9_mutual_best", f"WITH RECURSIVE {ORDERS}, s AS (SELECT nation AS x, segment AS y, count(*)::DOUBLE AS score FROM orders_seq GROUP BY ALL), r1 AS (SELECT x, y, score FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY score DESC, x, y) AS rx, row_number() OVER (PARTITION BY y ORDER BY score DESC, x, y) AS ry FROM s) WHERE rx = 1 AND ry = 1), s2 AS (SELECT * FROM s WHERE x NOT IN (SELECT x FROM r1) AND y NOT IN (SELECT y FROM r1)), r2 AS (SELECT x, y, score FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY score DESC, x, y) AS rx, row_number() OVER (PARTITION BY y ORDER BY score DESC, x, y) AS ry FROM s2) WHERE rx = 1 AND ry = 1) SELECT x, y, score, 1::BIGINT AS round FROM r1 UNION ALL SELECT x, y, score, 2 FROM r2")
+BEST = "(SELECT x, y, score FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY score DESC, x, y) AS rx, row_number() OVER (PARTITION BY y ORDER BY score DESC, x, y) AS ry FROM {0}) WHERE rx = 1 AND ry = 1)"
+ROUNDS = ", ".join(f"r{k} AS {BEST.format(f's{k}')}, s{k + 1} AS (SELECT * FROM s{k} WHERE x NOT IN (SELECT x FROM r{k}) AND y NOT IN (SELECT y FROM r{k}))" for k in range(1, 6))
+
+
+@query("aln_9_mutual_best", f"WITH {ORDERS}, s1 AS (SELECT nation AS x, segment AS y, count(*)::DOUBLE AS score FROM orders_seq GROUP BY ALL), {ROUNDS} " + " UNION ALL ".join(f"SELECT x, y, score, {k}::BIGINT AS round FROM r{k}" for k in range(1, 6)))
 def _(spark, sf):  # noqa: ANN001, ANN202
     s = orders(spark, sf).groupBy(F.col("nation").alias("x"), F.col("segment").alias("y")).agg(F.count("*").cast("double").alias("score"))
-    return _rounded(st.one_to_one(s, 2))
+    return _rounded(st.one_to_one(s))
 
 
 @query("aln_11_segment_search", "WITH s AS (SELECT p_partkey, string_split(p_name, ' ') AS s FROM part), k AS (SELECT p_partkey, CASE WHEN s[1] = 'cold' THEN 2 WHEN list_contains(s, 'cold') THEN 1 ELSE 0 END + CASE WHEN s[2] = 'widget' THEN 2 WHEN list_contains(s, 'widget') THEN 1 ELSE 0 END AS score FROM s) SELECT p_partkey, score::BIGINT AS score FROM k WHERE score > 0 ORDER BY score DESC, p_partkey LIMIT 10")

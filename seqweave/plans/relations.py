@@ -36,8 +36,7 @@ def _(spark, sf):  # noqa: ANN001, ANN202
 t2 AS (SELECT x.sym AS a, y.sym AS b, count(*) AS c2 FROM tok x JOIN tok y ON x.seq_id = y.seq_id AND y.pos = x.pos + 1 GROUP BY ALL), t1 AS (SELECT sym AS c, count(*) AS c1 FROM tok GROUP BY ALL)
 SELECT a, b, c, c3, c2, c1, round(ln(c3 / (SELECT sum(c3) FROM t3) / (c2 / (SELECT sum(c2) FROM t2) * (c1 / (SELECT sum(c1) FROM t1)))), 6) + 0.0 AS surplus FROM t3 JOIN t2 USING (a, b) JOIN t1 USING (c) WHERE c3 >= 3""")
 def _(spark, sf):  # noqa: ANN001, ANN202
-    x = lines(spark, sf).withColumn("all", F.lit(1))
-    return _rounded(a.trigram_surplus(x, ["all"]).select("a", "b", "c", "c3", "c2", "c1", "surplus"), "surplus")
+    return _rounded(a.trigram_surplus(lines(spark, sf), []).select("a", "b", "c", "c3", "c2", "c1", "surplus"), "surplus")
 
 
 @query("net_5_centrality", f"{PMI}, d AS (SELECT segment, a AS sym, b AS nb, cnt, pmi FROM pm UNION ALL SELECT segment, b, a, cnt, pmi FROM pm) SELECT segment, sym, round(sum(abs(pmi) * cnt), 5) AS centrality, count(DISTINCT nb) AS partners, round(sum(pmi * cnt), 5) + 0.0 AS weighted FROM d GROUP BY ALL")
@@ -83,11 +82,11 @@ def _(spark, sf):  # noqa: ANN001, ANN202
     return _rounded(a.paradigms(orders(spark, sf), []))
 
 
-@query("net_12_formulae", f"""WITH {ORDERS}, {grams('orders_seq', 'nation', most=3)}, g AS (SELECT n, gram, nation, count(*) AS here FROM grams GROUP BY ALL),
+@query("net_12_formulae", f"""WITH {ORDERS}, {grams('orders_seq', 'nation', most=4)}, g AS (SELECT n, gram, nation, count(*) AS here FROM grams GROUP BY ALL),
 w AS (SELECT *, sum(here) OVER (PARTITION BY n, gram)::BIGINT AS cnt, count(*) OVER (PARTITION BY n, gram) AS sites, row_number() OVER (PARTITION BY n, gram ORDER BY here DESC, nation) AS r FROM g)
 SELECT n, gram, cnt, sites, string_agg(nation || ':' || here, ',' ORDER BY r) FILTER (r <= 5) AS top_sites, CASE WHEN cnt >= 20 AND sites >= 3 THEN 'HIGH' WHEN cnt >= 8 THEN 'MEDIUM' ELSE 'LOW' END AS tier FROM w WHERE cnt >= 3 GROUP BY n, gram, cnt, sites""")
 def _(spark, sf):  # noqa: ANN001, ANN202
-    return _rounded(a.formulae(orders(spark, sf), "nation", 2, 3))
+    return _rounded(a.formulae(orders(spark, sf), "nation", 2, 4))
 
 
 @query("net_14_concordance", f"""WITH {LINES}, s AS (SELECT seq_id, symbols, unnest(range(1, len(symbols) + 1)) AS i FROM lines WHERE list_contains(symbols, 'with'))
@@ -215,7 +214,7 @@ def _(spark, sf):  # noqa: ANN001, ANN202
     return t.collapse_runs(events(spark, sf)).select("seq_id", F.array_join("collapsed", " ").alias("collapsed"), F.array_join(F.col("run_lengths").cast("array<string>"), " ").alias("run_lengths"))
 
 
-@query("trn_13_bijection", f"{TOK_ORDERS}, v AS (SELECT sym, 'C' || lpad((row_number() OVER (ORDER BY md5('s1|' || sym)))::VARCHAR, 4, '0') AS t FROM (SELECT DISTINCT sym FROM tok)) SELECT seq_id, string_agg(t, ' ' ORDER BY pos) AS symbols FROM tok JOIN v USING (sym) GROUP BY seq_id")
+@query("trn_13_bijection", f"{TOK_ORDERS}, v AS (SELECT sym, printf('C%04d', row_number() OVER (ORDER BY md5('s1|' || sym))) AS t FROM (SELECT DISTINCT sym FROM tok)) SELECT seq_id, string_agg(t, ' ' ORDER BY pos) AS symbols FROM tok JOIN v USING (sym) GROUP BY seq_id")
 def _(spark, sf):  # noqa: ANN001, ANN202
     x = orders(spark, sf)
     return t.recode(x, t.bijection(x, "s1")).select("seq_id", F.array_join("symbols", " ").alias("symbols"))

@@ -15,7 +15,7 @@ def _words(c: Column) -> Column:
 
 
 def read_lines(spark: SparkSession, path: str, least: int = 1) -> DataFrame:
-    """A sequence for each line of text files, symbols apart by white space; shorter ones go. seq_id is a hash of file and line text's place."""
+    """A sequence for each line of text files, symbols apart by white space; shorter ones go. seq_id is a hash of file and the row's number, which follows how files are split: write the result to keep it."""
     rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("i"), _words(F.col("value")).alias("symbols"))
     return rows.where(F.size("symbols") >= least).select(F.xxhash64("file", "i").alias("seq_id"), "symbols")
 
@@ -49,7 +49,8 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
 
 def assemble(sites: DataFrame, seals: DataFrame, inscriptions: DataFrame, glyphs: DataFrame, digits: int = 3) -> DataFrame:
     """A corpus from four tables: glyphs in order, each as a padded id; site 'unknown' where there is none; direction from its text."""
-    seq = glyphs.groupBy("seal_id").agg(F.array_sort(F.collect_list(F.struct("idx", F.lpad(F.col("glyph_id").cast("string"), digits, "0").alias("g")))).alias("x")).select("seal_id", F.col("x.g").alias("symbols"))
+    glyph = F.col("glyph_id").cast("string")
+    seq = glyphs.groupBy("seal_id").agg(F.array_sort(F.collect_list(F.struct("idx", F.when(F.length(glyph) < digits, F.lpad(glyph, digits, "0")).otherwise(glyph).alias("g")))).alias("x")).select("seal_id", F.col("x.g").alias("symbols"))
     low = F.lower("direction")
     way = F.when(F.contains(low, F.lit("right to left")) | F.contains(low, F.lit("r/l")) | (low == "rtl"), "rtl").when(F.contains(low, F.lit("left to right")) | F.contains(low, F.lit("l/r")) | (low == "ltr"), "ltr").otherwise("unknown")
     j = inscriptions.join(seals, "seal_id", "left").join(sites.withColumnRenamed("name", "site"), "site_id", "left").join(seq, "seal_id")
