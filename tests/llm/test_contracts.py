@@ -59,6 +59,108 @@ def test_secrets(request, which):
         assert set(want) <= set(filter(None, got[r.doc_id, r.h].s.split(",")))
 
 
+def plain_evidence(value):
+    """The battery, written out for one string."""
+    for kind, (pattern, letters) in secrets.ALPHABETS.items():
+        if re.search(pattern, value):
+            break
+    plain = re.sub("={1,2}$", "", value.lower() if kind in ("hex", "letters") else value).translate(str.maketrans("-_=", "+//"))
+    x, n, k = [letters.index(c) for c in plain], len(plain), len(letters)
+    cdf = lambda z: 1 / (1 + math.exp(-(1.5976 * z + 0.07056 * z**3)))
+    clip = lambda z: max(-30.0, min(30.0, z))
+
+    def surprise(z):
+        z = clip(z)
+        g = 1.5976 * z + 0.07056 * z**3
+        return max(g, 0) + math.log1p(math.exp(-abs(g)))
+
+    counts = Counter(x).values()
+    if n < 5 * k:
+        pairs, mean = sum(c * (c - 1) / 2 for c in counts), n * (n - 1) / 2 / k
+        chi = -3 * math.sqrt(pairs) * ((mean / pairs) ** (1 / 3) - 1 + 1 / (9 * pairs)) if pairs else -30
+    else:
+        stat, df = sum((c - n / k) ** 2 for c in counts) / (n / k) + (k - len(counts)) * n / k, k - 1
+        chi = ((stat / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
+    up = [v >= k // 2 for v in x]
+    high, turns = sum(up), sum(a != b for a, b in zip(up, up[1:], strict=False))
+    expect = 2 * high * (n - high) / n
+    spread = expect * (expect - 1) / (n - 1)
+    runs = (turns - expect) / math.sqrt(spread) if spread > 0 else 30
+    m = sum(x) / n
+    var = sum((v - m) ** 2 for v in x)
+    serial = (sum((a - m) * (b - m) for a, b in zip(x, x[1:], strict=False)) / var + 1 / n) * math.sqrt(n) if var > 1e-9 else 30
+    assert 0 <= cdf(0) <= 1
+    return kind, 2 * (surprise(chi) + sum(max(surprise(abs(z)) - math.log(2), 0) for z in (runs, serial)))
+
+
+def tokens_of(kind, length, n, seed):
+    import random
+    import string
+
+    rng = random.Random(seed)
+    letters = {"base64": string.ascii_letters + string.digits + "+/", "base36": string.ascii_lowercase + string.digits, "hex": "0123456789ABCDEF", "base32": string.ascii_uppercase + "234567", "letters": string.ascii_lowercase}[kind]
+    return ["".join(rng.choice(letters) for _ in range(length)) for _ in range(n)]
+
+
+def test_battery(spark):
+    """Evidence against the plain version; that of random strings is about that of three tests."""
+    values = [t for kind in ("base64", "base36", "hex", "base32", "letters") for length in (20, 41, 100, 400) for t in tokens_of(kind, length, 40, length)]
+    values += ["a" * 20, "ab" * 15, "-" * 30, "=" * 25, "thequickbrownfoxjumpsover", "some-words-of-a-slug-here", "A" + "b" * 30, "0123456789abcdefghijklmnopqrstuvwxyz"]
+    df = spark.createDataFrame([(v,) for v in values], "value string")
+    for name, column in secrets.battery().items():
+        df = df.withColumn(name, column)
+    got = {r.value: (r.encoding, r.evidence) for r in df.select("value", "encoding", "evidence").collect()}
+    for v in values:
+        kind, evidence = plain_evidence(v)
+        assert got[v][0] == kind and math.isclose(got[v][1], evidence, rel_tol=1e-6, abs_tol=1e-6), v
+    drawn = [got[v][1] for v in values[:800]]
+    assert 4.5 < sum(drawn) / len(drawn) < 8
+
+
+@pytest.mark.parametrize("many", [10, 400])
+def test_planted_keys_are_found(spark, many):
+    """Keys outside of any pattern, few or many, against a plain version of the decision; words put together aren't keys."""
+    keys = [t for kind in ("base64", "base36", "hex") for t in tokens_of(kind, 40, many // 5 * 2 if kind == "base64" else many // 10 * 3, 9)]
+    words = "thewordsofatextputtogether some-words-of-a-long-slug-in-an-address AND_THE_NAME_OF_A_CONSTANT_VALUE".split()
+    rows = [(10_000_000 + i, f"see {k} there", 0) for i, k in enumerate(keys)] + [(20_000_000 + i, f"see {w} there", 0) for i, w in enumerate(words)]
+    df = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", F.lit(1).alias("n_chars")).unionByName(spark.createDataFrame(rows, "doc_id long, text string, n_chars int"))
+    got = {r.doc_id: r.s for r in secrets.scan(df).select("doc_id", secrets.spelled("spans").alias("s")).where("s LIKE '%random%'").collect()}
+    hit = sum(10_000_000 + i in got for i in range(len(keys)))
+    assert hit >= 0.9 * len(keys) and all(got[10_000_000 + i] == f"random:4:{4 + len(k)}" for i, k in enumerate(keys) if 10_000_000 + i in got)
+    assert not any(i >= 20_000_000 for i in got) and sum(i < 10_000_000 for i in got) <= 0.1 * len(got)
+    # the decision anew: decoys' moments and cells, p-values, the step-up rule
+    texts = {r.doc_id: r.text for r in df.collect()}
+    decoys = [r.d for r in df.select(secrets.decoy(F.col("text")).alias("d")).collect() if r.d]
+    band = lambda v: max(k for k, n in enumerate(secrets.BANDS) if len(v) >= n)
+    seen = defaultdict(list)
+    for d in decoys:
+        kind, e = plain_evidence(d)
+        seen[kind, band(d)].append(math.log(max(e, 1e-3)))
+    tested = []
+    for i, t in texts.items():
+        spans = [tuple(map(int, s.split(":")[1:])) for s in brute_spans(t)]
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", t):
+            if not any(a < m.end() and m.start() < b for a, b in spans):
+                kind, e = plain_evidence(m[0])
+                b, ln = band(m[0]), math.log(max(e, 1e-3))
+                known, k0 = seen[kind, b], secrets.PRIOR_COUNT
+                n, prior = len(known) + k0, secrets.PRIOR_MEAN[b]
+                mean = (sum(known) + k0 * prior) / n
+                spread = math.sqrt(max((sum(v * v for v in known) + k0 * (secrets.PRIOR_SPREAD**2 + prior**2)) / n - mean**2, 1e-4))
+                z = max(-30, min(30, (mean - ln) / spread))
+                g = 1.5976 * z + 0.07056 * z**3
+                near = sum(math.floor(v / secrets.CELL) <= math.floor(ln / secrets.CELL) for v in known) / n
+                tested.append((i, m.start(), m.end(), b, max(math.exp(-(max(g, 0) + math.log1p(math.exp(-abs(g))))), near)))
+    want = defaultdict(list)
+    for b in range(len(secrets.BANDS)):
+        own = [t for t in tested if t[3] == b]
+        cut = [c for c in secrets.CUTOFFS if (r := sum(t[4] <= c for t in own)) and len(own) * c <= 0.05 * r]
+        for i, start, stop, _, p in own:
+            if cut and p <= max(cut):
+                want[i].append((start, stop))
+    assert {i: [tuple(map(int, s.split(":")[1:])) for s in v.split(",") if s.startswith("random")] for i, v in got.items()} == {i: sorted(v) for i, v in want.items()}
+
+
 def test_secrets_redacted(odd):
     rows = secrets.redact(odd).collect()
     assert len(rows) == len(ODD) and rows[0].asDict().keys() == odd.first().asDict().keys()
@@ -153,6 +255,33 @@ def test_scheme_covers_all_sizes():
                 assert s.segments(k) > most
 
 
+@pytest.mark.parametrize(("limit", "percent"), [(None, 90), (2, 80)])
+def test_jaccard_of_a_shared_passage(spark, docs, monkeypatch, limit, percent):
+    """One passage in all documents, and links between some of them; hot signatures, and torn groups that are split anew."""
+    import random
+
+    if limit:
+        monkeypatch.setattr(jaccard, "CROWD", limit)
+        monkeypatch.setattr(jaccard, "HEAT", 1)
+    rng = random.Random(8)
+    passage, rows = [f"p{i}" for i in range(60)], []
+    for k in range(90):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([8, 15, 30]))]
+        rows.append((k, " ".join(passage + own)))
+        if k % 9 == 0:
+            rows.append((500 + k, " ".join(passage + own[:-1])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_documents(df, n=3, percent=percent).collect()}
+    assert got == brute_jaccard(rows, 3, percent)
+
+
+def test_jaccard_of_one_signature(spark):
+    """A signature that 100,000 documents share is counted by aggregation; all others as by a window."""
+    flat = spark.range(100_000).select(F.col("id").alias("doc_id"), F.explode(F.array(F.lit(5), F.xxhash64((F.col("id") / 2).cast("long")))).alias("sig"))
+    got = jaccard._groups(flat).groupBy("sig").agg(F.min("hub").alias("hub"), F.max("n").alias("n"), F.count("*").alias("rows")).where("sig = 5 OR n <> 2 OR rows <> 2").collect()
+    assert [tuple(r) for r in got] == [(5, 0, 100_000, 100_000)] and jaccard._groups(flat).count() == 200_000
+
+
 def jump(key, n):
     key &= (1 << 64) - 1
     b, j = -1, 0
@@ -201,7 +330,32 @@ def test_media(request, which):
     by_sha = defaultdict(set)
     for r in got:
         by_sha[r.payload_sha256].add(r.feature)
-    assert all(len(v) == 1 for v in by_sha.values())
+    assert all(len(v) == 1 for v in by_sha.values()) and len({f for v in by_sha.values() for f in v}) == len(by_sha)
+
+
+def test_fingerprint_against_plain_sums():
+    """Peaks and pairs from a transform written out, on payloads of several lengths."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for n in (64, 128, 192, 640, 64 * 41):
+        x = rng.integers(32, 122, n).astype(np.uint8)
+        signal = np.concatenate((np.zeros(64), x.astype(float) - 128, np.zeros(256)))
+        peaks = []
+        for f in range(n // 64 + 1):
+            frame = [signal[64 * f + i] * 0.5 * (1 - math.cos(2 * math.pi * i / 128)) for i in range(128)]
+            power = [abs(sum(v * complex(math.cos(2 * math.pi * k * i / 128), -math.sin(2 * math.pi * k * i / 128)) for i, v in enumerate(frame))) ** 2 for k in range(1, 65)]
+            top = [k for k in range(64) if (k == 0 or power[k] >= power[k - 1]) and (k == 63 or power[k] > power[k + 1]) and power[k] > 1]
+            peaks += [(f, k + 1) for k in sorted(sorted(top, key=lambda k: -power[k])[:2])]
+        pairs = []
+        for f, b in peaks:
+            pairs += [(f, b << 16 | b2 << 8 | g - f) for g, b2 in [p for p in peaks if p[0] > f][:2] if g - f <= 32]
+        t, c, levels = media.fingerprint(x)
+        assert sorted(pairs) == sorted(zip(t.tolist(), c.tolist(), strict=True)) and len(levels) == len(peaks)
+        for place in (0, n // 2, n - 1):
+            y = x.copy()
+            y[place] ^= 16
+            assert any(a.tobytes() != b.tobytes() for a, b in zip(media.fingerprint(y), (t, c, levels), strict=True))
 
 
 def brute_repeats(w, k=8):
@@ -244,24 +398,76 @@ def test_repeated_words_by_chance():
         assert quality.repeated_words(w, 8) == brute_repeats(w)
 
 
-def test_binomial_and_certificates():
-    import pandas as pd
-
+def test_binomial():
     for k, n, p in ((0, 10, 0.1), (3, 50, 0.05), (10, 10, 0.3), (100, 20000, 0.01)):
         exact = sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(min(k, n) + 1))
         assert math.isclose(quality.binomial_cdf(k, n, p), min(exact, 1), rel_tol=1e-9)
-    counts = pd.DataFrame([("en", "r", i, c, 5000, k) for i, (c, k) in enumerate([(0.5, 0), (0.4, 2), (0.3, 400)])], columns=["stratum", "rule", "rank", "cutoff", "good", "rejected"])
-    assert quality.certified(counts, 0.01, 0.001).cutoff.tolist() == [0.4]
-    counts["good"] = 30
-    assert quality.certified(counts, 0.01, 0.001).empty
 
 
 def test_quality_holds_its_share(spark):
+    """Certified on two thirds of the labels, checked on the others."""
     sf = "/root/testdata/sf0.1"
-    lab = table(spark, sf, "labels")
-    rows = quality.judge(table(spark, sf, "documents"), lab).join(lab, "doc_id").where("NOT base_failed").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()
+    lab = table(spark, sf, "labels").withColumn("check", F.crc32(F.concat(F.lit("c"), F.col("doc_id")).cast("binary")) % 3 == 0)
+    rows = quality.judge(table(spark, sf, "documents"), lab.where("NOT check")).join(lab.where("check"), "doc_id").where("NOT base_failed").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()
     kept = {r.quality: r.kept for r in rows}
-    assert kept[1] > 0.98 and kept[0] < 0.8
+    assert kept[1] > 0.98 and kept[0] < 0.6
+
+
+def plain_kept(docs, labels, share=0.02, error=0.05):
+    """The certificates, written out: docs {id: (stratum, measures, base_failed)}, labels {id: good}."""
+    rules = [(lambda m: m[2] / m[1], "symbol_share"), (lambda m: m[3] / m[0], "dup_line_share"), (lambda m: m[4] / m[0], "repeat_share"), (lambda m: m[1] / m[0], "long_words")]
+    cuts = [quality.RULES[name][1] for _, name in rules]
+    over = lambda i, v: any(k and rules[r][0](docs[i][1]) > cuts[r][k - 1] for r, k in enumerate(v))
+    held = {i: good for i, good in labels.items() if i in docs and not docs[i][2]}
+    order = {i for i in held if zlib.crc32(str(i).encode()) % 4 == 0}
+    strata = sorted({docs[i][0] for i in held})
+    size = {s: sum(docs[i][0] == s and good and i not in order for i, good in held.items()) for s in strata}
+    least = math.ceil(math.log(error / len(strata)) / math.log1p(-share))
+    groups, before, some = {s: {s} for s in strata if size[s] >= least}, 0, any(n < least for n in size.values())
+    for s in sorted(strata, key=lambda s: (size[s], s)):
+        if some and (size[s] < least or before < least):
+            groups.setdefault("(pooled)", set()).add(s)
+        before += size[s]
+    paths = {}
+    for g, members in groups.items():
+        own = {i: good for i, good in held.items() if docs[i][0] in members}
+        v, steps, tests = [0] * 4, [], []
+        count = lambda vec, good, own=own: sum(over(i, vec) for i, x in own.items() if i in order and x == good)
+        while any(a < len(c) for a, c in zip(v, cuts, strict=True)):
+            tried = []
+            for r in range(4):
+                if v[r] < len(cuts[r]):
+                    w = [a + (k == r) for k, a in enumerate(v)]
+                    tried.append(((count(w, True) - count(v, True) + 0.1) / (count(w, False) - count(v, False) + 1), v[r] / len(cuts[r]), r, w))
+            v = min(tried)[3]
+            steps.append(v)
+        for v in steps:
+            certify = [i for i, good in own.items() if good and i not in order]
+            k, n = sum(over(i, v) for i in certify), len(certify)
+            tests.append((v, min(1, sum(math.comb(n, j) * share**j * (1 - share) ** (n - j) for j in range(k + 1))) if n else 1))
+        paths[g] = tests
+    worst, done = sorted(max(p for _, p in t) for t in paths.values()), 0
+    while done < len(worst) and worst[done] <= error / (len(worst) - done):
+        done += 1
+    level, vectors = error / max(1, len(worst) - done), {}
+    for g, tests in paths.items():
+        vectors[g] = [0] * 4
+        for v, p in tests:
+            if p > level:
+                break
+            vectors[g] = v
+    return {i: not failed and not over(i, vectors.get(s if s in groups else "(pooled)", [0] * 4)) for i, (s, _, failed) in docs.items()}, vectors
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_quality_kept(spark, sf):
+    df, lab = table(spark, f"/root/testdata/{sf}", "documents"), table(spark, f"/root/testdata/{sf}", "labels")
+    rows = quality.judge(df, lab).collect()
+    lang = {r.doc_id: r.lang or "(none)" for r in df.select("doc_id", "lang").collect()}
+    docs = {r.doc_id: (lang[r.doc_id], (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words), r.base_failed) for r in rows}
+    want, vectors = plain_kept(docs, {r.doc_id: r.quality == 1 for r in lab.collect()})
+    assert {r.doc_id: r.kept for r in rows} == want
+    assert sf == "sf0.001" or all(sum(v) > 4 for v in vectors.values())  # the method decides, not the base alone
 
 
 @pytest.mark.parametrize("which", ["docs", "odd"])
@@ -342,11 +548,28 @@ def test_warc_is_deterministic(spark, tmp_path):
         m = warc.write(df, f"file://{tmp_path}/{k}", range_bytes=50_000, roll_bytes=5_000)
         names.append(sorted((r.file, r.records, r.bytes, r.sha256) for r in m.collect()))
     assert names[0] == names[1] and len(names[0]) > 3
-    (tmp_path / "0/data" / names[0][0][0]).write_bytes(b"")
+    whole, first = sum(x[1] for x in names[0]), tmp_path / "0/data" / names[0][0][0]
+    (tmp_path / "0/data/stray.warc.gz").write_bytes(first.read_bytes())
+    assert warc.read(spark, f"file://{tmp_path}/0").count() == whole
+    raw = bytearray(first.read_bytes())
+    raw[4] ^= 1  # the gzip header's time: all records stay readable
+    first.write_bytes(raw)
+    with pytest.raises(Exception, match="doesn't match its manifest"):
+        warc.read(spark, f"file://{tmp_path}/0").collect()
+    first.write_bytes(b"")
     with pytest.raises(ValueError, match="manifest"):
         warc.read(spark, f"file://{tmp_path}/0")
 
 
+@pytest.mark.parametrize("kind", ["long", "int", "string"])
+def test_warc_ids(spark, kind):
+    """Ids at both ends of their range, and ids that aren't numbers, in order through the files."""
+    ids = {"long": [-(2**63), -(2**63) + 1, -1, 0, 7, 2**63 - 2, 2**63 - 1], "int": [-(2**31), 0, 2**31 - 1], "string": ["", "a", "a: b\r\nc", "ab", "é%41", "prefix-long-1", "prefix-long-2"]}[kind]
+    df = spark.createDataFrame([(i, f"u{k}", f"{k}" * 300) for k, i in enumerate(ids)], f"page_id {kind}, url string, html string")
+    got = warc.round_trip(df, range_bytes=400, roll_bytes=1 << 20).collect()
+    assert sorted(r.page_id for r in got) == sorted(ids) and all(r.payload_bytes == 300 for r in got)
+
+
 def test_mixing(spark, odd):
     df = table(spark, "/root/testdata/sf0.1", "documents")
     rows = mixing.mix(df, alpha=0.0)
@@ -362,6 +585,13 @@ def test_mixing(spark, odd):
     assert again == [tuple(r) for r in mixing.mix(odd.repartition(3)).orderBy("shuffle_key", "doc_id").collect()]
 
 
+def test_mixing_without_broadcast(spark, odd, monkeypatch):
+    want = sorted(map(tuple, mixing.mix(odd).collect()), key=str)
+    monkeypatch.setattr(mixing, "MOST_TERMS", 1)
+    clash = odd.withColumnsRenamed({"score": "_source", "shard": "_u", "n_chars": "_cdf"})
+    assert sorted(map(tuple, mixing.mix(odd).collect()), key=str) == want and mixing.mix(clash).count() == len(want)
+
+
 def test_poisson_counts(spark):
     df = spark.range(20000).select(F.col("id").alias("doc_id"), F.lit("abcd").alias("text"), F.lit("s").alias("source"))
     n = [r.n for r in mixing.mix(df, budget=2.5).groupBy("doc_id").agg(F.count("*").alias("n")).collect()]
@@ -417,8 +647,7 @@ def test_interactions_are_learned():
         y.append(float(a == b))
     m = toxicity.fit(rows, np.array(y), most=50)
     m2 = toxicity.Machine(m.bias, m.buckets, m.weights, np.zeros_like(m.vectors))
-    if not {10, 20} <= set(m.buckets.tolist()):  # marginally neutral terms may not pass the selection
-        pytest.skip("terms not selected")
+    assert {10, 20} <= set(m.buckets.tolist())
     right = np.mean([(m.score(r) >= 0.5) == bool(v) for r, v in zip(rows, y, strict=True)])
     linear = np.mean([(m2.score(r) >= 0.5) == bool(v) for r, v in zip(rows, y, strict=True)])
     assert right > linear
@@ -450,6 +679,49 @@ def test_terms_of_pairs_are_selected():
     assert 0 < len(want) < 300 and set(toxicity.partners(rows, rest, 0.03, block=64).tolist()) == want
 
 
+def test_sharding_of_names(spark):
+    df = spark.createDataFrame([("a", "x"), ("b", None), (None, "y"), ("a", "x")], "doc_id string, text string")
+    rows = sharding.shard(df).collect()
+    assert len(rows) == 4 and len({r.shard for r in rows if r.doc_id == "a"}) == 1 and {r.slot for r in rows if r.doc_id == "a"} >= {0, 1}
+
+
+def test_texts_of_megabytes(spark):
+    """Texts of 2 MB, one of them a single word, through every operator."""
+    text = " ".join(f"w{i % 5003}" for i in range(330_000))
+    df = spark.createDataFrame([(1, text, "en", "a", len(text)), (2, text + " end", "de", "a", 0), (3, "x" * 2_000_000, "de", "b", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    lab = spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int")
+    for out in (
+        langid.predict(df, langid.train(df)), media.fingerprints(df), mixing.mix(df), queries.packed(df), sharding.shard(df), quality.judge(df, lab), secrets.redact(df),
+        toxicity.score(df, toxicity.train(df, lab)), warc.round_trip(df.select(F.col("doc_id").alias("page_id"), F.col("source").alias("url"), F.col("text").alias("html"))),
+    ):
+        assert out.count() >= 1
+    assert [r.component_id for r in jaccard.similar_documents(df).orderBy("doc_id").collect()] == [1, 1, 3]
+
+
+def test_shared_dir_of_a_cluster():
+    from types import SimpleNamespace
+
+    from seqweave.llm.common import shared_dir
+
+    conf = SimpleNamespace(get=lambda name, default=None: default)
+    with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
+        shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="yarn", applicationId="a")))
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, odd, labels, tmp_path):
+    import corpus_pipeline
+
+    names = ["doc_id", "text", "lang", "source", "n_chars"]
+    for k, df in enumerate((odd.select(*names), odd.select(*names).limit(0))):
+        sf = f"file://{tmp_path}/{k}"
+        df.write.parquet(f"{sf}/documents.parquet")
+        labels.write.parquet(f"{sf}/labels.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)
+            assert out.columns == names and out.count() <= 3 * df.count()
+        assert corpus_pipeline.run(spark, sf).count() >= 0 and corpus_pipeline.STAGES[-1][1](spark, df, sf).count() >= df.count()
+
+
 def test_empty_tables(spark, odd, labels):
     none, no_labels = odd.limit(0), labels.limit(0)
     for out in (
