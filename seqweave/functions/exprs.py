@@ -2,9 +2,38 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+from contextvars import ContextVar
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: What a null stratum is called while groups are joined; it becomes null again in the result.
+UNNAMED = "\0unnamed"
+_named: ContextVar[bool] = ContextVar("named", default=False)
+
+
+def null_strata(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Lets rows with a null in a text column of `by` be a group of their own: joins on grouping columns would lose them.
+
+    For operators (seq, by, ...): nulls get a name before and lose it after.
+    """
+
+    @functools.wraps(operator)
+    def run(seq: DataFrame, by: list[str], *args: object, **kwargs: object) -> DataFrame:
+        texts = [c for c in by if dict(seq.dtypes).get(c) == "string"] if not _named.get() else []
+        if not texts:
+            return operator(seq, by, *args, **kwargs)
+        token = _named.set(True)  # operators that this one calls leave the names alone
+        try:
+            out = operator(seq.withColumns({c: F.coalesce(c, F.lit(UNNAMED)) for c in texts}), by, *args, **kwargs)
+        finally:
+            _named.reset(token)
+        return out.withColumns({c: F.nullif(F.col(c), F.lit(UNNAMED)) for c in texts if c in out.columns})
+
+    return run
+
 
 def r6(c: Column | str) -> Column:
     """Six decimals; a negative zero becomes zero."""
@@ -16,6 +45,11 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(b == 0, F.lit(0.0)).otherwise(a.cast("double") / F.nullif(b.cast("double"), F.lit(0.0)))
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson's r as an aggregate, null where either doesn't vary (the built-in one divides by zero there)."""
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+
+
 def tokens(seq: DataFrame) -> DataFrame:
     """One row per token: the sequence's columns, pos from 0, sym and len."""
     keep = [c for c in seq.columns if c != "symbols"]

@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqweave.functions.exprs import bigrams, keeper, ngrams, ratio, tokens, top_per
+from seqweave.functions.exprs import bigrams, keeper, ngrams, null_strata, ratio, tokens, top_per
 from seqweave.operators.measures import symbol_counts, with_totals
 
 
+@null_strata
 def pmi(seq: DataFrame, by: list[str], min_count: int = 2, over: str = "bigrams", log: Callable[[Column], Column] = F.log2) -> DataFrame:
     """log p(ab) / (p(a) p(b)); p(ab) over bigrams or tokens, p(a) over tokens. The shuffles are on counts, not on the corpus."""
     pairs = bigrams(seq.select(*by, "symbols")).groupBy(*by, "a", "b").agg(F.count("*").alias("cnt"))
@@ -21,6 +22,7 @@ def pmi(seq: DataFrame, by: list[str], min_count: int = 2, over: str = "bigrams"
     return j.withColumn("pmi", log(F.col("cnt") / F.col(over) / (F.col("ca") / F.col("tokens") * F.col("cb") / F.col("tokens"))))
 
 
+@null_strata
 def followers(seq: DataFrame, by: list[str], k: int = 10) -> DataFrame:
     """Top followers of each symbol with P(b | a) = count / count(a)."""
     pairs = bigrams(seq.select(*by, "symbols")).groupBy(*by, "a", "b").agg(F.count("*").alias("cnt"))
@@ -28,6 +30,7 @@ def followers(seq: DataFrame, by: list[str], k: int = 10) -> DataFrame:
     return top_per(pairs.join(uni, [*by, "a"]).withColumn("p", F.col("cnt") / F.col("ca")), [*by, "a"], [F.desc("cnt"), "b"], k)
 
 
+@null_strata
 def trigram_surplus(seq: DataFrame, by: list[str], least3: int = 3) -> DataFrame:
     """ln p(abc) / (p(ab) p(c)) in nats.
 
@@ -78,6 +81,7 @@ def bidirectional(seq: DataFrame, by: list[str]) -> DataFrame:
     return g.where("forth > 0 AND back > 0")
 
 
+@null_strata
 def directed_edges(seq: DataFrame, by: list[str], min_freq: int = 2) -> DataFrame:
     """Adjacency edges between symbols of at least min_freq tokens."""
     keep = symbol_counts(seq, by).where(F.col("cnt") >= min_freq)
@@ -124,6 +128,7 @@ def concordance(seq: DataFrame, query: str, width: int = 5) -> DataFrame:
     return x.select("seq_id", (F.col("i") - 1).cast("long").alias("pos"), F.array_join(F.slice("symbols", start, F.col("i") - start), " ").alias("left"), F.array_join(F.slice("symbols", F.col("i") + 1, F.lit(width)), " ").alias("right"))
 
 
+@null_strata
 def context_vectors(seq: DataFrame, by: list[str], window: int = 1, min_freq: int = 1) -> DataFrame:
     """Sparse vectors (sym, feature, w): left and right neighbours at each distance up to the window."""
     s, out = seq.select(*by, "symbols"), None
@@ -187,6 +192,7 @@ def dominant_slot(edges: DataFrame, by: list[str]) -> DataFrame:
     return g.withColumn("share", share).withColumn("slot", F.when(share > 0.65, "INITIAL").when(share < 0.35, "TERMINAL").otherwise("MEDIAL"))
 
 
+@null_strata
 def features(seq: DataFrame, by: list[str]) -> DataFrame:
     """A row of features per symbol: log frequency, rates, in and out degree, entropies of neighbours, strength."""
     from seqweave.operators.positions import position_entropy, start_end_counts
@@ -224,6 +230,7 @@ def betweenness(edges: DataFrame) -> DataFrame:
     return parts.groupBy(F.col("v").alias("sym")).agg((F.sum("share") / 2).alias("betweenness"))
 
 
+@null_strata
 def spectral_gap(seq: DataFrame, by: list[str], vocab: int = 200) -> DataFrame:
     """1 - |second eigenvalue| of each stratum's transition matrix over its top symbols and OTHER.
 

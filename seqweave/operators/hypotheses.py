@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqweave.functions.exprs import bigrams, entropy, join_small, tokens, top_per
+from seqweave.functions.exprs import bigrams, entropy, join_small, null_strata, tokens, top_per
 from seqweave.operators import measures as m
 from seqweave.operators import positions as p
 
 
+@null_strata
 def function_features(seq: DataFrame, by: list[str]) -> DataFrame:
     """Nine features of each symbol; rates are over the distinct sequences that hold it.
 
@@ -42,6 +43,7 @@ def function_features(seq: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+@null_strata
 def estimator(seq: DataFrame, by: list[str]) -> DataFrame:
     """Shares of five functions for each symbol from its nine features, and the dominant one, the first of the largest.
 

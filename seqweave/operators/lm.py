@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqweave.functions.exprs import bigrams, ngrams, tokens
+from seqweave.functions.exprs import bigrams, ngrams, null_strata, tokens
 from seqweave.operators.measures import stream_ngram_counts, with_totals
 
 START, END, FLOOR = "<BOW>", "<EOW>", 1e-8
@@ -26,6 +26,7 @@ def model(seq: DataFrame, by: list[str]) -> DataFrame:
     return c.withColumn("p", F.col("cnt") / F.sum("cnt").over(Window.partitionBy(*by, "kind", "given"))).select(*by, "kind", "gram", "cnt", "p")
 
 
+@null_strata
 def stream_model(seq: DataFrame, by: list[str], order: str = "seq_id") -> DataFrame:
     """(by, n, gram, cnt, p): bigrams and trigrams of the flat stream of each group, p over all of their length."""
     c = stream_ngram_counts(seq, 1, 3, by, order)
@@ -48,6 +49,7 @@ def word_statistics(seq: DataFrame, by: list[str]) -> DataFrame:
     return p.groupBy(*by).agg(F.count("*").alias("pairs"), F.avg(F.when(F.col("a") == F.col("b"), 1.0).otherwise(0.0)).alias("repeat_rate"))
 
 
+@null_strata
 def together(seq: DataFrame, by: list[str]) -> DataFrame:
     """(by, a, b, p): the share of sequences of two symbols or more that hold both a < b."""
     s = seq.where("size(symbols) >= 2").select(*by, F.array_sort(F.array_distinct("symbols")).alias("u"))

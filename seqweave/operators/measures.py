@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqweave.functions.exprs import bigrams, entropy, join_small, ngrams, ranked, ratio, tokens
+from seqweave.functions.exprs import bigrams, correlation, entropy, join_small, ngrams, null_strata, ranked, ratio, tokens
 
 
 def symbol_counts(seq: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
@@ -19,12 +19,14 @@ def with_totals(rows: DataFrame, totals: DataFrame, by: list[str]) -> DataFrame:
     return join_small(rows, totals, by, "inner") if by else rows.crossJoin(F.broadcast(totals))
 
 
+@null_strata
 def frequency(seq: DataFrame, by: list[str], min_count: int = 1) -> DataFrame:
     """Counts of symbols of at least min_count; total_tokens is counted before that filter."""
     counts = symbol_counts(seq, by)
     return with_totals(counts, counts.groupBy(*by).agg(F.sum("cnt").alias("total_tokens")), by).where(F.col("cnt") >= min_count)
 
 
+@null_strata
 def rank_frequency(seq: DataFrame, by: list[str]) -> DataFrame:
     counts = symbol_counts(seq, by)
     totals = counts.groupBy(*by).agg(F.sum("cnt").alias("total"))
@@ -64,6 +66,7 @@ def stream_ngram_counts(seq: DataFrame, least: int, most: int, by: list[str], or
     return both.groupBy(*by, "n", "gram").agg(F.sum("cnt").alias("cnt"))
 
 
+@null_strata
 def unigram_entropy(seq: DataFrame, by: list[str]) -> DataFrame:
     e = entropy(symbol_counts(seq, by), by)
     return e.withColumn("h_norm", F.when(F.col("types") > 1, F.col("h") / F.log2(F.col("types").cast("double"))).otherwise(0.0))
@@ -102,6 +105,7 @@ def conditional_by_difference(blocks: DataFrame, by: list[str]) -> DataFrame:
     return d.withColumn("plateau", F.coalesce(flat, F.lit(False))).drop("_last", "_prev")
 
 
+@null_strata
 def conditional_by_rows(seq: DataFrame, by: list[str]) -> DataFrame:
     """H(B|A): entropies of the followers of a, weighed by a's share of all tokens."""
     rows = entropy(bigrams(seq.select(*by, "symbols")).groupBy(*by, "a", "b").agg(F.count("*").alias("cnt")), [*by, "a"])
@@ -111,6 +115,7 @@ def conditional_by_rows(seq: DataFrame, by: list[str]) -> DataFrame:
     return j.groupBy(*by).agg(F.sum(F.col("cnt") / F.col("total") * F.col("h")).alias("h_cond"))
 
 
+@null_strata
 def conditional_by_joint(seq: DataFrame, by: list[str]) -> DataFrame:
     """H(XY) - H(X), X counted in first places of pairs only; both from one pair count."""
     pairs = bigrams(seq.select(*by, "symbols")).groupBy(*by, "a", "b").agg(F.count("*").alias("cnt"))
@@ -119,6 +124,7 @@ def conditional_by_joint(seq: DataFrame, by: list[str]) -> DataFrame:
     return joint.join(first, by).withColumn("h_cond", F.greatest(F.lit(0.0), F.col("h_joint") - F.col("h_first")))
 
 
+@null_strata
 def zipf(seq: DataFrame, by: list[str], least_ranks: int = 3) -> DataFrame:
     """Slope and fit of ln count over ln rank."""
     r = ranked(symbol_counts(seq, by), by)
@@ -126,6 +132,7 @@ def zipf(seq: DataFrame, by: list[str], least_ranks: int = 3) -> DataFrame:
     return r.groupBy(*by).agg(F.count("*").alias("types"), (-F.regr_slope(y, x)).alias("alpha"), F.regr_r2(y, x).alias("r2")).where(F.col("types") >= least_ranks)
 
 
+@null_strata
 def zipf_mandelbrot(seq: DataFrame, by: list[str]) -> DataFrame:
     """Best (alpha, beta) of a fixed grid for ln f = c - alpha ln(rank + beta), by mean squared error."""
     r = ranked(symbol_counts(seq, by), by).select(*by, "rank", F.ln(F.col("cnt").cast("double")).alias("y"))
@@ -136,6 +143,7 @@ def zipf_mandelbrot(seq: DataFrame, by: list[str]) -> DataFrame:
     return best.select(*by, "m.alpha", "m.beta", "m.mse", F.when(F.col("m.var_y") > 0, 1 - F.col("m.mse") / F.col("m.var_y")).otherwise(0.0).alias("r2"))
 
 
+@null_strata
 def mutual_information(seq: DataFrame, by: list[str], lags: list[int], least_pairs: int = 10) -> DataFrame:
     """Information in nats between symbols k apart within sequences; lags with few pairs get 0."""
     pairs = reduce(DataFrame.unionByName, [bigrams(seq.select(*by, "symbols"), k).withColumn("k", F.lit(k)) for k in lags])
@@ -193,6 +201,7 @@ def length_stats(seq: DataFrame, by: list[str]) -> DataFrame:
     return h.groupBy(*by).agg(F.sum("n").alias("sequences"), (F.sum(F.col("n") * F.col("len")) / F.sum("n")).alias("mean_len"), F.min("len").alias("min_len"), F.max("len").alias("max_len"), median.alias("median_len"))
 
 
+@null_strata
 def template_coverage(seq: DataFrame, by: list[str], least: int = 2, most: int = 4, least_count: int = 3) -> DataFrame:
     """Recurrent n-grams and the share of sequences with at least one; the grams meet their counts in one window, without a join back."""
     g = ngrams(seq.select(*by, "seq_id", "symbols"), least, most)
@@ -202,16 +211,18 @@ def template_coverage(seq: DataFrame, by: list[str], least: int = 2, most: int =
     return seq.groupBy(*by).agg(F.count("*").alias("sequences")).join(found, by, "left").select(*by, "sequences", F.coalesce("templates", F.lit(0)).alias("templates"), (F.coalesce("covered", F.lit(0)) / F.col("sequences")).alias("coverage"))
 
 
+@null_strata
 def corpus_summary(seq: DataFrame, by: list[str]) -> DataFrame:
     """Tokens, types, H1, joint H2, H2 - H1, H2/H1, type-token ratio, hapax share and corr(rank, log2 count)."""
     counts = symbol_counts(seq, by)
     uni = entropy(counts, by).select(*by, F.col("h").alias("h1"), F.col("n").alias("tokens"), "types")
     two = entropy(bigrams(seq.select(*by, "symbols")).groupBy(*by, "a", "b").agg(F.count("*").alias("cnt")), by).select(*by, F.col("h").alias("h2"))
-    rest = ranked(counts, by).groupBy(*by).agg(F.sum(F.when(F.col("cnt") == 1, 1).otherwise(0)).alias("hapax"), F.corr(F.col("rank").cast("double"), F.log2(F.col("cnt").cast("double"))).alias("zipf_corr"))
+    rest = ranked(counts, by).groupBy(*by).agg(F.sum(F.when(F.col("cnt") == 1, 1).otherwise(0)).alias("hapax"), correlation(F.col("rank").cast("double"), F.log2(F.col("cnt").cast("double"))).alias("zipf_corr"))
     j = uni.join(two, by).join(rest, by)
     return j.select(*by, "tokens", "types", "h1", "h2", F.greatest(F.col("h2") - F.col("h1"), F.lit(0.0)).alias("h_cond"), ratio(F.col("h2"), F.col("h1")).alias("h_ratio"), ratio(F.col("types"), F.col("tokens")).alias("ttr"), ratio(F.col("hapax"), F.col("types")).alias("hapax_share"), "zipf_corr")
 
 
+@null_strata
 def repetition(seq: DataFrame, by: list[str]) -> DataFrame:
     """r, adjacent equal tokens; R, tokens whose symbol recurs in their sequence; sequences of 2 or more."""
     s = seq.where("size(symbols) >= 2")

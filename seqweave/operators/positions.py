@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqweave.functions.exprs import bigrams, ratio, tokens, top_per
+from seqweave.functions.exprs import bigrams, null_strata, ratio, tokens, top_per
 from seqweave.operators.measures import with_totals
 
 
@@ -49,6 +49,7 @@ def rates(seq: DataFrame, by: list[str], min_count: int = 3) -> DataFrame:
     return t.withColumn("class", kind)
 
 
+@null_strata
 def candidates(seq: DataFrame, by: list[str]) -> DataFrame:
     """Terminal (rate and count of ends at least .5 and 5) and initial (.5 and 3) candidates, with the share of sequences that end or start with one."""
     c = start_end_counts(seq, by)
@@ -98,6 +99,7 @@ def multimodality(seq: DataFrame, by: list[str]) -> DataFrame:
     return h.select(*by, "sym", "n", F.size("peaks").cast("long").alias("n_peaks"), score.alias("score"), ent.alias("entropy"))
 
 
+@null_strata
 def numerals(seq: DataFrame, by: list[str], min_freq: int = 3) -> DataFrame:
     """Evidence that a symbol counts things: narrow position, self-adjacency, few neighbours."""
     s = seq.select(*by, "symbols")
@@ -151,6 +153,7 @@ def slot_templates(seq: DataFrame, classes: DataFrame, by: list[str]) -> DataFra
     return p.groupBy(*by, "pattern").agg(F.count("*").alias("cnt"))
 
 
+@null_strata
 def slot_neighbours(seq: DataFrame, by: list[str], k: int = 3) -> DataFrame:
     """Top right neighbours of a symbol as initial against top left ones as terminal; 1 - overlap / union."""
     s = seq.where("size(symbols) > 1").select(*by, "symbols")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqweave.functions.exprs import hash_rank, join_small
+from seqweave.functions.exprs import hash_rank, join_small, null_strata
 from seqweave.operators import assoc, compare
 from seqweave.operators.transforms import hashed
 from seqweave.operators.zones import shuffle_globally
@@ -36,6 +36,7 @@ def divergence_bootstrap(seq: DataFrame, site: str, seed: str, reps: int = 200,
     return g.withColumn("verdict", F.when(F.col("low") > robust, "ROBUST").when(F.col("low") > supported, "SUPPORTED").otherwise("FRAGILE"))
 
 
+@null_strata
 def gap_null(seq: DataFrame, by: list[str], seed: str, reps: int = 20, vocab: int = 200) -> DataFrame:
     """Spectral gap of each stratum against its tokens dealt anew to its sequences: p = (k + 1) / (n + 1), mean and quantiles of the null."""
     x = replicated(seq.select("seq_id", *by, "symbols"), reps, 1).withColumn("seq_id", F.concat_ws("/", F.col("rep").cast("string"), F.col("seq_id").cast("string")))

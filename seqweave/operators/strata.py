@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqweave.functions.exprs import bigrams, entropy, keeper, ngrams, ratio, tokens
+from seqweave.functions.exprs import bigrams, entropy, keeper, ngrams, null_strata, ratio, tokens
 from seqweave.operators import measures as m
 from seqweave.operators import positions as p
 from seqweave.operators.transforms import hashed
@@ -53,6 +53,7 @@ def shuffled_letters(df: DataFrame, word: str, seed: str) -> DataFrame:
     return df.withColumn("shuffled", F.array_join(F.transform(F.array_sort(keyed), lambda x: x["c"]), ""))
 
 
+@null_strata
 def signature(seq: DataFrame, by: list[str]) -> DataFrame:
     """tokens, types, alpha, r2, e2, e3, h1 and its norm per corpus: one join of per-corpus rows."""
     uni = m.unigram_entropy(seq, by).select(*by, F.col("n").alias("tokens"), "types", F.col("h_norm").alias("h1_norm"))
@@ -61,6 +62,7 @@ def signature(seq: DataFrame, by: list[str]) -> DataFrame:
     return uni.join(z, by).join(e, by)
 
 
+@null_strata
 def substitution_pairs(seq: DataFrame, by: list[str]) -> DataFrame:
     """(by, pairs, comparable, rate): sequences of one length, two or more, that differ in one place, over all pairs of one length.
 
@@ -82,6 +84,7 @@ def polyvalent(seq: DataFrame, by: list[str], least: int = 3, score: float = 0.1
     return k.groupBy(*by).agg(F.count("*").alias("symbols"), F.sum(F.when(hit, 1).otherwise(0)).alias("polyvalent"), F.avg(F.when(hit, 1.0).otherwise(0.0)).alias("share"))
 
 
+@null_strata
 def fingerprint(seq: DataFrame, by: list[str]) -> DataFrame:
     """Ten structural dimensions: H1 over log2 V, H2 / 2 over H1, Zipf slope, type-token and hapax shares, mean positional entropy, polyvalent share, mean length, variance of the boundary bias, one-substitution rate."""
     s = m.corpus_summary(seq, by).select(*by, "h1", "h2", "ttr", "hapax_share", "types")
@@ -100,6 +103,7 @@ def against_labels(classed: DataFrame, labels: DataFrame) -> DataFrame:
     return classed.join(labels, "sym").groupBy("label").agg(F.count("*").alias("n"), F.avg(F.when(F.col("class") == F.col("label"), 1.0).otherwise(0.0)).alias("accuracy"))
 
 
+@null_strata
 def roles(seq: DataFrame, by: list[str]) -> DataFrame:
     """Roles of symbols by rates, solo and repeat shares, concentration and PMI of their pairs; a symbol may have several."""
     from seqweave.operators.assoc import pmi
@@ -132,6 +136,7 @@ def cluster_profile(seq: DataFrame, clusters: DataFrame, by: list[str]) -> DataF
     return g.select(*by, "cluster", "types", "n", *[(F.col(f"n_{k}") / F.col("n")).alias(f"{k}_rate") for k in ("start", "end", "internal")])
 
 
+@null_strata
 def interaction_information(seq: DataFrame, by: list[str], least: int = 3) -> DataFrame:
     """log2 p(abc) / (p(a) p(b) p(c)) of trigrams."""
     t3 = ngrams(seq.select(*by, "symbols"), 3, joined=False).groupBy(*by, "gram").agg(F.count("*").alias("cnt"))
@@ -145,6 +150,7 @@ def interaction_information(seq: DataFrame, by: list[str], least: int = 3) -> Da
     return x.select(*by, "a", "b", "c", "cnt", F.log2(F.col("cnt") / F.col("n3") / (p("a") * p("b") * p("c"))).alias("i3"))
 
 
+@null_strata
 def context_divergence(seq: DataFrame, by: list[str], side: str = "right") -> DataFrame:
     """JS divergence in bits between the contexts of symbols that share one; pairs without a common context have 1.
 
@@ -167,10 +173,10 @@ def grid(rows: DataFrame, columns: DataFrame) -> DataFrame:
 
 
 def kmeans(features: DataFrame, columns: list[str], ks: list[int], seed: int = 7) -> DataFrame:
-    """(k, sym, cluster, silhouette) of MLlib's bisecting k-means over standardised features."""
+    """(k, sym, cluster, silhouette) of MLlib's k-means over standardised features."""
     from functools import reduce
 
-    from pyspark.ml.clustering import BisectingKMeans
+    from pyspark.ml.clustering import KMeans
     from pyspark.ml.evaluation import ClusteringEvaluator
     from pyspark.ml.feature import StandardScaler, VectorAssembler
 
@@ -178,7 +184,7 @@ def kmeans(features: DataFrame, columns: list[str], ks: list[int], seed: int = 7
     x = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(x).transform(x)
     out = []
     for k in ks:
-        fitted = BisectingKMeans(k=k, seed=seed).fit(x).transform(x)
+        fitted = KMeans(k=k, seed=seed).fit(x).transform(x)
         one = fitted.select("prediction").distinct().limit(2).count() < 2
         score = 0.0 if one else ClusteringEvaluator().evaluate(fitted)
         out.append(fitted.select(F.lit(k).alias("k"), "sym", F.col("prediction").alias("cluster"), F.lit(score).alias("silhouette")))
@@ -192,6 +198,7 @@ def slots_by_corpus(seq: DataFrame, by: list[str]) -> DataFrame:
     return t.groupBy(*by).agg(n(F.col("pos") == 0).alias("i_share"), n((F.col("pos") > 0) & (F.col("pos") < F.col("len") - 1)).alias("m_share"), n((F.col("pos") == F.col("len") - 1) & (F.col("len") > 1)).alias("t_share"))
 
 
+@null_strata
 def corpus_table(seq: DataFrame, by: list[str], drop: str = "?") -> DataFrame:
     """Sequences, tokens, types and mean length, placeholders left out."""
     s = seq.withColumn("symbols", F.array_remove("symbols", drop)).where("size(symbols) > 0")
