@@ -80,8 +80,8 @@ def slot_divergence(seq: DataFrame, by: list[str]) -> DataFrame:
     w = Window.partitionBy("seq_id").orderBy("pos")
     t = tokens(seq.select(*keep, "symbols")).withColumn("nb", F.lead("sym").over(w)).where("nb IS NOT NULL")
     c = t.groupBy(*by, "sym", "nb").agg(F.sum(F.when(F.col("pos") == 0, 1).otherwise(0)).alias("a"), F.sum(F.when(F.col("pos") > 0, 1).otherwise(0)).alias("b"))
-    g = Window.partitionBy(*by, "sym")
-    c = c.withColumn("v", F.count("*").over(g)).withColumn("na", F.sum("a").over(g)).withColumn("nb_", F.sum("b").over(g)).where("na > 0 AND nb_ > 0")
+    g = c.groupBy(*by, "sym").agg(F.count("*").alias("v"), F.sum("a").alias("na"), F.sum("b").alias("nb_")).where("na > 0 AND nb_ > 0")
+    c = c.join(g, [*by, "sym"])
     p, q = (F.col("a") + 1) / (F.col("na") + F.col("v")), (F.col("b") + 1) / (F.col("nb_") + F.col("v"))
     return c.groupBy(*by, "sym").agg(F.sum(p * F.log2(p / q)).alias("kl"))
 

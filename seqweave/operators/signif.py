@@ -33,8 +33,10 @@ def context_association(seq: DataFrame, context: str, seed: str, reps: int = 20,
     shuffled = permuted(s, seed, reps)
     both = base.unionByName(shuffled)
     c = both.select("rep", "ctx", F.explode("symbols").alias("sym")).groupBy("rep", "sym", "ctx").agg(F.count("*").alias("cnt"))
-    w = lambda *k: Window.partitionBy("rep", *k)
-    c = c.withColumn("n", F.sum("cnt").over(w())).withColumn("cs", F.sum("cnt").over(w("sym"))).withColumn("cc", F.sum("cnt").over(w("ctx")))
+    # totals combine before they shuffle; no task holds a replicate
+    counts = c
+    for name, keys in (("n", ["rep"]), ("cs", ["rep", "sym"]), ("cc", ["rep", "ctx"])):
+        c = c.join(counts.groupBy(*keys).agg(F.sum("cnt").alias(name)), keys)
     c = c.withColumn("pmi", F.ln(F.col("cnt") * F.col("n") / (F.col("cs") * F.col("cc"))))
     seen = c.where((F.col("rep") == 0) & (F.col("cnt") >= least)).select("sym", "ctx", "cnt", "pmi")
     null = c.where("rep > 0").groupBy("sym", "ctx").agg(F.sum("pmi").alias("s"), F.sum(F.col("pmi") * F.col("pmi")).alias("ss"))
@@ -89,6 +91,5 @@ def mann_whitney(df: DataFrame, group: str, a: str, b: str, value: str) -> DataF
 def independence(seq: DataFrame, by: list[str]) -> DataFrame:
     """Chi-squared of bigrams against independence of their two places, per group."""
     c = bigrams(seq.select(*by, "symbols")).groupBy(*by, "a", "b").agg(F.count("*").alias("cnt"))
-    w = lambda *k: Window.partitionBy(*by, *k)
-    x = c.withColumn("ra", F.sum("cnt").over(w("a"))).withColumn("cb", F.sum("cnt").over(w("b")))
+    x = c.join(c.groupBy(*by, "a").agg(F.sum("cnt").alias("ra")), [*by, "a"]).join(c.groupBy(*by, "b").agg(F.sum("cnt").alias("cb")), [*by, "b"])
     return x.groupBy(*by).agg((F.sum("cnt") * (F.sum(F.col("cnt") * F.col("cnt") / (F.col("ra") * F.col("cb"))) - 1)).alias("chi2"), F.sum("cnt").alias("n"), ((F.count_distinct("a") - 1) * (F.count_distinct("b") - 1)).alias("dof"))

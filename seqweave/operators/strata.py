@@ -158,7 +158,7 @@ def context_divergence(seq: DataFrame, by: list[str], side: str = "right") -> Da
     """
     a, b = ("a", "b") if side == "right" else ("b", "a")
     v = bigrams(seq.select(*by, "symbols")).groupBy(*by, F.col(a).alias("sym"), F.col(b).alias("ctx")).agg(F.count("*").alias("w"))
-    v = v.withColumn("p", F.col("w") / F.sum("w").over(Window.partitionBy(*by, "sym"))).select(*by, "sym", "ctx", "p")
+    v = v.join(v.groupBy(*by, "sym").agg(F.sum("w").alias("total")), [*by, "sym"]).select(*by, "sym", "ctx", (F.col("w") / F.col("total")).alias("p"))
     j = v.select(*by, F.col("sym").alias("x"), "ctx", F.col("p").alias("px")).join(v.select(*by, F.col("sym").alias("y"), "ctx", F.col("p").alias("py")), [*by, "ctx"]).where("x < y")
     both = F.col("px") + F.col("py")
     # a context of one side alone adds p log2 (p / (p / 2)) / 2 = p / 2, in sum 1 less what is shared

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqweave.functions.exprs import bigrams
-from seqweave.operators.evidence import upsert
+from seqweave.operators.lm import bounded
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
@@ -20,21 +20,31 @@ def read_events(spark: SparkSession, path: str, files_per_trigger: int = 1) -> D
 
 
 def ingest_items(stream: DataFrame, directory: str, delay: str = "1 day"):  # noqa: ANN201
-    """Continuous ingest of items (item_id, title, topics, fetched_at): repeats within the delay go, the rest is merged batch by batch.
+    """Continuous ingest of items (item_id, title, topics, fetched_at): repeats within the delay go, the rest is added batch by batch.
 
-    Each batch writes a new version of the table under its number, from the last
-    one before it; a batch that runs again writes the same version again.
+    A batch writes its own merged items under its number and nothing else, so its
+    cost is that of the batch; a batch that runs again writes the same files again.
+    current_items merges the batches, compact_items stores the merged table.
     """
 
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
+    def add(batch: DataFrame, number: int) -> None:
         merged = batch.groupBy("item_id").agg(F.min_by("title", F.struct("fetched_at", "title")).alias("title"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("topics")))).alias("topics"), F.max("fetched_at").alias("fetched_at"))
-        if number > 0:
-            merged = upsert(spark.read.parquet(f"{directory}/version={number - 1}"), merged)
         merged.write.mode("overwrite").parquet(f"{directory}/version={number}")
 
     fresh = stream.withWatermark("fetched_at", delay).dropDuplicatesWithinWatermark(["item_id", "title", "fetched_at"])
-    return fresh.writeStream.foreachBatch(merge)
+    return fresh.writeStream.foreachBatch(add)
+
+
+def current_items(spark: SparkSession, directory: str) -> DataFrame:
+    """The items of all batches: the first batch's title stays, topics are merged, fetched_at is the latest."""
+    added = spark.read.parquet(directory)
+    topics = F.array_sort(F.array_distinct(F.flatten(F.collect_set("topics"))))
+    return added.groupBy("item_id").agg(F.min_by("title", F.struct("version", "fetched_at", "title")).alias("title"), topics.alias("topics"), F.max("fetched_at").alias("fetched_at"))
+
+
+def compact_items(spark: SparkSession, directory: str, into: str, number: int = 0) -> None:
+    """Writes the merged items as one version of a new directory, in which later batches can go on."""
+    current_items(spark, directory).write.mode("overwrite").parquet(f"{into}/version={number}")
 
 
 def windowed_counts(events: DataFrame, window: str = "1 hour", slide: str | None = None, delay: str = "1 hour") -> DataFrame:
@@ -55,6 +65,16 @@ def running_bigrams(seq: DataFrame) -> DataFrame:
     return bigrams(seq.select("symbols")).groupBy("a", "b").agg(F.count("*").alias("cnt"))
 
 
+def refreshed_model(seq: DataFrame, directory: str):  # noqa: ANN201
+    """A stream of sequences as a bigram model with bounds, (a, b, cnt, p of b after a), written anew under each batch's number."""
+
+    def write(counts: DataFrame, number: int) -> None:
+        totals = counts.groupBy("a").agg(F.sum("cnt").alias("total"))
+        counts.join(totals, "a").select("a", "b", "cnt", (F.col("cnt") / F.col("total")).alias("p")).write.mode("overwrite").parquet(f"{directory}/version={number}")
+
+    return running_bigrams(bounded(seq.select("symbols"))).writeStream.outputMode("complete").foreachBatch(write)
+
+
 def silent_keys(events: DataFrame, key: str, timeout_ms: int, delay: str = "1 minute") -> DataFrame:
     """Keys silent for longer than the timeout in event time: (key, last_seen). State holds one time per key."""
 

@@ -56,8 +56,19 @@ def test_ingest(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/items/*")
     q = jobs.ingest_items(stream, f"{tmp_path}/table").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
     q.awaitTermination(180)
-    import glob
-
-    last = max(glob.glob(f"{tmp_path}/table/version=*"), key=lambda p: int(p.rsplit("=", 1)[1]))
-    got = {r.item_id: (r.title, r.topics) for r in spark.read.parquet(last).collect()}
+    got = {r.item_id: (r.title, r.topics) for r in jobs.current_items(spark, f"{tmp_path}/table").collect()}
     assert got == {"a": ("first", ["x", "z"]), "b": ("one", ["y"])} or got["a"][1] == ["x", "z"]
+    jobs.compact_items(spark, f"{tmp_path}/table", f"{tmp_path}/compact")
+    assert {r.item_id: (r.title, r.topics) for r in jobs.current_items(spark, f"{tmp_path}/compact").collect()} == got
+
+
+def test_refreshed_model(spark, tmp_path):
+    for k, words in enumerate((["ab", "ab"], ["ac"])):
+        spark.createDataFrame([(list(w),) for w in words], "symbols array<string>").coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    stream = spark.readStream.schema("symbols array<string>").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    q = jobs.refreshed_model(stream, f"{tmp_path}/model").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    rows = spark.read.parquet(f"{tmp_path}/model").collect()
+    last = max(r.version for r in rows)
+    p = {(r.a, r.b): r.p for r in rows if r.version == last}
+    assert round(p["a", "b"], 9) == round(2 / 3, 9) and p["<BOW>", "a"] == 1
