@@ -47,3 +47,24 @@ c AS (SELECT x, min(y) AS low FROM reach GROUP BY x)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(c.low, d.doc_id)) AS component_id
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.x = d.doc_id
 """
+
+
+def _centroids(rounds: int = 3, k: int = 16) -> str:
+    """The seeds, then in each round the nearest centroids and the rounded means."""
+    near = "SELECT vec_id, v, min({'distance': list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, 'cluster': cluster}) AS m FROM v, c%d GROUP BY vec_id, v"
+    steps = [
+        "v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64)",
+        f"c0 AS (SELECT (row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1)::INT AS cluster, v AS c FROM v QUALIFY cluster < {k})",
+    ]
+    for i in range(1, rounds + 1):
+        steps += [
+            f"a{i} AS ({near % (i - 1)})",
+            f"s{i} AS (SELECT m.cluster AS cluster, i, sum(v[i])::BIGINT AS s, count(*) AS n FROM a{i}, range(1, 65) t(i) GROUP BY ALL)",
+            f"n{i} AS (SELECT cluster, list((s - (s % n + n) % n) // n ORDER BY i) AS c FROM s{i} GROUP BY cluster)",
+            f"c{i} AS (SELECT cluster, coalesce(n{i}.c, c{i - 1}.c) AS c FROM c{i - 1} LEFT JOIN n{i} USING (cluster))",
+        ]
+    steps.append(f"a AS (SELECT vec_id, m.cluster AS cluster, m.distance AS distance FROM ({near % rounds}))")
+    return f"WITH {', '.join(steps)} SELECT vec_id, cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a JOIN c{rounds} USING (cluster)"
+
+
+ORACLE["op11_centroids"] = _centroids()
