@@ -11,10 +11,12 @@ from seqweave.llm.queries import packed
 
 #: Near duplicates: five words and a similarity of 0.8.
 SHINGLE_WORDS, PERCENT = 5, 80
+#: Mean repetitions of a source's documents at most: small sources must not become many copies of few texts.
+MOST_REPEATS = 4.0
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is under 0.5."""
+    """Documents whose toxicity score is under 0.5, repeated rows alike; texts of null or without words are scored as empty ones."""
     prepare(spark)
     return toxicity.keep_civil(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
@@ -36,19 +38,29 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets in their texts replaced."""
+    """All documents, with secrets in their texts replaced; texts of null stay null, repeated rows stay apart."""
     prepare(spark)
     return secrets.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated towards the target weights of their sources, in a global random order."""
+    """Documents repeated towards the target weights of their sources, in a global random order.
+
+    A source's documents are repeated four times on average at most; the weight
+    that small sources can't take goes to the others. Texts of null or without
+    characters follow their source; a source of such texts alone goes. Columns of
+    other names than those of documents stay as they are.
+    """
     prepare(spark)
-    return mixing.mix(docs, detail=False).select(*docs.columns)
+    return mixing.mix(docs, detail=False, most_repeats=MOST_REPEATS).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents with their places in sequences of 4096 tokens."""
+    """Pieces of the documents with their places in sequences of 4096 tokens.
+
+    A text of null is empty, its piece the end id alone; repeated rows are packed
+    each; columns besides doc_id and text are dropped.
+    """
     prepare(spark)
     return packed(docs)
 

@@ -570,6 +570,22 @@ def test_warc_ids(spark, kind):
     assert sorted(r.page_id for r in got) == sorted(ids) and all(r.payload_bytes == 300 for r in got)
 
 
+def test_mixing_bounds_rates(spark):
+    size = F.octet_length("text")
+    rows = [(i, "x" * 4000, "big") for i in range(100)] + [(200 + i, "y" * 100, "mid") for i in range(100)] + [(400, "zzzz", "tiny"), (401, "", "empty"), (402, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    rate = lambda **more: {r.source: r.rate for r in mixing.rates(df, "source", F.coalesce(size, F.lit(0)), 0.0, 1.0, **more).collect()}
+    weights = spark.createDataFrame([("big", 1.0), ("mid", 1.0), ("tiny", 1.0), ("empty", 1.0)], "source string, weight double")
+    free, held = rate(weights=weights), rate(weights=weights, most_repeats=4.0)
+    assert free["tiny"] > 20_000 and free["mid"] > 8
+    assert held["tiny"] == held["mid"] == 4.0 and held["empty"] == held[None] == 0.0
+    spent = 4.0 * 4 + 4.0 * 10_000 + held["big"] * 400_000
+    assert math.isclose(spent, 410_004) and 0.9 < held["big"] < 1  # what the bound leaves goes to the others
+    assert rate(weights=weights, most_repeats=0.5) == {"big": 0.5, "mid": 0.5, "tiny": 0.5, "empty": 0.0, None: 0.0}
+    n = {r.source: r.n for r in mixing.mix(df, weights=weights, most_repeats=4.0).groupBy("source").agg(F.count("*").alias("n")).collect()}
+    assert 300 < n["mid"] < 500 and 60 < n["big"] < 130 and n.get("tiny", 0) <= 20 and "empty" not in n
+
+
 def test_mixing(spark, odd):
     df = table(spark, "/root/testdata/sf0.1", "documents")
     rows = mixing.mix(df, alpha=0.0)
@@ -718,7 +734,12 @@ def test_pipeline_on_odd_and_empty_tables(spark, odd, labels, tmp_path):
         labels.write.parquet(f"{sf}/labels.parquet")
         for _, stage in corpus_pipeline.STAGES[:-1]:
             out = stage(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)
-            assert out.columns == names and out.count() <= 3 * df.count()
+            assert out.columns == names
+            if stage is corpus_pipeline.mix_sources:
+                most = {r.source: r.n for r in df.groupBy("source").agg(F.count("*").alias("n")).collect()}
+                assert all(r.n <= 10 + 2 * corpus_pipeline.MOST_REPEATS * most[r.source] for r in out.groupBy("source").agg(F.count("*").alias("n")).collect())
+            else:
+                assert out.count() <= df.count()
         assert corpus_pipeline.run(spark, sf).count() >= 0 and corpus_pipeline.STAGES[-1][1](spark, df, sf).count() >= df.count()
 
 
