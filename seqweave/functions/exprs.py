@@ -9,6 +9,8 @@ from contextvars import ContextVar
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqweave.functions.tables import written
+
 #: What a null stratum is called while groups are joined; it becomes null again in the result.
 UNNAMED = "\0unnamed"
 _named: ContextVar[bool] = ContextVar("named", default=False)
@@ -102,18 +104,9 @@ def top_per(df: DataFrame, by: list[str], order: list[Column | str], k: int) ->
     return df.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_k") <= k).drop("_k")
 
 
-def join_small(df: DataFrame, small: DataFrame, on: list[str], how: str = "left", most: int = 100_000) -> DataFrame:
-    """Joins a table of groups, broadcast only when a count shows that it is small; an ordinary join beyond."""
-    return df.join(F.broadcast(small) if small.limit(most + 1).count() <= most else small, on, how)
-
-
-def keeper(df: DataFrame):  # noqa: ANN201
-    """How rounds of an iteration are cut: by a reliable checkpoint where the session has a folder for it, else (tests) by persist()."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return (lambda d: d.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda d: d.persist())
+def join_small(df: DataFrame, small: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """Joins a table of groups, which is written once: the planner broadcasts it if its size is under the session's threshold."""
+    return df.join(written(small, "groups"), on, how)
 
 
 def hash_rank(df: DataFrame, key: str, by: list[str]) -> DataFrame:

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqweave.functions.exprs import bigrams, keeper, ngrams, null_strata, ratio, tokens, top_per
+from seqweave.functions.exprs import bigrams, ngrams, null_strata, ratio, tokens, top_per
+from seqweave.functions.tables import written
 from seqweave.operators.measures import symbol_counts, with_totals
 
 
@@ -16,7 +17,8 @@ def pmi(seq: DataFrame, by: list[str], min_count: int = 2, over: str = "bigrams"
     """log p(ab) / (p(a) p(b)); p(ab) over bigrams or tokens, p(a) over tokens. The shuffles are on counts, not on the corpus."""
     pairs = bigrams(seq.select(*by, "symbols")).groupBy(*by, "a", "b").agg(F.count("*").alias("cnt"))
     uni = symbol_counts(seq, by)
-    totals = with_totals(uni.groupBy(*by).agg(F.sum("cnt").alias("tokens")), pairs.groupBy(*by).agg(F.sum("cnt").alias("bigrams")), by)
+    n = F.greatest(F.size("symbols"), F.lit(0))
+    totals = seq.groupBy(*by).agg(F.sum(n).alias("tokens"), F.sum(F.greatest(n - 1, F.lit(0))).alias("bigrams"))  # from lengths alone
     j = pairs.where(F.col("cnt") >= min_count).join(uni.select(*by, F.col("sym").alias("a"), F.col("cnt").alias("ca")), [*by, "a"]).join(uni.select(*by, F.col("sym").alias("b"), F.col("cnt").alias("cb")), [*by, "b"])
     j = with_totals(j, totals, by)
     return j.withColumn("pmi", log(F.col("cnt") / F.col(over) / (F.col("ca") / F.col("tokens") * F.col("cb") / F.col("tokens"))))
@@ -34,16 +36,16 @@ def followers(seq: DataFrame, by: list[str], k: int = 10) -> DataFrame:
 def trigram_surplus(seq: DataFrame, by: list[str], least3: int = 3) -> DataFrame:
     """ln p(abc) / (p(ab) p(c)) in nats.
 
-    1-, 2- and 3-grams are counted in one pass over the corpus and stored once,
-    with n-grams as columns a, b, c, so joins and totals read counts alone.
+    Each token is counted once, with the two that follow it (null beyond the end),
+    and the counts are written; those of pairs and single symbols are sums of them.
     """
-    size = F.size("symbols")
-    get = lambda i: F.try_element_at("symbols", i)
-    gram = lambda i: F.array(F.struct(get(i).alias("a"), F.lit(None).cast("string").alias("b"), F.lit(None).cast("string").alias("c")), F.struct(get(i).alias("a"), get(i + 1).alias("b"), F.lit(None).cast("string").alias("c")), F.struct(get(i).alias("a"), get(i + 1).alias("b"), get(i + 2).alias("c")))
-    each = seq.where(size > 0).select(*by, F.explode(F.flatten(F.transform(F.sequence(F.lit(1), size), lambda i: F.slice(gram(i), F.lit(1), F.least(F.lit(3), size - i + 1))))).alias("g"))
-    counts = keeper(seq)(each.groupBy(*by, "g.a", "g.b", "g.c").agg(F.count("*").alias("cnt")))
-    t1, t2, t3 = counts.where("b IS NULL").select(*by, F.col("a").alias("c"), F.col("cnt").alias("c1")), counts.where("b IS NOT NULL AND c IS NULL").select(*by, "a", "b", F.col("cnt").alias("c2")), counts.where("c IS NOT NULL").select(*by, "a", "b", "c", F.col("cnt").alias("c3"))
-    n = counts.groupBy(*by).agg(*[F.sum(F.when(k, F.col("cnt"))).alias(f"n{i}") for i, k in ((1, F.col("b").isNull()), (2, F.col("b").isNotNull() & F.col("c").isNull()), (3, F.col("c").isNotNull()))])
+    after = lambda k: F.slice("symbols", k, F.greatest(F.size("symbols"), F.lit(0)))
+    each = seq.where("size(symbols) > 0").select(*by, F.explode(F.arrays_zip(F.col("symbols").alias("a"), after(2).alias("b"), after(3).alias("c"))).alias("g"))
+    counts = written(each.groupBy(*by, "g.a", "g.b", "g.c").agg(F.count("*").alias("cnt")), "trigrams")
+    t1 = counts.groupBy(*by, F.col("a").alias("c")).agg(F.sum("cnt").alias("c1"))
+    t2 = counts.where("b IS NOT NULL").groupBy(*by, "a", "b").agg(F.sum("cnt").alias("c2"))
+    t3 = counts.where("c IS NOT NULL").select(*by, "a", "b", "c", F.col("cnt").alias("c3"))
+    n = counts.groupBy(*by).agg(F.sum("cnt").alias("n1"), F.sum(F.when(F.col("b").isNotNull(), F.col("cnt"))).alias("n2"), F.sum(F.when(F.col("c").isNotNull(), F.col("cnt"))).alias("n3"))
     j = with_totals(t3.where(F.col("c3") >= least3).join(t2, [*by, "a", "b"]).join(t1, [*by, "c"]), n, by)
     return j.withColumn("surplus", F.ln(F.col("c3") / F.col("n3") / (F.col("c2") / F.col("n2") * F.col("c1") / F.col("n1"))))
 
@@ -151,16 +153,15 @@ def cosine_pairs(vectors: DataFrame, by: list[str], least: float = 0.1) -> DataF
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(sym, cluster): the least symbol reachable. Labels spread and jump each round; each round is cut by a reliable checkpoint where the session has a folder for it."""
+    """(sym, cluster): the least symbol reachable. Labels spread and jump each round, which is written."""
     both = edges.select("x", "y").unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct()
     label = nodes.select("sym", F.col("sym").alias("cluster"))
-    keep = keeper(edges)
-    both = keep(both)
+    both = written(both)
     while True:
         near = both.join(label.withColumnRenamed("sym", "y"), "y").groupBy("x").agg(F.min("cluster").alias("low"))
         hooked = label.join(near, label.sym == near.x, "left").select("sym", F.least("cluster", F.coalesce("low", "cluster")).alias("cluster"), F.col("cluster").alias("old"))
         jump = hooked.select(F.col("sym").alias("cluster"), F.col("cluster").alias("up"))
-        new = keep(hooked.join(jump, "cluster", "left").select("sym", F.least("cluster", F.coalesce("up", "cluster")).alias("cluster"), "old"))
+        new = written(hooked.join(jump, "cluster", "left").select("sym", F.least("cluster", F.coalesce("up", "cluster")).alias("cluster"), "old"))
         if new.where("cluster <> old").isEmpty():
             return new.select("sym", "cluster")
         label = new.select("sym", "cluster")
@@ -171,13 +172,12 @@ def label_propagation(edges: DataFrame, by_weight: str = "weight", rounds: int =
 
     Until no label changes, or so many rounds.
     """
-    keep = keeper(edges)
-    both = keep(edges.where("a <> b").select("a", "b", by_weight).unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), by_weight)))
+    both = written(edges.where("a <> b").select("a", "b", by_weight).unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), by_weight)))
     label = both.select(F.col("a").alias("sym")).distinct().withColumn("label", F.col("sym"))
     for _ in range(rounds):
         votes = both.join(label.withColumnRenamed("sym", "b"), "b").groupBy("a", "label").agg(F.sum(by_weight).alias("w"))
         best = votes.groupBy("a").agg(F.min(F.struct((-F.col("w")).alias("nw"), "label")).alias("m"))
-        new = keep(best.select(F.col("a").alias("sym"), F.col("m.label").alias("label")))
+        new = written(best.select(F.col("a").alias("sym"), F.col("m.label").alias("label")))
         if new.join(label, ["sym", "label"], "left_anti").isEmpty():
             return new
         label = new
@@ -208,16 +208,15 @@ def betweenness(edges: DataFrame) -> DataFrame:
     """Betweenness of an unweighted, undirected graph of symbols (Brandes), all sources at once by joins on the frontier.
 
     Rows are (source, symbol) with depth by depth the counts of shortest paths; the
-    way back sums up the shares. Each round is cut as in components.
+    way back sums up the shares. Each round is written.
     """
-    keep = keeper(edges)
-    both = keep(edges.where("a <> b").select("a", "b").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    both = written(edges.where("a <> b").select("a", "b").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     levels = [both.select(F.col("a").alias("s"), F.col("a").alias("v"), F.lit(1.0).alias("paths")).distinct()]
     while True:
         step = levels[-1].join(both, F.col("v") == F.col("a")).groupBy("s", F.col("b").alias("v")).agg(F.sum("paths").alias("paths"))
         for seen in levels[-2:]:  # neighbours are at most one level apart
             step = step.join(seen.select("s", "v"), ["s", "v"], "left_anti")
-        step = keep(step)
+        step = written(step)
         if step.isEmpty():
             break
         levels.append(step)
@@ -226,7 +225,7 @@ def betweenness(edges: DataFrame) -> DataFrame:
     for above in reversed(levels[:-1]):
         parts = parts.unionByName(share.select("v", "share"))
         back = share.join(both, F.col("v") == F.col("a")).groupBy("s", F.col("b").alias("v")).agg(F.sum((1 + F.col("share")) / F.col("paths")).alias("part"))
-        share = keep(above.join(back, ["s", "v"], "left").select("s", "v", "paths", (F.col("paths") * F.coalesce("part", F.lit(0.0))).alias("share")))
+        share = written(above.join(back, ["s", "v"], "left").select("s", "v", "paths", (F.col("paths") * F.coalesce("part", F.lit(0.0))).alias("share")))
     return parts.groupBy(F.col("v").alias("sym")).agg((F.sum("share") / 2).alias("betweenness"))
 
 

@@ -19,7 +19,7 @@ def stratum_pairs(counts: DataFrame, by: str, keys: list[str] = []) -> DataFrame
     names = known.select(F.col(by).alias("y")).distinct()
     per_symbol = known.groupBy(*keys, "sym").agg(F.map_from_entries(F.collect_list(F.struct(by, "cnt"))).alias("m"))
     # a stratum that holds the symbol against every other: each pair once, by the smaller of those that hold it
-    met = join_small(per_symbol.select(*keys, "sym", "m", F.explode(F.map_keys("m")).alias("x"), F.lit(1).alias("k")), names.withColumn("k", F.lit(1)), ["k"], "inner", 1000)
+    met = join_small(per_symbol.select(*keys, "sym", "m", F.explode(F.map_keys("m")).alias("x"), F.lit(1).alias("k")), names.withColumn("k", F.lit(1)), ["k"], "inner")
     once = met.where((F.col("x") < F.col("y")) | ((F.col("y") < F.col("x")) & ~F.map_contains_key("m", F.col("y"))))
     count = lambda c: F.coalesce(F.try_element_at("m", c), F.lit(0)).cast("double")
     low, high = F.least("x", "y"), F.greatest("x", "y")
@@ -67,7 +67,7 @@ def nearest(measures: DataFrame, key: str, columns: list[str], reference: DataFr
     else:
         dot = lambda a, b: sum((F.col(a.format(c)) * F.col(b.format(c)) for c in columns), F.lit(0.0))
         d = 1 - dot("{0}", "r_{0}") / F.sqrt(dot("{0}", "{0}") * dot("r_{0}", "r_{0}"))
-    j = join_small(measures.select(key, *columns, F.lit(1).alias("one")).crossJoin(F.broadcast(both)), r, ["one"], "inner", 10_000).where(F.col(key) != F.col("ref"))
+    j = join_small(measures.select(key, *columns, F.lit(1).alias("one")).crossJoin(F.broadcast(both)), r, ["one"], "inner").where(F.col(key) != F.col("ref"))
     best = j.groupBy(key).agg(F.slice(F.array_sort(F.collect_list(F.struct(F.round(d, 9).alias("distance"), "ref"))), 1, k).alias("b"))  # a key's references, 10,000 or so
     return best.select(key, F.posexplode("b").alias("i", "b")).select(key, "b.ref", "b.distance", (F.col("i") + 1).alias("rank"))
 

@@ -90,7 +90,7 @@ def typology(measured: DataFrame, key: str, benchmarks: DataFrame, k: int = 3) -
     """
     tier = F.when((F.col("h1") < 4.7) & (F.col("types") < 50), "abjad").when((F.col("h1") < 6.5) & (F.col("types") < 120), "syllabary").when(F.col("types") > 200, "logographic").otherwise("mixed")
     b = benchmarks.select("name", *[F.col(c).alias(f"b_{c}") for c in ("h1", "types", "mean_len")], F.lit(1).alias("one"))
-    j = join_small(measured.select(key, "h1", "types", "mean_len", tier.alias("tier"), F.lit(1).alias("one")), b, ["one"], "inner", 10_000)
+    j = join_small(measured.select(key, "h1", "types", "mean_len", tier.alias("tier"), F.lit(1).alias("one")), b, ["one"], "inner")
     square = lambda a, b_, s_: F.pow((a - b_) / s_, F.lit(2.0))
     d = F.sqrt(square(F.col("h1"), F.col("b_h1"), 5) + square(F.ln(1 + F.col("types").cast("double")), F.ln(1 + F.col("b_types").cast("double")), 2) + square(F.col("mean_len"), F.col("b_mean_len"), 2))
     best = j.groupBy(key, "tier").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.round(d, 4).alias("distance"), "name"))), 1, k).alias("b"))
@@ -101,7 +101,7 @@ def length_kl(lengths: DataFrame, profiles: DataFrame, by: str) -> DataFrame:
     """(by, profile, kl): KL in nats of a group's length distribution (by, len, n) from each profile's (profile, len, q); lengths without a share get 1e-6."""
     n = m.with_totals(lengths, lengths.groupBy(by).agg(F.sum("n").alias("total")), [by]).withColumn("p", F.col("n") / F.col("total"))
     names = profiles.select("profile", F.lit(1).alias("one")).distinct()
-    j = join_small(n.withColumn("one", F.lit(1)), names, ["one"], "inner", 1000).join(profiles, ["profile", "len"], "left").withColumn("q", F.coalesce("q", F.lit(1e-6)))
+    j = join_small(n.withColumn("one", F.lit(1)), names, ["one"], "inner").join(profiles, ["profile", "len"], "left").withColumn("q", F.coalesce("q", F.lit(1e-6)))
     return j.groupBy(by, "profile").agg(F.sum(F.col("p") * F.ln(F.col("p") / F.col("q"))).alias("kl"))
 
 

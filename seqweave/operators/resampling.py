@@ -55,7 +55,7 @@ def readout_test(names: DataFrame, objects: DataFrame, stratum: str, seed: str,
     """
     own = objects.where(F.col(stratum).isNotNull()).select(F.col(stratum).alias("stratum"), F.lit("o").alias("kind"), F.col("id").cast("string").alias("id"), "len")
     places = own.select("stratum", F.lit(1).alias("one")).distinct()
-    each = join_small(names.select(F.lit(1).alias("one"), F.lit("n").alias("kind"), F.col("id").cast("string").alias("id"), "len"), places, ["one"], "inner", 10_000)
+    each = join_small(names.select(F.lit(1).alias("one"), F.lit("n").alias("kind"), F.col("id").cast("string").alias("id"), "len"), places, ["one"], "inner")
     pool = own.unionByName(each.drop("one"))
     x = replicated(pool, reps, 1)
     by = ["rep", "stratum"]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqweave.functions.exprs import bigrams, hash_rank
+from seqweave.functions.tables import written
 from seqweave.operators.transforms import shuffle_within
 
 
@@ -27,12 +28,13 @@ def context_association(seq: DataFrame, context: str, seed: str, reps: int = 20,
 
     A permutation maps the i-th sequence in one hash order to the context of the
     i-th in another; ranks come from cells of the hash, never from one sorted list.
+    The corpus is read once, and the replicates' counts are written once.
     """
-    s = seq.where(F.col(context).isNotNull()).select("seq_id", F.col(context).alias("ctx"), F.array_distinct("symbols").alias("symbols"))
+    s = written(seq.where(F.col(context).isNotNull()).select("seq_id", F.col(context).alias("ctx"), F.array_distinct("symbols").alias("symbols")), "contexts")
     base = s.withColumn("rep", F.lit(0)).select("rep", "seq_id", "ctx", "symbols")
     shuffled = permuted(s, seed, reps)
     both = base.unionByName(shuffled)
-    c = both.select("rep", "ctx", F.explode("symbols").alias("sym")).groupBy("rep", "sym", "ctx").agg(F.count("*").alias("cnt"))
+    c = written(both.select("rep", "ctx", F.explode("symbols").alias("sym")).groupBy("rep", "sym", "ctx").agg(F.count("*").alias("cnt")), "replicates")
     # totals combine before they shuffle; no task holds a replicate
     counts = c
     for name, keys in (("n", ["rep"]), ("cs", ["rep", "sym"]), ("cc", ["rep", "ctx"])):

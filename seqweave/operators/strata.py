@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqweave.functions.exprs import bigrams, entropy, keeper, ngrams, null_strata, ratio, tokens
+from seqweave.functions.exprs import bigrams, entropy, ngrams, null_strata, ratio, tokens
+from seqweave.functions.tables import written
 from seqweave.operators import measures as m
 from seqweave.operators import positions as p
 from seqweave.operators.transforms import hashed
@@ -228,7 +229,9 @@ def merged(results: dict[str, DataFrame]) -> DataFrame:
     """One-row results side by side, each one's columns under its name."""
     out = None
     for name, d in results.items():
-        one = d.limit(1).select(*[F.col(c).alias(f"{name}_{c}") for c in d.columns])
+        # an aggregate over all rows is one row; a second one is an error
+        lone = F.when(F.count("*") > 1, F.raise_error(F.lit(f"{name} has several rows"))).otherwise(F.first(F.struct(*d.columns)))
+        one = d.agg(lone.alias("r")).select(*[F.col(f"r.{c}").alias(f"{name}_{c}") for c in d.columns])
         out = one if out is None else out.crossJoin(F.broadcast(one))
     return out
 
@@ -244,17 +247,16 @@ def one_to_one(scores: DataFrame) -> DataFrame:
     The best pair of all that are left is always mutual, so every round ends with
     fewer. Bests are aggregations that combine before they shuffle, not windows.
     """
-    keep, out, left, r = keeper(scores), None, scores.select("x", "y", "score"), 0
-    left = keep(left)
+    out, left, r = None, written(scores.select("x", "y", "score")), 0
     while True:
         r += 1
         order = F.struct((-F.col("score")).alias("s"), "x", "y")
         best = lambda c: left.groupBy(c).agg(F.min(order).alias("m")).select("m.x", "m.y", (-F.col("m.s")).alias("score"))  # noqa: B023, E731
-        got = keep(best("x").join(best("y").select("x", "y"), ["x", "y"]).select("x", "y", "score", F.lit(r).alias("round")))
+        got = written(best("x").join(best("y").select("x", "y"), ["x", "y"]).select("x", "y", "score", F.lit(r).alias("round")))
         out = got if out is None else out.unionByName(got)
         if got.isEmpty():
             return out
-        left = keep(left.join(got.select("x"), "x", "left_anti").join(got.select("y"), "y", "left_anti").select("x", "y", "score"))
+        left = written(left.join(got.select("x"), "x", "left_anti").join(got.select("y"), "y", "left_anti").select("x", "y", "score"))
 
 
 def segment_search(names: DataFrame, key: str, text: str, patterns: list[tuple[str, int]], sep: str = "-", k: int = 10, lengths: tuple[int, int] | None = None) -> DataFrame:

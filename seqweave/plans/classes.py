@@ -91,7 +91,7 @@ def _(spark, sf):  # noqa: ANN001, ANN202
 
 
 @query("pos_14_roles", f"""{TOK_LINES}, x AS (SELECT *, lead(sym) OVER (PARTITION BY seq_id ORDER BY pos) AS nxt FROM tok), g AS (SELECT lang, sym, count(*) AS n, count(*) FILTER (pos = 0) / count(*) AS i, count(*) FILTER (pos = len - 1) / count(*) AS t, count(*) FILTER (len = 1) / count(*) AS solo, count(*) FILTER (nxt = sym) / count(*) AS rep FROM x GROUP BY ALL),
-pr AS (SELECT lang, sym AS a, nxt AS b, count(*) AS cnt FROM x WHERE nxt IS NOT NULL GROUP BY ALL), tt AS (SELECT lang, count(*) AS tokens FROM tok GROUP BY lang), bb AS (SELECT lang, sum(cnt) AS bigrams FROM pr GROUP BY lang), pm AS (SELECT lang, a, b FROM pr JOIN g x USING (lang) JOIN g y USING (lang) JOIN tt USING (lang) JOIN bb USING (lang) WHERE x.sym = a AND y.sym = b AND cnt >= 5 AND log2(cnt / bigrams / (x.n / tokens * (y.n / tokens))) >= 4),
+pr AS (SELECT lang, sym AS a, nxt AS b, count(*) AS cnt FROM x WHERE nxt IS NOT NULL GROUP BY ALL), tt AS (SELECT lang, count(*) AS tokens FROM tok GROUP BY lang), bb AS (SELECT lang, sum(cnt) AS bigrams FROM pr GROUP BY lang), pm AS (SELECT pr.lang, a, b FROM pr JOIN g x ON x.lang = pr.lang AND x.sym = a JOIN g y ON y.lang = pr.lang AND y.sym = b JOIN tt ON tt.lang = pr.lang JOIN bb ON bb.lang = pr.lang WHERE cnt >= 5 AND log2(cnt / bigrams / (x.n / tokens * (y.n / tokens))) >= 4),
 en AS (SELECT DISTINCT lang, unnest([a, b]) AS sym FROM pm), r AS (SELECT g.*, list_filter([CASE WHEN t >= 0.5 THEN 'suffix' END, CASE WHEN i >= 0.5 THEN 'determinative' END, CASE WHEN rep >= 0.1 THEN 'numeral' END, CASE WHEN solo >= 0.3 THEN 'logogram' END, CASE WHEN en.sym IS NOT NULL THEN 'compound' END], lambda v: v IS NOT NULL) AS l FROM g LEFT JOIN en ON en.lang = g.lang AND en.sym = g.sym)
 SELECT lang, sym, n, CASE WHEN len(l) > 0 THEN array_to_string(l, ',') ELSE 'phonetic' END AS roles FROM r""")
 def _(spark, sf):  # noqa: ANN001, ANN202

@@ -104,10 +104,10 @@ def _(spark, sf):  # noqa: ANN001, ANN202
     return _rounded(a.cosine_pairs(a.context_vectors(orders(spark, sf), SEG), SEG).select("segment", "x", "y", "dot", "cosine"), "cosine")
 
 
-@query("net_16_threshold_clusters", f"""WITH RECURSIVE {COS.removeprefix('WITH ')}, ed AS (SELECT x, y FROM cs WHERE segment = 'BUILDING' AND cosine > 0.85), eb AS (SELECT x, y FROM ed UNION SELECT y, x FROM ed), nd AS (SELECT DISTINCT sym FROM tok WHERE segment = 'BUILDING'),
+@query("net_16_threshold_clusters", f"""WITH RECURSIVE {VEC.removeprefix('WITH ')}, va AS (SELECT sym, feature, sum(w) AS w FROM v GROUP BY ALL), na AS (SELECT sym, sqrt(sum(w * w)) AS norm FROM va GROUP BY ALL), ca AS (SELECT x.sym AS x, y.sym AS y, sum(x.w * y.w) / (any_value(p.norm) * any_value(q.norm)) AS cosine FROM va x JOIN va y ON x.feature = y.feature AND x.sym < y.sym JOIN na p ON p.sym = x.sym JOIN na q ON q.sym = y.sym GROUP BY x.sym, y.sym), ed AS (SELECT x, y FROM ca WHERE cosine > 0.85), eb AS (SELECT x, y FROM ed UNION SELECT y, x FROM ed), nd AS (SELECT DISTINCT sym FROM tok),
 reach(x, y) AS (SELECT sym, sym FROM nd UNION SELECT r.x, eb.y FROM reach r JOIN eb ON r.y = eb.x) SELECT x AS sym, min(y) AS cluster FROM reach GROUP BY x""")
 def _(spark, sf):  # noqa: ANN001, ANN202
-    x = orders(spark, sf).where("segment = 'BUILDING'")
+    x = orders(spark, sf)
     pairs = a.cosine_pairs(a.context_vectors(x, []), [], 0.85)
     return a.components(pairs.select("x", "y"), m.symbol_counts(x).select("sym"))
 
@@ -246,10 +246,11 @@ def _(spark, sf):  # noqa: ANN001, ANN202
     return table(spark, sf, "pages").select("page_id", e.canonical_url(F.col("url")).alias("url"))
 
 
-@query("evd_2_upsert", "WITH s AS (SELECT sha256(left(text, 12)) AS item_id, lang AS title, source AS topic, doc_id AS f, CASE WHEN doc_id % 2 = 0 THEN 0 ELSE 1 END AS o FROM documents) SELECT item_id, arg_min(title, (o, f, title)) AS title, string_agg(DISTINCT topic, ',' ORDER BY topic) AS topics, max(f) AS fetched_at FROM s GROUP BY item_id")
+@query("evd_2_upsert", "WITH s AS (SELECT sha256(trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g'))) AS item_id, lang AS title, source AS topic, doc_id AS f, CASE WHEN doc_id % 2 = 0 THEN 0 ELSE 1 END AS o FROM documents) SELECT item_id, arg_min(title, (o, f, title)) AS title, string_agg(DISTINCT topic, ',' ORDER BY topic) AS topics, max(f) AS fetched_at FROM s GROUP BY item_id")
 def _(spark, sf):  # noqa: ANN001, ANN202
+    """Items by their whole texts, case and punctuation aside."""
     d = table(spark, sf, "documents")
-    x = d.select(F.sha2(F.substring("text", 1, 12), 256).alias("item_id"), F.col("lang").alias("title"), F.array("source").alias("topics"), F.col("doc_id").alias("fetched_at"), (F.col("doc_id") % 2).alias("part"))
+    x = d.select(F.sha2(e.normal_title(F.col("text")), 256).alias("item_id"), F.col("lang").alias("title"), F.array("source").alias("topics"), F.col("doc_id").alias("fetched_at"), (F.col("doc_id") % 2).alias("part"))
     return e.upsert(x.where("part = 0").drop("part"), x.where("part <> 0").drop("part")).withColumn("topics", F.array_join("topics", ","))
 
 
@@ -270,11 +271,12 @@ def _(spark, sf):  # noqa: ANN001, ANN202
     return e.topic_matches(table(spark, sf, "documents"), [("secrets", ["password", "token"], []), ("legal", ["license"], ["|"])], "text").select("doc_id", "topic")
 
 
-@query("evd_9_first_per_key", "WITH k AS (SELECT doc_id, coalesce(nullif(trim(regexp_replace(lower(left(text, 40)), '[^\\p{L}\\p{N}]+', ' ', 'g')), ''), nullif(source, '')) AS key FROM documents), b AS (SELECT item_id, trim(regexp_replace(lower(left(text, 40)), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS key FROM benchmark) SELECT key, min(doc_id) AS doc_id FROM k WHERE key IS NOT NULL AND key NOT IN (SELECT key FROM b) GROUP BY key")
+@query("evd_9_first_per_key", "WITH k AS (SELECT doc_id, coalesce(nullif(trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')), ''), nullif(lang, ''), nullif(source, '')) AS key FROM documents), b AS (SELECT trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS key FROM benchmark WHERE text IS NOT NULL) SELECT key, min(doc_id) AS doc_id FROM k WHERE key IS NOT NULL AND key NOT IN (SELECT key FROM b) GROUP BY key")
 def _(spark, sf):  # noqa: ANN001, ANN202
-    d = table(spark, sf, "documents").select("doc_id", "text", "source")
-    known = table(spark, sf, "benchmark").select(e.normal_title(F.substring("text", 1, 40)).alias("key"))
-    return e.first_per_key(d, [e.normal_title(F.substring("text", 1, 40)), F.col("source")], ["doc_id"], known).select("key", "doc_id")
+    """Items by the first of three keys that isn't empty, the whole normalised text being the first of them."""
+    d = table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
+    known = table(spark, sf, "benchmark").select(e.normal_title(F.col("text")).alias("key"))
+    return e.first_per_key(d, [e.normal_title(F.col("text")), F.col("lang"), F.col("source")], ["doc_id"], known).select("key", "doc_id")
 
 
 @query("evd_9_first_per_whole_text", "WITH k AS (SELECT doc_id, coalesce(sha256(nullif(trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')), '')), nullif(source, '')) AS key FROM documents), b AS (SELECT sha256(trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g'))) AS key FROM benchmark WHERE text IS NOT NULL) SELECT key, min(doc_id) AS doc_id FROM k WHERE key IS NOT NULL AND key NOT IN (SELECT key FROM b) GROUP BY key")
