@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from seqweave.functions.exprs import bigrams, ngrams, null_strata, ratio, tokens, top_per
 from seqweave.functions.tables import written
+from seqweave.operators import graphs, similarity
 from seqweave.operators.measures import symbol_counts, with_totals
 
 
@@ -94,13 +95,9 @@ def directed_edges(seq: DataFrame, by: list[str], min_freq: int = 2) -> DataFram
 
 
 def neighbour_jaccard(edges: DataFrame, by: list[str], least: float = 0.25) -> DataFrame:
-    """Pairs of nodes whose neighbour sets overlap: shared / (deg + deg - shared), joined on the neighbour."""
+    """Pairs of nodes whose neighbour sets overlap: shared / (deg + deg - shared)."""
     both = edges.where("a <> b").select(*by, "a", "b").unionByName(edges.where("a <> b").select(*by, F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    deg = both.groupBy(*by, "a").agg(F.count("*").alias("deg"))
-    x, y = both.select(*by, F.col("a").alias("x"), "b"), both.select(*by, F.col("a").alias("y"), "b")
-    s = x.join(y, [*by, "b"]).where("x < y").groupBy(*by, "x", "y").agg(F.count("*").alias("shared"))
-    j = s.join(deg.select(*by, F.col("a").alias("x"), F.col("deg").alias("dx")), [*by, "x"]).join(deg.select(*by, F.col("a").alias("y"), F.col("deg").alias("dy")), [*by, "y"])
-    return j.withColumn("jaccard", F.col("shared") / (F.col("dx") + F.col("dy") - F.col("shared"))).where(F.col("jaccard") >= least)
+    return similarity.jaccard_join(both.select(*by, F.col("a").alias("sym"), F.col("b").alias("feature")), by, least)
 
 
 def paradigms(seq: DataFrame, by: list[str], blank: str = "_") -> DataFrame:
@@ -144,12 +141,8 @@ def context_vectors(seq: DataFrame, by: list[str], window: int = 1, min_freq: in
 
 
 def cosine_pairs(vectors: DataFrame, by: list[str], least: float = 0.1) -> DataFrame:
-    """Cosine of all pairs that share a feature, by a join on features."""
-    norm = vectors.groupBy(*by, "sym").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    x, y = (vectors.select(*by, F.col("sym").alias(k), "feature", F.col("w").alias(f"w{k}")) for k in ("x", "y"))
-    d = x.join(y, [*by, "feature"]).where("x < y").groupBy(*by, "x", "y").agg(F.sum(F.col("wx") * F.col("wy")).alias("dot"))
-    j = d.join(norm.select(*by, F.col("sym").alias("x"), F.col("norm").alias("nx")), [*by, "x"]).join(norm.select(*by, F.col("sym").alias("y"), F.col("norm").alias("ny")), [*by, "y"])
-    return j.withColumn("cosine", F.col("dot") / (F.col("nx") * F.col("ny"))).where(F.col("cosine") > least)
+    """Cosine of all pairs over the threshold, by a join on the features that can lead there."""
+    return similarity.cosine_join(vectors, by, least)
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -204,29 +197,9 @@ def features(seq: DataFrame, by: list[str]) -> DataFrame:
     return j.withColumn("log_freq", F.ln(F.col("n") + 1.0))
 
 
-def betweenness(edges: DataFrame) -> DataFrame:
-    """Betweenness of an unweighted, undirected graph of symbols (Brandes), all sources at once by joins on the frontier.
-
-    Rows are (source, symbol) with depth by depth the counts of shortest paths; the
-    way back sums up the shares. Each round is written.
-    """
-    both = written(edges.where("a <> b").select("a", "b").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    levels = [both.select(F.col("a").alias("s"), F.col("a").alias("v"), F.lit(1.0).alias("paths")).distinct()]
-    while True:
-        step = levels[-1].join(both, F.col("v") == F.col("a")).groupBy("s", F.col("b").alias("v")).agg(F.sum("paths").alias("paths"))
-        for seen in levels[-2:]:  # neighbours are at most one level apart
-            step = step.join(seen.select("s", "v"), ["s", "v"], "left_anti")
-        step = written(step)
-        if step.isEmpty():
-            break
-        levels.append(step)
-    share = levels[-1].withColumn("share", F.lit(0.0))
-    parts = share.select("v", "share").limit(0)
-    for above in reversed(levels[:-1]):
-        parts = parts.unionByName(share.select("v", "share"))
-        back = share.join(both, F.col("v") == F.col("a")).groupBy("s", F.col("b").alias("v")).agg(F.sum((1 + F.col("share")) / F.col("paths")).alias("part"))
-        share = written(above.join(back, ["s", "v"], "left").select("s", "v", "paths", (F.col("paths") * F.coalesce("part", F.lit(0.0))).alias("share")))
-    return parts.groupBy(F.col("v").alias("sym")).agg((F.sum("share") / 2).alias("betweenness"))
+def betweenness(edges: DataFrame, batch: int = 512) -> DataFrame:
+    """Betweenness of an unweighted, undirected graph of symbols: all lengths are 1, so a bucket of distances is a level."""
+    return graphs.betweenness(edges.select("a", "b", F.lit(1).alias("length")), batch=batch, delta=1)
 
 
 @null_strata

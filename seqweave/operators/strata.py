@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from seqweave.functions.exprs import bigrams, entropy, ngrams, null_strata, ratio, tokens
 from seqweave.functions.tables import written
+from seqweave.operators import assoc, similarity
 from seqweave.operators import measures as m
 from seqweave.operators import positions as p
 from seqweave.operators.transforms import hashed
@@ -152,19 +153,36 @@ def interaction_information(seq: DataFrame, by: list[str], least: int = 3) -> Da
 
 
 @null_strata
-def context_divergence(seq: DataFrame, by: list[str], side: str = "right") -> DataFrame:
-    """JS divergence in bits between the contexts of symbols that share one; pairs without a common context have 1.
+def context_shares(seq: DataFrame, by: list[str], side: str = "right") -> DataFrame:
+    """(by, sym, feature, w): the shares of each symbol's neighbours on one side."""
+    a, b = ("a", "b") if side == "right" else ("b", "a")
+    v = bigrams(seq.select(*by, "symbols")).groupBy(*by, F.col(a).alias("sym"), F.col(b).alias("feature")).agg(F.count("*").alias("c"))
+    return v.join(v.groupBy(*by, "sym").agg(F.sum("c").alias("total")), [*by, "sym"]).select(*by, "sym", "feature", (F.col("c") / F.col("total")).alias("w"))
+
 
-    With common contexts c only: JS = 1 + (sum over c of p log2 p/(p+q) + q log2 q/(p+q)) / 2.
+@null_strata
+def context_divergence(seq: DataFrame, by: list[str], side: str = "right", most: float | None = None) -> DataFrame:
+    """JS divergence in bits between the contexts of symbols; of all pairs that share one, or of those up to most.
+
+    With common contexts c only: JS = 1 + (sum over c of p log2 p/(p+q) + q log2 q/(p+q)) / 2;
+    a context of one side alone adds p log2 (p / (p / 2)) / 2 = p / 2, in sum 1 less what is shared.
+    Without most, the result is as large as the pairs that share a context.
     """
-    a, b = ("a", "b") if side == "right" else ("b", "a")
-    v = bigrams(seq.select(*by, "symbols")).groupBy(*by, F.col(a).alias("sym"), F.col(b).alias("ctx")).agg(F.count("*").alias("w"))
-    v = v.join(v.groupBy(*by, "sym").agg(F.sum("w").alias("total")), [*by, "sym"]).select(*by, "sym", "ctx", (F.col("w") / F.col("total")).alias("p"))
-    j = v.select(*by, F.col("sym").alias("x"), "ctx", F.col("p").alias("px")).join(v.select(*by, F.col("sym").alias("y"), "ctx", F.col("p").alias("py")), [*by, "ctx"]).where("x < y")
-    both = F.col("px") + F.col("py")
-    # a context of one side alone adds p log2 (p / (p / 2)) / 2 = p / 2, in sum 1 less what is shared
-    term = F.col("px") * F.log2(F.col("px") / both) + F.col("py") * F.log2(F.col("py") / both)
-    return j.groupBy(*by, "x", "y").agg((1 + 0.5 * F.sum(term)).alias("js"))
+    v = context_shares(seq, by, side)
+    if most is not None:
+        return similarity.divergence_join(v, by, most)
+    x, y = (v.select(*by, F.col("sym").alias(k), "feature", F.col("w").alias(f"w{k}")) for k in ("x", "y"))
+    both = F.col("wx") + F.col("wy")
+    term = F.col("wx") * F.log2(F.col("wx") / both) + F.col("wy") * F.log2(F.col("wy") / both)
+    return x.join(y, [*by, "feature"]).where("x < y").groupBy(*by, "x", "y").agg((1 + 0.5 * F.sum(term)).alias("js"))
+
+
+def context_groups(seq: DataFrame, by: list[str], most: float, side: str = "right") -> DataFrame:
+    """(by, sym, cluster): single linkage of symbols whose contexts diverge by at most so much; a symbol without such a partner is alone."""
+    node = lambda c: F.struct(*by, F.col(c).alias("sym"))
+    pairs = context_divergence(seq, by, side, most).select(node("x").alias("x"), node("y").alias("y"))
+    found = assoc.components(pairs, m.symbol_counts(seq, by).select(node("sym").alias("sym")))
+    return found.select(*[f"sym.{c}" for c in by], "sym.sym", F.col("cluster.sym").alias("cluster"))
 
 
 def grid(rows: DataFrame, columns: DataFrame) -> DataFrame:
