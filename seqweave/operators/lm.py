@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqweave.functions.exprs import bigrams, ngrams, null_strata, tokens
+from seqweave.functions.tables import written
 from seqweave.operators.measures import stream_ngram_counts, with_totals
 
 START, END, FLOOR = "<BOW>", "<EOW>", 1e-8
@@ -81,6 +82,54 @@ def score_mappings(seq: DataFrame, mappings: DataFrame, lm: DataFrame) -> DataFr
     return x.withColumn("gram", F.concat_ws(" ", "va", "vb")).join(p, "gram", "left").groupBy("run_id").agg(F.sum(F.col("cnt") * F.ln(F.coalesce("p", F.lit(FLOOR)))).alias("ll"))
 
 
+def score_mappings_fully(seq: DataFrame, mappings: DataFrame, target: DataFrame, positional_weight: float = 0.005, repeat_weight: float = 0.0, together_weight: float = 0.0) -> DataFrame:
+    """Scores of all mappings (run_id, sym, value) at once: (run_id, ll, positional, repeats, together, score).
+
+    ll is the log-likelihood of the decoded sequences with their bounds under
+    target's model, symbols without a value being unseen. Then, each in proportion
+    to the size of the score so far: the agreement of symbols' and values' places is
+    added, the share of pairs that repeat a value beyond target's is taken off, and
+    the mean log share of target sequences that hold a decoded pair (1e-4 if none)
+    is added. Everything comes from counts of pairs, places and distinct sets of
+    symbols, so the corpus is read for those alone, however many mappings there are.
+    Sequences without symbols count as nothing; a run of null is left out.
+    """
+    m = written(mappings.where("run_id IS NOT NULL AND sym IS NOT NULL AND value IS NOT NULL").select("run_id", "sym", "value").distinct(), "mappings")
+    s, to = seq.where("size(symbols) > 0").select("symbols"), target.where("size(symbols) > 0").select("symbols")
+    own = lambda end: m.select("run_id", F.col("sym").alias(end), F.col("value").alias(f"v{end}"))
+    marks = m.select("run_id").distinct().withColumn("value", F.explode(F.array(F.lit(START), F.lit(END)))).select("run_id", F.col("value").alias("sym"), "value")
+    known = m.unionByName(marks)
+    end = lambda c: known.select("run_id", F.col("sym").alias(c), F.col("value").alias(f"v{c}"))
+    pairs = written(bigrams(bounded(s)).groupBy("a", "b").agg(F.count("*").alias("cnt")), "pairs")
+    p = model(to, []).where("kind = 'bigram'").select("gram", "p")
+    decoded = pairs.join(end("a"), "a").join(end("b"), ["run_id", "b"]).withColumn("gram", F.concat_ws(" ", "va", "vb")).join(p, "gram", "left")
+    two = decoded.groupBy("run_id").agg(F.sum(F.col("cnt") * F.ln(F.coalesce("p", F.lit(FLOOR)))).alias("lp"), F.sum("cnt").alias("known"))
+    all_pairs = pairs.agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("all"))
+    # pairs without the bounds: equal values, or neither symbol with one
+    inner = pairs.where((F.col("a") != START) & (F.col("b") != END))
+    met = inner.join(own("a"), "a").join(own("b"), ["run_id", "b"]).groupBy("run_id").agg(F.sum(F.when(F.col("va") == F.col("vb"), F.col("cnt")).otherwise(0)).alias("same"), F.sum("cnt").alias("both"))
+    side = lambda c, name: inner.join(own(c), c).groupBy("run_id").agg(F.sum("cnt").alias(name))
+    all_inner = inner.agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("inner"))
+    base = word_statistics(to, []).agg(F.coalesce(F.max("repeat_rate"), F.lit(0.0)).alias("base"))
+    places = positional(s, []).join(m, "sym").join(positional(to, []).select(F.col("sym").alias("value"), *[F.col(c).alias(f"t_{c}") for c in ("initial", "medial", "terminal")]), "value")
+    places = places.groupBy("run_id").agg(F.sum(sum((F.col(c) * F.col(f"t_{c}") for c in ("initial", "medial", "terminal")), F.lit(0.0))).alias("positional"))
+    sets = s.where("size(symbols) >= 2").groupBy(F.array_sort(F.array_distinct("symbols")).alias("u")).agg(F.count("*").alias("cnt"))
+    values = sets.select("u", "cnt", F.explode("u").alias("sym")).join(m, "sym").groupBy("run_id", "u", "cnt").agg(F.array_sort(F.collect_set("value")).alias("v"))
+    each = F.flatten(F.transform("v", lambda x, i: F.transform(F.slice("v", i + 2, F.size("v")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    near = values.select("run_id", "cnt", F.explode(each).alias("p")).select("run_id", "cnt", "p.a", "p.b").groupBy("run_id", "a", "b").agg(F.sum("cnt").alias("cnt"))
+    near = near.join(together(to, []), ["a", "b"], "left").groupBy("run_id").agg((F.sum(F.col("cnt") * F.ln(F.coalesce("p", F.lit(1e-4)))) / F.sum("cnt")).alias("together"))
+    x = m.select("run_id").distinct()
+    for part in (two, met, side("a", "left"), side("b", "right"), places, near):
+        x = x.join(part, "run_id", "left")
+    x = x.fillna(0).crossJoin(F.broadcast(all_pairs)).crossJoin(F.broadcast(all_inner)).crossJoin(F.broadcast(base))  # one row each
+    ll = F.col("lp") + (F.col("all") - F.col("known")) * F.ln(F.lit(FLOOR))
+    again = (F.col("same") + F.col("inner") - F.col("left") - F.col("right") + F.col("both")) / F.nullif(F.col("inner"), F.lit(0))
+    x = x.select("run_id", ll.alias("ll"), "positional", F.greatest(F.coalesce(again, F.lit(0.0)) - F.col("base"), F.lit(0.0)).alias("repeats"), "together")
+    x = x.withColumn("score", F.col("ll") + F.col("positional") * F.abs("ll") * positional_weight)
+    x = x.withColumn("score", F.col("score") - repeat_weight * F.col("repeats") * F.abs("score"))
+    return x.withColumn("score", F.col("score") + together_weight * F.col("together") * F.abs("score"))
+
+
 def consistency(mappings: DataFrame) -> DataFrame:
     """Modal value of each symbol over runs, its share, the top three."""
     n = mappings.groupBy("sym", "value").agg(F.count("*").alias("cnt")).withColumn("runs", F.sum("cnt").over(Window.partitionBy("sym")))
