@@ -39,10 +39,11 @@ WORD_CACHE = 300_000
 HOT_COPIES = 16
 #: Documents whose texts are looked up by a broadcast of their ids; beyond, by an ordinary join.
 MOST_IDS = 1_000_000
-#: Cells in which signatures are counted; one with HEAT times the mean holds a hot signature.
-HEAT_CELLS, HEAT = 4096, 4
+#: Cells in which signatures are counted: as many as hold so many rows each on average, and no fewer than the first number; one with HEAT times the mean holds a hot signature.
+#: So no group in a window is over HEAT * CELL_ROWS rows, however many documents there are.
+HEAT_CELLS, CELL_ROWS, HEAT = 4096, 1 << 16, 4
 #: Members up to which a torn group is compared as it is, 8 million cheap comparisons at most. Larger ones are split by a fresh partition, which costs
-#: about 200 rows a member, whatever the group's size.
+#: about 200 rows a member, whatever the group's size. Parts that are still larger are compared in blocks of about so many.
 CROWD = 4096
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _S27, _S30, _S31 = np.uint64(27), np.uint64(30), np.uint64(31)
@@ -157,7 +158,7 @@ def sketch(tokens: np.ndarray) -> np.ndarray:
 
 
 def profiles(df: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, digest, sketch (s0, s1, ...) and signatures of each row."""
+    """doc_id, n_shingles, digest, sketch (s0, s1, ...), signatures and their number of each row."""
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         scheme, size, digest, parts, sigs = Scheme(percent), [], [], [], []
@@ -169,12 +170,12 @@ def profiles(df: DataFrame, key: str, text: str, n: int, percent: int) -> DataFr
             sigs.append(signatures(tokens, scheme).view(np.int64) if len(tokens) else np.empty(0, np.int64))
         parts = np.array(parts)
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), *[pa.array(parts[:, i]) for i in range(SKETCH)], pa.array(sigs, pa.list_(pa.int64()))],
-            ["doc_id", "n_shingles", "digest", *[f"s{i}" for i in range(SKETCH)], "sigs"],
+            [batch.column(0), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), *[pa.array(parts[:, i]) for i in range(SKETCH)], pa.array([len(x) for x in sigs], pa.int64()), pa.array(sigs, pa.list_(pa.int64()))],
+            ["doc_id", "n_shingles", "digest", *[f"s{i}" for i in range(SKETCH)], "n_sigs", "sigs"],
         )
 
     docs = df.selectExpr(f"CAST(`{key}` AS LONG) AS doc_id", f"`{text}` AS text")
-    return map_batches(docs, fn, "doc_id long, n_shingles long, digest binary, " + "".join(f"s{i} long, " for i in range(SKETCH)) + "sigs array<long>")
+    return map_batches(docs, fn, "doc_id long, n_shingles long, digest binary, " + "".join(f"s{i} long, " for i in range(SKETCH)) + "n_sigs long, sigs array<long>")
 
 
 def _may_link(a: str, b: str, percent: int) -> str:
@@ -207,20 +208,23 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
     return both.select("a", "b", "ta", "tb").mapInArrow(test, "a long, b long").distinct()
 
 
-def _groups(flat: DataFrame) -> DataFrame:
+def _groups(flat: DataFrame, rows: int = 0) -> DataFrame:
     """flat (doc_id, sig) with hub, the smallest doc_id of the signature, and n, its rows; only where n > 1.
 
-    Signatures are counted in cells first. Those of hot cells, a bounded number, are
-    aggregated (which combines before it shuffles) and joined back, a join that
-    adaptive execution splits; the rest are small groups, which a window serves.
+    Signatures are counted in cells first, whose number grows with the rows expected.
+    Those of hot cells, a quarter at most, are aggregated (which combines before it
+    shuffles) and joined back, a join that adaptive execution splits; the rest are
+    small groups, which a window serves.
     """
-    celled = flat.withColumn("cell", F.pmod("sig", F.lit(HEAT_CELLS)))
+    cells = max(HEAT_CELLS, 1 << max(0, rows // CELL_ROWS).bit_length())
+    celled = flat.withColumn("cell", F.pmod("sig", F.lit(cells)))
     heat = materialise(celled.groupBy("cell").agg(F.count("*").alias("n")), "heat")
-    hot = heat.join(F.broadcast(heat.agg(F.avg("n").alias("mean")))).where(F.col("n") > HEAT * F.col("mean")).select("cell")  # HEAT_CELLS / HEAT rows at most
-    calm = celled.join(F.broadcast(hot), "cell", "left_anti").drop("cell")
+    hot = heat.crossJoin(F.broadcast(heat.agg(F.avg("n").alias("mean")))).where(F.col("n") > HEAT * F.col("mean")).select("cell", F.lit(True).alias("hot"))
+    celled = join_small(celled, hot, ["cell"])
+    calm = celled.where("hot IS NULL").drop("cell", "hot")
     found = calm.select("*", F.expr("min(doc_id) OVER (PARTITION BY sig) AS hub"), F.expr("count(*) OVER (PARTITION BY sig) AS n")).where("n > 1")
     if not hot.isEmpty():
-        busy = celled.join(F.broadcast(hot), "cell", "left_semi").drop("cell")
+        busy = celled.where("hot").drop("cell", "hot")
         totals = materialise(busy.groupBy("sig").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1"), "totals")
         found = found.unionByName(busy.join(totals, "sig").select(found.columns))
     return found
@@ -248,17 +252,23 @@ def _apart(members: DataFrame, small: DataFrame, df: DataFrame, key: str, text:
 
     Similar sets share a signature under any partition of the hash range. So a large
     group is split by a fresh one, into groups of those that share a signature under
-    both; whoever shares only what made the group large is apart then.
+    both; whoever shares only what made the group large is apart then. What a fresh
+    partition leaves together in large parts are sets that share much of what they
+    hold; another one would multiply their rows and leave most of them together too,
+    so blocks of such a part are compared, each pair of blocks in a task of its own.
     """
     torn = _torn(members)
-    crowd, fine = torn.where(f"size > {CROWD}"), torn.where(f"size <= {CROWD}").drop("size")
+    crowd, parts = torn.where(f"size > {CROWD}"), torn.where(f"size <= {CROWD}")
     if not crowd.isEmpty():
         ids = crowd.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"))
         fresh = materialise(_anew(_texts(df, ids, key, text), n, percent), "fresh")
         split = crowd.join(fresh, "doc_id").select("doc_id", "c", "sig", F.explode("fresh").alias("again")).select(F.xxhash64("sig", "again").alias("sig"), "doc_id", "c")
-        fine = fine.unionByName(_torn(split).drop("size"))
-    x = fine.select("sig", "doc_id", "c").join(small, "doc_id")
-    pairs = x.alias("x").join(x.alias("y"), F.expr(f"x.sig = y.sig AND x.doc_id < y.doc_id AND x.c <> y.c AND {_may_link('x', 'y', percent)}"))
+        parts = parts.unionByName(_torn(split))
+    blocks = F.ceil(F.col("size") / CROWD).cast("int")
+    fine = parts.select("sig", "doc_id", "c", F.pmod(F.xxhash64("doc_id"), blocks).cast("int").alias("block"), blocks.alias("blocks"))
+    x = fine.join(small, "doc_id")
+    y = x.withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)")))
+    pairs = x.alias("x").join(y.alias("y"), F.expr(f"x.sig = y.sig AND x.block = y.block AND x.doc_id < y.doc_id AND x.c <> y.c AND {_may_link('x', 'y', percent)}"))
     return pairs.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
 
 
@@ -270,7 +280,8 @@ def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", n:
     has no shingles and is linked with nothing; rows with equal sets form one
     class at once; repeated rows give a row each; two texts under one doc_id count
     as that one document when it represents both; a row without an id has no
-    component. Other columns aren't looked at; no rows give no rows.
+    component. Other columns aren't looked at; no rows give no rows. Ids are whole
+    numbers, others are an error.
 
     Members of a signature group are set against one hub of the group: first each
     against the hub it shares most with, then, of the other hubs, against those that
@@ -278,15 +289,17 @@ def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", n:
     different components are set against each other; groups of more than CROWD
     members are split by a fresh partition before.
     """
+    if (kind := dict(df.dtypes)[key]) not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"ids have to be whole numbers, not {kind}")
     prof = materialise(profiles(df, key, text, n, percent), "profiles")
     some = prof.where("n_shingles > 0 AND doc_id IS NOT NULL")
     parts = ["n_shingles", *[f"s{i}" for i in range(SKETCH)]]
     classes = materialise(some.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in parts]), "classes")
     # one row of each large class of equal sets writes signatures; a few equal ones more don't make a group hot
     hot = classes.where(F.col("copies") > HOT_COPIES).select("digest", F.col("doc_id").alias("rep"))
-    one = join_small(some.select("doc_id", "digest", "sigs"), hot, ["digest"]).where("rep IS NULL OR rep = doc_id")
+    one = join_small(some.select("doc_id", "digest", "n_sigs", "sigs"), hot, ["digest"]).where("rep IS NULL OR rep = doc_id")
     flat = one.select("doc_id", F.explode("sigs").alias("sig"))
-    groups = materialise(_groups(flat), "groups")
+    groups = materialise(_groups(flat, one.agg(F.sum("n_sigs")).first()[0] or 0), "groups")
 
     small = classes.select("doc_id", *parts)
     first = groups.where("doc_id <> hub").groupBy(F.col("hub").alias("a"), F.col("doc_id").alias("b")).agg(F.count("*").alias("shared"))

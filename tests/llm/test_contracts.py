@@ -282,6 +282,31 @@ def test_jaccard_of_one_signature(spark):
     assert [tuple(r) for r in got] == [(5, 0, 100_000, 100_000)] and jaccard._groups(flat).count() == 200_000
 
 
+def test_jaccard_of_crowds_that_no_partition_splits(spark, monkeypatch):
+    """Sets that are all nearly similar, but few of them enough: what stays together after the split is compared in blocks."""
+    import random
+
+    monkeypatch.setattr(jaccard, "CROWD", 5)
+    rng, base = random.Random(12), [f"b{i}" for i in range(150)]
+    rows = [(k, " ".join(w if rng.random() > 0.02 else f"x{rng.randrange(10**6)}" for w in base)) for k in range(60)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), n=3, percent=85).collect()}
+    want = brute_jaccard(rows, 3, 85)
+    assert got == want and 2 < len({c for _, c in want.values()}) < 60
+
+
+def test_jaccard_cells_grow_with_rows(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "CELL_ROWS", 4)
+    flat = spark.range(20_000).select(F.col("id").alias("doc_id"), F.explode(F.array(F.lit(5), F.xxhash64((F.col("id") / 2).cast("long")))).alias("sig"))
+    rows = sorted(map(tuple, jaccard._groups(flat, 40_000).collect()))
+    monkeypatch.undo()
+    assert rows == sorted(map(tuple, jaccard._groups(flat).collect()))
+
+
+def test_jaccard_ids_of_text_are_an_error(spark):
+    with pytest.raises(ValueError, match="whole numbers"):
+        jaccard.similar_documents(spark.createDataFrame([("a", "x")], "doc_id string, text string"))
+
+
 def jump(key, n):
     key &= (1 << 64) - 1
     b, j = -1, 0
