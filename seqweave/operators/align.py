@@ -18,11 +18,60 @@ def crosswalk(left: DataFrame, right: DataFrame) -> DataFrame:
     return best.withColumn("status", F.when(F.col("confidence") >= 0.8, "confirmed").when(F.col("confidence") >= 0.5, "pending").otherwise("ambiguous"))
 
 
+def common_subsequence(x: list[str], y: list[str]) -> list[tuple[int, int]]:
+    """Places (i, t) of a longest common subsequence; of several the one that takes a match as soon as it is met and else moves on in x if that loses nothing.
+
+    Row i holds, as the bits of one number, where the length for the suffixes x[i:]
+    and y[t:] grows with y's suffix (bit-parallel recurrence): len(x) * len(y) / 64
+    steps at worst. Every k-th row is kept, k = sqrt(len(x)), and those between are
+    made again while the path is read, so memory is sqrt(len(x)) * len(y) / 4 bytes.
+    """
+    n, w = len(x), len(y)
+    full = (1 << w) - 1
+    at: dict[str, int] = {}
+    for t, v in enumerate(y):
+        at[v] = at.get(v, 0) | 1 << (w - 1 - t)
+
+    def above(row: int, v: str) -> int:
+        u = row & at.get(v, 0)
+        return ((row + u) | (row - u)) & full
+
+    step = max(int(n**0.5), 1)
+    kept, row = {n: full}, full
+    for i in range(n - 1, -1, -1):
+        row = above(row, x[i])
+        if i % step == 0:
+            kept[i] = row
+    out, i, t, rows, top = [], 0, 0, {}, -1
+    while i < n and t < w:
+        if x[i] == y[t]:
+            out.append((i, t))
+            i, t = i + 1, t + 1
+            continue
+        if i // step != top:
+            top = i // step
+            low = min((top + 1) * step, n)
+            rows = {low: kept[low]}
+            for k in range(low - 1, top * step - 1, -1):
+                rows[k] = above(rows[k + 1], x[k])
+        left = w - t
+        grows = not rows[i] >> (left - 1) & 1  # the length falls if y[t] is left out
+        if grows:
+            i += 1
+            continue
+        part = (1 << left) - 1
+        if (rows[i + 1] & part).bit_count() <= (rows[i] & part).bit_count():
+            i += 1
+        else:
+            t += 1
+    return out
+
+
 def gap_fill(left: DataFrame, right: DataFrame, known: DataFrame, least: int = 2) -> DataFrame:
     """New pairs from gaps between known pairs, for sequences of any length: pairs of equal gaps, counted; (sym, match, cnt).
 
     The anchors of a pair of sequences are its longest common subsequence under
-    the known mapping, found for one pair at a time.
+    the known mapping, found for one pair at a time in bits: see common_subsequence.
     """
     import pyarrow as pa
 
@@ -33,20 +82,7 @@ def gap_fill(left: DataFrame, right: DataFrame, known: DataFrame, least: int = 2
     x = pairs.drop("l2").join(coded, "seq_id")
 
     def gaps(l: list[str], m: list[str], r: list[str]) -> list[tuple[str, str]]:  # noqa: E741
-        best = [[0] * (len(r) + 1) for _ in range(len(l) + 1)]
-        for i in range(len(l) - 1, -1, -1):
-            for t in range(len(r) - 1, -1, -1):
-                best[i][t] = best[i + 1][t + 1] + 1 if m[i] == r[t] else max(best[i + 1][t], best[i][t + 1])
-        anchors, i, t = [(-1, -1)], 0, 0
-        while i < len(l) and t < len(r):
-            if m[i] == r[t]:
-                anchors.append((i, t))
-                i, t = i + 1, t + 1
-            elif best[i + 1][t] >= best[i][t + 1]:
-                i += 1
-            else:
-                t += 1
-        anchors.append((len(l), len(r)))
+        anchors = [(-1, -1), *common_subsequence(m, r), (len(l), len(r))]
         out = []
         for (a, b), (c, d) in zip(anchors, anchors[1:], strict=False):
             if c - a == d - b > 1:

@@ -1,6 +1,6 @@
 """Named queries: operators applied to tables, with the SQL that checks them."""
 
-from seqweave.plans import classes, counting, hypotheses, inference, nulls, profiles, relations, resampling, retrieval, zones
+from seqweave.plans import classes, counting, hypotheses, inference, nulls, profiles, relations, resampling, retrieval, vocabulary, zones
 from seqweave.plans.registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "classes", "counting", "hypotheses", "inference", "nulls", "profiles", "relations", "resampling", "retrieval", "zones"]
+__all__ = ["ORACLE", "QUERIES", "classes", "counting", "hypotheses", "inference", "nulls", "profiles", "relations", "resampling", "retrieval", "vocabulary", "zones"]

@@ -114,6 +114,43 @@ def test_gap_fill(spark):
     assert [tuple(x) for x in align.gap_fill(left, right, known, 2).collect()] == [("x", "T", 2)]
 
 
+def path_in_full_table(m, r):
+    best = [[0] * (len(r) + 1) for _ in range(len(m) + 1)]
+    for i in range(len(m) - 1, -1, -1):
+        for t in range(len(r) - 1, -1, -1):
+            best[i][t] = best[i + 1][t + 1] + 1 if m[i] == r[t] else max(best[i + 1][t], best[i][t + 1])
+    out, i, t = [], 0, 0
+    while i < len(m) and t < len(r):
+        if m[i] == r[t]:
+            out.append((i, t))
+            i, t = i + 1, t + 1
+        elif best[i + 1][t] >= best[i][t + 1]:
+            i += 1
+        else:
+            t += 1
+    return out
+
+
+def test_common_subsequence():
+    rng = np.random.default_rng(8)
+    for k in range(400):
+        letters = list("abcdefgh")[: 1 + k % 8]
+        x, y = (rng.choice(letters, rng.integers(0, 40)).tolist() for _ in "xy")
+        assert align.common_subsequence(x, y) == path_in_full_table(x, y)
+    assert align.common_subsequence(["a"] * 10_000, ["a"] * 9_000) == [(i, i) for i in range(9_000)]
+    x = rng.choice(list("abcd"), 10_000).tolist()
+    y = [v for v in x if v != "d"]
+    assert len(align.common_subsequence(x, y)) == len(y)
+
+
+def test_gap_fill_of_long_sequences(spark):
+    """10,000 symbols a side, gaps of one length between known neighbours."""
+    left = spark.createDataFrame([(1, list("axyb") * 2500), (2, []), (3, None)], "seq_id long, symbols array<string>")
+    right = spark.createDataFrame([(1, list("ATUB") * 2500), (2, ["A"]), (3, ["A"])], "seq_id long, symbols array<string>")
+    known = spark.createDataFrame([("a", "A"), ("b", "B")], "sym string, match string")
+    assert sorted(tuple(x) for x in align.gap_fill(left, right, known, 2).collect()) == [("x", "T", 2500), ("y", "U", 2500)]
+
+
 def test_bijection_of_many_symbols(spark):
     seq = spark.range(1200).select(F.col("id").alias("seq_id"), F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.concat(F.lit("s"), (F.col("id") * 10 + i).cast("string"))).alias("symbols"))
     assert transforms.bijection(seq, "s").select("to").distinct().count() == 12_000
