@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqweave.functions.exprs import bigrams
+from seqweave.functions.exprs import bigrams, ngrams
 from seqweave.operators.lm import bounded
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
@@ -75,6 +75,46 @@ def refreshed_model(seq: DataFrame, directory: str):  # noqa: ANN201
     return running_bigrams(bounded(seq.select("symbols"))).writeStream.outputMode("complete").foreachBatch(write)
 
 
+def ngram_changes(seq: DataFrame, most: int = 3) -> DataFrame:
+    """Running counts (n, given, gram, cnt) of a stream of sequences, for update mode: symbols, and n-grams with the sequences' bounds up to `most`.
+
+    given is the gram without its last symbol; sequences of null or without symbols
+    have no symbols, null symbols are skipped.
+    """
+    s = seq.select(F.array_compact("symbols").alias("symbols")).where("size(symbols) > 0")
+    one = s.select(F.lit(1).alias("n"), F.lit("").alias("given"), F.explode("symbols").alias("gram"))
+    if most > 1:
+        g = ngrams(bounded(s), 2, most, joined=False)
+        one = one.unionByName(g.select("n", F.array_join(F.slice("gram", F.lit(1), F.col("n") - 1), " ").alias("given"), F.array_join("gram", " ").alias("gram")))
+    return one.groupBy("n", "given", "gram").agg(F.count("*").alias("cnt"))
+
+
+def running_model(seq: DataFrame, directory: str, most: int = 3):  # noqa: ANN201
+    """A stream of sequences as a model of n-grams: each batch writes under its number the grams whose counts changed, and nothing else.
+
+    So a batch's cost is that of its own grams; a batch that runs again writes the
+    same rows again. The state holds a count for each gram of the model.
+    current_model merges the batches, compact_model stores the merged model.
+    """
+
+    def write(changed: DataFrame, number: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{directory}/version={number}")
+
+    return ngram_changes(seq, most).writeStream.outputMode("update").foreachBatch(write)
+
+
+def current_model(spark: SparkSession, directory: str) -> DataFrame:
+    """(n, given, gram, cnt, p): each gram's latest count, p within the grams of the same n and given."""
+    schema = "n int, given string, gram string, cnt long, version long"
+    c = spark.read.schema(schema).parquet(directory).groupBy("n", "given", "gram").agg(F.max_by("cnt", "version").alias("cnt"))
+    return c.join(c.groupBy("n", "given").agg(F.sum("cnt").alias("total")), ["n", "given"]).select("n", "given", "gram", "cnt", (F.col("cnt") / F.col("total")).alias("p"))
+
+
+def compact_model(spark: SparkSession, directory: str, into: str, number: int) -> None:
+    """Writes the merged counts as version `number` (the last batch's) of a new directory, in which later batches of the stream can go on."""
+    current_model(spark, directory).drop("p").write.mode("overwrite").parquet(f"{into}/version={number}")
+
+
 def silent_keys(events: DataFrame, key: str, timeout_ms: int, delay: str = "1 minute") -> DataFrame:
     """Keys silent for longer than the timeout in event time: (key, last_seen). State holds one time per key."""
 

@@ -1,5 +1,7 @@
 """Streams over small files give what batches give."""
 
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from seqweave.streaming import jobs
@@ -72,3 +74,33 @@ def test_refreshed_model(spark, tmp_path):
     last = max(r.version for r in rows)
     p = {(r.a, r.b): r.p for r in rows if r.version == last}
     assert round(p["a", "b"], 9) == round(2 / 3, 9) and p["<BOW>", "a"] == 1
+
+
+def test_running_model(spark, tmp_path):
+    """Counts and shares as over all sequences at once; a batch writes its own grams alone; a rerun and a compacted model give the same."""
+    parts = [["abab", "a"], ["ac", ""], ["zz", None]]
+    for k, words in enumerate(parts):
+        spark.createDataFrame([(None if w is None else list(w),) for w in words], "symbols array<string>").coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    stream = spark.readStream.schema("symbols array<string>").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+
+    def go(name):
+        jobs.running_model(stream, f"{tmp_path}/{name}").option("checkpointLocation", f"{tmp_path}/cp-{name}").trigger(availableNow=True).start().awaitTermination(180)
+
+    want = Counter()
+    for w in filter(None, (w for p in parts for w in p)):
+        b = ["<BOW>", *w, "<EOW>"]
+        want.update((1, "", x) for x in w)
+        want.update((n, " ".join(b[i : i + n - 1]), " ".join(b[i : i + n])) for n in (2, 3) for i in range(len(b) - n + 1))
+    total = Counter()
+    for (n, given, _), c in want.items():
+        total[n, given] += c
+    go("m")
+    rows = spark.read.parquet(f"{tmp_path}/m").collect()
+    by_batch = sorted((Counter(r.version for r in rows)).values())
+    assert len(by_batch) == 3 and max(by_batch) < len(want)
+    read = lambda name: {(r.n, r.given, r.gram): (r.cnt, round(r.p, 9)) for r in jobs.current_model(spark, f"{tmp_path}/{name}").collect()}
+    assert read("m") == {g: (c, round(c / total[g[0], g[1]], 9)) for g, c in want.items()}
+    go("m")
+    go("again")
+    jobs.compact_model(spark, f"{tmp_path}/m", f"{tmp_path}/compact", 2)
+    assert read("m") == read("again") == read("compact")
