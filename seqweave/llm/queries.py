@@ -52,9 +52,9 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = secrets.scan(table(spark, sf_dir, "documents"))
+    rows = secrets.scan(table(spark, sf_dir, "documents")).withColumn("random_base", F.filter("verdicts", lambda v: v["random"]))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return rows.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(secrets.spelled("base"), 256).alias("base_sha256"), secrets.spelled("spans").alias("spans"))
+    return rows.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(secrets.spelled("base"), 256).alias("base_sha256"), secrets.spelled("spans").alias("spans"), secrets.spelled("random_base").alias("random_base"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,11 @@ constants are. A run's p-value is the chance that a decoy of its band and
 encoding comes as near; within each band, Benjamini and Hochberg's step-up rule
 over all runs bounds the share of false discoveries. A run of letters alone is
 tested against decoys of letters alone, so only a long one can be found.
+
+The values that the patterns found are tested too, as families of their own: were
+they tested with the other runs, some hundred plain discoveries among them would
+let dozens of words in as false ones. Their verdicts only tell keys from
+placeholders; their spans stay.
 """
 
 from __future__ import annotations
@@ -181,47 +186,74 @@ def null_chances(tested: DataFrame) -> DataFrame:
 
 
 def step_up(tested: DataFrame, false_share: float) -> DataFrame:
-    """(band, cutoff): the largest bound of p at which the false discoveries expected are at most the share of those made."""
+    """(added, band, cutoff): for each family and band the largest bound of p at which the false discoveries expected are at most the share of those made."""
     made = [F.sum(F.when(F.col("p") <= c, 1).otherwise(0)) for c in CUTOFFS]
-    sums = tested.groupBy("band").agg(F.count("*").alias("m"), F.array(*[F.struct(F.lit(c).alias("c"), r.alias("r")) for c, r in zip(CUTOFFS, made, strict=True)]).alias("tried"))
+    sums = tested.groupBy("added", "band").agg(F.count("*").alias("m"), F.array(*[F.struct(F.lit(c).alias("c"), r.alias("r")) for c, r in zip(CUTOFFS, made, strict=True)]).alias("tried"))
     good = F.filter("tried", lambda t: (t["r"] > 0) & (F.col("m") * t["c"] <= false_share * t["r"]))
-    return sums.select("band", F.array_max(F.transform(good, lambda t: t["c"])).alias("cutoff"))
+    return sums.select("added", "band", F.array_max(F.transform(good, lambda t: t["c"])).alias("cutoff"))
 
 
-def scan(df: DataFrame, key: str = "doc_id", text: str = "text", false_share: float = 0.05) -> DataFrame:
-    """doc_id, text_hash, base and spans, array<struct<start, rank, stop, kind>> in order, of every row.
+def _uncovered(run: Column, spans: str, least: int) -> Column:
+    """The parts of a run that no span touches, of so many characters or more, as array<struct<start, stop, value>>; spans are in order."""
+    over = F.filter(spans, lambda b: (b["start"] < run["stop"]) & (run["start"] < b["stop"]))
+    kind = "struct<start:int,stop:int,value:string>"
+    begin = F.struct(run["start"].alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+
+    def part(at: Column, stop: Column) -> Column:
+        value = F.substring(run["value"], at - run["start"] + 1, stop - at)
+        return F.when(stop - at >= least, F.array(F.struct(at.alias("start"), stop.alias("stop"), value.alias("value")).cast(kind))).otherwise(F.array().cast(f"array<{kind}>"))
+
+    def step(state: Column, b: Column) -> Column:
+        return F.struct(F.greatest(state["at"], b["stop"]).alias("at"), F.concat(state["out"], part(state["at"], b["start"])).alias("out"))
+
+    return F.aggregate(over, begin, step, lambda s: F.concat(s["out"], part(s["at"], run["stop"])))
 
-    Positions are code points, the end is exclusive. base holds the spans of the
-    patterns; spans adds those of the battery, none of which touches a base span.
-    A text of null or the empty text has no spans; repeated rows get a row each;
-    no rows give no rows. Other columns aren't looked at.
+
+def scan(df: DataFrame, key: str = "doc_id", text: str = "text", false_share: float = 0.05) -> DataFrame:
+    """doc_id, text_hash, base, spans and verdicts of every row.
+
+    base and spans are array<struct<start, rank, stop, kind>> in order, positions
+    code points, the end exclusive. base holds the spans of the patterns; spans adds
+    those of the battery, none of which touches a base span: where a run does, what
+    is left of it is tested. verdicts, array<struct<start, rank, stop, kind, p,
+    random>>, has those base spans whose value (dots left out) has as many characters
+    as the battery needs, and whether it is random; of overlapping ones each is
+    tested. A text of null or the empty text has no spans; repeated rows get a row
+    each; no rows give no rows. Other columns aren't looked at.
     """
     clean = F.translate(F.coalesce(F.col(text), F.lit("")), _OPEN + _CLOSE, _OTHER)
     raw = df.select(F.col(key).alias("doc_id"), F.monotonically_increasing_id().alias("rid"), F.xxhash64(text).alias("text_hash"), clean.alias("t"))
     raw = raw.select("doc_id", "rid", "text_hash", _found(F.col("t"), ASSIGN).alias("assign"), _found(F.col("t"), ACCESS).alias("access"), _found(F.col("t"), HEX).alias("hex"), _found(F.col("t"), TOKEN).alias("tokens"), decoy(F.col("t")).alias("decoy"))
-
-    def named(column: str, kind: str, ok=None) -> Column:  # noqa: ANN001
-        kept = F.filter(column, ok) if ok else F.col(column)
-        return F.transform(kept, lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), s["stop"].alias("stop"), F.lit(kind).alias("kind")))
-
-    long_enough = lambda s: F.length(F.regexp_extract(s["value"], ASSIGN, 2)) >= 12
-    base = F.array_sort(F.concat(named("assign", "assign", long_enough), named("access", "access"), named("hex", "hex")))
-    rows = raw.select("doc_id", "rid", "text_hash", base.alias("base"), "tokens", "decoy")
-    apart = F.filter("tokens", lambda s: ~F.exists("base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
-    rows = materialise(rows.select("doc_id", "rid", "text_hash", "base", apart.alias("tokens"), "decoy"), "scan")
-
-    tokens = rows.select("rid", F.explode("tokens").alias("s")).select("rid", F.col("s.start").alias("start"), F.col("s.stop").alias("stop"), F.col("s.value").alias("value"), F.lit(False).alias("decoy"))
-    made = rows.where("decoy IS NOT NULL").select("rid", F.lit(0).alias("start"), F.lit(0).alias("stop"), F.col("decoy").alias("value"), F.lit(True).alias("decoy"))
-    tested = tokens.unionByName(made).withColumn("band", _band(F.length("value")))
+    secret = lambda s: F.regexp_extract(s["value"], ASSIGN, 2)
+
+    def named(column: str, value=None) -> Column:  # noqa: ANN001
+        kept = F.filter(column, lambda s: F.length(secret(s)) >= 12) if column == "assign" else F.col(column)
+        return F.transform(kept, lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index(column)).alias("rank"), s["stop"].alias("stop"), (value(s).alias("value") if value else F.lit(column).alias("kind"))))
+
+    base = F.array_sort(F.concat(*[named(k) for k in KINDS[:3]]))
+    values = F.concat(named("assign", lambda s: F.replace(secret(s), F.lit("."), F.lit(""))), named("access", lambda s: s["value"]), named("hex", lambda s: s["value"]))
+    values = F.filter(values, lambda s: F.length(s["value"]) >= BANDS[0])
+    rows = raw.select("doc_id", "rid", "text_hash", base.alias("base"), values.alias("values"), "tokens", "decoy")
+    apart = F.flatten(F.transform("tokens", lambda s: _uncovered(s, "base", BANDS[0])))
+    rows = materialise(rows.select("doc_id", "rid", "text_hash", "base", "values", apart.alias("tokens"), "decoy"), "scan")
+
+    at = lambda column, rank: rows.select("rid", F.explode(column).alias("s")).select("rid", "s.start", rank, "s.stop", "s.value", F.lit(False).alias("decoy"))
+    added = F.lit(KINDS.index("random")).alias("rank")
+    made = rows.where("decoy IS NOT NULL").select("rid", F.lit(0).alias("start"), added, F.lit(0).alias("stop"), F.col("decoy").alias("value"), F.lit(True).alias("decoy"))
+    tested = at("tokens", added).unionByName(at("values", F.col("s.rank"))).unionByName(made).withColumn("band", _band(F.length("value")))
     for name, column in battery().items():
         tested = tested.withColumn(name, column)
-    tested = materialise(tested.select("rid", "start", "stop", "band", "decoy", "encoding", "evidence"), "tested")
+    tested = tested.withColumn("added", F.col("rank") == KINDS.index("random"))
+    tested = materialise(tested.select("rid", "start", "rank", "stop", "added", "band", "decoy", "encoding", "evidence"), "tested")
     judged = null_chances(tested)
-    chosen = judged.join(F.broadcast(step_up(judged, false_share)), "band").where("p <= cutoff")  # a row for each band
-    span = F.struct(F.col("start"), F.lit(KINDS.index("random")).alias("rank"), F.col("stop"), F.lit("random").alias("kind"))
-    more = chosen.groupBy("rid").agg(F.collect_list(span).alias("more"))
-    none = F.array().cast("array<struct<start:int,rank:int,stop:int,kind:string>>")
-    return rows.join(more, "rid", "left").select("doc_id", "text_hash", "base", F.array_sort(F.concat("base", F.coalesce("more", none))).alias("spans"))
+    judged = judged.join(F.broadcast(step_up(judged, false_share)), ["added", "band"])  # a row for each band of the two families
+    judged = judged.withColumn("random", F.coalesce(F.col("p") <= F.col("cutoff"), F.lit(False))).where("random OR NOT added")
+    kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("rank") + 1).alias("kind")
+    span, verdict = F.struct("start", "rank", "stop", kind), F.struct("start", "rank", "stop", kind, "p", "random")
+    more = judged.groupBy("rid").agg(F.collect_list(F.when(F.col("added"), span)).alias("more"), F.array_sort(F.collect_list(F.when(~F.col("added"), verdict))).alias("verdicts"))
+    none = lambda more: F.array().cast(f"array<struct<start:int,rank:int,stop:int,kind:string{more}>>")
+    spans = F.array_sort(F.concat("base", F.coalesce("more", none(""))))
+    return rows.join(more, "rid", "left").select("doc_id", "text_hash", "base", spans.alias("spans"), F.coalesce("verdicts", none(",p:double,random:boolean")).alias("verdicts"))
 
 
 def spelled(spans: str) -> Column:

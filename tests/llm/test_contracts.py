@@ -137,28 +137,60 @@ def test_planted_keys_are_found(spark, many):
         kind, e = plain_evidence(d)
         seen[kind, band(d)].append(math.log(max(e, 1e-3)))
     tested = []
+
+    def test(i, family, value, start, stop):
+        kind, e = plain_evidence(value)
+        b, ln = band(value), math.log(max(e, 1e-3))
+        known, k0 = seen[kind, b], secrets.PRIOR_COUNT
+        n, prior = len(known) + k0, secrets.PRIOR_MEAN[b]
+        mean = (sum(known) + k0 * prior) / n
+        spread = math.sqrt(max((sum(v * v for v in known) + k0 * (secrets.PRIOR_SPREAD**2 + prior**2)) / n - mean**2, 1e-4))
+        z = max(-30, min(30, (mean - ln) / spread))
+        g = 1.5976 * z + 0.07056 * z**3
+        near = sum(math.floor(v / secrets.CELL) <= math.floor(ln / secrets.CELL) for v in known) / n
+        tested.append((i, start, stop, (family, b), max(math.exp(-(max(g, 0) + math.log1p(math.exp(-abs(g))))), near)))
+
     for i, t in texts.items():
-        spans = [tuple(map(int, s.split(":")[1:])) for s in brute_spans(t)]
-        for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", t):
-            if not any(a < m.end() and m.start() < b for a, b in spans):
-                kind, e = plain_evidence(m[0])
-                b, ln = band(m[0]), math.log(max(e, 1e-3))
-                known, k0 = seen[kind, b], secrets.PRIOR_COUNT
-                n, prior = len(known) + k0, secrets.PRIOR_MEAN[b]
-                mean = (sum(known) + k0 * prior) / n
-                spread = math.sqrt(max((sum(v * v for v in known) + k0 * (secrets.PRIOR_SPREAD**2 + prior**2)) / n - mean**2, 1e-4))
-                z = max(-30, min(30, (mean - ln) / spread))
-                g = 1.5976 * z + 0.07056 * z**3
-                near = sum(math.floor(v / secrets.CELL) <= math.floor(ln / secrets.CELL) for v in known) / n
-                tested.append((i, m.start(), m.end(), b, max(math.exp(-(max(g, 0) + math.log1p(math.exp(-abs(g))))), near)))
-    want = defaultdict(list)
-    for b in range(len(secrets.BANDS)):
-        own = [t for t in tested if t[3] == b]
-        cut = [c for c in secrets.CUTOFFS if (r := sum(t[4] <= c for t in own)) and len(own) * c <= 0.05 * r]
-        for i, start, stop, _, p in own:
-            if cut and p <= max(cut):
-                want[i].append((start, stop))
+        free = list(t or "")
+        for name, start, stop in [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in brute_spans(t))]:
+            free[start:stop] = " " * (stop - start)
+            value = t[start:stop]
+            if name == "assign":
+                value = re.search(r"[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)$", value)[1].replace(".", "")
+            if len(value) >= 20:
+                test(i, name, value, start, stop)
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", "".join(free)):
+            test(i, "random", m[0], m.start(), m.end())
+    want, base, listed = defaultdict(list), defaultdict(set), defaultdict(dict)
+    for added in (True, False):
+        for b in range(len(secrets.BANDS)):
+            own = [t for t in tested if t[3][1] == b and (t[3][0] == "random") == added]
+            cut = [c for c in secrets.CUTOFFS if (r := sum(t[4] <= c for t in own)) and len(own) * c <= 0.05 * r]
+            for i, start, stop, (name, _), p in own:
+                found = bool(cut) and p <= max(cut)
+                if added and found:
+                    want[i].append((start, stop))
+                elif not added:
+                    listed[i][start, stop, name] = (p, found)
     assert {i: [tuple(map(int, s.split(":")[1:])) for s in v.split(",") if s.startswith("random")] for i, v in got.items()} == {i: sorted(v) for i, v in want.items()}
+    told = {r.doc_id: {(v.start, v.stop, v.kind): (v.p, v.random) for v in r.verdicts} for r in secrets.scan(df).where("size(verdicts) > 0").collect()}
+    assert told.keys() == listed.keys() and any(found for rows in listed.values() for _, found in rows.values())
+    for i, rows in listed.items():
+        assert told[i].keys() == rows.keys()
+        assert all(told[i][k][1] == found and math.isclose(told[i][k][0], p, rel_tol=1e-5) for k, (p, found) in rows.items())
+
+
+def test_values_of_patterns_are_tested(spark):
+    """Keys and placeholders in assignments: both stay, the verdict tells them apart; what is left of a run beside a base span is a run."""
+    keys = tokens_of("base64", 40, 30, 5)
+    rows = [(i, f"password={k}") for i, k in enumerate(keys)] + [(100 + i, f"token: {w}") for i, w in enumerate(["the-name-of-the-key-goes-here", "put.your.own.value.into.this", "short-secret"])]
+    left = "".join(tokens_of("base64", 70, 1, 6))
+    rows.append((200, left + "/password=abcdefghijkl"))
+    got = {r.doc_id: r for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(len(got[i].base) == 1 for i in got)
+    assert sum(got[i].verdicts[0].random for i in range(30)) >= 27 and not any(v.random for i in (100, 101) for v in got[i].verdicts)
+    assert got[102].verdicts == [] and got[200].verdicts == []
+    assert [(s.start, s.stop, s.kind) for s in got[200].spans] == [(0, 71, "random"), (71, 92, "assign")]
 
 
 def test_secrets_redacted(odd):
