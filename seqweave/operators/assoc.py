@@ -128,12 +128,20 @@ def concordance(seq: DataFrame, query: str, width: int = 5) -> DataFrame:
 
 
 @null_strata
-def context_vectors(seq: DataFrame, by: list[str], window: int = 1, min_freq: int = 1) -> DataFrame:
-    """Sparse vectors (sym, feature, w): left and right neighbours at each distance up to the window."""
+def context_vectors(seq: DataFrame, by: list[str], window: int = 1, min_freq: int = 1, places: bool = False) -> DataFrame:
+    """Sparse vectors (sym, feature, w): left and right neighbours at each distance up to the window.
+
+    With places, also how often a symbol stands first, last or between; the only one
+    of a sequence is first and last. Symbols without neighbours have those alone.
+    """
     s, out = seq.select(*by, "symbols"), None
     for lag in range(1, window + 1):
         p = bigrams(s, lag).select(*by, F.explode(F.array(F.struct(F.col("a").alias("sym"), F.concat(F.lit("R:"), "b").alias("feature")), F.struct(F.col("b").alias("sym"), F.concat(F.lit("L:"), "a").alias("feature")))).alias("p")).select(*by, "p.*")
         out = p if out is None else out.unionByName(p)
+    if places:
+        first, last = F.col("pos") == 0, F.col("pos") == F.col("len") - 1
+        at = F.array_compact(F.array(F.when(first, F.lit("P:initial")), F.when(last, F.lit("P:terminal")), F.when(~first & ~last, F.lit("P:medial"))))
+        out = out.unionByName(tokens(s).select(*by, "sym", F.explode(at).alias("feature")))
     v = out.groupBy(*by, "sym", "feature").agg(F.count("*").alias("w"))
     if min_freq > 1:
         v = v.join(symbol_counts(seq, by).where(F.col("cnt") >= min_freq).select(*by, "sym"), [*by, "sym"], "left_semi")

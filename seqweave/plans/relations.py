@@ -104,6 +104,15 @@ def _(spark, sf):  # noqa: ANN001, ANN202
     return _rounded(a.cosine_pairs(a.context_vectors(orders(spark, sf), SEG), SEG).select("segment", "x", "y", "dot", "cosine"), "cosine")
 
 
+PLACES = f"{VEC.removesuffix(', v AS (SELECT segment, sym, feature, count(*) AS w FROM f GROUP BY ALL)')}, ln AS (SELECT seq_id, len(symbols) AS n FROM orders_seq), pl AS (SELECT segment, sym, unnest(list_filter([CASE WHEN pos = 0 THEN 'P:initial' END, CASE WHEN pos = n - 1 THEN 'P:terminal' END, CASE WHEN pos > 0 AND pos < n - 1 THEN 'P:medial' END], lambda x: x IS NOT NULL)) AS feature FROM tok JOIN ln USING (seq_id)), v AS (SELECT segment, sym, feature, count(*) AS w FROM (SELECT segment, sym, feature FROM f UNION ALL SELECT segment, sym, feature FROM pl) WHERE (segment, sym) IN (SELECT (segment, sym) FROM tok GROUP BY segment, sym HAVING count(*) >= 3) GROUP BY ALL)"
+
+
+@query("net_15_pairs_with_places", f"{COS.replace(VEC, PLACES)} SELECT segment, x, y, dot, round(cosine, 6) AS cosine FROM cs WHERE cosine > 0.1")
+def _(spark, sf):  # noqa: ANN001, ANN202
+    v = a.context_vectors(orders(spark, sf), SEG, min_freq=3, places=True)
+    return _rounded(a.cosine_pairs(v, SEG).select("segment", "x", "y", "dot", "cosine"), "cosine")
+
+
 @query("net_16_threshold_clusters", f"""WITH RECURSIVE {VEC.removeprefix('WITH ')}, va AS (SELECT sym, feature, sum(w) AS w FROM v GROUP BY ALL), na AS (SELECT sym, sqrt(sum(w * w)) AS norm FROM va GROUP BY ALL), ca AS (SELECT x.sym AS x, y.sym AS y, sum(x.w * y.w) / (any_value(p.norm) * any_value(q.norm)) AS cosine FROM va x JOIN va y ON x.feature = y.feature AND x.sym < y.sym JOIN na p ON p.sym = x.sym JOIN na q ON q.sym = y.sym GROUP BY x.sym, y.sym), ed AS (SELECT x, y FROM ca WHERE cosine > 0.85), eb AS (SELECT x, y FROM ed UNION SELECT y, x FROM ed), nd AS (SELECT DISTINCT sym FROM tok),
 reach(x, y) AS (SELECT sym, sym FROM nd UNION SELECT r.x, eb.y FROM reach r JOIN eb ON r.y = eb.x) SELECT x AS sym, min(y) AS cluster FROM reach GROUP BY x""")
 def _(spark, sf):  # noqa: ANN001, ANN202

@@ -206,3 +206,12 @@ def test_stream_model(spark):
     seq = spark.createDataFrame([(1, list("ab")), (2, ["c"]), (3, list("ab"))], "seq_id long, symbols array<string>")
     got = {(x.n, x.gram): x.p for x in lm.stream_model(seq, []).collect()}
     assert got[2, "a b"] == 0.5 and got[2, "b c"] == 0.25 and round(got[3, "b c a"], 9) == round(1 / 3, 9)
+
+
+def test_places_in_context_vectors(spark):
+    """The only symbol of a sequence is first and last; empty and null sequences have none."""
+    from seqweave.operators import assoc
+
+    x = spark.createDataFrame([(1, ["A", "B", "C", "B"]), (2, ["A"]), (3, []), (4, None)], "seq_id long, symbols array<string>")
+    got = {(r.sym, r.feature): r.w for r in assoc.context_vectors(x, [], places=True).collect() if r.feature.startswith("P:")}
+    assert got == {("A", "P:initial"): 2, ("A", "P:terminal"): 1, ("B", "P:medial"): 1, ("C", "P:medial"): 1, ("B", "P:terminal"): 1}
