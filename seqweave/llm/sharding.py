@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from seqweave.llm.common import materialise, shuffle_partitions
 
+#: Steps that every key takes; about ln(shards) are needed.
+STEPS = 64
 #: Fixed value: the multiplier of the published generator, in 32-bit and 16-bit limbs.
 MULTIPLIER = 2862933555777941757
 _HIGH, _LOW = MULTIPLIER >> 32, MULTIPLIER & 0xFFFFFFFF
@@ -32,7 +34,11 @@ def _next_state(high: Column, low: Column) -> tuple[Column, Column]:
 
 
 def jump_hash(key: Column, shards: int) -> Column:
-    """struct(shard, grown_shard): the key's shard of `shards` and of `shards + 1`."""
+    """struct(shard, grown_shard): the key's shard of `shards` and of `shards + 1`.
+
+    Of the `shards` steps that a key could take, STEPS are written out for all; a key
+    that isn't through by then, hardly ever one, goes on alone.
+    """
     start = F.struct(
         F.shiftrightunsigned(key, 32).alias("high"), key.bitwiseAND(F.lit(_MASK)).alias("low"),
         F.lit(-1).cast("long").alias("at"), F.lit(0).cast("long").alias("next"),
@@ -49,7 +55,11 @@ def jump_hash(key: Column, shards: int) -> Column:
         grown = F.when(state["next"] == shards, F.lit(shards)).otherwise(state["at"])
         return F.struct(state["at"].cast("int").alias("shard"), grown.cast("int").alias("grown_shard"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(shards)), start, step, done)
+    if shards <= STEPS:
+        return F.aggregate(F.sequence(F.lit(1), F.lit(shards)), start, step, done)
+    rest = lambda s: F.when(s["next"] < shards, F.sequence(F.lit(STEPS + 1), F.lit(shards))).otherwise(F.array().cast("array<int>"))
+    begun = F.array(F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, step))  # in an array, so that it is made once
+    return F.get(F.transform(begun, lambda s: F.aggregate(rest(s), s, step, done)), F.lit(0))
 
 
 def shard(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int = 40, overhead: int = 16) -> DataFrame:

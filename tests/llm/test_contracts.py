@@ -752,6 +752,15 @@ def test_terms_of_pairs_are_selected():
     assert 0 < len(want) < 300 and set(toxicity.partners(rows, rest, 0.03, block=64).tolist()) == want
 
 
+def test_jump_beyond_the_first_steps(spark, monkeypatch):
+    """Keys that aren't through after the steps for all go on: the same shards with 2 steps as with 64."""
+    keys = list(range(-300, 300))
+    df = spark.createDataFrame([(k,) for k in keys], "k long")
+    monkeypatch.setattr(sharding, "STEPS", 2)
+    got = {r.k: (r.j.shard, r.j.grown_shard) for r in df.select("k", sharding.jump_hash(F.col("k"), 500).alias("j")).collect()}
+    assert got == {k: (jump(k, 500), jump(k, 501)) for k in keys}
+
+
 def test_sharding_of_names(spark):
     df = spark.createDataFrame([("a", "x"), ("b", None), (None, "y"), ("a", "x")], "doc_id string, text string")
     rows = sharding.shard(df).collect()
