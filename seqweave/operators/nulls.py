@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqweave.functions.exprs import hash_rank, tokens
+from seqweave.functions.exprs import hash_rank, join_ranks, tokens
 from seqweave.functions.tables import written
 from seqweave.operators.resampling import replicated
 from seqweave.operators.transforms import hashed, shuffle_within
@@ -113,7 +113,7 @@ def assignment_test(scores: DataFrame, stratum: str, seed: str, reps: int = 20)
     keyed = lambda kind: hashed(seed, kind, *[F.col(c) for c in ("rep", "stratum", "x", "y")])
     places = hash_rank(x.withColumn("h", keyed("pair")), "h", by).select(*by, "x", "y", "rank")
     dealt = hash_rank(x.withColumn("h", keyed("score")), "h", by).select(*by, "score", "rank")
-    both = replicated(pairs, 0).select(*by, "x", "y", "score").unionByName(places.join(dealt, [*by, "rank"]).select(*by, "x", "y", "score"))
+    both = replicated(pairs, 0).select(*by, "x", "y", "score").unionByName(join_ranks(places, dealt, by).select(*by, "x", "y", "score"))
     totals = one_to_one(both, by).groupBy(*by).agg(F.sum("score").alias("value"))
     return tested(totals, ["stratum"], reps)
 

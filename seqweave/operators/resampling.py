@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqweave.functions.exprs import hash_rank, join_small, null_strata
+from seqweave.functions.exprs import hash_rank, join_ranks, join_small, null_strata
 from seqweave.operators import assoc, compare
 from seqweave.operators.transforms import hashed
 from seqweave.operators.zones import shuffle_globally
@@ -61,7 +61,7 @@ def readout_test(names: DataFrame, objects: DataFrame, stratum: str, seed: str,
     by = ["rep", "stratum"]
     left = hash_rank(x.withColumn("h", hashed(seed, "a", *[F.col(c) for c in ("rep", "stratum", "kind", "id")])), "h", by).select(*by, "kind", "rank")
     right = hash_rank(x.withColumn("h", hashed(seed, "b", *[F.col(c) for c in ("rep", "stratum", "kind", "id")])), "h", by).select(*by, "len", "rank")
-    both = pool.select(F.lit(0).alias("rep"), "stratum", "kind", "len").unionByName(left.join(right, [*by, "rank"]).select(*by, "kind", "len"))
+    both = pool.select(F.lit(0).alias("rep"), "stratum", "kind", "len").unionByName(join_ranks(left, right, by).select(*by, "kind", "len"))
     c = both.groupBy(*by, "kind", "len").agg(F.count("*").alias("n"))
     met = c.where("kind = 'n'").withColumn("other", F.explode(F.sequence(F.col("len") - reach + 1, F.col("len") + reach - 1)))
     best = met.join(c.where("kind = 'o'").select(*by, F.col("len").alias("other")), [*by, "other"]).groupBy(*by, "len", "n").agg(F.max(1 - F.abs(F.col("len") - F.col("other")) / reach).alias("score"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqweave.functions.exprs import bigrams, hash_rank
+from seqweave.functions.exprs import bigrams, hash_rank, join_ranks
 from seqweave.functions.tables import written
 from seqweave.operators.transforms import shuffle_within
 
@@ -57,7 +57,7 @@ def permuted(s: DataFrame, seed: str, reps: int) -> DataFrame:
     x = s.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
     left = hash_rank(x.select("rep", "seq_id", "symbols", _key(seed, "a").alias("k")), "k", ["rep"]).select("rep", "seq_id", "symbols", "rank")
     right = hash_rank(x.select("rep", "seq_id", "ctx", _key(seed, "b").alias("k")), "k", ["rep"]).select("rep", "ctx", "rank")
-    return left.join(right, ["rep", "rank"]).select("rep", "seq_id", "ctx", "symbols")
+    return join_ranks(left, right, ["rep"]).select("rep", "seq_id", "ctx", "symbols")
 
 
 def bootstrap_mean(values: DataFrame, value: str, key: str, by: list[str], seed: str, reps: int = 100) -> DataFrame:

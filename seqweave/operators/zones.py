@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqweave.functions.exprs import hash_rank, join_small, tokens, top_per
+from seqweave.functions.exprs import hash_rank, join_ranks, join_small, tokens, top_per
 from seqweave.operators import assoc, compare
 from seqweave.operators import measures as m
 from seqweave.operators import positions as p
@@ -18,7 +18,7 @@ def shuffle_globally(seq: DataFrame, seed: str, by: list[str]) -> DataFrame:
     t = tokens(seq.select("seq_id", *by, "symbols"))
     left = hash_rank(t.select(*by, "sym", hashed(seed, "token", F.col("seq_id"), F.col("pos")).alias("h")), "h", by).select(*by, "sym", "rank")
     right = hash_rank(t.select(*by, "seq_id", "pos", hashed(seed, "place", F.col("seq_id"), F.col("pos")).alias("h")), "h", by).select(*by, "seq_id", "pos", "rank")
-    x = right.join(left, [*by, "rank"]).groupBy("seq_id").agg(F.array_sort(F.collect_list(F.struct("pos", "sym"))).alias("x"))
+    x = join_ranks(right, left, by).groupBy("seq_id").agg(F.array_sort(F.collect_list(F.struct("pos", "sym"))).alias("x"))
     return seq.drop("symbols").join(x.select("seq_id", F.col("x.sym").alias("symbols")), "seq_id")
 
 
