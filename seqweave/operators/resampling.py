@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqweave.functions.exprs import hash_rank, join_ranks, join_small, null_strata
+from seqweave.functions.tables import written
 from seqweave.operators import assoc, compare
 from seqweave.operators.transforms import hashed
 from seqweave.operators.zones import shuffle_globally
@@ -14,10 +17,30 @@ from seqweave.operators.zones import shuffle_globally
 POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]
 
 
-def poisson_weight(seed: str, *keys: Column) -> Column:
-    """How often a row is drawn in a replicate: Poisson(1) inverted at the md5 of seed and keys."""
-    u = F.conv(F.substring(hashed(seed, *keys), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    return sum((F.when(u >= c, 1).otherwise(0) for c in POISSON), F.lit(0))
+#: Replicates whose weights one row holds as columns.
+WIDTH = 8
+
+
+def _steps(h: Column) -> Column:
+    """Poisson(1) inverted at 8 hexadecimal digits, which are compared with those of the least number that reaches each step."""
+    return sum((F.when(h >= f"{math.ceil(c * (1 << 32)):08x}", 1).otherwise(0) for c in POISSON), F.lit(0))
+
+
+def weighted_counts(seq: DataFrame, by: list[str], seed: str, reps: int) -> DataFrame:
+    """(rep, by, sym, cnt): counts of symbols, 0 as observed and from 1 on in resampled sequences.
+
+    A token isn't repeated for each replicate: a row holds WIDTH weights, which are summed up beside each other.
+    Hashes come out of a generator, so that the steps compare them without making them anew.
+    """
+    base = F.explode(F.sequence(F.lit(0), F.lit(reps), F.lit(WIDTH))).alias("base")
+    rep = lambda j: F.col("base") + j
+    digits = F.inline(F.array(F.struct(*[F.substring(hashed(seed, rep(j), F.col("seq_id")), 1, 8).alias(f"h{j}") for j in range(WIDTH)])))
+    x = seq.select("seq_id", *by, "symbols", base).select("base", *by, "symbols", digits)
+    weight = lambda j: F.when(rep(j) == 0, 1).when(rep(j) > reps, 0).otherwise(_steps(F.col(f"h{j}"))).alias(f"w{j}")
+    w = x.select("base", *by, "symbols", *[weight(j) for j in range(WIDTH)]).select("base", *by, *[f"w{j}" for j in range(WIDTH)], F.explode("symbols").alias("sym"))
+    g = w.groupBy("base", *by, "sym").agg(*[F.sum(f"w{j}").alias(f"w{j}") for j in range(WIDTH)])
+    each = F.explode(F.array(*[F.struct(rep(j).alias("rep"), F.col(f"w{j}").alias("cnt")) for j in range(WIDTH)]))
+    return g.select(*by, "sym", each.alias("e")).select("e.rep", *by, "sym", "e.cnt").where("cnt > 0")
 
 
 def replicated(df: DataFrame, reps: int, least: int = 0) -> DataFrame:
@@ -27,9 +50,7 @@ def replicated(df: DataFrame, reps: int, least: int = 0) -> DataFrame:
 
 def divergence_bootstrap(seq: DataFrame, site: str, seed: str, reps: int = 200, smoothing: float = 1.0, robust: float = 0.3, supported: float = 0.1) -> DataFrame:
     """Symmetric KL (bits) of each pair of sites with the 95 % interval of resampled sequences, and a verdict by its lower bound."""
-    x = replicated(seq.select("seq_id", site, "symbols"), reps)
-    x = x.withColumn("w", F.when(F.col("rep") == 0, 1).otherwise(poisson_weight(seed, F.col("rep"), F.col("seq_id")))).where("w > 0")
-    counts = x.select("rep", site, "w", F.explode("symbols").alias("sym")).groupBy("rep", site, "sym").agg(F.sum("w").alias("cnt"))
+    counts = written(weighted_counts(seq, [site], seed, reps), "counts")
     d = compare.divergences(compare.stratum_pairs(counts, site, ["rep"]), smoothing).select("rep", "x", "y", ((F.col("kl") + F.col("kl_back")) / 2).alias("kl"))
     null = F.when(F.col("rep") > 0, F.col("kl"))
     g = d.groupBy("x", "y").agg(F.max(F.when(F.col("rep") == 0, F.col("kl"))).alias("kl"), F.avg(null).alias("mean"), F.percentile(null, 0.025).alias("low"), F.percentile(null, 0.975).alias("high"))
