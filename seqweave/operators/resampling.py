@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqweave.functions.exprs import hash_rank, join_ranks, join_small, null_strata
+from seqweave.functions.exprs import join_small, null_strata
 from seqweave.functions.tables import written
 from seqweave.operators import assoc, compare
 from seqweave.operators.transforms import hashed
@@ -67,6 +68,103 @@ def gap_null(seq: DataFrame, by: list[str], seed: str, reps: int = 20, vocab: in
     return g.select(*by, "gap", ((F.col("over") + 1) / (F.col("n") + 1)).alias("p"), "null_mean", "null_p05", "null_p95")
 
 
+#: Rows that are hashed at a time, and ranks that are compared at a time.
+CHUNK, RANKS = 1 << 18, 1 << 16
+#: How kinds and lengths are stored, and what stands for a length of null.
+KINDS, STORED, NO_LEN = ("n", "o"), {"a": "u1", "b": "<i4"}, -(1 << 31)
+
+
+def _in_hash_order(pool: DataFrame, seed: str, reps: int, width: int) -> DataFrame:
+    """(rep, stratum, side, cell, n, ties, items): kinds (side a) and lengths (side b) of pool (stratum, tail, kind, len) in the order of the md5 of seed, side, replicate and tail.
+
+    A cell holds hashes of one first byte. Rows travel packed by chunk and cell, with so many
+    more bytes of their hash; ties tells whether these left an order open.
+    """
+
+    def keyed(batches: Iterator) -> Iterator:  # of Arrow batches
+        from hashlib import md5
+
+        import numpy as np
+        import pyarrow as pa
+
+        def packed(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            names, of = np.unique(np.array(rows["stratum"].to_pylist(), object), return_inverse=True)
+            tails = np.array([x.encode() for x in rows["tail"].to_pylist()], object)
+            items = {side: rows[c].to_numpy().astype(STORED[side]) for side, c in (("a", "kind"), ("b", "len"))}
+            for s, name in enumerate(names):
+                mine = np.flatnonzero(of == s)
+                own = tails[mine].tolist()
+                for rep in range(1, reps + 1):
+                    for side, values in items.items():
+                        start = f"{seed}|{side}|{rep}|".encode()
+                        d = np.frombuffer(b"".join([md5(start + x).digest() for x in own]), np.uint8).reshape(-1, 16)
+                        order = np.argsort(d[:, 0], kind="stable")
+                        d, v = d[order], values[mine[order]]
+                        cells, at = np.unique(d[:, 0], return_index=True)
+                        ends = [*at[1:].tolist(), len(d)]
+                        keys = [d[i:j, 1 : 1 + width].tobytes() for i, j in zip(at.tolist(), ends, strict=True)]
+                        vals = [v[i:j].tobytes() for i, j in zip(at.tolist(), ends, strict=True)]
+                        k = len(cells)
+                        yield pa.RecordBatch.from_arrays([pa.array([rep] * k, pa.int32()), pa.array([name] * k, pa.string()), pa.array([side] * k, pa.string()), pa.array(cells.astype(np.int32)), pa.array(keys, pa.binary()), pa.array(vals, pa.binary())], ["rep", "stratum", "side", "cell", "keys", "items"])
+
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= CHUNK:
+                yield from packed(pa.Table.from_batches(held))
+                held, n = [], 0
+        if n:
+            yield from packed(pa.Table.from_batches(held))
+
+    def merged(rows):  # noqa: ANN001, ANN202
+        import numpy as np
+        import pyarrow as pa
+
+        side = rows["side"][0].as_py()
+        keys = np.frombuffer(b"".join(rows["keys"].to_pylist()), np.uint8).reshape(-1, width)
+        both = np.ascontiguousarray(np.pad(keys, ((0, 0), (0, 16 - width)))).view(">u8")
+        order = np.lexsort((both[:, 1], both[:, 0])) if width > 8 else np.argsort(both[:, 0])
+        both = both[order]
+        ties = bool((both[1:] == both[:-1]).all(axis=1).any())
+        items = np.frombuffer(b"".join(rows["items"].to_pylist()), STORED[side])[order].tobytes()
+        return pa.table({**{c: rows[c][:1] for c in ("rep", "stratum", "side", "cell")}, "n": pa.array([len(order)], pa.int64()), "ties": [ties], "items": pa.array([items], pa.binary())})
+
+    rows = pool.mapInArrow(keyed, "rep int, stratum string, side string, cell int, keys binary, items binary")
+    return written(rows.groupBy("rep", "stratum", "side", "cell").applyInArrow(merged, "rep int, stratum string, side string, cell int, n long, ties boolean, items binary"), "cells")
+
+
+def dealt_lengths(pool: DataFrame, seed: str, reps: int) -> DataFrame:
+    """(rep, stratum, kind, len, n): in each replicate, the i-th kind of a stratum in one hash order has the i-th length in another; counted.
+
+    pool (stratum, tail, kind, len); tail is what the hash is of. 72 bits of hashes are compared; should two be equal, all 128.
+    """
+    coded = pool.select("stratum", "tail", F.when(F.col("kind") == KINDS[0], 0).otherwise(1).alias("kind"), F.coalesce("len", F.lit(NO_LEN)).alias("len"))
+    cells = _in_hash_order(coded, seed, reps, 8)
+    if not cells.where("ties").isEmpty():
+        cells = _in_hash_order(coded, seed, reps, 15)
+    keys = ["rep", "stratum", "side"]
+    before = F.sum("n").over(Window.partitionBy(*keys).orderBy("cell")) - F.col("n")
+    x = join_small(cells.drop("ties"), cells.select(*keys, "cell", before.alias("first")), [*keys, "cell"], "inner")
+    x = x.withColumn("block", F.explode(F.sequence(F.expr(f"first DIV {RANKS}"), F.expr(f"(first + n - 1) DIV {RANKS}"))))
+    low, high = F.greatest("first", F.col("block") * RANKS), F.least(F.col("first") + F.col("n"), (F.col("block") + 1) * RANKS)
+    size = F.when(F.col("side") == "a", 1).otherwise(4)
+    piece = F.substring("items", ((low - F.col("first")) * size + 1).cast("int"), ((high - low) * size).cast("int"))
+
+    def counted(rows):  # noqa: ANN001, ANN202
+        import numpy as np
+        import pyarrow as pa
+
+        parts = sorted(zip(rows["low"].to_pylist(), rows["side"].to_pylist(), rows["piece"].to_pylist(), strict=True))
+        a, b = (np.frombuffer(b"".join(p for _, s, p in parts if s == side), STORED[side]).astype(np.int64) for side in "ab")
+        met, n = np.unique(np.stack((a, b)), axis=1, return_counts=True)
+        k = len(n)
+        return pa.table({"rep": pa.array([rows["rep"][0].as_py()] * k, pa.int32()), "stratum": pa.array([rows["stratum"][0].as_py()] * k, pa.string()), "kind": pa.array([KINDS[i] for i in met[0]], pa.string()), "len": pa.array([None if v == NO_LEN else v for v in met[1].tolist()], pa.int32()), "n": pa.array(n.astype(np.int64))})
+
+    pieces = x.select("rep", "stratum", "block", "side", low.alias("low"), piece.alias("piece"))
+    return pieces.groupBy("rep", "stratum", "block").applyInArrow(counted, "rep int, stratum string, kind string, len int, n long")
+
+
 def readout_test(names: DataFrame, objects: DataFrame, stratum: str, seed: str, reps: int = 20, reach: int = 5) -> DataFrame:
     """For each name the best length score over a stratum's objects, summed, against lengths dealt anew between both: (stratum, total, matched, null_mean, p).
 
@@ -78,12 +176,10 @@ def readout_test(names: DataFrame, objects: DataFrame, stratum: str, seed: str,
     places = own.select("stratum", F.lit(1).alias("one")).distinct()
     each = join_small(names.select(F.lit(1).alias("one"), F.lit("n").alias("kind"), F.col("id").cast("string").alias("id"), "len"), places, ["one"], "inner")
     pool = own.unionByName(each.drop("one"))
-    x = replicated(pool, reps, 1)
     by = ["rep", "stratum"]
-    left = hash_rank(x.withColumn("h", hashed(seed, "a", *[F.col(c) for c in ("rep", "stratum", "kind", "id")])), "h", by).select(*by, "kind", "rank")
-    right = hash_rank(x.withColumn("h", hashed(seed, "b", *[F.col(c) for c in ("rep", "stratum", "kind", "id")])), "h", by).select(*by, "len", "rank")
-    both = pool.select(F.lit(0).alias("rep"), "stratum", "kind", "len").unionByName(join_ranks(left, right, by).select(*by, "kind", "len"))
-    c = both.groupBy(*by, "kind", "len").agg(F.count("*").alias("n"))
+    pool = written(pool.select("stratum", "kind", F.concat_ws("|", "stratum", "kind", "id").alias("tail"), "len"), "pool")
+    both = pool.groupBy(F.lit(0).alias("rep"), "stratum", "kind", "len").agg(F.count("*").alias("n")).unionByName(dealt_lengths(pool, seed, reps))
+    c = written(both.groupBy(*by, "kind", "len").agg(F.sum("n").alias("n")), "lengths")
     met = c.where("kind = 'n'").withColumn("other", F.explode(F.sequence(F.col("len") - reach + 1, F.col("len") + reach - 1)))
     best = met.join(c.where("kind = 'o'").select(*by, F.col("len").alias("other")), [*by, "other"]).groupBy(*by, "len", "n").agg(F.max(1 - F.abs(F.col("len") - F.col("other")) / reach).alias("score"))
     t = best.groupBy(*by).agg(F.sum(F.col("n") * F.col("score")).alias("total"), F.sum("n").alias("matched"))
