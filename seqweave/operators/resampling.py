@@ -61,8 +61,10 @@ def divergence_bootstrap(seq: DataFrame, site: str, seed: str, reps: int = 200,
 @null_strata
 def gap_null(seq: DataFrame, by: list[str], seed: str, reps: int = 20, vocab: int = 200) -> DataFrame:
     """Spectral gap of each stratum against its tokens dealt anew to its sequences: p = (k + 1) / (n + 1), mean and quantiles of the null."""
-    x = replicated(seq.select("seq_id", *by, "symbols"), reps, 1).withColumn("seq_id", F.concat_ws("/", F.col("rep").cast("string"), F.col("seq_id").cast("string")))
-    null = assoc.spectral_gap(shuffle_globally(x, seed, [*by, "rep"]), [*by, "rep"], vocab).select(*by, F.col("gap").alias("null_gap"))
+    x = replicated(seq.select("seq_id", *by, "symbols"), reps, 1)
+    key = F.concat_ws("/", F.col("rep").cast("string"), F.col("seq_id").cast("string"))
+    dealt = written(shuffle_globally(x, seed, [*by, "rep"], key).select(*by, "rep", "symbols"), "dealt")  # read twice
+    null = assoc.spectral_gap(dealt, [*by, "rep"], vocab).select(*by, F.col("gap").alias("null_gap"))
     j = null.join(assoc.spectral_gap(seq, by, vocab).select(*by, "gap"), by)
     g = j.groupBy(*by, "gap").agg(F.count("*").alias("n"), F.sum(F.when(F.col("null_gap") >= F.col("gap"), 1).otherwise(0)).alias("over"), F.avg("null_gap").alias("null_mean"), F.percentile("null_gap", 0.05).alias("null_p05"), F.percentile("null_gap", 0.95).alias("null_p95"))
     return g.select(*by, "gap", ((F.col("over") + 1) / (F.col("n") + 1)).alias("p"), "null_mean", "null_p05", "null_p95")

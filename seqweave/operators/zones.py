@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqweave.functions.exprs import hash_rank, join_ranks, join_small, tokens, top_per
@@ -13,13 +13,20 @@ from seqweave.operators.hypotheses import readout
 from seqweave.operators.transforms import hashed
 
 
-def shuffle_globally(seq: DataFrame, seed: str, by: list[str]) -> DataFrame:
-    """Tokens of each group dealt anew to its sequences, whose lengths stay: rank of a token's hash against rank of a place's hash."""
-    t = tokens(seq.select("seq_id", *by, "symbols"))
-    left = hash_rank(t.select(*by, "sym", hashed(seed, "token", F.col("seq_id"), F.col("pos")).alias("h")), "h", by).select(*by, "sym", "rank")
-    right = hash_rank(t.select(*by, "seq_id", "pos", hashed(seed, "place", F.col("seq_id"), F.col("pos")).alias("h")), "h", by).select(*by, "seq_id", "pos", "rank")
-    x = join_ranks(right, left, by).groupBy("seq_id").agg(F.array_sort(F.collect_list(F.struct("pos", "sym"))).alias("x"))
-    return seq.drop("symbols").join(x.select("seq_id", F.col("x.sym").alias("symbols")), "seq_id")
+def shuffle_globally(seq: DataFrame, seed: str, by: list[str], key: Column | None = None) -> DataFrame:
+    """Tokens of each group dealt anew to its sequences, whose lengths stay: rank of a token's hash against rank of a place's hash.
+
+    key names a sequence in the hashes, seq_id if none is given; seq_id has to be unique within by.
+    Sequences are put together by their groups and ids; they are joined with seq for further columns alone.
+    """
+    named = F.col("seq_id") if key is None else key
+    t = tokens(seq.select("seq_id", *by, named.alias("_key"), "symbols"))
+    left = hash_rank(t.select(*by, "sym", hashed(seed, "token", F.col("_key"), F.col("pos")).alias("h")), "h", by).select(*by, "sym", "rank")
+    right = hash_rank(t.select(*by, "seq_id", "pos", hashed(seed, "place", F.col("_key"), F.col("pos")).alias("h")), "h", by).select(*by, "seq_id", "pos", "rank")
+    x = join_ranks(right, left, by).groupBy("seq_id", *by).agg(F.array_sort(F.collect_list(F.struct("pos", "sym"))).alias("x")).select("seq_id", *by, F.col("x.sym").alias("symbols"))
+    if set(seq.columns) == set(x.columns):
+        return x.select(*seq.columns)
+    return seq.drop("symbols").join(x, ["seq_id", *by]).select(*[c for c in seq.columns if c != "symbols"], "symbols")
 
 
 def zone_report(seq: DataFrame, site: str, zones: DataFrame) -> DataFrame:

@@ -15,3 +15,11 @@ def test_ranks_are_not_broadcast(spark):
     for df in (signif.permuted(written(seq), "s", 5), zones.shuffle_globally(written(seq), "s", ["ctx"])):
         assert not any("BroadcastHashJoin" in x and "rank#" in x.split("]")[0] for x in plan(df).splitlines())
         assert any("SortMergeJoin" in x and "rank#" in x for x in plan(df).splitlines())
+
+
+def test_dealt_sequences_are_not_joined_back(spark):
+    seq = spark.range(50).select(F.col("id").alias("seq_id"), (F.col("id") % 3).cast("string").alias("ctx"), F.array(F.lit("a"), F.lit("b"), F.col("id").cast("string")).alias("symbols"))
+    lean, wide = zones.shuffle_globally(seq, "s", ["ctx"]), zones.shuffle_globally(seq.withColumn("more", F.lit(1)), "s", ["ctx"])
+    assert lean.columns == ["seq_id", "ctx", "symbols"] and wide.columns == ["seq_id", "ctx", "more", "symbols"]
+    assert sorted(lean.collect()) == sorted(wide.select(lean.columns).collect())
+    assert plan(lean).count("SortMergeJoin") < plan(wide).count("Join")
