@@ -19,9 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqweave.functions.exprs import ngrams
 from seqweave.functions.tables import shared_folder, written
 
 PART_BYTES = 1 << 20
+#: Words of more symbols are found by so many of their first ones.
+ANCHOR = 8
 
 _built: dict[str, object] = {}
 
@@ -94,16 +97,24 @@ def phrase_matches(seq: DataFrame, vocabulary: DataFrame, separator: str = " ")
 
     vocabulary has word (symbols joined by the separator) and meaning; of a word that
     is listed more than once the smallest meaning stays, words of null or without
-    symbols go. Null symbols are skipped. seq_id tells sequences apart.
+    symbols go. Null symbols are skipped. seq_id tells sequences apart. Sequences are
+    read once, whatever the size of the vocabulary: their n-grams meet its words in a join.
     """
-    v = written(vocabulary.where("length(word) > 0").groupBy("word").agg(F.min("meaning").alias("meaning")), "vocabulary")
-    padded = lambda c: F.concat(F.lit(separator), c, F.lit(separator))
-    texts = seq.select("seq_id", padded(F.array_join("symbols", separator)).alias("text"))
-    found = occurrences(texts, v.select(padded(F.col("word")).alias("word")), "seq_id", "text")
-    n = len(separator)
-    bare = F.col("word").substr(F.lit(n + 1), F.length("word") - 2 * n)
-    counts = found.groupBy(bare.alias("word")).agg(F.sum("cnt").alias("cnt"), F.countDistinct("seq_id").alias("sequences"))
-    return counts.join(v, "word").select("word", "meaning", "cnt", "sequences")
+    cut = lambda c: F.split(c, f"\\Q{separator}\\E")
+    v = written(vocabulary.where("length(word) > 0").groupBy("word").agg(F.min("meaning").alias("meaning")).withColumn("n", F.size(cut(F.col("word")))), "vocabulary")
+    rows = written(seq.select("seq_id", cut(F.array_join("symbols", separator)).alias("symbols"), F.monotonically_increasing_id().alias("_row")), "texts")
+    least, most = v.agg(F.min(F.least("n", F.lit(ANCHOR))), F.max("n")).first()
+    if least is None:
+        return rows.limit(0).select(F.lit("").alias("word"), F.lit(None).cast(dict(vocabulary.dtypes)["meaning"]).alias("meaning"), F.lit(0).cast("long").alias("cnt"), F.lit(0).cast("long").alias("sequences"))
+    grams = lambda lo, hi: ngrams(rows, lo, hi, joined=False).withColumn("gram", F.array_join("gram", separator))
+    found = grams(least, min(most, ANCHOR)).select("seq_id", F.col("gram").alias("word"))
+    if most > ANCHOR:  # where the first symbols of a longer word stand, it is compared with what follows there
+        begin = v.where(F.col("n") > ANCHOR).select(F.array_join(F.slice(cut(F.col("word")), 1, ANCHOR), separator).alias("gram"), F.col("n").alias("_n")).distinct()
+        at = grams(ANCHOR, ANCHOR).select("_row", "at", "gram").join(begin, "gram").select("_row", "at", "_n")
+        whole = rows.join(at, "_row").where(F.col("at") + F.col("_n") <= F.size("symbols"))
+        found = found.unionByName(whole.select("seq_id", F.array_join(F.slice("symbols", F.col("at") + 1, F.col("_n")), separator).alias("word")))
+    counts = found.join(v.select("word", "meaning"), "word").groupBy("word", "meaning").agg(F.count("*").alias("cnt"), F.countDistinct("seq_id").alias("sequences"))
+    return counts.select("word", "meaning", "cnt", "sequences")
 
 
 def topics_by_table(items: DataFrame, topics: DataFrame, key: str, text: str) -> DataFrame:

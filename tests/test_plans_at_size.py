@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from seqweave.functions.tables import written
-from seqweave.operators import signif, zones
+from seqweave.operators import automaton, signif, zones
 
 
 def plan(df):
@@ -23,3 +23,12 @@ def test_dealt_sequences_are_not_joined_back(spark):
     assert lean.columns == ["seq_id", "ctx", "symbols"] and wide.columns == ["seq_id", "ctx", "more", "symbols"]
     assert sorted(lean.collect()) == sorted(wide.select(lean.columns).collect())
     assert plan(lean).count("SortMergeJoin") < plan(wide).count("Join")
+
+
+def test_phrases_read_sequences_once(spark):
+    seq = spark.range(20).select(F.col("id").alias("seq_id"), F.array(*[F.lit(x) for x in "abcdefghij"]).alias("symbols"))
+    words = spark.range(60_000).select(F.concat_ws(" ", F.lpad(F.col("id").cast("string"), 40, "w")).alias("word"), F.lit("m").alias("meaning"))
+    long = spark.createDataFrame([("a b c d e f g h i j", "all"), ("b c d e f g h i", "most"), ("b c d e f g h i x", "no"), ("j", "one")], "word string, meaning string")
+    found = automaton.phrase_matches(seq, words.unionByName(long))  # 2 MB of words
+    assert "MapInArrow" not in plan(found)
+    assert sorted(tuple(r) for r in found.collect()) == [("a b c d e f g h i j", "all", 20, 20), ("b c d e f g h i", "most", 20, 20), ("j", "one", 20, 20)]
