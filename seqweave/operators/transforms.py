@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqweave.functions.exprs import hash_rank, kth_smallest, ranked, tokens
+from seqweave.functions.tables import written
 from seqweave.operators.measures import symbol_counts
 
 
@@ -24,13 +25,6 @@ def length_report(seq: DataFrame, by: list[str], least: int = 7, most: int = 0)
 
 def filter_tokens(seq: DataFrame, block: list[str] = [], ranges: list[tuple[int, int]] = [], min_freq: int = 1, keep_empty: bool = False) -> DataFrame:  # noqa: B006
     """Blocklist, then first code points within ranges, then corpus frequency (counted before the others); emptied sequences go."""
-    out = seq
-    if min_freq > 1:
-        rare = symbol_counts(seq).where(F.col("cnt") < min_freq).select("sym")
-        t = tokens(seq).join(rare, "sym", "left_anti")
-        kept = t.groupBy("seq_id").agg(F.array_sort(F.collect_list(F.struct("pos", "sym"))).alias("x")).select("seq_id", F.col("x.sym").alias("_kept"))
-        out = seq.join(kept, "seq_id", "left").withColumn("symbols", F.coalesce("_kept", F.array().cast("array<string>"))).drop("_kept")
-
     def ok(x: Column) -> Column:
         c = ~x.isin(block) if block else F.lit(True)
         if ranges:
@@ -40,8 +34,17 @@ def filter_tokens(seq: DataFrame, block: list[str] = [], ranges: list[tuple[int,
             c = c & inside
         return c
 
-    out = out.withColumn("symbols", F.filter("symbols", ok)) if block or ranges else out
-    return out if keep_empty else out.where(F.size("symbols") > 0)
+    if min_freq <= 1:
+        out = seq.withColumn("symbols", F.filter("symbols", ok)) if block or ranges else seq
+        return out if keep_empty else out.where(F.size("symbols") > 0)
+    seq = written(seq, "sequences")
+    rare = symbol_counts(seq).where((F.col("cnt") < min_freq) & ok(F.col("sym"))).select("sym")
+    t = tokens(seq.select("seq_id", "symbols")).where(ok(F.col("sym"))).select("seq_id", "pos", "sym").join(rare, "sym", "left_anti")
+    kept = t.groupBy("seq_id").agg(F.sort_array(F.collect_list(F.struct("pos", "sym"))).alias("x")).select("seq_id", F.col("x.sym").alias("symbols"))
+    if set(seq.columns) == {"seq_id", "symbols"} and not keep_empty:
+        return kept.select(*seq.columns)
+    out = seq.join(kept.withColumnRenamed("symbols", "_kept"), "seq_id", "left" if keep_empty else "inner")
+    return out.withColumn("symbols", F.coalesce("_kept", F.array().cast("array<string>"))).select(*seq.columns)
 
 
 def oriented(seq: DataFrame, direction: str) -> DataFrame:
@@ -139,7 +142,7 @@ def recode(seq: DataFrame, mapping: DataFrame, fallback: Column | None = None) -
     """Symbols replaced by mapping (sym, to); others by the fallback, or kept. The order is restored by position."""
     t = tokens(seq.select("seq_id", "symbols")).join(mapping.select("sym", "to"), "sym", "left")
     t = t.withColumn("sym", F.coalesce("to", fallback if fallback is not None else F.col("sym")))
-    x = t.groupBy("seq_id").agg(F.array_sort(F.collect_list(F.struct("pos", "sym"))).alias("x")).select("seq_id", F.col("x.sym").alias("symbols"))
+    x = t.groupBy("seq_id").agg(F.sort_array(F.collect_list(F.struct("pos", "sym"))).alias("x")).select("seq_id", F.col("x.sym").alias("symbols"))
     return seq.drop("symbols").join(x, "seq_id")
 
 
@@ -152,8 +155,9 @@ def bijection(seq: DataFrame, seed: str) -> DataFrame:
 def shuffle_within(seq: DataFrame, seed: str, reps: int = 1) -> DataFrame:
     """Symbols of each sequence in a hashed order, once per replicate, within the row."""
     x = seq.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-    keyed = F.transform("symbols", lambda s, i: F.struct(F.md5(F.concat_ws("|", F.lit(seed), F.col("rep").cast("string"), F.col("seq_id").cast("string"), i.cast("string")).cast("binary")).alias("h"), s.alias("s")))
-    return x.withColumn("symbols", F.transform(F.array_sort(keyed), lambda y: y["s"]))
+    x = x.withColumn("_head", F.concat_ws("|", F.lit(seed), F.col("rep").cast("string"), F.col("seq_id").cast("string")))
+    keyed = F.transform("symbols", lambda s, i: F.struct(F.md5(F.concat_ws("|", F.col("_head"), i.cast("string")).cast("binary")).alias("h"), s.alias("s")))
+    return x.withColumn("symbols", F.sort_array(keyed)["s"]).drop("_head")
 
 
 def _numbered(seq: DataFrame) -> DataFrame:
@@ -168,7 +172,7 @@ def _drawn(at: int, n: Column, seed: str) -> Column:
 
 
 def _collected(seq: DataFrame, t: DataFrame) -> DataFrame:
-    x = t.groupBy("seq_id").agg(F.array_sort(F.collect_list(F.struct("pos", "sym"))).alias("x")).select("seq_id", F.col("x.sym").alias("symbols"))
+    x = t.groupBy("seq_id").agg(F.sort_array(F.collect_list(F.struct("pos", "sym"))).alias("x")).select("seq_id", F.col("x.sym").alias("symbols"))
     return seq.drop("symbols").join(x, "seq_id")
 
 
