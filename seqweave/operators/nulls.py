@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqweave.functions.exprs import hash_rank, join_ranks, tokens
+from seqweave.functions.exprs import hash_rank, join_ranks, tokens, unrolled
 from seqweave.functions.tables import written
 from seqweave.operators.resampling import replicated
 from seqweave.operators.transforms import hashed, shuffle_within
@@ -51,8 +51,9 @@ def polysemy_rate(seq: DataFrame, by: list[str], targets: DataFrame, least: int
     """
     known = targets.select("sym").distinct()
     n = F.size("symbols") - 1
-    pair = F.transform(F.slice("symbols", F.lit(1), F.greatest(n, F.lit(0))), lambda s, i: F.struct(s.alias("sym"), F.get("symbols", i + 1).alias("nb"), (i == 0).alias("first")))
-    e = seq.select(*by, F.explode(pair).alias("p")).select(*by, "p.*").join(known, "sym", "left_semi")
+    most = F.greatest(n, F.lit(0))
+    pair = F.arrays_zip(F.slice("symbols", F.lit(1), most).alias("sym"), F.slice("symbols", F.lit(2), most).alias("nb"))
+    e = unrolled(seq, pair, "pos", "p", *by).select(*by, "p.*", (F.col("pos") == 0).alias("first")).join(known, "sym", "left_semi")
     c = e.groupBy(*by, "sym", "nb").agg(F.sum(F.when(F.col("first"), 1).otherwise(0)).alias("ci"), F.sum(F.when(F.col("first"), 0).otherwise(1)).alias("cr"))
     m = c.groupBy(*by, "sym").agg(F.sum("ci").alias("ni"), F.sum("cr").alias("nr"), F.count("*").alias("v")).where(f"ni >= {least} AND nr >= {least}")
     p, q = (F.col("ci") + 1) / (F.col("ni") + F.col("v")), (F.col("cr") + 1) / (F.col("nr") + F.col("v"))

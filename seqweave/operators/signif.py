@@ -12,7 +12,9 @@ from seqweave.operators.transforms import shuffle_within
 
 def position_null(seq: DataFrame, seed: str, reps: int = 20) -> DataFrame:
     """For every symbol: how often sequences start and end with it, against shuffles within sequences; z and p."""
-    ends = lambda d, by: d.where("size(symbols) > 1").select(*by, F.explode(F.array(F.struct(F.get("symbols", F.lit(0)).alias("sym"), F.lit("start").alias("end")), F.struct(F.element_at("symbols", -1).alias("sym"), F.lit("end").alias("end")))).alias("e")).groupBy(*by, "e.sym", "e.end").agg(F.count("*").alias("cnt"))
+    # a filter on shuffled symbols would shuffle them twice
+    ends = lambda d, by: d.select(*by, F.explode(F.array(F.struct(F.get("symbols", F.lit(0)).alias("sym"), F.lit("start").alias("end")), F.struct(F.element_at("symbols", -1).alias("sym"), F.lit("end").alias("end")))).alias("e")).groupBy(*by, "e.sym", "e.end").agg(F.count("*").alias("cnt"))
+    seq = seq.where("size(symbols) > 1")
     seen = ends(seq.select("symbols"), [])
     null = ends(shuffle_within(seq.select("seq_id", "symbols"), seed, reps).select("rep", "symbols"), ["rep"])
     j = seen.join(null.withColumnRenamed("cnt", "null_cnt"), ["sym", "end"], "left")
