@@ -2,8 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from seqweave.functions import exprs
 from seqweave.functions.tables import written
-from seqweave.operators import automaton, signif, zones
+from seqweave.operators import automaton, measures, positions, signif, strata, transforms, zones
+from seqweave.sources import adapters
 
 
 def plan(df):
@@ -32,3 +34,38 @@ def test_phrases_read_sequences_once(spark):
     found = automaton.phrase_matches(seq, words.unionByName(long))  # 2 MB of words
     assert "MapInArrow" not in plan(found)
     assert sorted(tuple(r) for r in found.collect()) == [("a b c d e f g h i j", "all", 20, 20), ("b c d e f g h i", "most", 20, 20), ("j", "one", 20, 20)]
+
+
+def test_arrays_are_made_once(spark):
+    seq = spark.range(50).select(F.col("id").alias("seq_id"), F.lit("x").alias("lang"), F.array(F.lit("a"), F.col("id").cast("string")).alias("symbols"))
+    shuffled = transforms.shuffle_within(seq, "s", 3)
+    for df in (positions.rates(shuffled, ["rep"]), exprs.bigrams(shuffled), exprs.ngrams(shuffled, 2, 3), measures.symbol_counts(shuffled)):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("md5(") == 1
+    read = adapters.lines(spark, "/root/testdata/sf0.001")
+    assert exprs.tokens(read)._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 1
+
+
+def test_roles_need_no_window(spark):
+    seq = spark.createDataFrame([(1, "x", ["a", "a", "b"]), (2, "x", ["b"]), (3, "x", [])], "seq_id long, lang string, symbols array<string>")
+    found = strata.roles(seq, ["lang"])
+    assert "Window" not in plan(found)
+    assert sorted((r.sym, r.n, r.roles) for r in found.collect()) == [("a", 2, "determinative,numeral"), ("b", 2, "suffix,determinative,logogram")]
+
+
+def test_streams_and_summaries_read_sequences_once(spark):
+    seq = spark.range(60).select(F.col("id").alias("seq_id"), F.lit("x").alias("lang"), F.array(F.lit("a"), F.col("id").cast("string"), F.lit("c")).alias("symbols"))
+    for df in (measures.stream_ngram_counts(seq, 1, 3, ["lang"]), measures.corpus_summary(seq, ["lang"]), measures.template_coverage(seq, ["lang"]), zones.allographs(seq)):
+        assert "Range (" not in plan(df)
+
+
+def test_counts_of_templates_are_not_in_a_window(spark):
+    seq = spark.range(60).select(F.col("id").alias("seq_id"), F.lit("x").alias("lang"), F.array(F.lit("a"), F.lit("b"), F.col("id").cast("string")).alias("symbols"))
+    found = measures.template_coverage(seq, ["lang"])
+    assert "Window" not in plan(found)
+    assert [tuple(r) for r in found.collect()] == [("x", 60, 1, 1.0)]
+
+
+def test_kmeans_reads_features_once(spark):
+    f = spark.range(30).select(F.col("id").cast("string").alias("sym"), (F.col("id") % 3 * 10 + F.rand(1)).alias("u"), F.col("id").cast("double").alias("v"))
+    found = strata.kmeans(f, ["u", "v"], [2, 3])
+    assert "Range (" not in plan(found) and found.count() == 60
