@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqweave.functions.exprs import hash_rank, join_ranks, join_small, tokens, top_per
+from seqweave.functions.tables import written
 from seqweave.operators import assoc, compare
 from seqweave.operators import measures as m
 from seqweave.operators import positions as p
@@ -92,15 +93,20 @@ def allographs(seq: DataFrame, least_cosine: float = 0.55, most_shift: float = 0
 
     score = .4 positional similarity + .4 how rarely both are in one sequence + .2 ratio of frequencies.
     """
+    seq = written(seq.select("seq_id", "symbols"), "sequences")
     v = assoc.context_vectors(seq, []).where(F.col("feature").startswith("R:"))
     r = p.start_end_counts(seq, []).select("sym", "n", "start_rate", "end_rate", "internal_rate")
     one = lambda k: r.select(*[F.col(c).alias(f"{k}_{c}") for c in r.columns])
     j = assoc.cosine_pairs(v, [], least_cosine).select("x", "y", "cosine").join(one("a"), F.col("x") == F.col("a_sym")).join(one("b"), F.col("y") == F.col("b_sym"))
     shift = sum((F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) for c in ("start_rate", "end_rate", "internal_rate")), F.lit(0.0))
     pairs = j.withColumn("shift", shift).where(F.col("shift") <= most_shift).select("x", "y", "cosine", "shift", F.col("a_n").alias("nx"), F.col("b_n").alias("ny"))
-    has = tokens(seq.select("seq_id", "symbols")).select("seq_id", "sym").distinct()
-    size = has.groupBy("sym").agg(F.count("*").alias("k"))
-    both = pairs.select("x", "y").join(has.withColumnRenamed("sym", "x"), "x").join(has.withColumnRenamed("sym", "y"), ["seq_id", "y"]).groupBy("x", "y").agg(F.count("*").alias("both"))
+    pairs = written(pairs, "pairs")
+    # the symbols of a sequence are paired within it; sequences that share a seq_id are one
+    whole = seq.groupBy("seq_id").agg(F.array_distinct(F.flatten(F.collect_list("symbols"))).alias("u"))
+    has = whole.select("u", F.explode("u").alias("x"))
+    size = has.groupBy(F.col("x").alias("sym")).agg(F.count("*").alias("k"))
+    met = has.join(pairs.select("x").distinct(), "x", "left_semi").select("x", F.explode("u").alias("y")).where("x < y").groupBy("x", "y").agg(F.count("*").alias("both"))
+    both = pairs.select("x", "y").join(met, ["x", "y"])
     q = pairs.join(both, ["x", "y"], "left").fillna(0, ["both"]).join(size.select(F.col("sym").alias("x"), F.col("k").alias("kx")), "x").join(size.select(F.col("sym").alias("y"), F.col("k").alias("ky")), "y")
     score = 0.4 * (1 - F.col("shift") / 2) + 0.4 * (1 - F.col("both") / F.least("kx", "ky")) + 0.2 * F.least("nx", "ny") / F.greatest("nx", "ny")
     return q.select("x", "y", "cosine", "shift", "both", score.alias("score"))
