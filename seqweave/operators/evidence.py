@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqweave.functions.tables import written
+
 #: Query parameters that only track.
 TRACKING = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "ref", "mc_cid", "mc_eid"]
 
@@ -104,6 +106,8 @@ def chunks(docs: DataFrame, size: int = 600, overlap: int = 100) -> DataFrame:
 
 
 TERM = r"[a-z0-9]{3,}"
+#: Terms that are broadcast at most.
+COMMON = 100_000
 
 
 def postings(rows: DataFrame, key: list[str], text: str) -> DataFrame:
@@ -112,10 +116,54 @@ def postings(rows: DataFrame, key: list[str], text: str) -> DataFrame:
     return t.withColumn("tf", F.col("c") / F.sum("c").over(Window.partitionBy(*key)))
 
 
-def tfidf(posts: DataFrame, key: list[str], n: int) -> DataFrame:
-    """Weights tf (ln((N + 1) / (df + 1)) + 1)."""
-    df = posts.groupBy("term").agg(F.count("*").alias("df"))
-    return posts.join(df, "term").withColumn("w", F.col("tf") * (F.ln(F.lit(n + 1.0) / (F.col("df") + 1)) + 1)).select(*key, "term", "w")
+def bags(rows: DataFrame, key: list[str], text: str) -> DataFrame:
+    """(key, n, bag): a row for each key with the number of its terms and, for each distinct one, (term, c); keys without terms go.
+
+    The text is shuffled once; what a row holds is counted within the row.
+    """
+    t = rows.select(*key, F.regexp_extract_all(F.lower(text), F.lit(TERM), 0).alias("_t"))
+    t = t.groupBy(*key).agg(F.sort_array(F.flatten(F.collect_list("_t"))).alias("_t")).where("size(_t) > 0").withColumn("n", F.size("_t"))
+    t = t.withColumn("_at", F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: (i == 0) | (F.get("_t", i) != F.get("_t", i - 1))))
+    each = F.transform("_at", lambda at, k: F.struct(F.get("_t", at).alias("term"), (F.coalesce(F.get("_at", k + 1), F.col("n")) - at).alias("c")))
+    return t.select(*key, "n", each.alias("bag"))
+
+
+def in_bags(found: DataFrame, *columns: str) -> DataFrame:
+    """The columns, term and tf = c / n of each term of bags."""
+    x = found.select(*columns, "n", F.explode("bag").alias("b"))
+    return x.select(*columns, F.col("b.term").alias("term"), (F.col("b.c") / F.col("n")).alias("tf"))
+
+
+def idfs(found: DataFrame, n: int) -> DataFrame:
+    """(term, df, idf) of bags, written; idf = ln((N + 1) / (df + 1)) + 1."""
+    df = in_bags(found).groupBy("term").agg(F.count("*").alias("df"))
+    return written(df.withColumn("idf", F.ln(F.lit(n + 1.0) / (F.col("df") + 1)) + 1), "terms")
+
+
+def with_idf(posts: DataFrame, terms: DataFrame, most: int = COMMON) -> DataFrame:
+    """posts (term, ...) with df and idf.
+
+    The commonest terms, so many at most, are broadcast; so the shuffle is of the
+    rare ones' rows alone, and what is summed up by key combines before it shuffles.
+    """
+    sizes = terms.groupBy("df").agg(F.count("*").alias("k"))
+    upto = sizes.withColumn("s", F.sum("k").over(Window.orderBy(F.desc("df")).rowsBetween(Window.unboundedPreceding, 0)))  # a row for each df
+    cut, least = upto.agg(F.min(F.when(F.col("s") <= most, F.col("df"))), F.min("df")).first()
+    if cut is None:
+        return posts.join(terms.hint("merge"), "term")
+    head = F.broadcast(terms.where(F.col("df") >= cut))
+    common = posts.join(head, "term")
+    if cut == least:
+        return common
+    rare = posts.join(head.select("term"), "term", "left_anti").join(terms.where(F.col("df") < cut).hint("merge"), "term")
+    return common.unionByName(rare)
+
+
+def tfidf(rows: DataFrame, key: list[str], text: str, n: int) -> tuple[DataFrame, DataFrame]:
+    """(key, term, w) with weights tf (ln((N + 1) / (df + 1)) + 1), and (term, df, idf); postings are never shuffled but those of rare terms."""
+    b = written(bags(rows, key, text), "bags")
+    terms = idfs(b, n)
+    return with_idf(in_bags(b, *key), terms).select(*key, "term", (F.col("tf") * F.col("idf")).alias("w")), terms
 
 
 def search(index: DataFrame, queries: DataFrame, k: int = 5, least: float = 0.05) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from seqweave.functions.exprs import top_per
 from seqweave.functions.tables import written
-from seqweave.operators.evidence import TERM, postings
+from seqweave.operators.evidence import TERM, bags, idfs, in_bags, postings, with_idf
 
 #: Scores are sums of doubles: bounds may be off by this much.
 SLACK = 1e-8
@@ -17,31 +17,43 @@ SLACK = 1e-8
 
 @dataclass
 class Index:
-    """postings (key, term, w) with vectors of length 1, and terms (term, df, idf, top), top being the largest w of the term."""
+    """bags (key, n, bag, norm), a row for each chunk with its terms, and terms (term, df, idf)."""
 
-    postings: DataFrame
+    bags: DataFrame
     terms: DataFrame
     key: list[str]
 
+    def meet(self, x: DataFrame, bags: DataFrame | None = None, on: tuple[str, ...] = ("term",)) -> DataFrame:
+        """x (term, idf, ...) with key and w of the postings of its terms; vectors of chunks have length 1."""
+        b = self.bags if bags is None else bags
+        posts = in_bags(b, *[c for c in b.columns if c not in ("n", "bag")])
+        return posts.join(x, list(on)).withColumn("w", F.col("tf") * F.col("idf") / F.col("norm"))
+
 
 def build(chunks: DataFrame, key: list[str], text: str) -> Index:
-    """TF-IDF index of chunks; tf = count / all, idf = ln((N + 1) / (df + 1)) + 1. Chunks without a term aren't in it, but count in N."""
+    """TF-IDF index of chunks; tf = count / all, idf = ln((N + 1) / (df + 1)) + 1. Chunks without a term aren't in it, but count in N.
+
+    A chunk's terms stay in one row; weights follow from counts when they are looked up.
+    """
     n = chunks.count()
-    posts = written(postings(chunks.where(F.col(text).isNotNull()), key, text).select(*key, "term", "tf"), "postings")
-    df = posts.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", F.ln(F.lit(n + 1.0) / (F.col("df") + 1)) + 1)
-    w = posts.join(df, "term").withColumn("w", F.col("tf") * F.col("idf"))
-    norm = w.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    index = written(w.join(norm, key).select(*key, "term", (F.col("w") / F.col("norm")).alias("w"), "df", "idf").repartitionByRange("term").sortWithinPartitions("term"), "index")
-    terms = written(index.groupBy("term").agg(F.any_value("df").alias("df"), F.any_value("idf").alias("idf"), F.max("w").alias("top")), "terms")
-    return Index(index.select(*key, "term", "w"), terms, key)
-
-
-def weighted(index: Index, queries: DataFrame, qid: str, text: str) -> DataFrame:
-    """(qid, term, qw, df, top): queries as vectors of length 1; terms that the index lacks have an idf of 1 in their length and then go."""
-    q = postings(queries.where(F.col(text).isNotNull()), [qid], text).join(index.terms, "term", "left")
+    b = written(bags(chunks.where(F.col(text).isNotNull()), key, text), "bags")
+    terms = idfs(b, n)
+    w = F.col("tf") * F.col("idf")
+    norm = with_idf(in_bags(b, *key), terms).groupBy(*key).agg(F.sqrt(F.sum(w * w)).alias("norm"))
+    return Index(written(b.join(norm, key), "index"), terms, key)
+
+
+def weighted(index: Index, queries: DataFrame, qid: str, text: str, unknown: bool = True) -> DataFrame:
+    """(qid, term, qw, df, idf, top): queries as vectors of length 1, top being the largest w of the term.
+
+    Terms that the index lacks go; before, they have an idf of 1 in the query's length, or with unknown=False none.
+    """
+    q = postings(queries.where(F.col(text).isNotNull()), [qid], text).join(index.terms, "term", "left" if unknown else "inner")
     q = q.withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(1.0)))
     norm = q.groupBy(qid).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return q.join(norm, qid).where("df IS NOT NULL").select(qid, "term", (F.col("w") / F.col("norm")).alias("qw"), "df", "top")
+    q = written(q.join(norm, qid).where("df IS NOT NULL").select(qid, "term", (F.col("w") / F.col("norm")).alias("qw"), "df", "idf"), "queries")
+    top = index.meet(written(q.select("term", "idf").distinct(), "terms")).groupBy("term").agg(F.max("w").alias("top"))
+    return written(q.join(top, "term").select(qid, "term", "qw", "df", "idf", "top"), "queries")
 
 
 def with_bounds(index: Index, q: DataFrame, qid: str, k: int, least: float, seeds: int = 3) -> DataFrame:
@@ -52,7 +64,7 @@ def with_bounds(index: Index, q: DataFrame, qid: str, k: int, least: float, seed
     floor, aren't essential: no chunk gets there by them alone.
     """
     rare = top_per(q, [qid], ["df", "term"], seeds)
-    some = index.postings.join(rare.select(qid, "term", "qw"), "term").groupBy(qid, *index.key).agg(F.sum(F.col("w") * F.col("qw")).alias("score"))
+    some = index.meet(written(rare.select(qid, "term", "qw", "idf"), "rare")).groupBy(qid, *index.key).agg(F.sum(F.col("w") * F.col("qw")).alias("score"))
     best = top_per(some.select(qid, *index.key, "score"), [qid], [F.desc("score"), *index.key], k).groupBy(qid).agg(F.min("score").alias("low"), F.count("*").alias("n"))
     floors = best.where(F.col("n") == k).select(qid, "low")
     x = q.join(floors, qid, "left").withColumn("floor", F.greatest(F.coalesce("low", F.lit(least)), F.lit(float(least)))).drop("low")
@@ -70,9 +82,9 @@ def search(index: Index, q: DataFrame, qid: str, k: int = 5, least: float = 0.05
     """
     x = with_bounds(index, q, qid, k, least)
     rest = x.groupBy(qid).agg(F.max("floor").alias("floor"), F.coalesce(F.sum(F.when(~F.col("essential"), F.col("bound"))), F.lit(0.0)).alias("rest"))
-    part = index.postings.join(x.where("essential").select(qid, "term", "qw"), "term").groupBy(qid, *index.key).agg(F.sum(F.col("w") * F.col("qw")).alias("part"))
+    part = index.meet(x.where("essential").select(qid, "term", "qw", "idf")).groupBy(qid, *index.key).agg(F.sum(F.col("w") * F.col("qw")).alias("part"))
     part = written(part.join(rest, qid).where(F.col("part") + F.col("rest") >= F.col("floor") - SLACK).select(qid, *index.key, "part"), "candidates")
-    more = part.join(x.where("NOT essential").select(qid, "term", "qw"), qid).join(index.postings, [*index.key, "term"]).select(qid, *index.key, (F.col("w") * F.col("qw")).alias("part"))
+    more = index.meet(x.where("NOT essential").select(qid, "term", "qw", "idf"), index.bags.join(part.select(qid, *index.key), index.key), (qid, "term")).select(qid, *index.key, (F.col("w") * F.col("qw")).alias("part"))
     found = part.unionByName(more).groupBy(qid, *index.key).agg(F.sum("part").alias("score")).where(F.col("score") >= least)
     w = Window.partitionBy(qid).orderBy(F.desc(F.round("score", 9)), *index.key)
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(qid, "rank", *index.key, "score")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seqweave.functions.exprs import r6
+from seqweave.functions.tables import written
 from seqweave.operators import assoc as a
 from seqweave.operators import evidence as e
 from seqweave.operators import measures as m
@@ -322,7 +323,7 @@ nd AS (SELECT count(*) AS n FROM documents), ix AS (SELECT doc_id, term, tf * (l
 @query("evd_19_tfidf", f"{IDX} SELECT doc_id, count(*) AS terms, round(sum(w), 6) AS weight, round(max(w), 6) AS top FROM ix GROUP BY doc_id")
 def _(spark, sf):  # noqa: ANN001, ANN202
     d = table(spark, sf, "documents")
-    x = e.tfidf(e.postings(d, ["doc_id"], "text"), ["doc_id"], d.count())
+    x, _ = e.tfidf(d, ["doc_id"], "text", d.count())
     return x.groupBy("doc_id").agg(F.count("*").alias("terms"), r6(F.sum("w")).alias("weight"), r6(F.max("w")).alias("top"))
 
 
@@ -332,11 +333,9 @@ r AS (SELECT item_id, doc_id, dot / (dn * qn) AS score, row_number() OVER (PARTI
 SELECT item_id, rank, doc_id, round(score, 6) AS score FROM r WHERE rank <= 5""")
 def _(spark, sf):  # noqa: ANN001, ANN202
     d = table(spark, sf, "documents")
-    posts = e.postings(d, ["doc_id"], "text")
-    n = d.count()
-    df = posts.groupBy("term").agg(F.count("*").alias("df"))
-    q = e.postings(table(spark, sf, "benchmark"), ["item_id"], "text").join(df, "term").withColumn("w", F.col("tf") * (F.ln(F.lit(n + 1.0) / (F.col("df") + 1)) + 1)).select("item_id", "term", "w")
-    return _rounded(e.search(e.tfidf(posts, ["doc_id"], n), q), "score")
+    index, terms = e.tfidf(d, ["doc_id"], "text", d.count())
+    q = e.postings(table(spark, sf, "benchmark"), ["item_id"], "text").join(terms, "term").select("item_id", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    return _rounded(e.search(index, written(q, "queries")), "score")
 
 
 @query("evd_22_gates", "SELECT 'rows' AS \"check\", CASE WHEN count(*) >= 10 THEN 'PASS' ELSE 'FAIL' END AS status, count(*)::VARCHAR AS detail FROM documents UNION ALL SELECT 'unique ids', CASE WHEN count(*) = count(DISTINCT doc_id) THEN 'PASS' ELSE 'FAIL' END, count(DISTINCT doc_id)::VARCHAR FROM documents UNION ALL SELECT 'lengths', CASE WHEN count(*) FILTER (length(text) <> n_chars) = 0 THEN 'PASS' ELSE 'FAIL' END, (count(*) FILTER (length(text) <> n_chars))::VARCHAR FROM documents")

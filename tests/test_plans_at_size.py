@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from seqweave.functions import exprs
 from seqweave.functions.tables import written
-from seqweave.operators import automaton, measures, positions, signif, strata, transforms, zones
+from seqweave.operators import automaton, evidence, measures, positions, signif, strata, transforms, zones
 from seqweave.sources import adapters
 
 
@@ -69,3 +69,14 @@ def test_kmeans_reads_features_once(spark):
     f = spark.range(30).select(F.col("id").cast("string").alias("sym"), (F.col("id") % 3 * 10 + F.rand(1)).alias("u"), F.col("id").cast("double").alias("v"))
     found = strata.kmeans(f, ["u", "v"], [2, 3])
     assert "Range (" not in plan(found) and found.count() == 60
+
+
+def test_postings_are_counted_within_rows(spark):
+    rows = spark.createDataFrame([(1, "abc abc xyz"), (1, "abc"), (2, "xyz, one"), (3, None), (4, "a b")], "doc_id long, text string")
+    found = written(evidence.bags(rows, ["doc_id"], "text"))
+    assert sorted((r.doc_id, r.n, [tuple(b) for b in r.bag]) for r in found.collect()) == [(1, 4, [("abc", 3), ("xyz", 1)]), (2, 2, [("one", 1), ("xyz", 1)])]
+    terms = evidence.idfs(found, 5)
+    for most in (0, 1, 2, 100):  # none, some and all terms are common
+        x = evidence.with_idf(evidence.in_bags(found, "doc_id"), terms, most)
+        assert "Window" not in plan(x)
+        assert sorted((r.doc_id, r.term, r.tf, r.df) for r in x.collect()) == [(1, "abc", 0.75, 1), (1, "xyz", 0.25, 2), (2, "one", 0.5, 1), (2, "xyz", 0.5, 2)]
