@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqweave.llm import jaccard, mixing, secrets, toxicity
-from seqweave.llm.common import materialise, prepare, table
+from seqweave.llm.common import join_small, materialise, prepare, table
 from seqweave.llm.queries import packed
 
 #: Near duplicates: five words and a similarity of 0.8.
@@ -27,10 +27,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Documents without words, and rows with a doc_id of null, are in no group and stay.
     """
     prepare(spark)
-    found = jaccard.similar_documents(docs, n=SHINGLE_WORDS, percent=PERCENT)
-    gone = found.where("n_shingles > 0 AND doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    again = found.where("n_shingles > 0 AND doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    found = jaccard.similar_documents(docs, n=SHINGLE_WORDS, percent=PERCENT).where("n_shingles > 0 AND doc_id IS NOT NULL")
+    told = found.groupBy("doc_id").agg(F.max(F.expr("doc_id <> component_id")).alias("gone"), F.expr("count_if(doc_id = component_id)").alias("n"))
+    told = materialise(told.where("gone OR n > 1"), "told")
+    again = told.where("n > 1").select("doc_id")
+    kept = join_small(docs, told.where("gone").select("doc_id"), ["doc_id"], jaccard.MOST_IDS, "left_anti")
     if again.isEmpty():
         return kept
     once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])

@@ -22,7 +22,7 @@ such sets meet there.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +42,12 @@ MOST_IDS = 1_000_000
 #: Cells in which signatures are counted: as many as hold so many rows each on average, and no fewer than the first number; one with HEAT times the mean holds a hot signature.
 #: So no group in a window is over HEAT * CELL_ROWS rows, however many documents there are.
 HEAT_CELLS, CELL_ROWS, HEAT = 4096, 1 << 16, 4
+#: Bits kept of a signature: as many, or 16 more than the number of rows has.
+KEPT = 44
+#: Beyond so many expected rows, heat is told from one document in HEAT_SHARE: it only says which way a cell goes, not what is found.
+HEAT_SAMPLED, HEAT_SHARE = 1 << 22, 8
+#: Signatures that a task packs at a time.
+CHUNK = 1 << 20
 #: Members up to which a torn group is compared as it is, 8 million cheap comparisons at most. Larger ones are split by a fresh partition, which costs
 #: about 200 rows a member, whatever the group's size. Parts that are still larger are compared in blocks of about so many.
 CROWD = 4096
@@ -157,25 +163,28 @@ def sketch(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(flips.astype(np.uint8)).view(np.int64)
 
 
-def profiles(df: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, digest, sketch (s0, s1, ...), signatures and their number of each row."""
+def _marked(df: DataFrame, key: str, text: str) -> DataFrame:
+    """doc_id, mark, text: the mark is the same for rows of one id and text."""
+    return df.selectExpr(f"CAST(`{key}` AS LONG) AS doc_id", f"xxhash64(CAST(`{key}` AS LONG), `{text}`) AS mark", f"`{text}` AS text")
+
+
+def profiles(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
+    """doc_id, mark, n_shingles, digest and sketch (s0, s1, ...) of each row."""
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        scheme, size, digest, parts, sigs = Scheme(percent), [], [], [], []
-        for t in batch.column(1).to_pylist():
+        size, digest, parts = [], [], []
+        for t in batch.column(2).to_pylist():
             tokens = shingle_set(t, n)
             size.append(len(tokens))
             digest.append(xxhash.xxh3_128_digest(tokens.tobytes()))
             parts.append(sketch(tokens))
-            sigs.append(signatures(tokens, scheme).view(np.int64) if len(tokens) else np.empty(0, np.int64))
         parts = np.array(parts)
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), *[pa.array(parts[:, i]) for i in range(SKETCH)], pa.array([len(x) for x in sigs], pa.int64()), pa.array(sigs, pa.list_(pa.int64()))],
-            ["doc_id", "n_shingles", "digest", *[f"s{i}" for i in range(SKETCH)], "n_sigs", "sigs"],
+            [batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), *[pa.array(parts[:, i]) for i in range(SKETCH)]],
+            ["doc_id", "mark", "n_shingles", "digest", *[f"s{i}" for i in range(SKETCH)]],
         )
 
-    docs = df.selectExpr(f"CAST(`{key}` AS LONG) AS doc_id", f"`{text}` AS text")
-    return map_batches(docs, fn, "doc_id long, n_shingles long, digest binary, " + "".join(f"s{i} long, " for i in range(SKETCH)) + "n_sigs long, sigs array<long>")
+    return map_batches(_marked(df, key, text), fn, "doc_id long, mark long, n_shingles long, digest binary, " + ", ".join(f"s{i} long" for i in range(SKETCH)))
 
 
 def _may_link(a: str, b: str, percent: int) -> str:
@@ -208,23 +217,94 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
     return both.select("a", "b", "ta", "tb").mapInArrow(test, "a long, b long").distinct()
 
 
-def _groups(flat: DataFrame, rows: int = 0) -> DataFrame:
-    """flat (doc_id, sig) with hub, the smallest doc_id of the signature, and n, its rows; only where n > 1.
+Sign = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
+
+
+def _given(sigs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    return np.ones(len(sigs), np.int64), sigs.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+
+
+def signer(n: int, percent: int) -> Sign:
+    """From texts to the number of signatures of each one, and all of them in a row."""
+
+    def sign(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        scheme = Scheme(percent)
+        found = [signatures(x, scheme) if len(x := shingle_set(t, n)) else np.empty(0, np.uint64) for t in texts.to_pylist()]
+        return np.array([len(x) for x in found], np.int64), np.concatenate([*found, np.empty(0, np.uint64)])
+
+    return sign
+
+
+def _heat(docs: DataFrame, bits: int, sign: Sign) -> DataFrame:
+    """(cell, n): signatures of each cell, counted within a task first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(1 << bits, np.int64)
+        for batch in batches:
+            n += np.bincount((sign(batch.column(1))[1] & np.uint64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits)
+        held = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(n[held])], ["cell", "n"])
+
+    return docs.mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+
+
+def _packed(docs: DataFrame, bits: int, kept: int, sign: Sign) -> DataFrame:
+    """cell, high, low, rest: arrays of the documents and signatures of one cell, as far as a task has read.
 
+    A cell is the low bits of a signature; of the others the next are kept, up to
+    32, so a few documents meet that don't share one: one pair for some 100,000
+    signatures. An id is its high and low 32 bits.
+    """
+
+    def pack(ids: np.ndarray, sigs: np.ndarray) -> pa.RecordBatch:
+        cell, high = (sigs & np.uint64((1 << bits) - 1)).astype(np.int32), (ids >> 32).astype(np.int32)
+        order = np.lexsort((high, cell)) if len(high) and high.min() < high.max() else np.argsort(cell, kind="stable")
+        cell, high = cell[order], high[order]
+        at = np.flatnonzero(np.concatenate((np.ones(min(1, len(cell)), bool), (np.diff(cell) != 0) | (np.diff(high) != 0))))
+        ends = pa.array(np.append(at, len(cell)).astype(np.int32))
+        arrays = [pa.ListArray.from_arrays(ends, pa.array(x[order].astype(np.uint32).view(np.int32))) for x in (ids & 0xFFFFFFFF, sigs >> np.uint64(bits) & np.uint64((1 << min(32, kept - bits)) - 1))]
+        return pa.RecordBatch.from_arrays([pa.array(cell[at]), pa.array(high[at]), *arrays], ["cell", "high", "low", "rest"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, sigs, held = [], [], 0
+        for batch in batches:
+            n, found = sign(batch.column(1))
+            ids.append(np.repeat(batch.column(0).to_numpy(), n))
+            sigs.append(found)
+            held += len(found)
+            if held >= CHUNK:
+                yield pack(np.concatenate(ids), np.concatenate(sigs))
+                ids, sigs, held = [], [], 0
+        if held:
+            yield pack(np.concatenate(ids), np.concatenate(sigs))
+
+    return docs.mapInArrow(run, "cell int, high int, low array<int>, rest array<int>")
+
+
+def _groups(docs: DataFrame, rows: int = 0, sign: Sign = _given) -> DataFrame:
+    """doc_id and sig with hub, the smallest doc_id of the signature, and n, its rows; only where n > 1.
+
+    docs has a doc_id and what sign makes signatures of: texts, or a signature itself.
     Signatures are counted in cells first, whose number grows with the rows expected.
-    Those of hot cells, a quarter at most, are aggregated (which combines before it
-    shuffles) and joined back, a join that adaptive execution splits; the rest are
-    small groups, which a window serves.
+    They are shuffled by their cell, packed, and never written beside that. Those of
+    hot cells, a quarter at most, are aggregated (which combines before it shuffles)
+    and joined back, a join that adaptive execution splits; the rest are small
+    groups, which a window serves.
     """
-    cells = max(HEAT_CELLS, 1 << max(0, rows // CELL_ROWS).bit_length())
-    celled = flat.withColumn("cell", F.pmod("sig", F.lit(cells)))
-    heat = materialise(celled.groupBy("cell").agg(F.count("*").alias("n")), "heat")
+    bits = max(HEAT_CELLS, 1 << max(0, rows // CELL_ROWS).bit_length()).bit_length() - 1
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(HEAT_SHARE)) == 0) if rows > HEAT_SAMPLED else docs
+    heat = materialise(_heat(some, bits, sign), "heat")
     hot = heat.crossJoin(F.broadcast(heat.agg(F.avg("n").alias("mean")))).where(F.col("n") > HEAT * F.col("mean")).select("cell", F.lit(True).alias("hot"))
-    celled = join_small(celled, hot, ["cell"])
-    calm = celled.where("hot IS NULL").drop("cell", "hot")
-    found = calm.select("*", F.expr("min(doc_id) OVER (PARTITION BY sig) AS hub"), F.expr("count(*) OVER (PARTITION BY sig) AS n")).where("n > 1")
+    celled = join_small(_packed(docs, bits, max(KEPT, rows.bit_length() + 16), sign), hot, ["cell"])
+
+    def unpacked(packed: DataFrame) -> DataFrame:
+        each = packed.select("cell", "high", F.inline(F.arrays_zip("low", "rest")))
+        return each.selectExpr("cell", "shiftleft(CAST(high AS LONG), 32) | (CAST(low AS LONG) & 4294967295) AS doc_id", f"shiftleft(CAST(rest AS LONG) & 4294967295, {bits}) | cell AS sig")
+
+    calm = unpacked(celled.where("hot IS NULL").repartition("cell"))
+    found = calm.select("doc_id", "sig", F.expr("min(doc_id) OVER (PARTITION BY cell, sig) AS hub"), F.expr("count(*) OVER (PARTITION BY cell, sig) AS n")).where("n > 1")
     if not hot.isEmpty():
-        busy = celled.where("hot").drop("cell", "hot")
+        busy = unpacked(materialise(celled.where("hot"), "busy")).drop("cell")
         totals = materialise(busy.groupBy("sig").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1"), "totals")
         found = found.unionByName(busy.join(totals, "sig").select(found.columns))
     return found
@@ -291,15 +371,15 @@ def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", n:
     """
     if (kind := dict(df.dtypes)[key]) not in ("tinyint", "smallint", "int", "bigint"):
         raise ValueError(f"ids have to be whole numbers, not {kind}")
-    prof = materialise(profiles(df, key, text, n, percent), "profiles")
+    prof = materialise(profiles(df, key, text, n), "profiles")
     some = prof.where("n_shingles > 0 AND doc_id IS NOT NULL")
     parts = ["n_shingles", *[f"s{i}" for i in range(SKETCH)]]
     classes = materialise(some.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in parts]), "classes")
     # one row of each large class of equal sets writes signatures; a few equal ones more don't make a group hot
     hot = classes.where(F.col("copies") > HOT_COPIES).select("digest", F.col("doc_id").alias("rep"))
-    one = join_small(some.select("doc_id", "digest", "n_sigs", "sigs"), hot, ["digest"]).where("rep IS NULL OR rep = doc_id")
-    flat = one.select("doc_id", F.explode("sigs").alias("sig"))
-    groups = materialise(_groups(flat, one.agg(F.sum("n_sigs")).first()[0] or 0), "groups")
+    copies = materialise(join_small(some.select("doc_id", "mark", "digest"), hot, ["digest"], how="inner").where("rep <> doc_id").select("mark").distinct(), "copies")
+    one = join_small(_marked(df, key, text).where("doc_id IS NOT NULL"), copies, ["mark"], MOST_IDS, "left_anti").select("doc_id", "text")
+    groups = materialise(_groups(one, some.agg(F.sum("n_shingles")).first()[0] or 0, signer(n, percent)), "groups")
 
     small = classes.select("doc_id", *parts)
     first = groups.where("doc_id <> hub").groupBy(F.col("hub").alias("a"), F.col("doc_id").alias("b")).agg(F.count("*").alias("shared"))

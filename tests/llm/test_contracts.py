@@ -5,12 +5,13 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 from statistics import NormalDist
 
 import pytest
 from pyspark.sql import functions as F
 
-from seqweave.llm import jaccard, langid, media, mixing, packing, quality, queries, secrets, sharding, toxicity, warc
+from seqweave.llm import common, jaccard, langid, media, mixing, packing, quality, queries, secrets, sharding, toxicity, warc
 from seqweave.llm.common import table
 
 SMALL = "/root/testdata/sf0.001"
@@ -334,6 +335,32 @@ def test_jaccard_cells_grow_with_rows(spark, monkeypatch):
     assert rows == sorted(map(tuple, jaccard._groups(flat).collect()))
 
 
+def test_jaccard_signatures_of_any_ids(spark, monkeypatch):
+    """Ids of more than 32 bits, negative ones, chunks of a few signatures and heat told from a part of the documents."""
+    monkeypatch.setattr(jaccard, "CHUNK", 100)
+    monkeypatch.setattr(jaccard, "HEAT_SAMPLED", 0)
+    flat = spark.range(9000).selectExpr("CASE id % 3 WHEN 0 THEN id WHEN 1 THEN -id ELSE id * 1000000007 END AS doc_id", "explode(array(5, 100 + id % 4000)) AS sig")
+    want = flat.groupBy("sig").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1").join(flat, "sig").select("doc_id", "sig", "hub", "n")
+    assert sorted(map(tuple, jaccard._groups(flat, 18_000).select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_jaccard_signatures_are_not_written_beside_the_shuffle(spark):
+    """What is written of each document doesn't grow with its text; the pipeline's stage doesn't shuffle texts."""
+    import random
+
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    df = spark.createDataFrame([(k, " ".join(f"w{rng.randrange(10**6)}" for _ in range(500))) for k in range(300)], "doc_id long, text string")
+    folder = Path(common.shared_dir(spark).removeprefix("file://"))
+    before = set(folder.iterdir())
+    assert jaccard.similar_documents(df).count() == 300
+    written = sum(f.stat().st_size for d in set(folder.iterdir()) - before for f in d.glob("*.parquet"))
+    assert written < 300 * 1000
+    kept = corpus_pipeline.drop_near_duplicates(spark, df, SMALL)
+    assert kept.count() == 300 and "Exchange" not in kept._jdf.queryExecution().executedPlan().toString().replace("BroadcastExchange", "")
+
+
 def test_jaccard_ids_of_text_are_an_error(spark):
     with pytest.raises(ValueError, match="whole numbers"):
         jaccard.similar_documents(spark.createDataFrame([("a", "x")], "doc_id string, text string"))
