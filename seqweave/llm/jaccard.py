@@ -47,7 +47,7 @@ KEPT = 44
 #: Beyond so many expected rows, heat is told from one document in HEAT_SHARE: it only says which way a cell goes, not what is found.
 HEAT_SAMPLED, HEAT_SHARE = 1 << 22, 8
 #: Signatures that a task packs at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Members up to which a torn group is compared as it is, 8 million cheap comparisons at most. Larger ones are split by a fresh partition, which costs
 #: about 200 rows a member, whatever the group's size. Parts that are still larger are compared in blocks of about so many.
 CROWD = 4096
@@ -266,16 +266,16 @@ def _packed(docs: DataFrame, bits: int, kept: int, sign: Sign) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(cell[at]), pa.array(high[at]), *arrays], ["cell", "high", "low", "rest"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, sigs, held = [], [], 0
+        ids, sigs = [], []
         for batch in batches:
             n, found = sign(batch.column(1))
             ids.append(np.repeat(batch.column(0).to_numpy(), n))
             sigs.append(found)
-            held += len(found)
-            if held >= CHUNK:
-                yield pack(np.concatenate(ids), np.concatenate(sigs))
-                ids, sigs, held = [], [], 0
-        if held:
+            if sum(map(len, sigs)) >= CHUNK:
+                whole = np.concatenate(ids), np.concatenate(sigs)
+                ids, sigs = [], []
+                yield pack(*whole)
+        if any(map(len, sigs)):
             yield pack(np.concatenate(ids), np.concatenate(sigs))
 
     return docs.mapInArrow(run, "cell int, high int, low array<int>, rest array<int>")
