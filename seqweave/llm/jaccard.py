@@ -163,6 +163,23 @@ def sketch(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(flips.astype(np.uint8)).view(np.int64)
 
 
+#: Places of a set's counts: one for 2 to 4 tokens, within these bounds.
+PLACES = 1 << 8, 1 << 14
+
+
+def counts(tokens: np.ndarray) -> np.ndarray:
+    """Tokens at each of a power of two of places, by the low bits of their hash, 255 at most."""
+    m = min(PLACES[1], max(PLACES[0], 1 << max(0, len(tokens).bit_length() - 2)))
+    return np.minimum(np.bincount((tokens & np.uint64(m - 1)).astype(np.int64), minlength=m), 255).astype(np.uint8)
+
+
+def least_difference(x: np.ndarray, y: np.ndarray) -> int:
+    """A number of tokens by which two sets differ at least, from their counts; those of more places are folded."""
+    m = min(len(x), len(y))
+    x, y = (np.minimum(c.reshape(-1, m).sum(0, dtype=np.int64), 255) for c in (x, y))
+    return int(np.abs(x - y).sum())
+
+
 def _marked(df: DataFrame, key: str, text: str) -> DataFrame:
     """doc_id, mark, text: the mark is the same for rows of one id and text."""
     return df.selectExpr(f"CAST(`{key}` AS LONG) AS doc_id", f"xxhash64(CAST(`{key}` AS LONG), `{text}`) AS mark", f"`{text}` AS text")
@@ -194,16 +211,39 @@ def _may_link(a: str, b: str, percent: int) -> str:
     return f"100 * LEAST({a}.n_shingles, {b}.n_shingles) >= {percent} * GREATEST({a}.n_shingles, {b}.n_shingles) AND {apart} <= {most}"
 
 
-def _texts(df: DataFrame, pairs: DataFrame, key: str, text: str) -> DataFrame:
-    """The whole texts of the documents in pairs: few beside all, and smaller than their sets of hashes."""
+def _texts(df: DataFrame, pairs: DataFrame, key: str, text: str, n: int) -> DataFrame:
+    """doc_id, text, size and counts of the documents in pairs: few beside all. Whole texts are smaller than their sets of hashes, counts about a twentieth of them."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
     docs = df.selectExpr(f"CAST(`{key}` AS LONG) AS doc_id", f"`{text}` AS text")
-    return materialise(join_small(docs, ids, ["doc_id"], MOST_IDS, "left_semi"), "texts")
+
+    def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingle_set(t, n) for t in batch.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) for x in sets], pa.int64()), pa.array([counts(x).tobytes() for x in sets], pa.binary())], ["doc_id", "text", "size", "counts"])
+
+    return materialise(map_batches(join_small(docs, ids, ["doc_id"], MOST_IDS, "left_semi"), fn, "doc_id long, text string, size long, counts binary"), "texts")
+
+
+def _of_both(pairs: DataFrame, texts: DataFrame, *columns: str) -> DataFrame:
+    """pairs with columns of both documents, those of a before those of b."""
+    of = lambda end: texts.select(F.col("doc_id").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in columns])
+    return pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b").select("a", "b", *[f"{end}_{c}" for end in "ab" for c in columns])
+
+
+def _near(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Those pairs (a, b) that may meet the threshold by their counts: no other pair's texts are shuffled."""
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scheme = Scheme(percent)
+        for batch in batches:
+            _, _, na, ca, nb, cb = (c.to_pylist() for c in batch.columns)
+            ok = [least_difference(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)) <= scheme.difference(i + j) for i, x, j, y in zip(na, ca, nb, cb, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return materialise(_of_both(pairs, texts, "size", "counts").mapInArrow(test, "a long, b long").distinct(), "near")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """Those pairs (a, b) whose whole shingle sets meet the threshold."""
-    both = pairs.select("a", "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,7 +254,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
                 ok.append(shared > 0 and 100 * shared >= percent * (len(x) + len(y) - shared))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(test, "a long, b long").distinct()
+    return _of_both(_near(pairs, texts, percent), texts, "text").mapInArrow(test, "a long, b long").distinct()
 
 
 Sign = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
@@ -341,7 +381,7 @@ def _apart(members: DataFrame, small: DataFrame, df: DataFrame, key: str, text:
     crowd, parts = torn.where(f"size > {CROWD}"), torn.where(f"size <= {CROWD}")
     if not crowd.isEmpty():
         ids = crowd.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"))
-        fresh = materialise(_anew(_texts(df, ids, key, text), n, percent), "fresh")
+        fresh = materialise(_anew(_texts(df, ids, key, text, n), n, percent), "fresh")
         split = crowd.join(fresh, "doc_id").select("doc_id", "c", "sig", F.explode("fresh").alias("again")).select(F.xxhash64("sig", "again").alias("sig"), "doc_id", "c")
         parts = parts.unionByName(_torn(split))
     blocks = F.ceil(F.col("size") / CROWD).cast("int")
@@ -384,7 +424,7 @@ def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", n:
     small = classes.select("doc_id", *parts)
     first = groups.where("doc_id <> hub").groupBy(F.col("hub").alias("a"), F.col("doc_id").alias("b")).agg(F.count("*").alias("shared"))
     stars = materialise(first.join(small.alias("x"), F.expr("a = x.doc_id")).join(small.alias("y"), F.expr(f"b = y.doc_id AND {_may_link('x', 'y', percent)}")).select("a", "b", "shared"), "stars")
-    texts = _texts(df, stars, key, text)
+    texts = _texts(df, stars, key, text, n)
     nearest = stars.groupBy("b").agg(F.max(F.struct("shared", (-F.col("a")).alias("z"))).alias("m")).select((-F.col("m.z")).alias("a"), "b")
     links = materialise(_verified(nearest, texts, n, percent), "links")
     found = materialise(components(links), "found")
@@ -399,7 +439,7 @@ def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", n:
     placed = groups.where("n > 2").select("sig", "doc_id", "hub").join(classes.select("doc_id"), "doc_id", "left_semi").join(found.select(F.col("node").alias("doc_id"), F.col("component").alias("c")), "doc_id", "left").select("sig", "doc_id", "hub", F.coalesce("c", "doc_id").alias("c"))
     cross = materialise(_apart(placed.select("sig", "doc_id", "c"), small, df, key, text, n, percent).join(stars, ["a", "b"], "left_anti"), "cross")
     if not cross.isEmpty():
-        links = links.unionByName(materialise(_verified(cross, _texts(df, cross, key, text), n, percent), "links"))
+        links = links.unionByName(materialise(_verified(cross, _texts(df, cross, key, text, n), n, percent), "links"))
         found = components(links)
 
     owner = classes.select("digest", "doc_id", "copies").join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").where("copies > 1 OR component IS NOT NULL")
