@@ -12,7 +12,6 @@ from seqweave.functions.exprs import join_small, null_strata
 from seqweave.functions.tables import written
 from seqweave.operators import assoc, compare
 from seqweave.operators.transforms import hashed
-from seqweave.operators.zones import shuffle_globally
 
 #: The Poisson distribution of mean 1, up to which its number is 0, 1, 2, ...
 POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]
@@ -58,14 +57,86 @@ def divergence_bootstrap(seq: DataFrame, site: str, seed: str, reps: int = 200,
     return g.withColumn("verdict", F.when(F.col("low") > robust, "ROBUST").when(F.col("low") > supported, "SUPPORTED").otherwise("FRAGILE"))
 
 
+#: Tokens that are dealt at a time, on average.
+DEALT = 1 << 20
+
+
+def dealt_bigrams(states: DataFrame, lengths: DataFrame, by: list[str], seed: str, reps: int) -> DataFrame:
+    """(by, rep, a, b, cnt): neighbours once a stratum's tokens are dealt anew to its sequences, whose lengths stay.
+
+    states (by, sym, cnt) and lengths (by, len, n) are all that a deal depends on, so no token is
+    shuffled; a and b are places in the order of the stratum's symbols. Every token would draw a cell:
+    each symbol's counts by cell are multinomial. Within its cell, tokens are shuffled; the cells in a row
+    are an even permutation of all. They fill the sequences, shorter ones first, and a cell knows the
+    first token of the next, for sequences that go on there.
+    """
+    from hashlib import md5
+
+    import numpy as np
+
+    def drawn(*parts: object) -> np.random.Generator:
+        return np.random.default_rng(int(md5("|".join(map(str, parts)).encode()).hexdigest(), 16))
+
+    kinds = dict(states.dtypes)
+    bags = states.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("sym", "cnt")))["cnt"].alias("bag"))
+    sizes = lengths.where("len > 0").groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("len", "n"))).alias("x")).select(*by, F.col("x.len").cast("array<long>").alias("lens"), F.col("x.n").alias("ns"))
+    name = F.concat_ws("|", *[F.col(c).cast("string") for c in by])
+    strata = bags.join(sizes, by).select(*by, F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"), name.alias("name"), "bag", "lens", "ns")
+
+    def celled(batches: Iterator) -> Iterator:  # of Arrow batches
+        import pyarrow as pa
+
+        for batch in batches:
+            for i, (rep, stratum, bag, lens, ns) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("rep", "name", "bag", "lens", "ns")], strict=True)):
+                k = -(-sum(bag) // DEALT)
+                rng = drawn(seed, rep, stratum)
+                split = rng.multinomial(np.array(bag), np.full(k, 1 / k))
+                n = split.sum(0)
+                ends, runs = np.cumsum(n), np.concatenate(([0], np.cumsum(np.array(lens) * np.array(ns))))
+                held = np.flatnonzero(n)
+                heads = [int(np.searchsorted(np.cumsum(split[:, j]), rng.integers(n[j]), "right")) for j in held]
+                for at, j in enumerate(held):
+                    low, high = np.searchsorted(runs, ends[j] - n[j], "right") - 1, np.searchsorted(runs[:-1], ends[j], "right")
+                    row = {"cell": int(j), "start": int(ends[j] - n[j]), "head": heads[at], "after": heads[at + 1] if at + 1 < len(held) else -1, "bag": split[:, j], "lens": lens[low:high], "runs": runs[low:high]}
+                    yield pa.RecordBatch.from_arrays([batch.column(c)[i : i + 1] for c in (*by, "rep", "name")] + [pa.array([v]) for v in row.values()], [*by, "rep", "name", *row])
+
+    def dealt(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for i, x in enumerate(batch.select(["rep", "name", "cell", "start", "head", "after", "bag", "lens", "runs"]).to_pylist()):
+                bag, lens, runs = (np.array(x[c]) for c in ("bag", "lens", "runs"))
+                bag[x["head"]] -= 1
+                rest = np.repeat(np.arange(len(bag)), bag)
+                drawn(seed, x["rep"], x["name"], x["cell"]).shuffle(rest)
+                t = np.concatenate(([x["head"]], rest, [x["after"]] if x["after"] >= 0 else np.empty(0, int)))
+                place = x["start"] + np.arange(1, len(t))
+                run = np.searchsorted(runs, place, "right") - 1
+                goes_on = (place - runs[run]) % lens[run] > 0
+                cnt = np.bincount(t[:-1][goes_on] * len(bag) + t[1:][goes_on], minlength=1)
+                met = np.flatnonzero(cnt)
+                own = [pa.chunked_array([batch.column(c)]).take(pa.array(np.full(len(met), i))).combine_chunks() for c in (*by, "rep")]
+                yield pa.RecordBatch.from_arrays([*own, *map(pa.array, (met // len(bag), met % len(bag), cnt[met]))], [*by, "rep", "a", "b", "cnt"])
+
+    keys = ", ".join([*[f"`{c}` {kinds[c]}" for c in by], "rep int"])
+    cells = strata.mapInArrow(celled, f"{keys}, name string, cell long, start long, head long, after long, bag array<long>, lens array<long>, runs array<long>")
+    spread = cells.repartition(int(states.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by, "rep", "cell")  # few bytes, much to do: not to be coalesced
+    return spread.mapInArrow(dealt, f"{keys}, a long, b long, cnt long").groupBy(*by, "rep", "a", "b").agg(F.sum("cnt").alias("cnt"))
+
+
 @null_strata
 def gap_null(seq: DataFrame, by: list[str], seed: str, reps: int = 20, vocab: int = 200) -> DataFrame:
-    """Spectral gap of each stratum against its tokens dealt anew to its sequences: p = (k + 1) / (n + 1), mean and quantiles of the null."""
-    x = replicated(seq.select("seq_id", *by, "symbols"), reps, 1)
-    key = F.concat_ws("/", F.col("rep").cast("string"), F.col("seq_id").cast("string"))
-    dealt = written(shuffle_globally(x, seed, [*by, "rep"], key).select(*by, "rep", "symbols"), "dealt")  # read twice
-    null = assoc.spectral_gap(dealt, [*by, "rep"], vocab).select(*by, F.col("gap").alias("null_gap"))
-    j = null.join(assoc.spectral_gap(seq, by, vocab).select(*by, "gap"), by)
+    """Spectral gap of each stratum against its tokens dealt anew to its sequences: p = (k + 1) / (n + 1), mean and quantiles of the null.
+
+    Counts of symbols don't change, so the states of a deal are those observed: the top symbols and OTHER.
+    """
+    x = written(seq.select(*by, "symbols"), "sequences")  # read for symbols, lengths and neighbours
+    counts, top = assoc.top_states(x, by, vocab)
+    state = F.when(F.col("known"), F.col("sym")).otherwise("OTHER").alias("sym")
+    states = counts.join(top, [*by, "sym"], "left").groupBy(*by, state).agg(F.sum("cnt").alias("cnt"))
+    lengths = x.groupBy(*by, F.size("symbols").alias("len")).agg(F.count("*").alias("n"))
+    null = assoc.transition_gaps(dealt_bigrams(states, lengths, by, seed, reps), [*by, "rep"]).select(*by, F.col("gap").alias("null_gap"))
+    j = null.join(assoc.spectral_gap(x, by, vocab).select(*by, "gap"), by)
     g = j.groupBy(*by, "gap").agg(F.count("*").alias("n"), F.sum(F.when(F.col("null_gap") >= F.col("gap"), 1).otherwise(0)).alias("over"), F.avg("null_gap").alias("null_mean"), F.percentile("null_gap", 0.05).alias("null_p05"), F.percentile("null_gap", 0.95).alias("null_p95"))
     return g.select(*by, "gap", ((F.col("over") + 1) / (F.col("n") + 1)).alias("p"), "null_mean", "null_p05", "null_p95")
 
