@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqweave.functions.exprs import bigrams, hash_rank, join_ranks
+from seqweave.functions.exprs import bigrams, hash_rank, join_ranks, join_small
 from seqweave.functions.tables import written
 from seqweave.operators.transforms import shuffle_within
 
@@ -33,10 +35,8 @@ def context_association(seq: DataFrame, context: str, seed: str, reps: int = 20,
     The corpus is read once, and the replicates' counts are written once.
     """
     s = written(seq.where(F.col(context).isNotNull()).select("seq_id", F.col(context).alias("ctx"), F.array_distinct("symbols").alias("symbols")), "contexts")
-    base = s.withColumn("rep", F.lit(0)).select("rep", "seq_id", "ctx", "symbols")
-    shuffled = permuted(s, seed, reps)
-    both = base.unionByName(shuffled)
-    c = written(both.select("rep", "ctx", F.explode("symbols").alias("sym")).groupBy("rep", "sym", "ctx").agg(F.count("*").alias("cnt")), "replicates")
+    base = s.select(F.lit(0).alias("rep"), "ctx", F.explode("symbols").alias("sym")).groupBy("rep", "sym", "ctx").agg(F.count("*").alias("cnt"))
+    c = written(base.unionByName(permuted_counts(s, seed, reps)), "replicates")
     # totals combine before they shuffle; no task holds a replicate
     counts = c
     for name, keys in (("n", ["rep"]), ("cs", ["rep", "sym"]), ("cc", ["rep", "ctx"])):
@@ -62,6 +62,155 @@ def permuted(s: DataFrame, seed: str, reps: int) -> DataFrame:
     return join_ranks(left, right, ["rep"]).select("rep", "seq_id", "ctx", "symbols")
 
 
+#: Rows that are hashed at a time, ranks that are met at a time, and rows of all replicates that are under way together.
+CHUNK, RANKS, UNDER_WAY = 1 << 18, 1 << 16, 1 << 26
+
+
+def permuted_counts(s: DataFrame, seed: str, reps: int) -> DataFrame:
+    """(rep, sym, ctx, cnt): the rows of permuted, counted by symbol and context; s (seq_id, ctx, symbols).
+
+    A few replicates at a time, so that disk doesn't grow with their number. 72 bits of hashes are compared; should two be equal, all 128.
+    """
+    kinds = {"sym": s.schema["symbols"].dataType.elementType, "ctx": s.schema["ctx"].dataType}
+    x = s.select(F.coalesce(F.concat(F.lit("|"), F.col("seq_id").cast("string")), F.lit("")).alias("tail"), F.col("symbols").cast("array<string>").alias("a"), F.array(F.col("ctx").cast("string")).alias("b"))
+    at_once = max(1, UNDER_WAY // max(1, s.count()))
+    out = None
+    for first in range(1, reps + 1, at_once):
+        some = range(first, min(first + at_once, reps + 1))
+        cells = _packed_cells(x, seed, some, 8)
+        if not cells.where("ties").isEmpty():
+            cells = _packed_cells(x, seed, some, 15)
+        found = written(_met(cells), "met")
+        out = found if out is None else out.unionByName(found)
+    for c, own in (("sym", F.explode("symbols")), ("ctx", F.col("ctx"))):
+        if kinds[c].simpleString() != "string":
+            names = written(s.select(own.alias("own")).distinct().select("own", F.col("own").cast("string").alias("name")), "names")
+            out = out.join(names, F.col(c).eqNullSafe(F.col("name"))).withColumn(c, F.col("own")).select("rep", "sym", "ctx", "cnt")
+    return out
+
+
+def _packed_cells(x: DataFrame, seed: str, reps: range, width: int) -> DataFrame:
+    """(rep, side, cell, n, ties, sizes, codes, names): lists a and b of x (tail, a, b) in the order of the md5 of seed, side, replicate and tail.
+
+    A cell holds hashes of one first byte. Rows travel packed by chunk and cell, with so many more
+    bytes of their hash; items are codes, their names go along once. ties: these bytes left an order open.
+    """
+    numbers = list(reps)
+
+    def keyed(batches: Iterator) -> Iterator:  # of Arrow batches
+        from hashlib import md5
+
+        import numpy as np
+        import pyarrow as pa
+
+        def least(v: np.ndarray) -> bytes:
+            return v.astype(np.min_scalar_type(v.max(initial=0))).tobytes()
+
+        def packed(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            tails = [t.encode() for t in rows["tail"].to_pylist()]
+            for side in "ab":
+                lists = rows[side].combine_chunks()
+                sizes = np.diff(lists.offsets.to_numpy())
+                held = lists.flatten().dictionary_encode(null_encoding="encode")
+                names, codes = held.dictionary, held.indices.to_numpy().astype(np.int64)
+                begins = np.concatenate(([0], np.cumsum(sizes)))
+                for rep in numbers:
+                    start = f"{seed}|{side}|{rep}".encode()
+                    d = np.frombuffer(b"".join([md5(start + t).digest() for t in tails]), np.uint8).reshape(-1, 16)
+                    order = np.argsort(d[:, 0], kind="stable")
+                    d, n = d[order], sizes[order]
+                    ends = np.cumsum(n)
+                    own = codes[np.repeat(begins[order] - ends + n, n) + np.arange(n.sum())]
+                    cells, at = np.unique(d[:, 0], return_index=True)
+                    out = []
+                    for cell, i, j in zip(cells.tolist(), at.tolist(), [*at[1:].tolist(), len(d)], strict=True):
+                        used, part = np.unique(own[ends[i] - n[i] : ends[j - 1]], return_inverse=True)
+                        out.append((rep, side, cell, d[i:j, 1 : 1 + width].tobytes(), least(n[i:j]), least(part), names.take(pa.array(used)).to_pylist()))
+                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), (pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.string())), strict=True)], ["rep", "side", "cell", "keys", "sizes", "codes", "names"])
+
+        waiting, k = [], 0
+        for batch in batches:
+            waiting.append(batch)
+            k += batch.num_rows
+            if k >= CHUNK:
+                yield from packed(pa.Table.from_batches(waiting))
+                waiting, k = [], 0
+        if k:
+            yield from packed(pa.Table.from_batches(waiting))
+
+    def merged(rows):  # noqa: ANN001, ANN202
+        import numpy as np
+        import pyarrow as pa
+
+        least = lambda v: v.astype(np.min_scalar_type(v.max(initial=0))).tobytes()
+        whole = lambda b, n: np.frombuffer(b, f"u{len(b) // n}").astype(np.int64) if n else np.empty(0, np.int64)
+        keys = rows["keys"].to_pylist()
+        sizes = [whole(b, len(k) // width) for b, k in zip(rows["sizes"].to_pylist(), keys, strict=True)]
+        held = rows["names"].combine_chunks().flatten().dictionary_encode(null_encoding="encode")
+        to, at, codes = held.indices.to_numpy(), 0, []
+        for b, n, names in zip(rows["codes"].to_pylist(), sizes, rows["names"].to_pylist(), strict=True):
+            codes.append(to[at : at + len(names)][whole(b, int(n.sum()))])
+            at += len(names)
+        d = np.frombuffer(b"".join(keys), np.uint8).reshape(-1, width)
+        both = np.ascontiguousarray(np.pad(d, ((0, 0), (0, 16 - width)))).view(">u8")
+        order = np.lexsort((both[:, 1], both[:, 0])) if width > 8 else np.argsort(both[:, 0])
+        both = both[order]
+        ties = bool((both[1:] == both[:-1]).all(axis=1).any())
+        sizes, codes = np.concatenate(sizes), np.concatenate(codes)
+        begins, n = np.concatenate(([0], np.cumsum(sizes))), sizes[order]
+        codes = codes[np.repeat(begins[order] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        return pa.table({**{c: rows[c][:1] for c in ("rep", "side", "cell")}, "n": pa.array([len(n)], pa.int64()), "ties": [ties], "sizes": pa.array([least(n)], pa.binary()), "codes": pa.array([least(codes)], pa.binary()), "names": pa.array([held.dictionary.to_pylist()], pa.list_(pa.string()))})
+
+    rows = x.mapInArrow(keyed, "rep int, side string, cell int, keys binary, sizes binary, codes binary, names array<string>")
+    return written(rows.groupBy("rep", "side", "cell").applyInArrow(merged, "rep int, side string, cell int, n long, ties boolean, sizes binary, codes binary, names array<string>"), "cells")
+
+
+def _met(cells: DataFrame) -> DataFrame:
+    """(rep, sym, ctx, cnt): items of the i-th lists of both sides, a and b, counted together; cells from _packed_cells."""
+    keys = ["rep", "side"]
+    before = F.sum("n").over(Window.partitionBy(*keys).orderBy("cell")) - F.col("n")
+    x = join_small(cells.drop("ties"), cells.select(*keys, "cell", before.alias("first")), [*keys, "cell"], "inner")
+
+    def cut(batches: Iterator) -> Iterator:  # into blocks of ranks
+        import numpy as np
+        import pyarrow as pa
+
+        least = lambda v: v.astype(np.min_scalar_type(v.max(initial=0))).tobytes()
+        whole = lambda b, n: np.frombuffer(b, f"u{len(b) // n}").astype(np.int64) if n else np.empty(0, np.int64)
+        for batch in batches:
+            for r in batch.select(["rep", "side", "n", "first", "sizes", "codes", "names"]).to_pylist():
+                sizes = whole(r["sizes"], r["n"])
+                codes, begins, names = whole(r["codes"], int(sizes.sum())), np.concatenate(([0], np.cumsum(sizes))), pa.array(r["names"], pa.string())
+                for block in range(r["first"] // RANKS, (r["first"] + r["n"] - 1) // RANKS + 1):
+                    i, j = (min(max(at - r["first"], 0), r["n"]) for at in (block * RANKS, (block + 1) * RANKS))
+                    used, part = np.unique(codes[begins[i] : begins[j]], return_inverse=True)
+                    row = {"rep": pa.array([r["rep"]], pa.int32()), "block": pa.array([block], pa.int64()), "side": [r["side"]], "low": pa.array([r["first"] + i], pa.int64()), "n": pa.array([j - i], pa.int64()), "sizes": pa.array([least(sizes[i:j])], pa.binary()), "codes": pa.array([least(part)], pa.binary()), "names": pa.array([names.take(pa.array(used)).to_pylist()], pa.list_(pa.string()))}
+                    yield pa.RecordBatch.from_pydict(row)
+
+    def counted(rows):  # noqa: ANN001, ANN202
+        import numpy as np
+        import pyarrow as pa
+
+        whole = lambda b, n: np.frombuffer(b, f"u{len(b) // n}").astype(np.int64) if n else np.empty(0, np.int64)
+
+        def side(name: str) -> tuple:
+            mine = sorted((r for r in rows.to_pylist() if r["side"] == name), key=lambda r: r["low"])
+            held = pa.array([x for r in mine for x in r["names"]], pa.string()).dictionary_encode(null_encoding="encode")
+            to, at, sizes, codes = held.indices.to_numpy(), 0, [], []
+            for r in mine:
+                sizes.append(whole(r["sizes"], r["n"]))
+                codes.append(to[at : at + len(r["names"])][whole(r["codes"], int(sizes[-1].sum()))])
+                at += len(r["names"])
+            return np.concatenate(sizes), np.concatenate(codes), held.dictionary
+
+        (sizes, syms, sym_names), (_, ctx, ctx_names) = side("a"), side("b")
+        pairs, n = np.unique(syms.astype(np.int64) * len(ctx_names) + np.repeat(ctx, sizes), return_counts=True)
+        return pa.table({"rep": pa.array([rows["rep"][0].as_py()] * len(n), pa.int32()), "sym": sym_names.take(pa.array(pairs // len(ctx_names))), "ctx": ctx_names.take(pa.array(pairs % len(ctx_names))), "cnt": pa.array(n.astype(np.int64))})
+
+    blocks = x.mapInArrow(cut, "rep int, block long, side string, low long, n long, sizes binary, codes binary, names array<string>")
+    return blocks.groupBy("rep", "block").applyInArrow(counted, "rep int, sym string, ctx string, cnt long").groupBy("rep", "sym", "ctx").agg(F.sum("cnt").alias("cnt"))
+
+
 def bootstrap_mean(values: DataFrame, value: str, key: str, by: list[str], seed: str, reps: int = 100) -> DataFrame:
     """Mean and percentile interval by Poisson(1) weights from hashes: replicates need no shuffle of rows, only sums by replicate."""
     u = lambda r: F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), r.cast("string"), F.col(key).cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
