@@ -2,22 +2,107 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqweave.functions.exprs import hash_rank, join_ranks, tokens, unrolled
 from seqweave.functions.tables import written
+from seqweave.operators import positions
 from seqweave.operators.resampling import replicated
-from seqweave.operators.transforms import hashed, shuffle_within
+from seqweave.operators.transforms import hashed
 
 #: Measures are compared to so many decimals, so that the order of a sum doesn't decide a tie.
 PLACES = 12
 
 
-def with_shuffles(seq: DataFrame, seed: str, reps: int) -> DataFrame:
-    """(rep, seq_id, symbols): the sequences as they are (0) and shuffled within, written once for all measures."""
-    x = seq.select("seq_id", "symbols")
-    return written(x.select(F.lit(0).alias("rep"), "seq_id", "symbols").unionByName(shuffle_within(x, seed, reps).select(F.col("rep").cast("int").alias("rep"), "seq_id", "symbols")), "shuffles")
+#: Tokens that are shuffled at a time.
+CHUNK = 1 << 18
+
+
+def shuffled_neighbours(seq: DataFrame, seed: str, reps: int) -> DataFrame:
+    """(rep, sym, nb, first, last, cnt): tokens with the symbol after them and whether they start or end their sequence, counted and written once for all measures.
+
+    Replicate 0 has the sequences as they are, the others as shuffle_within makes them. Shuffled sequences aren't
+    written: a task counts those of so many tokens. 47 bits of hashes are compared; should two of a sequence be equal, all 128.
+    """
+    kind = seq.schema["symbols"].dataType.elementType
+
+    def run(batches: Iterator) -> Iterator:  # of Arrow batches
+        from hashlib import md5
+
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def counted(rep: int, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, names: pa.Array) -> pa.RecordBatch:
+            first, last = np.zeros(len(codes), bool), np.zeros(len(codes), bool)
+            first[starts], last[ends - 1] = True, True
+            v = len(names)
+            nb = np.where(last, 0, np.append(codes[1:], 0))
+            key, n = np.unique(((codes * v + nb) * 2 + first) * 2 + last, return_counts=True)
+            last, pair = pa.array(key % 2 > 0), key // 4
+            after = pc.if_else(last, pa.scalar(None, pa.int64()), pa.array(pair % v))
+            return pa.RecordBatch.from_arrays([pa.array([rep] * len(n), pa.int32()), names.take(pa.array(pair // v)), names.take(after), pa.array(key // 2 % 2 > 0), last, pa.array(n)], ["rep", "sym", "nb", "first", "last", "cnt"])
+
+        def shuffled(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            lists = rows["symbols"].combine_chunks()
+            ends = np.cumsum(np.diff(lists.offsets.to_numpy()))
+            starts = np.append(0, ends[:-1])
+            held = lists.flatten().dictionary_encode(null_encoding="encode")
+            names, codes = held.dictionary, held.indices.to_numpy().astype(np.int64)
+            row = np.repeat(np.arange(len(ends), dtype=np.uint64), ends - starts)
+            room = np.uint64(max(17, len(ends).bit_length()))
+            place = [f"|{i}".encode() for i in range(int((ends - starts).max()))]
+            tails = [t + p for t, n in zip((x.encode() for x in rows["tail"].to_pylist()), (ends - starts).tolist(), strict=True) for p in place[:n]]
+            yield counted(0, codes, starts, ends, names)
+            for rep in range(1, reps + 1):
+                head = f"{seed}|{rep}".encode()
+                d = np.frombuffer(b"".join([md5(head + t).digest() for t in tails]), ">u8").reshape(-1, 2).astype(np.uint64)
+                key = row << (np.uint64(64) - room) | d[:, 0] >> room
+                order = np.argsort(key)
+                key = key[order]
+                if (key[1:] == key[:-1]).any():
+                    order = np.lexsort((d[:, 1], d[:, 0], row))
+                yield counted(rep, codes[order], starts, ends, names)
+
+        waiting, k = [], 0
+        for batch in batches:
+            waiting.append(batch)
+            k += len(batch["symbols"].flatten())
+            if k >= CHUNK:
+                yield from shuffled(pa.Table.from_batches(waiting))
+                waiting, k = [], 0
+        if k:
+            yield from shuffled(pa.Table.from_batches(waiting))
+
+    x = seq.where("size(symbols) > 0").select(F.coalesce(F.concat(F.lit("|"), F.col("seq_id").cast("string")), F.lit("")).alias("tail"), "symbols")
+    name = kind.simpleString()
+    rows = x.mapInArrow(run, f"rep int, sym {name}, nb {name}, first boolean, last boolean, cnt long")
+    return written(rows.groupBy("rep", "sym", "nb", "first", "last").agg(F.sum("cnt").alias("cnt")), "neighbours")
+
+
+def _total(c: Column) -> Column:
+    return F.sum(F.when(c, F.col("cnt")).otherwise(0))
+
+
+def neighbour_rates(neighbours: DataFrame, by: list[str], min_count: int = 3) -> DataFrame:
+    """positions.rates from counts of shuffled_neighbours."""
+    c = neighbours.groupBy(*by, "sym").agg(F.sum("cnt").alias("n"), _total(F.col("first") & ~F.col("last")).alias("fi"), _total(F.col("last") & ~F.col("first")).alias("la"))
+    return positions.classed(c, by, min_count)
+
+
+def neighbour_polysemy(neighbours: DataFrame, by: list[str], targets: DataFrame, least: int = 3, bits: float = 0.3) -> DataFrame:
+    """polysemy_rate from counts of shuffled_neighbours."""
+    c = neighbours.where("NOT last").groupBy(*by, "sym", "nb").agg(_total(F.col("first")).alias("ci"), _total(~F.col("first")).alias("cr"))
+    return _polysemy(c, by, targets, least, bits)
+
+
+def neighbour_labels(neighbours: DataFrame) -> DataFrame:
+    """label_counts from the counts of shuffled_neighbours that were observed."""
+    both = F.col("first") & F.col("last")
+    return neighbours.where("rep = 0").groupBy("sym").agg(_total(~both).alias("n"), _total(F.col("first") & ~both).alias("first"), _total(F.col("last") & ~both).alias("last"))
 
 
 def tested(values: DataFrame, by: list[str], reps: int, value: str = "value") -> DataFrame:
@@ -49,12 +134,18 @@ def polysemy_rate(seq: DataFrame, by: list[str], targets: DataFrame, least: int
     KL with one added to each count of the neighbours met in either place; symbols
     with fewer than least neighbours in one of them count as not differing.
     """
-    known = targets.select("sym").distinct()
     n = F.size("symbols") - 1
     most = F.greatest(n, F.lit(0))
     pair = F.arrays_zip(F.slice("symbols", F.lit(1), most).alias("sym"), F.slice("symbols", F.lit(2), most).alias("nb"))
-    e = unrolled(seq, pair, "pos", "p", *by).select(*by, "p.*", (F.col("pos") == 0).alias("first")).join(known, "sym", "left_semi")
+    e = unrolled(seq, pair, "pos", "p", *by).select(*by, "p.*", (F.col("pos") == 0).alias("first"))
     c = e.groupBy(*by, "sym", "nb").agg(F.sum(F.when(F.col("first"), 1).otherwise(0)).alias("ci"), F.sum(F.when(F.col("first"), 0).otherwise(1)).alias("cr"))
+    return _polysemy(c, by, targets, least, bits)
+
+
+def _polysemy(c: DataFrame, by: list[str], targets: DataFrame, least: int, bits: float) -> DataFrame:
+    """polysemy_rate from counts (by, sym, nb, ci, cr); targets meet these, not the tokens."""
+    known = targets.select("sym").distinct()
+    c = c.join(known, "sym", "left_semi")
     m = c.groupBy(*by, "sym").agg(F.sum("ci").alias("ni"), F.sum("cr").alias("nr"), F.count("*").alias("v")).where(f"ni >= {least} AND nr >= {least}")
     p, q = (F.col("ci") + 1) / (F.col("ni") + F.col("v")), (F.col("cr") + 1) / (F.col("nr") + F.col("v"))
     kl = c.join(m, [*by, "sym"]).groupBy(*by, "sym").agg(F.sum(p * F.log2(p / q)).alias("kl"))
@@ -63,16 +154,20 @@ def polysemy_rate(seq: DataFrame, by: list[str], targets: DataFrame, least: int
     return kl.groupBy(*by).agg(hit.alias("hits")).crossJoin(F.broadcast(size)).select(*by, (F.col("hits") / F.col("targets")).alias("value"))
 
 
-def label_scores(seq: DataFrame, initial: DataFrame, terminal: DataFrame, seed: str, reps: int) -> DataFrame:
+def label_counts(seq: DataFrame) -> DataFrame:
+    """(sym, n, first, last): tokens of each symbol in sequences of two symbols and more, and those at a start and at an end."""
+    n = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    x = tokens(seq.select("symbols"))
+    return x.groupBy("sym").agg(n(F.col("len") > 1).alias("n"), n((F.col("pos") == 0) & (F.col("len") > 1)).alias("first"), n((F.col("pos") == F.col("len") - 1) & (F.col("len") > 1)).alias("last"))
+
+
+def label_scores(counts: DataFrame, initial: DataFrame, terminal: DataFrame, seed: str, reps: int) -> DataFrame:
     """(rep, value): mean of the shares of initial labels' tokens at a start and of terminal labels' at an end, in sequences of two symbols and more.
 
-    Replicates give as many labels of both kinds to other symbols, by the rank of
-    an md5; symbols of the vocabulary alone take part. Counts per symbol are made
-    once, whatever the number of replicates.
+    counts are those of label_counts. Replicates give as many labels of both kinds to other symbols, by the rank of
+    an md5; symbols of the vocabulary alone take part.
     """
     n = lambda c: F.sum(F.when(c, 1).otherwise(0))
-    x = tokens(seq.select("symbols"))
-    counts = x.groupBy("sym").agg(n(F.col("len") > 1).alias("n"), n((F.col("pos") == 0) & (F.col("len") > 1)).alias("first"), n((F.col("pos") == F.col("len") - 1) & (F.col("len") > 1)).alias("last"))
     flag = lambda d, name: d.select("sym", F.lit(True).alias(name)).distinct()
     c = written(counts.join(flag(initial, "i"), "sym", "left").join(flag(terminal, "t"), "sym", "left").fillna(False, ["i", "t"]), "labels")
     sizes = c.agg(n(F.col("t")).alias("nt"), n(F.col("i")).alias("ni"))

@@ -43,7 +43,12 @@ def four_way_counts(seq: DataFrame, by: list[str]) -> DataFrame:
 def rates(seq: DataFrame, by: list[str], min_count: int = 3) -> DataFrame:
     """t, i and m rates over all tokens (ends count only in sequences of two or more), and a class by cut-offs."""
     more = F.col("len") > 1
-    t = tokens(seq.select(*by, "symbols")).groupBy(*by, "sym").agg(F.count("*").alias("n"), _n(_first() & more).alias("fi"), _n(_last() & more).alias("la")).where(F.col("n") >= min_count)
+    return classed(tokens(seq.select(*by, "symbols")).groupBy(*by, "sym").agg(F.count("*").alias("n"), _n(_first() & more).alias("fi"), _n(_last() & more).alias("la")), by, min_count)
+
+
+def classed(counts: DataFrame, by: list[str], min_count: int = 3) -> DataFrame:
+    """rates of counts (by, sym, n, fi, la): tokens, and those that start and end a sequence of two or more."""
+    t = counts.where(F.col("n") >= min_count)
     t = t.select(*by, "sym", "n", (F.col("la") / F.col("n")).alias("t_rate"), (F.col("fi") / F.col("n")).alias("i_rate"), ((F.col("n") - F.col("fi") - F.col("la")) / F.col("n")).alias("m_rate"))
     kind = F.when(F.col("t_rate") >= 0.6, "TERMINAL").when(F.col("i_rate") >= 0.5, "INITIAL").when(F.col("m_rate") >= 0.65, "MEDIAL").otherwise("MIXED")
     return t.withColumn("class", kind)

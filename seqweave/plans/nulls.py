@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seqweave.operators import lm, nulls
-from seqweave.operators import measures as m
 from seqweave.operators import positions as p
 from seqweave.plans.counting import TOK_ORDERS, _rounded
 from seqweave.plans.inference import MODEL, RUNS, _runs
@@ -35,12 +34,11 @@ vals AS (SELECT 'r2' AS metric, rep, CASE WHEN total > 0 THEN 1 - within / total
 {tested_sql('vals', 'metric')}""")
 def _(spark, sf):  # noqa: ANN001, ANN202
     """Three measures against their nulls in one job: class means' share of variance, ambiguous symbols, labels' places."""
-    x = orders(spark, sf)
-    symbols = m.symbol_counts(x).select("sym")
-    both = nulls.with_shuffles(x, "s4", REPS)
+    both = nulls.shuffled_neighbours(orders(spark, sf), "s4", REPS)
+    symbols = both.where("rep = 0").select("sym").distinct()
     named = lambda d, name, c: d.select(F.lit(name).alias("metric"), "rep", F.col(c).alias("value"))
-    values = named(p.grammar_r2(p.rates(both, ["rep"]), ["rep"]), "r2", "r2").unionByName(named(nulls.polysemy_rate(both, ["rep"], symbols), "polysemy", "value"))
-    values = values.unionByName(named(nulls.label_scores(x, symbols.where("sym LIKE '%2'"), symbols.where("sym LIKE '%1'"), "s4", REPS), "labels", "value"))
+    values = named(p.grammar_r2(nulls.neighbour_rates(both, ["rep"]), ["rep"]), "r2", "r2").unionByName(named(nulls.neighbour_polysemy(both, ["rep"], symbols), "polysemy", "value"))
+    values = values.unionByName(named(nulls.label_scores(nulls.neighbour_labels(both), symbols.where("sym LIKE '%2'"), symbols.where("sym LIKE '%1'"), "s4", REPS), "labels", "value"))
     return _rounded(nulls.tested(values, ["metric"], REPS), *TESTED)
 
 
